@@ -56,3 +56,30 @@ def strip(col: str) -> str:
 
 def lines(col: str) -> str:
     return f"string_split({col}, chr(10))"
+
+
+def scored_list(lex, score_of) -> str:
+    """``[{'neg','ord','name','score'}...]`` for a lexicon; ``score_of(kws)`` gives SQL."""
+    items = []
+    for i, (name, kws) in enumerate(lex):
+        s = score_of(kws)
+        items.append(f"{{'neg': -({s}), 'ord': {i}, 'name': {q(name)}, 'score': ({s})}}")
+    return "[" + ", ".join(items) + "]"
+
+
+def ranked(lex, score_of, keep: str, top: int | None = None) -> str:
+    """Stable descending rank of a scored lexicon as a list of structs."""
+    lst = f"list_sort(list_filter({scored_list(lex, score_of)}, lambda s: s.score {keep}))"
+    return f"list_slice({lst}, 1, {top})" if top else lst
+
+
+def names_of(expr: str) -> str:
+    return f"list_transform({expr}, lambda s: s.name)"
+
+
+def name_scores(expr: str) -> str:
+    return f"array_to_string(list_transform({expr}, lambda s: s.name || ':' || cast(s.score as varchar)), '|')"
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
