@@ -159,11 +159,11 @@ select c_custkey as dir_ord, c_name as company_name, c_nationkey as sic,
 from customer
 """
 
-# Fetch log of job-board candidates (one row per probed URL).
+# Fetch log of job-board candidates (one row per probed URL), companies = parts.
 FX_ATS_PROBES = """
-select concat('https://', lower(replace(s_name, '#', '')), '.workable.com') as url,
-  s_suppkey % 4 <> 0 as success, (s_suppkey * 37) % 400 as n_chars
-from supplier
+select concat(t.pre, 'site', cast(p_partkey as string), t.post) as url,
+  (p_partkey + t.b) % 4 <> 0 as success, (p_partkey * (37 + t.b)) % 400 as n_chars
+from part cross join (values ('https://jobs.lever.co/', '', 1), ('https://', '.workable.com', 2)) as t(pre, post, b)
 """
 
 VIEWS = {
