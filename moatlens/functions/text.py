@@ -50,16 +50,19 @@ def lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
 
-def count_sub(text: Column, kw: Column) -> Column:
-    """Non-overlapping occurrences of literal ``kw`` in ``text`` (``str.count``)."""
-    return F.floor(
-        (F.length(text) - F.length(F.replace(text, kw, F.lit("")))) / F.length(kw)
-    ).cast("bigint")
+def count_sub(text: Column, kw: Column, text_len: Column | None = None) -> Column:
+    """Non-overlapping occurrences of literal ``kw`` in ``text`` (``str.count``).
+
+    ``text_len`` may carry a precomputed ``length(text)`` column so that many
+    keywords do not each recount the text.
+    """
+    n = F.length(text) if text_len is None else text_len
+    return F.floor((n - F.length(F.replace(text, kw, F.lit("")))) / F.length(kw)).cast("bigint")
 
 
-def sum_counts(text: Column, kws: Column) -> Column:
+def sum_counts(text: Column, kws: Column, text_len: Column | None = None) -> Column:
     """Sum of ``count_sub`` over an array of keywords."""
-    return F.aggregate(kws, F.lit(0).cast("bigint"), lambda acc, k: acc + count_sub(text, k))
+    return F.aggregate(kws, F.lit(0).cast("bigint"), lambda acc, k: acc + count_sub(text, k, text_len))
 
 
 def any_sub(text: Column, kws: Column) -> Column:

@@ -7,22 +7,29 @@ from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
 from moatlens.functions import text as T
-from moatlens.operators.pages import review_lines
+from moatlens.operators.pages import review_lines, spread
 
 
-def category_scores(low: Column) -> Column:
+def category_scores(low: Column, low_len: Column | None = None) -> Column:
     """All categories as (name, ord, score) in lexicon order."""
     lex = T.lexicon(L.COMPLAINT_CATEGORIES)
     return F.transform(lex, lambda c: F.struct(
-        c["name"].alias("name"), c["ord"].alias("ord"), T.sum_counts(low, c["kws"]).alias("score")))
+        c["name"].alias("name"), c["ord"].alias("ord"), T.sum_counts(low, c["kws"], low_len).alias("score")))
 
 
-def sample_lines(lines: Column) -> Column:
-    """Per category the first 5 review lines holding any of its keywords."""
+def sample_lines(lines: Column, lines_low: Column | None = None) -> Column:
+    """Per category the first 5 review lines holding any of its keywords.
+
+    ``lines_low`` (the lowered lines, same order) lets the keyword tests skip
+    re-lowering every line for every keyword.
+    """
     lex = T.lexicon(L.COMPLAINT_CATEGORIES)
+    low = F.transform(lines, F.lower) if lines_low is None else lines_low
+    pairs = F.arrays_zip(lines.alias("line"), low.alias("low"))
     per = F.transform(lex, lambda c: F.struct(
         c["name"].alias("name"),
-        F.slice(F.filter(lines, lambda l: T.any_sub(F.lower(l), c["kws"])), 1, L.N_SAMPLE_LINES).alias("lines")))
+        F.transform(F.slice(F.filter(pairs, lambda p: T.any_sub(p["low"], c["kws"])), 1, L.N_SAMPLE_LINES),
+                    lambda p: p["line"]).alias("lines")))
     return F.filter(per, lambda x: F.size(x["lines"]) > 0)
 
 
@@ -71,17 +78,18 @@ def lean(pos: Column, neg: Column) -> Column:
 def extract_complaints(df: DataFrame, text_col: str = "markdown", company_col: str = "company") -> DataFrame:
     md = F.col(text_col)
     own = F.lower(T.strip(F.coalesce(F.col(company_col), F.lit(""))))
-    stage = df.select("*", review_lines(md).alias("_lines"), own.alias("_own"))
+    stage = spread(df).select("*", review_lines(md).alias("_lines"), own.alias("_own"))
     stage = stage.withColumn("_low", F.lower(F.array_join("_lines", "\n")))
-    low, lines = F.col("_low"), F.col("_lines")
+    stage = stage.select("*", F.length("_low").alias("_n"), F.transform("_lines", F.lower).alias("_lines_low"))
+    low, lines, n = F.col("_low"), F.col("_lines"), F.col("_n")
     stage = stage.select(
         "*",
-        category_scores(low).alias("_scores"),
-        sample_lines(lines).alias("sample_complaint_lines"),
+        category_scores(low, n).alias("_scores"),
+        sample_lines(lines, F.col("_lines_low")).alias("sample_complaint_lines"),
         feature_gaps(low).alias("feature_gaps_mentioned"),
         competitor_mentions(low, competitor_candidates(md, F.col("_own")), F.col("_own")).alias("competitor_comparisons"),
-        T.sum_counts(low, T.lit_array(L.POSITIVE_SIGNALS)).alias("positive_signal_count"),
-        T.sum_counts(low, T.lit_array(L.NEGATIVE_SIGNALS)).alias("negative_signal_count"),
+        T.sum_counts(low, T.lit_array(L.POSITIVE_SIGNALS), n).alias("positive_signal_count"),
+        T.sum_counts(low, T.lit_array(L.NEGATIVE_SIGNALS), n).alias("negative_signal_count"),
     )
     ranked = T.ranked(F.col("_scores"), keep=lambda s: s > 0)
     out = stage.select(
@@ -92,4 +100,4 @@ def extract_complaints(df: DataFrame, text_col: str = "markdown", company_col: s
         top_competitor(F.col("competitor_comparisons")).alias("top_competitor_mentioned"),
         lean(F.col("positive_signal_count"), F.col("negative_signal_count")).alias("sentiment_lean"),
     )
-    return out.drop("_lines", "_own", "_low", "_scores")
+    return out.drop("_lines", "_own", "_low", "_scores", "_n", "_lines_low")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
 from moatlens.functions import text as T
-from moatlens.operators.pages import headings
+from moatlens.operators.pages import headings, spread
 
 
 def longest_first(arr: Column) -> Column:
@@ -16,13 +16,14 @@ def longest_first(arr: Column) -> Column:
     return T.first(F.array_sort(keyed))["h"]
 
 
-def bucket_rank(body_lower: Column, heading_lower: Column, classes) -> Column:
+def bucket_rank(body_lower: Column, heading_lower: Column, classes,
+                body_len: Column | None = None, heading_len: Column | None = None) -> Column:
     """Top classes by body count + 3 x heading count, score >= 2, ties in lexicon order."""
     lex = T.lexicon(classes)
     scored = F.transform(lex, lambda c: F.struct(
         c["name"].alias("name"), c["ord"].alias("ord"),
-        (T.sum_counts(body_lower, c["kws"])
-         + L.HEADING_WEIGHT * T.sum_counts(heading_lower, c["kws"])).alias("score")))
+        (T.sum_counts(body_lower, c["kws"], body_len)
+         + L.HEADING_WEIGHT * T.sum_counts(heading_lower, c["kws"], heading_len)).alias("score")))
     return T.names(T.ranked(scored, keep=lambda s: s >= L.BUCKET_MIN_SCORE, top=L.BUCKET_TOP_N))
 
 
@@ -49,22 +50,23 @@ def buzzwords(body_lower: Column) -> Column:
 
 def extract_messaging(df: DataFrame, text_col: str = "markdown") -> DataFrame:
     md = F.col(text_col)
-    stage = df.select(
+    stage = spread(df).select(
         "*",
         headings(md, L.H1_PATTERN).alias("_h1"),
         headings(md, L.H2_PATTERN).alias("_h2"),
         headings(md, L.H3_PATTERN).alias("_h3"),
         F.lower(md).alias("_low"),
     ).withColumn("_hlow", F.lower(F.array_join(F.concat("_h1", "_h2", "_h3"), " ")))
-    low, hlow = F.col("_low"), F.col("_hlow")
+    stage = stage.select("*", F.length("_low").alias("_n"), F.length("_hlow").alias("_hn"))
+    low, hlow, n, hn = F.col("_low"), F.col("_hlow"), F.col("_n"), F.col("_hn")
     out = stage.select(
         "*",
         longest_first(F.col("_h1")).alias("main_headline"),
         F.slice("_h2", 1, L.N_SUBHEADLINES).alias("subheadlines"),
         F.slice("_h3", 1, L.N_H3).alias("h3_messages"),
-        bucket_rank(low, hlow, L.SEGMENTS).alias("target_segments"),
-        bucket_rank(low, hlow, L.VALUE_PROPS).alias("positioning_angle"),
-        bucket_rank(low, hlow, L.TONES).alias("emotional_tone"),
+        bucket_rank(low, hlow, L.SEGMENTS, n, hn).alias("target_segments"),
+        bucket_rank(low, hlow, L.VALUE_PROPS, n, hn).alias("positioning_angle"),
+        bucket_rank(low, hlow, L.TONES, n, hn).alias("emotional_tone"),
         ctas(low).alias("ctas_by_type"),
         proof_points(md).alias("proof_points"),
         uptime_claims(md).alias("uptime_claims"),
@@ -72,4 +74,4 @@ def extract_messaging(df: DataFrame, text_col: str = "markdown") -> DataFrame:
     )
     out = out.withColumn("primary_cta", T.first(F.flatten(F.transform("ctas_by_type", lambda x: x["phrases"])))) \
              .withColumn("buzzword_count", F.size("buzzwords"))
-    return out.drop("_h1", "_h2", "_h3", "_low", "_hlow")
+    return out.drop("_h1", "_h2", "_h3", "_low", "_hlow", "_n", "_hn")

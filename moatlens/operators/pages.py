@@ -9,6 +9,20 @@ from moatlens.functions import lexicons as L
 from moatlens.functions import text as T
 
 
+def spread(df: DataFrame, key: str = "page_id") -> DataFrame:
+    """Hash-partition pages by id when the input has fewer partitions than cores.
+
+    Text extraction is CPU-bound per page; a page table landed as a few big
+    files would otherwise run on a few tasks. Hash partitioning (not round
+    robin) keeps the placement deterministic across task retries. With many
+    input files (the normal case at scale) this is a no-op and costs no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target * 2, key)
+
+
 def page_gate(df: DataFrame, text_col: str = "markdown", success_col: str | None = "success",
               error_col: str | None = "error_message") -> DataFrame:
     """A fetched page is accepted iff fetched, non-empty and >= 500 chars.

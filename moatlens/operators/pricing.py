@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
 from moatlens.functions import text as T
+from moatlens.operators.pages import spread
 
 
 def _mentions(md: Column, patterns) -> tuple[Column, Column]:
@@ -82,7 +83,7 @@ def extract_pricing(df: DataFrame, text_col: str = "markdown") -> DataFrame:
     once and reused.
     """
     md = F.col(text_col)
-    base = df.withColumn("_lower", F.lower(md)).select(
+    base = spread(df).withColumn("_lower", F.lower(md)).select(
         "*",
         monthly_prices(md).alias("monthly_prices"),
         annual_prices(md).alias("annual_prices"),

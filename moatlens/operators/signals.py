@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
 from moatlens.functions import text as T
+from moatlens.operators.pages import spread
 
 _DEPT_IDX = {name: i + 1 for i, (name, _) in enumerate(L.DEPARTMENTS)}
 _LEVELS = dict(L.SENIORITY)
 
 
-def dept_scores(low: Column) -> Column:
+def dept_scores(low: Column, low_len: Column | None = None) -> Column:
     lex = T.lexicon(L.DEPARTMENTS)
     return F.transform(lex, lambda c: F.struct(
-        c["name"].alias("name"), c["ord"].alias("ord"), T.sum_counts(low, c["kws"]).alias("score")))
+        c["name"].alias("name"), c["ord"].alias("ord"), T.sum_counts(low, c["kws"], low_len).alias("score")))
 
 
 def dept_count(scores: Column, name: str) -> Column:
@@ -74,11 +75,12 @@ def strategic_inferences(scores: Column, tech: Column) -> Column:
 
 
 def extract_signals(df: DataFrame, text_col: str = "markdown") -> DataFrame:
-    stage = df.withColumn("_low", F.lower(F.col(text_col)))
+    stage = spread(df).withColumn("_low", F.lower(F.col(text_col)))
+    stage = stage.withColumn("_n", F.length("_low"))
     low = F.col("_low")
     stage = stage.select(
         "*",
-        dept_scores(low).alias("_scores"),
+        dept_scores(low, F.col("_n")).alias("_scores"),
         T.classes_present(low, T.lexicon(L.TECH_AREAS)).alias("tech_investments"),
         seniority_distribution(seniority_levels(low)).alias("seniority_distribution"),
         T.classes_present(low, T.lexicon(L.REGIONS)).alias("geographic_expansion"),
@@ -94,4 +96,4 @@ def extract_signals(df: DataFrame, text_col: str = "markdown") -> DataFrame:
         dominant_seniority(F.col("seniority_distribution")).alias("dominant_seniority"),
         strategic_inferences(F.col("_scores"), F.col("tech_investments")).alias("strategic_inferences"),
     )
-    return out.drop("_low", "_scores")
+    return out.drop("_low", "_scores", "_n")
