@@ -118,3 +118,15 @@ def truncate(c: Column, limit: int, suffix: str) -> Column:
 
 def join(arr: Column, sep: str = "|") -> Column:
     return F.array_join(arr, sep)
+
+
+def explode_kept(arr: Column, pos: bool = False):
+    """``explode`` / ``posexplode`` written as the outer form.
+
+    A plain explode makes Catalyst infer ``size(arr) > 0`` and push it below
+    the projection (and any repartition) that computes ``arr``, evaluating an
+    expensive array twice. The outer form infers nothing; callers drop the
+    null row of an empty array with ``filter(<element>.isNotNull())`` (array
+    elements here are never null).
+    """
+    return F.posexplode_outer(arr) if pos else F.explode_outer(arr)

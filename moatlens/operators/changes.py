@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
+from moatlens.functions import text as T
 from moatlens.operators import snapshots as snap
 
 def _arr(rec: Column, field: str) -> Column:
@@ -148,9 +149,9 @@ def change_events(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts
     per = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("f_ord"),
                              feature_changes(paired, f).alias("evs")) for i, f in enumerate(features)])
     x = paired.select(key, F.col(ts).alias("detected_at"), "compared_with",
-                      snap.stale_features(paired, features).alias("stale_features"), F.explode(per).alias("p"))
+                      snap.stale_features(paired, features).alias("stale_features"), T.explode_kept(per).alias("p"))
     x = x.select(key, "detected_at", "compared_with", "stale_features", "p.feature", "p.f_ord",
-                 F.posexplode("p.evs").alias("pos", "e"))
+                 T.explode_kept(F.col("p.evs"), pos=True).alias("pos", "e")).filter(F.col("e").isNotNull())
     return x.select(key, "detected_at", "compared_with", "stale_features", "feature", "f_ord", "pos",
                     F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"),
                     F.col("e.detail").alias("detail"), F.col("e.message").alias("message"))

@@ -17,6 +17,8 @@ def spread(df: DataFrame, key: str = "page_id") -> DataFrame:
     robin) keeps the placement deterministic across task retries. With many
     input files (the normal case at scale) this is a no-op and costs no shuffle.
     """
+    if df.isStreaming:
+        return df  # micro-batches are planned per trigger; nothing to inspect here
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df

@@ -40,12 +40,14 @@ def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
         "domain", "url", F.contains(F.col("body"), F.lit("<sitemapindex")).alias("is_index"), _locs(F.col("body")).alias("locs"))
     root = docs.filter(F.col("url") == F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap.xml")))
     direct = root.filter(~F.col("is_index")).select(
-        "domain", F.lit(0).alias("child"), F.posexplode("locs").alias("pos", "loc"))
+        "domain", F.lit(0).alias("child"), T.explode_kept(F.col("locs"), pos=True).alias("pos", "loc")) \
+        .filter(F.col("loc").isNotNull())
     children = root.filter(F.col("is_index")).select(
         "domain", F.posexplode(F.slice("locs", 1, L.N_SITEMAP_CHILDREN)).alias("child", "child_url"))
     kids = docs.filter(~F.col("is_index")).select(F.col("url").alias("child_url"), F.col("locs").alias("child_locs"))
     via_index = children.join(kids, "child_url").select(
-        "domain", (F.col("child") + 1).alias("child"), F.posexplode("child_locs").alias("pos", "loc"))
+        "domain", (F.col("child") + 1).alias("child"), T.explode_kept(F.col("child_locs"), pos=True).alias("pos", "loc")) \
+        .filter(F.col("loc").isNotNull())
     return direct.unionByName(via_index).select("domain", "child", "pos", "loc")
 
 

@@ -147,9 +147,10 @@ m as (select page_id, category, line, row_number() over (partition by page_id, c
   from u cross join {_CATS_VALUES} where len(list_filter(kws, lambda kw: contains(lower(line), kw))) > 0)
 select page_id, category, cast(sample_no as bigint) as sample_no, line from m where sample_no <= {L.N_SAMPLE_LINES}""")
 def q_complaint_samples(spark, sf):
-    df = _cmp(spark, sf).select("page_id", F.explode("sample_complaint_lines").alias("s"))
+    df = _cmp(spark, sf).select("page_id", T.explode_kept(F.col("sample_complaint_lines")).alias("s")) \
+        .filter(F.col("s").isNotNull())
     return df.select("page_id", F.col("s.name").alias("category"),
-                     F.posexplode("s.lines").alias("pos", "line")).select(
+                     T.explode_kept(F.col("s.lines"), pos=True).alias("pos", "line")).filter(F.col("line").isNotNull()).select(
         "page_id", "category", (F.col("pos") + 1).cast("bigint").alias("sample_no"), "line")
 
 

@@ -102,7 +102,7 @@ rc as (select domain, bool_or(success or not (contains(lower(coalesce(error_mess
 """
 
 
-@query("resolve_urls", _PICK + _PROBE.replace(X.cte("fx_probes"), ", fx_probes as (" + X.VIEWS["fx_probes"] + ")\n") + _ATS_SQL + """
+@query("resolve_urls", _PICK + _PROBE.replace(X.cte("fx_probes"), ", fx_probes as (" + X.render("fx_probes", "duckdb") + ")\n") + _ATS_SQL + """
 select dm.domain, dm.company, coalesce(rc.reachable, true) as reachable,
   case when coalesce(rc.reachable, true) then coalesce(sp.url, pp2.url) end as pricing_url,
   case when coalesce(rc.reachable, true) then case when sp.url is not null then 'sitemap' when pp2.url is not null then 'probe' end end as pricing_source,

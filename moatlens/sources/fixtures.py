@@ -9,6 +9,8 @@ input rows. Work grows with the base tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from moatlens.sources import tables
@@ -77,7 +79,7 @@ select concat('co', cast(p_partkey as string)) as company,
   case when (p_partkey + v) % 5 = 0 then null else concat('dept', cast((p_partkey * (v + 1)) % 4 as string)) end as biggest_hiring_push,
   10 + (p_partkey * (v + 1)) % 17 as score_ux, 5 + (p_partkey * (v + 2)) % 13 as score_perf, (p_partkey * (v + 1)) % 6 as score_price,
   (p_partkey + v) % 11 = 0 as is_stale
-from part cross join (values (0), (1), (2)) as t(v)
+from part @@EXPAND t|v|(0),(1),(2)@@
 """
 
 FX_STATEMENT_LINES = """
@@ -87,10 +89,10 @@ select concat('T', cast(n as string)) as ticker, cast(concat(cast(yr as string),
   case l.line_no when 1 then rev when 2 then case when (n + yr) % 9 = 0 then null else rev * 3 / 10 end
     when 3 then rev * (2 + (n * 7 + yr) % 11) / 50 when 4 then rev * (1 + n % 6) / 40 when 5 then rev * 2 / 5 when 6 then rev * 3 / 5
     when 7 then cnt * 100 when 8 then cnt * 250 when 9 then rev * 2 + cnt * 1000 when 10 then case when n % 8 = 0 then 0 else rev * 4 / 5 + cnt * 700 end end as value
-from y cross join (values (1, 'income', 'Total Revenue'), (2, 'income', 'Operating Income'), (3, 'income', 'Net Income'),
+from y @@EXPAND l|line_no, statement, label|(1, 'income', 'Total Revenue'), (2, 'income', 'Operating Income'), (3, 'income', 'Net Income'),
   (4, 'income', 'Research and Development'), (5, 'income', 'Revenue - Europe'), (6, 'income', 'Product Sales'),
   (7, 'balance', 'Intangible Assets, Net'), (8, 'balance', 'Property, Plant and Equipment, Net'),
-  (9, 'balance', 'Total Assets'), (10, 'balance', 'Total Stockholders Equity')) as l(line_no, statement, label)
+  (9, 'balance', 'Total Assets'), (10, 'balance', 'Total Stockholders Equity')@@
 """
 
 FX_FILINGS = """
@@ -125,7 +127,7 @@ select concat('site', cast(p_partkey as string), '.com') as domain, t.path, t.or
   (p_partkey + t.ord) % 3 <> 0 as success,
   (p_partkey * (t.ord + 3)) % 1000 as n_chars,
   case when (p_partkey + t.ord) % 3 = 0 then case when p_partkey % 2 = 0 then 'Timeout 8000ms' else 'HTTP 404' end end as error_message
-from part cross join (values ('/pricing', 0), ('/plans', 1), ('/careers', 2), ('/jobs', 3)) as t(path, ord)
+from part @@EXPAND t|path, ord|('/pricing', 0), ('/plans', 1), ('/careers', 2), ('/jobs', 3)@@
 """
 
 FX_COMPANIES = """
@@ -163,7 +165,7 @@ from customer
 FX_ATS_PROBES = """
 select concat(t.pre, 'site', cast(p_partkey as string), t.post) as url,
   (p_partkey + t.b) % 4 <> 0 as success, (p_partkey * (37 + t.b)) % 400 as n_chars
-from part cross join (values ('https://jobs.lever.co/', '', 1), ('https://', '.workable.com', 2)) as t(pre, post, b)
+from part @@EXPAND t|pre, post, b|('https://jobs.lever.co/', '', 1), ('https://', '.workable.com', 2)@@
 """
 
 VIEWS = {
@@ -184,12 +186,35 @@ VIEWS = {
 }
 
 
+_EXPAND = re.compile(r"@@EXPAND (\w+)\|([^|]*)\|(.*?)@@", re.S)
+
+
+def _split_rows(rows: str) -> list[str]:
+    """'(a, b), (c, d)' -> ['a, b', 'c, d'] (values hold no parentheses)."""
+    return [r.strip() for r in re.findall(r"\(([^()]*)\)", rows)]
+
+
+def render(name: str, engine: str = "spark") -> str:
+    """View SQL for one engine.
+
+    A row expansion is a lateral ``inline`` of a literal array in Spark (a
+    generator, no join) and a ``VALUES`` relation in DuckDB.
+    """
+    def sub(m):
+        alias, cols, rows = m.group(1), m.group(2), m.group(3)
+        if engine == "spark":
+            structs = ", ".join(f"struct({r})" for r in _split_rows(rows))
+            return f"lateral view inline(array({structs})) {alias} as {cols}"
+        return f"cross join (values {rows}) as {alias}({cols})"
+    return _EXPAND.sub(sub, VIEWS[name])
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the tables of ``sf_dir``."""
     tables.register(spark, sf_dir)
-    return spark.sql(VIEWS[name])
+    return spark.sql(render(name, "spark"))
 
 
 def cte(*names: str) -> str:
     """``WITH`` clause defining the named views, for oracle SQL."""
-    return "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in names) + "\n"
+    return "with " + ",\n".join(f"{n} as ({render(n, 'duckdb')})" for n in names) + "\n"
