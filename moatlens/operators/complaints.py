@@ -50,14 +50,22 @@ def competitor_candidates(md: Column, own: Column) -> Column:
                     & ~(n == own) & ~F.array_contains(stop, n))
 
 
+def _word_count(low: Column, name: Column) -> Column:
+    return F.regexp_count(low, F.concat(F.lit(r"(?U)\b\Q"), name, F.lit(r"\E\b"))).cast("bigint")
+
+
 def competitor_mentions(low: Column, candidates: Column, own: Column) -> Column:
-    """Alphabetical (name, count) of whole-word mentions > 0, own name removed."""
-    names = F.array_sort(F.array_union(T.lit_array(L.COMMON_COMPETITORS), candidates))
-    names = F.filter(names, lambda n: (own == F.lit("")) | (n != own))
-    counted = F.transform(names, lambda n: F.struct(
-        n.alias("name"),
-        F.regexp_count(low, F.concat(F.lit(r"(?U)\b\Q"), n, F.lit(r"\E\b"))).cast("bigint").alias("count")))
-    return F.filter(counted, lambda x: x["count"] > 0)
+    """Alphabetical (name, count) of whole-word mentions > 0, own name removed.
+
+    The built-in names use literal patterns (compiled once per task); only
+    names found on the page itself need a per-row pattern.
+    """
+    common = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_count(
+        low, F.lit(r"(?U)\b\Q" + n + r"\E\b")).cast("bigint").alias("count")) for n in L.COMMON_COMPETITORS])
+    extra = F.array_except(F.array_distinct(candidates), T.lit_array(L.COMMON_COMPETITORS))
+    dynamic = F.transform(extra, lambda n: F.struct(n.alias("name"), _word_count(low, n).alias("count")))
+    allc = F.array_sort(F.concat(common, dynamic))
+    return F.filter(allc, lambda x: (x["count"] > 0) & ((own == F.lit("")) | (x["name"] != own)))
 
 
 def top_competitor(mentions: Column) -> Column:

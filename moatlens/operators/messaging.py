@@ -50,11 +50,12 @@ def buzzwords(body_lower: Column) -> Column:
 
 def extract_messaging(df: DataFrame, text_col: str = "markdown") -> DataFrame:
     md = F.col(text_col)
-    stage = spread(df).select(
+    stage = spread(df).select("*", F.filter(T.lines(md), lambda l: F.startswith(l, F.lit("#"))).alias("_hl"))
+    stage = stage.select(
         "*",
-        headings(md, L.H1_PATTERN).alias("_h1"),
-        headings(md, L.H2_PATTERN).alias("_h2"),
-        headings(md, L.H3_PATTERN).alias("_h3"),
+        headings(md, L.H1_PATTERN, F.col("_hl")).alias("_h1"),
+        headings(md, L.H2_PATTERN, F.col("_hl")).alias("_h2"),
+        headings(md, L.H3_PATTERN, F.col("_hl")).alias("_h3"),
         F.lower(md).alias("_low"),
     ).withColumn("_hlow", F.lower(F.array_join(F.concat("_h1", "_h2", "_h3"), " ")))
     stage = stage.select("*", F.length("_low").alias("_n"), F.length("_hlow").alias("_hn"))
@@ -74,4 +75,4 @@ def extract_messaging(df: DataFrame, text_col: str = "markdown") -> DataFrame:
     )
     out = out.withColumn("primary_cta", T.first(F.flatten(F.transform("ctas_by_type", lambda x: x["phrases"])))) \
              .withColumn("buzzword_count", F.size("buzzwords"))
-    return out.drop("_h1", "_h2", "_h3", "_low", "_hlow", "_n", "_hn")
+    return out.drop("_hl", "_h1", "_h2", "_h3", "_low", "_hlow", "_n", "_hn")

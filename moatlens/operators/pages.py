@@ -46,9 +46,13 @@ def clean_heading(line: Column) -> Column:
     return F.regexp_replace(T.strip(line), T.rx(L.HEADING_PREFIX_PATTERN), "")
 
 
-def headings(md: Column, pattern: str) -> Column:
-    """Cleaned text of the lines matching a heading pattern (unstripped line)."""
-    return F.transform(F.filter(T.lines(md), lambda l: l.rlike(T.rx(pattern))), clean_heading)
+def headings(md: Column, pattern: str, lines: Column | None = None) -> Column:
+    """Cleaned text of the lines matching a heading pattern (unstripped line).
+
+    ``lines`` may carry the page's already split lines.
+    """
+    ls = T.lines(md) if lines is None else lines
+    return F.transform(F.filter(ls, lambda l: l.rlike(T.rx(pattern))), clean_heading)
 
 
 def review_lines(md: Column) -> Column:

@@ -10,24 +10,29 @@ from moatlens.functions import text as T
 from moatlens.operators.pages import spread
 
 
-def _mentions(md: Column, patterns) -> tuple[Column, Column]:
-    """(raw matches in pattern order, normalised and de-duplicated in first-seen order)."""
-    raw = F.concat(*[T.findall(md, p, 0, ignore_case=True) for p in patterns])
-    norm = F.array_distinct(F.transform(raw, lambda p: F.regexp_replace(T.strip(p), T.rx(r"\s+"), " ")))
-    return raw, norm
+def raw_mentions(md: Column, patterns) -> Column:
+    """Raw matches of the patterns, pattern order."""
+    return F.concat(*[T.findall(md, p, 0, ignore_case=True) for p in patterns])
+
+
+def normalise(raw: Column) -> Column:
+    """Collapse white space, de-duplicate keeping first-seen order."""
+    return F.array_distinct(F.transform(raw, lambda p: F.regexp_replace(T.strip(p), T.rx(r"\s+"), " ")))
 
 
 def monthly_prices(md: Column) -> Column:
-    return _mentions(md, L.PRICE_MONTHLY_PATTERNS)[1]
+    return normalise(raw_mentions(md, L.PRICE_MONTHLY_PATTERNS))
 
 
 def annual_prices(md: Column) -> Column:
-    return _mentions(md, L.PRICE_ANNUAL_PATTERNS)[1]
+    return normalise(raw_mentions(md, L.PRICE_ANNUAL_PATTERNS))
 
 
-def price_values(md: Column) -> Column:
+def price_values(md: Column, monthly_raw: Column | None = None, annual_raw: Column | None = None) -> Column:
     """Integer part of every raw monthly+annual mention, 0 < v < cap."""
-    raw = F.concat(_mentions(md, L.PRICE_MONTHLY_PATTERNS)[0], _mentions(md, L.PRICE_ANNUAL_PATTERNS)[0])
+    m = raw_mentions(md, L.PRICE_MONTHLY_PATTERNS) if monthly_raw is None else monthly_raw
+    a = raw_mentions(md, L.PRICE_ANNUAL_PATTERNS) if annual_raw is None else annual_raw
+    raw = F.concat(m, a)
     vals = F.transform(raw, lambda p: F.replace(
         F.regexp_extract(p, T.rx(L.PRICE_AMOUNT_PATTERN), 1), F.lit(","), F.lit("")).try_cast("bigint"))
     return F.filter(vals, lambda v: v.isNotNull() & (v > 0) & (v < L.PRICE_CAP))
@@ -83,18 +88,22 @@ def extract_pricing(df: DataFrame, text_col: str = "markdown") -> DataFrame:
     once and reused.
     """
     md = F.col(text_col)
-    base = spread(df).withColumn("_lower", F.lower(md)).select(
+    base = spread(df).select(
+        "*", F.lower(md).alias("_lower"),
+        raw_mentions(md, L.PRICE_MONTHLY_PATTERNS).alias("_mraw"),
+        raw_mentions(md, L.PRICE_ANNUAL_PATTERNS).alias("_araw"))
+    base = base.select(
         "*",
-        monthly_prices(md).alias("monthly_prices"),
-        annual_prices(md).alias("annual_prices"),
+        normalise(F.col("_mraw")).alias("monthly_prices"),
+        normalise(F.col("_araw")).alias("annual_prices"),
         tier_names(md).alias("tiers_found"),
         pricing_models(F.col("_lower")).alias("pricing_model"),
         trial_offers(F.col("_lower")).alias("trial_offers"),
-        price_values(md).alias("_vals"),
+        price_values(md, F.col("_mraw"), F.col("_araw")).alias("_vals"),
         md.rlike(T.rx(L.ZERO_PRICE_PATTERN)).alias("_zero"),
     )
     return base.select(
-        *[c for c in base.columns if c not in ("_lower", "_vals", "_zero")],
+        *[c for c in base.columns if c not in ("_lower", "_vals", "_zero", "_mraw", "_araw")],
         F.array_min("_vals").alias("price_low"),
         F.array_max("_vals").alias("price_high"),
         (F.array_contains("pricing_model", "freemium")

@@ -59,32 +59,38 @@ def label_lookup(lines: DataFrame, metrics, keys=("ticker", "period")) -> DataFr
     """Per key, the value of the first line (statement order) whose label matches.
 
     A null value on that first line stays null (no fall-through); ``has_<m>``
-    tells whether any line matched at all.
+    tells whether any line matched at all; ``in_statements`` whether the key
+    has income or balance lines. One aggregate, partial on the map side.
     """
     aggs = []
     for m in metrics:
         order = F.when(_match(m), F.col("line_no"))
         aggs.append(F.min_by(clean_num(F.col("value")), order).alias(m))
         aggs.append(F.min(order).isNotNull().alias(f"has_{m}"))
+    aggs.append(F.bool_or(F.col("statement").isin("income", "balance")).alias("in_statements"))
     return lines.groupBy(*keys).agg(*aggs)
 
 
-def period_select(lines: DataFrame, n: int = L.MAX_PERIODS, key: str = "ticker") -> DataFrame:
-    """Newest ``n`` distinct periods of the income and balance statements."""
-    p = lines.filter(F.col("statement").isin("income", "balance")).select(key, "period").distinct()
+def _newest_periods(per_period: DataFrame, n: int, key: str = "ticker") -> DataFrame:
+    """Keep the newest ``n`` periods of each ticker of an already aggregated (small) table."""
     w = Window.partitionBy(key).orderBy(F.col("period").desc())
-    return p.withColumn("period_rank", F.row_number().over(w)).filter(F.col("period_rank") <= n)
+    return per_period.withColumn("period_rank", F.row_number().over(w)).filter(F.col("period_rank") <= n)
 
 
-def newest_period(lines: DataFrame, key: str = "ticker") -> DataFrame:
-    return lines.groupBy(key).agg(F.max("period").alias("period"))
+def period_select(lines: DataFrame, n: int = L.MAX_PERIODS, key: str = "ticker") -> DataFrame:
+    """Newest ``n`` distinct periods of the income and balance statements."""
+    p = lines.filter(F.col("statement").isin("income", "balance")).select(key, "period").distinct()
+    return _newest_periods(p, n, key)
 
 
 def dupont(lines: DataFrame, n_periods: int = L.MAX_PERIODS) -> DataFrame:
-    """DuPont ratios per selected period; ROE = product of the rounded ratios."""
-    sel = period_select(lines, n_periods)
-    vals = label_lookup(lines.join(sel.select("ticker", "period"), ["ticker", "period"], "left_semi"),
-                        ["revenue", "net_income", "total_assets", "total_equity"])
+    """DuPont ratios per selected period; ROE = product of the rounded ratios.
+
+    Metrics are aggregated for every (ticker, period) first; the newest-period
+    choice then runs on that small result instead of re-joining the lines.
+    """
+    vals = _newest_periods(
+        label_lookup(lines, ["revenue", "net_income", "total_assets", "total_equity"]).filter("in_statements"), n_periods)
     pm = safe_div(F.col("net_income"), F.col("revenue"))
     at = safe_div(F.col("revenue"), F.col("total_assets"))
     fl = safe_div(F.col("total_assets"), F.col("total_equity"))
@@ -126,15 +132,22 @@ def asset_intensity(lines: DataFrame) -> DataFrame:
                     r("rnd", "revenue").alias("rd_to_revenue_ratio"))
 
 
+def newest_period(lines: DataFrame, key: str = "ticker") -> DataFrame:
+    return lines.groupBy(key).agg(F.max("period").alias("period"))
+
+
+def newest_lookup(lines: DataFrame, metrics) -> DataFrame:
+    """``label_lookup`` of each ticker's newest period (chosen on the aggregated rows)."""
+    return _newest_periods(label_lookup(lines, metrics), 1)
+
+
 def company_margins(lines: DataFrame) -> DataFrame:
     """Operating margin and R&D/revenue of the newest period.
 
     Operating income is the "Operating Income" line when one exists (even if
     its value is null), else net income; ``is_fallback`` marks the latter.
     """
-    newest = newest_period(lines)
-    v = label_lookup(lines.join(newest, ["ticker", "period"], "left_semi"),
-                     ["revenue", "net_income", "operating_income", "rnd"])
+    v = newest_lookup(lines, ["revenue", "net_income", "operating_income", "rnd"])
     op = F.when(F.col("has_operating_income"), F.col("operating_income")).otherwise(F.col("net_income"))
     return v.select("ticker", "period",
                     safe_div(op, F.col("revenue")).alias("operating_margin"),
@@ -143,22 +156,24 @@ def company_margins(lines: DataFrame) -> DataFrame:
 
 
 def balance_items(lines: DataFrame) -> DataFrame:
-    newest = newest_period(lines)
-    v = label_lookup(lines.join(newest, ["ticker", "period"], "left_semi"), ["intangible", "ppe"])
+    v = newest_lookup(lines, ["intangible", "ppe"])
     return v.select("ticker", "period", F.col("intangible").alias("intangible_assets_usd"), F.col("ppe").alias("ppe_usd"))
 
 
 def capital_needs(lines: DataFrame) -> DataFrame:
-    newest = newest_period(lines)
-    v = label_lookup(lines.join(newest, ["ticker", "period"], "left_semi"), ["capex", "free_cash_flow"])
+    v = newest_lookup(lines, ["capex", "free_cash_flow"])
     return v.select("ticker", "period", F.col("capex").alias("capex_usd"), F.col("free_cash_flow").alias("free_cash_flow_usd"))
 
 
 def segment_revenue(lines: DataFrame) -> DataFrame:
-    """Newest-period revenue lines split into geographic and product segments."""
+    """Newest-period revenue lines split into geographic and product segments.
+
+    The newest period comes from a per-ticker max (partial aggregate); only the
+    few revenue lines are joined to it.
+    """
     newest = newest_period(lines)
-    rows = lines.filter(F.col("statement") == "income").join(newest, ["ticker", "period"], "left_semi")
-    rows = rows.filter(F.col("label").rlike(T.rx(L.LABEL_SEGMENT_REVENUE, True)))
+    rows = lines.filter((F.col("statement") == "income") & F.col("label").rlike(T.rx(L.LABEL_SEGMENT_REVENUE, True)))
+    rows = rows.join(newest, ["ticker", "period"], "left_semi")
     rows = rows.select("ticker", "period", "line_no", T.strip(F.col("label")).alias("segment"),
                        clean_num(F.col("value")).alias("revenue_usd")).filter(F.col("revenue_usd").isNotNull())
     low = F.lower(F.col("segment"))
