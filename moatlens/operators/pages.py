@@ -10,7 +10,7 @@ from moatlens.functions import text as T
 
 
 def spread(df: DataFrame, key: str = "page_id") -> DataFrame:
-    """Hash-partition pages by id when the input has fewer partitions than cores.
+    """Hash-partition pages by id when the input has fewer files than cores.
 
     Text extraction is CPU-bound per page; a page table landed as a few big
     files would otherwise run on a few tasks. Hash partitioning (not round
@@ -20,7 +20,7 @@ def spread(df: DataFrame, key: str = "page_id") -> DataFrame:
     if df.isStreaming:
         return df  # micro-batches are planned per trigger; nothing to inspect here
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if len(df.inputFiles()) >= target:  # file list only: no physical planning
         return df
     return df.repartition(target * 2, key)
 

@@ -211,8 +211,9 @@ def render(name: str, engine: str = "spark") -> str:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the tables of ``sf_dir``."""
-    tables.register(spark, sf_dir)
-    return spark.sql(render(name, "spark"))
+    sql = render(name, "spark")
+    tables.register(spark, sf_dir, tables.referenced(sql))
+    return spark.sql(sql)
 
 
 def cte(*names: str) -> str:

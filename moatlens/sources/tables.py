@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,13 +12,29 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# One reader per (session, folder, table): file listing and parquet footers
+# are read once, not on every query build.
+_READERS: dict[tuple[int, str, str], DataFrame] = {}
+_VIEWS: dict[tuple[int, str], str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. Column pruning and filter pushdown reach this scan."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    k = (id(spark), sf_dir, name)
+    if k not in _READERS:
+        _READERS[k] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return _READERS[k]
 
 
 def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Register input tables as temp views so shared SQL text can run on them."""
     for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
+        if _VIEWS.get((id(spark), n)) != sf_dir:
+            table(spark, sf_dir, n).createOrReplaceTempView(n)
+            _VIEWS[(id(spark), n)] = sf_dir
+
+
+def referenced(sql: str) -> list[str]:
+    """Input tables named in a SQL text."""
+    words = set(re.findall(r"\b[a-z_]+\b", sql.lower()))
+    return [t for t in TABLES if t in words]
