@@ -73,7 +73,11 @@ def count_sub(text: Column, kw: Column, text_len: Column | None = None) -> Colum
     keywords do not each recount the text.
     """
     n = F.length(text) if text_len is None else text_len
-    return F.floor((n - F.length(F.replace(text, kw, F.lit("")))) / F.length(kw)).cast("bigint")
+    # most keywords are absent from a page: a plain search first avoids
+    # building the replaced copy of the text for them
+    return F.when(F.contains(text, kw),
+                  F.floor((n - F.length(F.replace(text, kw, F.lit("")))) / F.length(kw)).cast("bigint")
+                  ).otherwise(F.lit(0).cast("bigint"))
 
 
 def sum_counts(text: Column, kws: Column, text_len: Column | None = None) -> Column:

@@ -33,8 +33,16 @@ def sample_lines(lines: Column, lines_low: Column | None = None) -> Column:
     return F.filter(per, lambda x: F.size(x["lines"]) > 0)
 
 
+# Words each feature-gap pattern cannot match without (a cheap substring
+# pre-check that skips the regex scan on pages lacking all of them).
+_GAP_ANCHORS = [["wish"], ["missing"], ["doesn't", "does not", "can't", "cannot"], ["lack"],
+                ["need"], ["would"], ["no"], ["limited"]]
+
+
 def feature_gaps(low: Column) -> Column:
-    raw = F.concat(*[T.findall(low, p, 1) for p in L.FEATURE_GAP_PATTERNS])
+    empty = F.array().cast("array<string>")
+    raw = F.concat(*[F.when(T.any_sub(low, T.lit_array(a)), T.findall(low, p, 1)).otherwise(empty)
+                     for p, a in zip(L.FEATURE_GAP_PATTERNS, _GAP_ANCHORS)])
     cleaned = F.transform(raw, lambda m: F.regexp_replace(T.strip(m), r"[.,;:]+$", ""))
     noise = T.lit_array(L.GAP_NOISE_PREFIXES)
     kept = F.filter(cleaned, lambda m: (F.length(m) > L.GAP_MIN_CHARS)
@@ -51,7 +59,8 @@ def competitor_candidates(md: Column, own: Column) -> Column:
 
 
 def _word_count(low: Column, name: Column) -> Column:
-    return F.regexp_count(low, F.concat(F.lit(r"(?U)\b\Q"), name, F.lit(r"\E\b"))).cast("bigint")
+    hits = F.regexp_count(low, F.concat(F.lit(r"(?U)\b\Q"), name, F.lit(r"\E\b"))).cast("bigint")
+    return F.when(F.contains(low, name), hits).otherwise(F.lit(0).cast("bigint"))
 
 
 def competitor_mentions(low: Column, candidates: Column, own: Column) -> Column:
@@ -60,8 +69,9 @@ def competitor_mentions(low: Column, candidates: Column, own: Column) -> Column:
     The built-in names use literal patterns (compiled once per task); only
     names found on the page itself need a per-row pattern.
     """
-    common = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_count(
-        low, F.lit(r"(?U)\b\Q" + n + r"\E\b")).cast("bigint").alias("count")) for n in L.COMMON_COMPETITORS])
+    common = F.array(*[F.struct(F.lit(n).alias("name"), F.when(F.contains(low, F.lit(n)), F.regexp_count(
+        low, F.lit(r"(?U)\b\Q" + n + r"\E\b")).cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("count"))
+        for n in L.COMMON_COMPETITORS])
     extra = F.array_except(F.array_distinct(candidates), T.lit_array(L.COMMON_COMPETITORS))
     dynamic = F.transform(extra, lambda n: F.struct(n.alias("name"), _word_count(low, n).alias("count")))
     allc = F.array_sort(F.concat(common, dynamic))
