@@ -1,0 +1,78 @@
+"""Random ASCII pages: the Spark extractors equal the plain-Python rules."""
+
+import random
+
+import pytest
+
+from moatlens.operators import complaints, messaging, pricing, signals
+from tests import pymodel
+
+# Fragments that hit the word lists, patterns and edge cases (ties, overlaps,
+# windows cut inside words, nav lines, duplicate headings).
+FRAGMENTS = [
+    "# Pro plan", "## Business tier", "### Team", "# Free forever", "#no space", "  # indented heading",
+    "Starter $15/mo", "$1,200 per user per month", "$3,600 monthly", "$99 per year", "$0.50 per seat",
+    "$0 plan", "Professional plan $49/user/mo", "grow your Business for only $5", "$20 / month",
+    "contact sales", "free trial", "no credit card", "money back", "pay as you go", "one price",
+    "10,000+ customers", "thousands of teams", "99.99% uptime", "AI-powered", "seamless", "end-to-end",
+    "Get started", "Book a demo", "learn more", "startup", "enterprise", "api", "developer", "fast", "easy",
+    "It is expensive and costly", "too slow and buggy, a crash", "We switched from Hubspot to it",
+    "compared to Zoho Desk Pro this lacks", "I wish it had offline export for teams",
+    "missing a bulk export feature", "we need better mobile widgets", "no native calendar sync today",
+    "limited storage for files", "* [nav](https://x.com)", "[Home](https://x.com/a)", "great support, love it",
+    "terrible, the worst", "Senior Software Engineer", "Data Scientist, machine learning", "Account Executive",
+    "Customer Success Manager", "Director of Security", "junior intern", "remote", "in-office",
+    "new york office", "london", "fully remote", "soc 2 and kubernetes", "salesforce", "pipedrive",
+    "aaaa", "x", "",
+]
+
+
+def _page(rng: random.Random) -> str:
+    n = rng.randint(0, 12)
+    lines = []
+    for _ in range(n):
+        k = rng.randint(1, 3)
+        lines.append(" ".join(rng.choice(FRAGMENTS) for _ in range(k)))
+    return "\n".join(lines)
+
+
+def _df(spark, pages, company):
+    return spark.createDataFrame([(i, company, p) for i, p in enumerate(pages)],
+                                 "page_id long, company string, markdown string")
+
+
+@pytest.mark.parametrize("seed", [0, 1, 20261202])
+def test_extractors_match_python_rules(spark, seed):
+    rng = random.Random(seed)
+    pages = [_page(rng) for _ in range(150)]
+    comp = "zoho desk pro" if seed % 2 else "acme"
+
+    got = {r.page_id: r for r in pricing.extract_pricing(_df(spark, pages, comp)).collect()}
+    for i, p in enumerate(pages):
+        exp, r = pymodel.pricing(p), got[i]
+        for k, v in exp.items():
+            assert getattr(r, k) == v, (k, p, getattr(r, k), v)
+
+    got = {r.page_id: r for r in messaging.extract_messaging(_df(spark, pages, comp)).collect()}
+    for i, p in enumerate(pages):
+        exp, r = pymodel.messaging(p), got[i]
+        for k, v in exp.items():
+            assert getattr(r, k) == v, (k, p, getattr(r, k), v)
+
+    got = {r.page_id: r for r in complaints.extract_complaints(_df(spark, pages, comp)).collect()}
+    for i, p in enumerate(pages):
+        exp, r = pymodel.complaints(p, comp), got[i]
+        assert [(c.name, c.score) for c in r.category_scores] == exp["category_scores"], p
+        assert [(c["name"], c["count"]) for c in r.competitor_comparisons] == exp["competitor_comparisons"], p
+        assert [(s.name, s.lines) for s in r.sample_complaint_lines] == exp["sample_complaint_lines"], p
+        for k in ("top_complaint_categories", "total_complaint_signals", "feature_gaps_mentioned",
+                  "top_competitor_mentioned", "sentiment_lean"):
+            assert getattr(r, k) == exp[k], (k, p, getattr(r, k), exp[k])
+
+    got = {r.page_id: r for r in signals.extract_signals(_df(spark, pages, comp)).collect()}
+    for i, p in enumerate(pages):
+        exp, r = pymodel.signals(p), got[i]
+        assert [(d.name, d["count"]) for d in r.hiring_by_department] == exp["hiring_by_department"], p
+        assert r.seniority_distribution.asDict() == exp["seniority"], p
+        for k in ("biggest_hiring_push", "tech_investments", "geographic_expansion", "dominant_seniority"):
+            assert getattr(r, k) == exp[k], (k, p, getattr(r, k), exp[k])
