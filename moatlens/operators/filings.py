@@ -57,9 +57,10 @@ def insider_transactions(head: DataFrame, txns: DataFrame) -> DataFrame:
     own = head.filter(F.col("form").isin(L.INSIDER_FORMS))
     t = txns
     if "kind" in t.columns:
-        w = Window.partitionBy("filing_id")
-        t = t.withColumn("_has_tx", F.max((F.col("kind") == "transactions").cast("int")).over(w))
-        t = t.filter((F.col("kind") == "transactions") | (F.col("_has_tx") == 0)).drop("_has_tx")
+        # per-filing flag by a (map-side partial) aggregate + join, not a window:
+        # a filing with a huge transaction list is split by AQE's skew join
+        flag = t.groupBy("filing_id").agg(F.bool_or(F.col("kind") == "transactions").alias("_has_tx"))
+        t = t.join(flag, "filing_id").filter((F.col("kind") == "transactions") | ~F.col("_has_tx")).drop("_has_tx")
     j = own.join(t, "filing_id")
     codes = F.create_map(*[x for k, v in L.INSIDER_CODES for x in (F.lit(k), F.lit(v))])
     code = F.col("code")
@@ -89,8 +90,8 @@ def executive_pay(head_proxy: DataFrame, comp_rows: DataFrame) -> DataFrame:
     """Rows of the first available compensation table of each of the newest proxies."""
     prio = F.array_position(T.lit_array(L.COMP_TABLES), F.col("source_table"))
     rows = comp_rows.withColumn("_prio", prio).filter(F.col("_prio") > 0)
-    w = Window.partitionBy("filing_id")
-    rows = rows.withColumn("_best", F.min("_prio").over(w)).filter(F.col("_prio") == F.col("_best"))
+    best = rows.groupBy("filing_id").agg(F.min("_prio").alias("_prio"))  # partial aggregate, skew-safe
+    rows = rows.join(best, ["filing_id", "_prio"], "left_semi")
     j = head_proxy.filter(F.col("form") == "DEF 14A").join(rows, "filing_id")
     return j.select("ticker", "filing_id", "row_no",
                     F.substring(F.col("filed_date").cast("string"), 1, 4).alias("year"),

@@ -36,37 +36,93 @@ def retention(snaps: DataFrame, max_archives: int = L.MAX_SNAPSHOT_ARCHIVES,
     return snaps.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_archives + 1).drop("_rn")
 
 
+def bucketed(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
+             rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Add ``_b``: a time sub-bucket of the company's history of about ``rows_per_bucket`` rows.
+
+    Exact per-company aggregates (count, first and last time) cut each history
+    into equal time slices. A bucket is a pure function of the row and those
+    exact aggregates, so every plan branch agrees on it. A normal company has
+    one bucket; a company holding a third of all rows spans many.
+    """
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    stats = snaps.groupBy(key).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count(F.lit(1)).alias("_n"))
+    nb = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
+    b = F.floor((t - F.col("_t0")) * nb / (F.col("_t1") - F.col("_t0") + 1)).cast("long")
+    return snaps.join(stats, key).withColumn("_b", b).drop("_t0", "_t1", "_n")
+
+
 def with_previous(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
-                  features=FEATURES) -> DataFrame:
-    """Attach the previous snapshot of the same company (every consecutive pair)."""
-    w = Window.partitionBy(key).orderBy(ts)
-    prev = [F.lag(F.col(f)).over(w).alias(f"prev_{f}") for f in features]
-    return snaps.select("*", F.lag(F.col(ts)).over(w).alias("compared_with"), *prev)
+                  features=FEATURES, rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Attach the previous snapshot of the same company (every consecutive pair).
+
+    A company's history is never one task:
+    - ``lag`` runs within (company, time sub-bucket) (see ``bucketed``);
+    - the first row of a bucket takes the last row of the company's nearest
+      earlier bucket, from a summary with one row per (company, bucket).
+    With one bucket this is the plain window.
+    """
+    cols = [ts, *features]
+    r = bucketed(snaps, key, ts, rows_per_bucket)
+    w = Window.partitionBy(key, "_b").orderBy(ts)
+    inner = r.select("*", *[F.lag(F.col(c)).over(w).alias(f"_lag_{c}") for c in cols])
+    last = r.groupBy(key, "_b").agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_last"))
+    carry = last.select(key, "_b", F.lag("_last").over(Window.partitionBy(key).orderBy("_b")).alias("_before"))
+    out = inner.join(carry, [key, "_b"], "left")
+    first = F.col(f"_lag_{ts}").isNull()
+    pick = lambda c: F.when(first, F.col(f"_before.{c}")).otherwise(F.col(f"_lag_{c}"))
+    return out.select(*snaps.columns, pick(ts).alias("compared_with"),
+                      *[pick(c).alias(f"prev_{c}") for c in features])
+
+
+def _record_fields(snaps: DataFrame, f: str):
+    return [c for c in snaps.schema[f].dataType.fieldNames() if c not in ("is_stale", "stale_since", "stale_reason")]
 
 
 def carry_forward(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
-                  features=FEATURES) -> DataFrame:
+                  features=FEATURES, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Failed features keep the previous snapshot's record, flagged stale.
 
-    A stale feature row holds ``is_stale`` true; its record becomes the
-    previous snapshot's (already carried) record and ``stale_since`` the
-    previous snapshot time. Without a previous record the marker stays empty.
+    A stale feature row holds ``is_stale`` true. Its record becomes the last
+    non-stale record before it, which is what copying the previous (already
+    carried) record amounts to. ``stale_since`` is the previous snapshot time
+    when the previous snapshot had the feature. Without a previous record the
+    marker stays empty.
+
+    Like ``with_previous`` this runs per (company, time sub-bucket), with a
+    per-bucket summary for the rows whose source lies in an earlier bucket.
     """
-    w = Window.partitionBy(key).orderBy(ts)
-    out = snaps.select("*", F.lag(F.col(ts)).over(w).alias("_prev_ts"))
+    r = bucketed(snaps, key, ts, rows_per_bucket)
+    w = Window.partitionBy(key, "_b").orderBy(ts)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    stale = {f: F.coalesce(F.col(f"{f}.is_stale"), F.lit(False)) for f in features}
+    good = {f: F.when(~stale[f], F.col(f)) for f in features}
+    inner = r.select("*", F.lag(F.col(ts)).over(w).alias("_lag_ts"),
+                     *[F.lag(F.col(f)).over(w).isNotNull().alias(f"_lag_has_{f}") for f in features],
+                     *[F.last(good[f], ignorenulls=True).over(before).alias(f"_in_{f}") for f in features])
+    summ = r.groupBy(key, "_b").agg(
+        F.max(F.col(ts)).alias("_last_ts"),
+        *[F.max_by(F.col(f).isNotNull(), F.col(ts)).alias(f"_last_has_{f}") for f in features],
+        *[F.max_by(F.col(f), F.when(~stale[f], F.col(ts))).alias(f"_last_good_{f}") for f in features])
+    wb = Window.partitionBy(key).orderBy("_b")
+    wb_before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(key, "_b", F.lag("_last_ts").over(wb).alias("_before_ts"),
+                        *[F.lag(f"_last_has_{f}").over(wb).alias(f"_before_has_{f}") for f in features],
+                        *[F.last(f"_last_good_{f}", ignorenulls=True).over(wb_before).alias(f"_before_{f}") for f in features])
+    out = inner.join(carry, [key, "_b"], "left")
+    first = F.col("_lag_ts").isNull()
+    prev_ts = F.when(first, F.col("_before_ts")).otherwise(F.col("_lag_ts"))
     for f in features:
-        fields = [c for c in snaps.schema[f].dataType.fieldNames() if c not in ("is_stale", "stale_since", "stale_reason")]
-        good = F.when(~F.coalesce(F.col(f"{f}.is_stale"), F.lit(False)), F.col(f))
-        carried = F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        stale = F.coalesce(F.col(f"{f}.is_stale"), F.lit(False))
+        carried = F.coalesce(F.col(f"_in_{f}"), F.col(f"_before_{f}"))
+        prev_has = F.when(first, F.coalesce(F.col(f"_before_has_{f}"), F.lit(False))).otherwise(F.col(f"_lag_has_{f}"))
         rec = F.struct(
-            *[F.when(stale, carried[c]).otherwise(F.col(f"{f}.{c}")).alias(c) for c in fields],
+            *[F.when(stale[f], carried[c]).otherwise(F.col(f"{f}.{c}")).alias(c) for c in _record_fields(snaps, f)],
             F.col(f"{f}.is_stale").alias("is_stale"),
-            F.when(stale & F.lag(F.col(f)).over(w).isNotNull(), F.col("_prev_ts")).alias("stale_since"),
+            F.when(stale[f] & prev_has, prev_ts).alias("stale_since"),
             F.col(f"{f}.stale_reason").alias("stale_reason"),
         )
         out = out.withColumn(f, F.when(F.col(f).isNotNull(), rec))
-    return out.drop("_prev_ts")
+    return out.select(*snaps.columns)
 
 
 def carry_forward_one(new: DataFrame, previous_latest: DataFrame, key: str = "company",
@@ -75,7 +131,7 @@ def carry_forward_one(new: DataFrame, previous_latest: DataFrame, key: str = "co
     prev = previous_latest.select(key, F.col(ts).alias("_prev_ts"), *[F.col(f).alias(f"_prev_{f}") for f in features])
     out = new.join(prev, key, "left")
     for f in features:
-        fields = [c for c in new.schema[f].dataType.fieldNames() if c not in ("is_stale", "stale_since", "stale_reason")]
+        fields = _record_fields(new, f)
         stale = F.coalesce(F.col(f"{f}.is_stale"), F.lit(False))
         rec = F.struct(
             *[F.when(stale, F.col(f"_prev_{f}.{c}")).otherwise(F.col(f"{f}.{c}")).alias(c) for c in fields],
