@@ -49,7 +49,9 @@ def bucketed(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
     stats = snaps.groupBy(key).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count(F.lit(1)).alias("_n"))
     nb = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
     b = F.floor((t - F.col("_t0")) * nb / (F.col("_t1") - F.col("_t0") + 1)).cast("long")
-    return snaps.join(stats, key).withColumn("_b", b).drop("_t0", "_t1", "_n")
+    # Distribute on (company, bucket) explicitly: hash partitioning on company
+    # alone would satisfy the later windows and keep a hot company in one task.
+    return snaps.join(stats, key).withColumn("_b", b).drop("_t0", "_t1", "_n").repartition(key, "_b")
 
 
 def with_previous(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
