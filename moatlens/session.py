@@ -36,7 +36,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     cur = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if cur:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(cur)
         return cur
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder; a machine-local one "
+                           "does not survive the loss of an executor")
     path = tempfile.mkdtemp(prefix="moatlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
