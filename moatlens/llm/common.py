@@ -49,6 +49,12 @@ def semi(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(side, on, "left_semi")
 
 
+def anti(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids`` (a written table of distinct keys)."""
+    side = F.broadcast(ids) if is_small(ids) else ids
+    return df.join(side, on, "left_anti")
+
+
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], spread: Column) -> DataFrame:
     """Left join of a lookup ``table`` (written, one row per key, null keys match null).
 

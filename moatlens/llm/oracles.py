@@ -86,3 +86,17 @@ select doc_id, size, source_size, target,
        size * (cast(floor(rate) as bigint) + case when u < rate - floor(rate) then 1 else 0 end) as taken
 from m
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_NGRAM_JACCARD_JOIN = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i:i+3], ' ') as shingle from g),
+n as (select doc_id, count(*) as n_shingles from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n_shingles + y.n_shingles - c)),
+r as (select doc_id, doc_id as comp from d union select l.b, r.comp from r join l on r.doc_id = l.a)
+select doc_id, coalesce(n_shingles, 0) as n_shingles, component_id
+from (select doc_id, min(comp) as component_id from r group by doc_id) left join n using (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moatlens.llm import chat, mixing, oracles
+from moatlens.llm import chat, mixing, ngram_join, oracles, pieces
 from moatlens.llm import quality_rules as qr
 from moatlens.llm.common import read, written
 
@@ -15,6 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies; read on the driver and broadcast."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     if (sql := getattr(oracles, fn.__name__.upper(), None)) is not None:
@@ -52,6 +58,19 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 85 % shingle similarity."""
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with the public 32k vocabulary and decoded again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, vocabulary("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words every document gives to the mix."""
