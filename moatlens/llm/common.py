@@ -36,8 +36,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table has at most ``rows`` rows (``limit`` stops the count early)."""
-    return table.limit(rows + 1).count() <= rows
+    """Whether a written table has at most ``rows`` rows (read from its footers)."""
+    return table.count() <= rows
 
 
 def semi(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:

@@ -100,3 +100,16 @@ r as (select doc_id, doc_id as comp from d union select l.b, r.comp from r join
 select doc_id, coalesce(n_shingles, 0) as n_shingles, component_id
 from (select doc_id, min(comp) as component_id from r group by doc_id) left join n using (doc_id)
 """
+
+OP10_SUBSTRING_DEDUP = rf"""
+with d as (select doc_id, {WORDS} as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+k as (select doc_id, i, md5(array_to_string(w[i:i+49], ' ')) as key from p),
+f as (select *, min(doc_id) over (partition by key) as first from k),
+c as (select distinct doc_id, unnest(range(i, i + 50)) as i from f where first < doc_id),
+x as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from d),
+j as (select x.doc_id, x.i, x.word, c.i is not null as gone from x left join c on c.doc_id = x.doc_id and c.i = x.i),
+a as (select doc_id, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as kept from j group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join a using (doc_id)
+"""

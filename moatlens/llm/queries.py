@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moatlens.llm import chat, mixing, ngram_join, oracles, pieces
+from moatlens.llm import chat, mixing, ngram_join, oracles, pieces, substring_dedup
 from moatlens.llm import quality_rules as qr
 from moatlens.llm.common import read, written
 
@@ -78,3 +78,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(docs)
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
                       F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in every document without windows of 50 words that an earlier document holds."""
+    return substring_dedup.removals(read(spark, sf_dir, "documents").select("doc_id", "text"))
