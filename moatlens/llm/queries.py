@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moatlens.llm import chat, mixing, ngram_join, oracles, pieces, substring_dedup
+from moatlens.llm import chat, mixing, ngram_join, oracles, pieces, posting_lists, substring_dedup
 from moatlens.llm import quality_rules as qr
 from moatlens.llm.common import read, written
 
@@ -58,6 +58,12 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query
+def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest vectors of every vector whose id is divisible by 20."""
+    return posting_lists.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under 85 % shingle similarity."""
