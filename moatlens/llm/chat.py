@@ -61,19 +61,21 @@ def branches(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     links = _links(messages)
     most = messages.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
     rounds = max(1, int(most - 1).bit_length())
-    jump = [written(links, "chat-links")]
+    links = written(links, "chat-links")
+    jump, ended = [links.where("anc is not null")], links.where("anc is null")
     for _ in range(rounds):
-        a, b = jump[-1].alias("a"), jump[-1].alias("b")
-        j = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.anc") == F.col("b.node")), "left")
-        jump.append(written(j.select(
-            "a.conv_id", "a.node", F.col("b.anc").alias("anc"),
-            (F.col("a.dist") + F.coalesce("b.dist", F.lit(0))).alias("dist"),
-            (F.col("a.gain") + F.coalesce("b.gain", F.lit(0.0))).alias("gain")), "chat-links"))
+        # only messages whose link is not past the root yet are joined again
+        a, b = jump[-1].alias("a"), jump[-1].unionByName(ended).alias("b")
+        j = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.anc") == F.col("b.node")))
+        links = written(j.select("a.conv_id", "a.node", F.col("b.anc").alias("anc"), (F.col("a.dist") + F.col("b.dist")).alias("dist"),
+                                 (F.col("a.gain") + F.col("b.gain")).alias("gain")), "chat-links")
+        jump.append(links.where("anc is not null"))
+        ended = ended.unionByName(links.where("anc is null"))
     leaves = messages.select("conv_id", "msg_id").join(
         messages.where("parent_id is not null").select(F.col("conv_id").alias("c"), F.col("parent_id").alias("p")).distinct(),
         F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("p")), "left_anti")
-    # past the last round only messages in or below a cycle still have an ancestor
-    ends = jump[-1].where("anc is null").select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "dist", "gain")
+    # messages in or below a cycle never end
+    ends = ended.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "dist", "gain")
     best = leaves.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("n"))).select(
         "conv_id", F.col("msg_id").alias("leaf_id"), F.col("dist").alias("length"), F.col("gain").alias("branch_score"))
     if keep is not None:
@@ -81,7 +83,7 @@ def branches(messages: DataFrame, keep: int | None = 1) -> DataFrame:
         best = best.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= keep).drop("r")
     paths = best.select("conv_id", "leaf_id", "branch_score", "length", F.col("leaf_id").alias("msg_id"), F.lit(0).cast("long").alias("up"))
     for k in range(rounds, -1, -1):
-        link = jump[k].where("anc is not null").select(F.col("conv_id").alias("c"), "node", "anc")
+        link = jump[k].select(F.col("conv_id").alias("c"), "node", "anc")
         j = paths.join(link, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("node")))
         more = j.select("conv_id", "leaf_id", "branch_score", "length", F.col("anc").alias("msg_id"), (F.col("up") + (1 << k)).alias("up"))
         paths = written(paths.unionByName(more), "chat-paths")
