@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moatlens.llm import chat, mixing, ngram_join, oracles, pieces, posting_lists, substring_dedup
+from moatlens.llm import chat, mixing, ngram_join, oracles, pieces, posting_lists, quality_mil, substring_dedup
 from moatlens.llm import quality_rules as qr
 from moatlens.llm.common import read, written
 
@@ -70,6 +70,16 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_mil.fit(docs, read(spark, sf_dir, "labels"))
+    out = quality_mil.scored(docs, model)
+    return out.select("doc_id", quality_mil.held_out(F.col("doc_id")).alias("held_out"), "score",
+                      F.when(F.col("score") >= quality_mil.THRESHOLD, 1).otherwise(0).alias("predicted"), "n_passages", "attention")
+
+
 @query
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded with the public 32k vocabulary and decoded again."""
