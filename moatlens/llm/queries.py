@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moatlens.llm import chat, mixing, ngram_join, oracles, pieces, posting_lists, quality_mil, substring_dedup
+from moatlens.llm import attention_lm, chat, mixing, ngram_join, oracles, pieces, posting_lists, quality_mil, substring_dedup
 from moatlens.llm import quality_rules as qr
 from moatlens.llm.common import read, written
 
@@ -70,6 +70,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and attention model log probabilities of every document."""
+    return attention_lm.scores(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+
+
 @query
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
