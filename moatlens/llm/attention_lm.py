@@ -5,13 +5,16 @@ Frequent words, at most ``HEAD``, travel to the tasks; the others of a
 document are joined with the counts by shuffle, so nothing is left out.
 
 The attention model sees a text as the piece ids of its lower-cased words and
-an end id. One causal head over ``SPAN`` ids predicts the class of the next id
-and the id within its class; classes cut the ids, by descending count over all
-training documents, into equal shares of mass. Embeddings and attention are
-trained in numpy on a bounded sample (``SAMPLE`` documents, the least by hash
-of the id, ``SAMPLE_IDS`` ids in all). Texts are scored whole: windows of
-``SPAN`` ids overlap, every id is scored once, with at least ``SPAN - STEP``
-ids before it after the first window, many windows at a time under one mask.
+an end id. One causal head over ``SPAN`` ids predicts the class of the next id;
+the id within its class follows the id before it, by transition counts over
+all training documents (dense for the ``SLOTS`` most frequent ids, backing off
+to the id's share of its class). Classes are groups of ids with like
+neighbours, cut by count into about equal shares. Embeddings, attention and
+groups are trained in numpy on a bounded sample (``SAMPLE`` documents, the
+least by hash of the id, ``SAMPLE_IDS`` ids in all). Texts are scored whole:
+windows of ``SPAN`` ids overlap, every id is scored once, with at least
+``SPAN - STEP`` ids before it after the first window, many windows at a time
+under one mask.
 
 Defined cases: null and blank texts are the end token alone; without training
 documents counts are 0 and the model is uniform; repeated rows count and score
@@ -36,10 +39,11 @@ ALPHA = 0.1
 HEAD = 100_000
 CACHE = 300_000
 SPAN, STEP = 16, 12
-DIM, CLASSES = 16, 48
+DIM, CLASSES, GROUPS = 16, 64, 24
+SLOTS, BACKOFF = 1024, 20.0
 SAMPLE, SAMPLE_IDS = 1500, 400_000
-EPOCHS, RATE, BATCH = 4, 0.01, 256
-END = 2
+EPOCHS, RATE, BATCH = 6, 0.02, 256
+BEGIN, END = 1, 2
 #: Words counted before a task hands its counts on.
 COUNT_WORDS = 400_000
 
@@ -78,39 +82,117 @@ def encode_word(model: PieceModel, word: bytes) -> list[int]:
     return model._part("▁" + word.decode("utf-8"))[0]
 
 
-def piece_counts(counts: DataFrame, blob) -> np.ndarray:
-    """Counts of every piece id over the counted words (a row per id and task goes through the shuffle)."""
+def transitions(counts: DataFrame, blob) -> DataFrame:
+    """(a, b, n) over the counted words: piece b follows piece a; BEGIN and END stand before and after a word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(blob.value)
-        total = np.zeros(len(m.pieces))
         for b in batches:
-            ids, weight = [], []
+            steps, weight = [], []
             for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = encode_word(m, w)
-                ids += got
-                weight += [c] * len(got)
-            total += np.bincount(np.array(ids, np.int64), weight, len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["id", "n"])
-
-    out = np.zeros(len(_model(blob.value).pieces))
-    for row in counts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row per id
-        out[row["id"]] = row["n"]
-    return out
+                steps += [BEGIN, *got]
+                steps.append(END)
+                weight += [c] * (len(got) + 1)
+                weight.append(0)  # from one word's END to the next BEGIN: no step
+            x = np.array(steps, np.int64)
+            key, at = np.unique(x[:-1] * len(m.pieces) + x[1:], return_inverse=True)
+            n = np.bincount(at, weight[:-1], len(key))
+            key, n = key[n > 0], n[n > 0]
+            yield pa.RecordBatch.from_arrays([pa.array((key // len(m.pieces)).astype(np.int32)), pa.array((key % len(m.pieces)).astype(np.int32)),
+                                              pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+
+    return counts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 # -- the model
 
-def classes_of(counts: np.ndarray, end: float, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every id, and log probability of the id within its class (add-one smoothed)."""
+def groups_of(sequences: list[np.ndarray], counts: np.ndarray, groups: int = GROUPS, seed: int = 3) -> np.ndarray:
+    """Group of every id by k-means over its neighbours in the sample; 0 for ids not seen."""
+    if not sequences:
+        return np.zeros(len(counts), np.int64)
+    ids, top = np.concatenate(sequences), 256
+    before = np.concatenate(([BEGIN], ids[:-1]))
+    column = np.full(len(counts), top)
+    column[np.argsort(-counts, kind="stable")[:top]] = np.arange(top)
+    used, row = np.unique(ids, return_inverse=True)
+    near = np.zeros((len(used), 2 * (top + 1)))
+    np.add.at(near, (row, column[before]), 1)
+    np.add.at(near, (row[:-1], top + 1 + column[ids[1:]]), 1)
+    total = near.sum(1, keepdims=True)
+    near = np.sqrt((near + 8 * near.sum(0) / near.sum()) / (total + 8))
+    near -= (near * total).sum(0) / total.sum()
+    axes = np.linalg.svd(near * np.sqrt(total), full_matrices=False)[2][:16]
+    x, w = near @ axes.T, counts[used] + 1
+    c = x[np.argsort(-w, kind="stable")[:groups]].copy()
+    for _ in range(12):
+        own = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+        for g in range(len(c)):
+            if (own == g).any():
+                c[g] = np.average(x[own == g], axis=0, weights=w[own == g])
+    out = np.zeros(len(counts), np.int64)
+    out[used] = own + 1
+    return out
+
+
+def classes_of(counts: np.ndarray, end: float, group: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Class of every id, and log share of the id in its class (add-one smoothed)."""
     c = counts + 1.0
     c[END] += end
-    order = np.argsort(-c, kind="stable")
-    mass = np.cumsum(c[order]) / c.sum()
-    cls = np.empty(len(c), np.int64)
-    cls[order] = np.minimum((np.concatenate(([0], mass[:-1])) * classes).astype(np.int64), classes - 1)
+    cls, base = np.empty(len(c), np.int64), 0
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        at = at[np.argsort(-c[at], kind="stable")]
+        mass = np.cumsum(c[at])
+        k = max(1, round(classes * mass[-1] / c.sum()))
+        cls[at] = base + np.minimum(((mass - c[at]) / mass[-1] * k).astype(np.int64), k - 1)
+        base += k
     cls = np.unique(cls, return_inverse=True)[1]
-    return cls, np.log(c / np.bincount(cls, c)[cls]).astype(np.float32)
+    return cls, np.log(c / np.bincount(cls, c)[cls])
+
+
+def layout(cls: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of every id in the table of transitions, and its column; ids without a slot share a row, and a column per class."""
+    order = np.argsort(-counts, kind="stable")[:SLOTS]
+    slot = np.full(len(counts), len(order))
+    slot[order] = np.arange(len(order))
+    return slot, np.where(slot == len(order), len(order) + cls, slot)
+
+
+def gathered(steps: DataFrame, slot: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions by slot and column, first pieces by column and last pieces by slot; the table has a bounded size."""
+    spark = steps.sparkSession
+    rows, cols = int(slot.max()) + 1, int(column.max()) + 1
+    ids = spark.createDataFrame(pa.table({"id": np.arange(len(slot)), "slot": slot, "col": column}))
+    j = steps.join(F.broadcast(ids.select(F.col("id").alias("a"), "slot")), "a").join(F.broadcast(ids.select(F.col("id").alias("b"), "col")), "b")
+    r = F.when(F.col("a") == BEGIN, -1).otherwise(F.col("slot"))
+    c = F.when(F.col("b") == END, -1).otherwise(F.col("col"))
+    got = j.groupBy(r.alias("r"), c.alias("c")).agg(F.sum("n").alias("n")).toArrow()
+    r, c, n = (got[k].to_numpy() for k in ("r", "c", "n"))
+    table, inner = np.zeros((rows, cols)), (r >= 0) & (c >= 0)
+    table[r[inner], c[inner]] = n[inner]
+    first, last = np.zeros(cols), np.zeros(rows)
+    first[c[(r < 0) & (c >= 0)]] = n[(r < 0) & (c >= 0)]
+    last[r[(c < 0) & (r >= 0)]] = n[(c < 0) & (r >= 0)]
+    return table, first, last
+
+
+def following(cls: np.ndarray, share: np.ndarray, slot: np.ndarray, column: np.ndarray, table: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict:
+    """Log probability of an id given its class and the id before: ``follow[slot[before], column[id]] + rest[id]``.
+
+    What follows a word's last piece is taken as a word's first piece.
+    """
+    n_cls, cols = int(cls.max()) + 1, table.shape[1]
+    slots = len(table) - 1
+    n = table + last[:, None] * first / max(first.sum(), 1)
+    owner = np.arange(cols) - slots
+    owner[column] = cls
+    of_class = np.zeros((cols, n_cls))
+    ok = (owner >= 0) & (owner < n_cls)
+    of_class[np.flatnonzero(ok), owner[ok]] = 1
+    part = np.bincount(column, np.exp(share), cols)
+    follow = np.log(n + BACKOFF * part + 1e-30) - np.log(n @ of_class + BACKOFF)[:, np.clip(owner, 0, n_cls - 1)]
+    rest = np.where(column >= slots, share - np.log(np.maximum(part, 1e-30))[column], 0)
+    return {"slot": slot, "follow": follow, "column": column, "rest": rest}
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,16 +212,17 @@ class Scorer:
     """A trained model with its products per id and per position laid out."""
 
     def __init__(self, p: dict):
-        self.p = {k: v.astype(np.float32) for k, v in p.items() if k not in ("cls",)}
+        self.p = {k: v.astype(np.float32) for k, v in p.items() if k not in ("cls", "slot", "column")}
         q = self.p
         w = np.concatenate([q["q"] / math.sqrt(DIM), q["k"], q["v"], np.eye(DIM, dtype=np.float32)], 1)
         self.per_id, self.per_pos, self.cls, self.mask = q["e"] @ w, q["p"] @ w, p["cls"], _mask()
+        self.slot, self.column = p["slot"], p["column"]
 
     def log10(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Log probability of each concatenated sequence (every one ends with END)."""
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
-        before[np.cumsum(sizes) - sizes] = 1  # the begin id
+        before[np.cumsum(sizes) - sizes] = BEGIN
         got = np.zeros(len(ids), np.float32)
         first, skip, of = windows(sizes)
         last = np.cumsum(sizes)[of]
@@ -165,22 +248,21 @@ class Scorer:
             own = z[np.arange(len(z)), target]
             np.exp(np.clip(z, -60, 60, out=z), out=z)
             got[at] = own - np.log(z.sum(1))
-        got += self.p["within"][ids]
+        got += self.p["follow"][self.slot[before], self.column[ids]] + self.p["rest"][ids]
         return np.add.reduceat(got.astype(np.float64), np.cumsum(sizes) - sizes) / math.log(10)
 
 
-def train(sequences: list[np.ndarray], counts: np.ndarray, seed: int = 5) -> dict:
+def train(sequences: list[np.ndarray], cls: np.ndarray, seed: int = 5) -> dict:
     """Embeddings, one causal head and class weights, by Adam over windows of the sequences."""
-    cls, within = classes_of(counts, len(sequences))
     n, rng = int(cls.max()) + 1, np.random.default_rng(seed)
     init = lambda *s: rng.normal(0, s[0] ** -0.5, s)
-    p = {"e": rng.normal(0, 0.3, (len(counts), DIM)), "p": rng.normal(0, 0.1, (SPAN, DIM)), "q": init(DIM, DIM), "k": init(DIM, DIM),
+    p = {"e": rng.normal(0, 0.3, (len(cls), DIM)), "p": rng.normal(0, 0.1, (SPAN, DIM)), "q": init(DIM, DIM), "k": init(DIM, DIM),
          "v": init(DIM, DIM), "o": init(DIM, DIM), "u": np.zeros((DIM, n)), "c": np.zeros(n)}
     if sequences:
         ids = np.concatenate(sequences)
         sizes = np.array([len(s) for s in sequences])
-        before = np.concatenate(([1], ids[:-1]))
-        before[np.cumsum(sizes) - sizes] = 1
+        before = np.concatenate(([BEGIN], ids[:-1]))
+        before[np.cumsum(sizes) - sizes] = BEGIN
         first, skip, of = windows(sizes)
         last, step, mask, scale = np.cumsum(sizes)[of], np.arange(SPAN), _mask(), 1 / math.sqrt(DIM)
         m1, m2, t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
@@ -224,7 +306,7 @@ def train(sequences: list[np.ndarray], counts: np.ndarray, seed: int = 5) -> dic
                 np.add.at(g, inverse.ravel(), flat(dx))
                 m2["e"][rows] += g * g
                 p["e"][rows] -= 0.1 * g / (np.sqrt(m2["e"][rows]) + 1e-8)
-    return p | {"cls": cls, "within": within}
+    return p | {"cls": cls}
 
 
 class Words:
@@ -263,8 +345,11 @@ def scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     # the least count whose words, with all more frequent ones, are at most HEAD
     least = counts.groupBy("c").agg(F.count("*").alias("n")).selectExpr("c", "sum(n) over (order by c desc) as upto").where(f"upto <= {HEAD}").agg(F.min("c")).first()[0]
     head = {} if least is None else {bytes(r["word"]): math.log10((r["c"] + ALPHA) / below) for r in counts.where(F.col("c") >= least).toLocalIterator()}
-    pieces = piece_counts(counts, blob)
     model = _model(blob.value)
+    steps = written(transitions(counts, blob), "lm-steps")
+    pieces = np.zeros(len(model.pieces))
+    for r in steps.where(F.col("b") != END).groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most a row per id
+        pieces[r["b"]] = r["n"]
     sample = training.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE).toLocalIterator()
     sequences, room = [], SAMPLE_IDS
     for r in sample:
@@ -273,7 +358,10 @@ def scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         sequences.append(np.array(s, np.int64))
         if room <= 0:
             break
-    sent = spark.sparkContext.broadcast((train(sequences, pieces), head))
+    cls, share = classes_of(pieces, ends, groups_of(sequences, pieces))
+    slot, column = layout(cls, pieces)
+    follows = following(cls, share, slot, column, *gathered(steps, slot, column))
+    sent = spark.sparkContext.broadcast((train(sequences, cls) | follows, head))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parameters, known = sent.value
