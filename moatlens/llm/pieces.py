@@ -362,3 +362,23 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
     df = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return df.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenised(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """The documents without their text, with ids, n_tokens and the digest of the decoded ids."""
+    sent = _blob(docs, model_path)
+    rest = [c for c in docs.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _model(sent.value)
+        for whole in batches:
+            for b in (whole.slice(i, 512) for i in range(0, len(whole), 512)):
+                ids = [m.encode(t.as_py() or "")[0] for t in b.column(len(rest))]
+                back = [hashlib.sha256(m.decode(i).encode("utf-8")).hexdigest() for i in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(k) for k in range(len(rest))], pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())],
+                    names=[*rest, "n_tokens", "ids", "decoded_sha256"])
+
+    df = docs.select(*rest, text_col)
+    schema = df.select(*rest).schema.add("n_tokens", "long").add("ids", "array<int>").add("decoded_sha256", "string")
+    return df.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moatlens.llm import attention_lm, chat, mixing, ngram_join, oracles, pieces, posting_lists, quality_mil, substring_dedup
+from moatlens.llm import attention_lm, chat, license_scan, mixing, ngram_join, oracles, pieces, posting_lists, quality_mil, substring_dedup
 from moatlens.llm import quality_rules as qr
 from moatlens.llm.common import read, written
 
@@ -41,6 +41,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("qr_base_failed").alias("base_failed"), F.col("qr_kept").alias("kept"))
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices found in every document, a row per match."""
+    return license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted with loss mask, digests read back from the output."""
