@@ -13,9 +13,10 @@ An empty segment says nothing and is not joined. m leaves room for ``spare``
 empty ones; a set with more also joins on its first hashes in hash order (a
 prefix that linked sets must share), so no link is lost.
 
-Links are needed only between components: in a first round each segment's
-members are compared with one leader, then only pairs of different components
-in a common segment. Equal sets are one class from the start.
+Links are needed only between components: in the first rounds each segment's
+members are compared with one leader, whose component most of them join; then
+only pairs of different components in a common segment are left, and all of
+these are formed. Equal sets are one class from the start.
 
 Defined cases: null and blank texts have the empty set and link with nothing;
 rows with a null id are returned with a null component and link with nothing;
@@ -42,6 +43,8 @@ PCT = 85
 BITS = 512
 LONGS = BITS // 64
 RATIO = 1.5
+#: Rounds with one leader a segment after the first, before all pairs between components are formed.
+STARS = 3
 MASK = (1 << 64) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _32, _29, _31 = np.uint64(32), np.uint64(29), np.uint64(31)
@@ -170,7 +173,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, t
     """Pairs (a, b) of classes whose sets link, by their whole sets."""
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = written(reps.join(ids, "cid", "left_semi").select(F.col("doc_id").alias(id_col)).distinct(), "join-ids")
-    s = written(sets(semi(docs, wanted, id_col), id_col, text_col, n).dropDuplicates(["cid"]), "join-sets")
+    s = written(sets(semi(docs, wanted, id_col), id_col, text_col, n), "join-sets")
     j = pairs.join(s.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a")
     j = j.join(s.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -207,23 +210,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def side(name: str) -> DataFrame:
         return facts.select(F.col("cid").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
 
-    first = met.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
-    first = written(first.join(side("a"), "a").join(side("b"), "b").where(_possible(pct)).select("a", "b"), "join-pairs")
-    links = written(_verified(first, docs, classes, "doc_id", "text", n, pct), "join-links")
-    comp = components(links)
-    # what is left: pairs of different components that meet in a segment
-    placed = met.select("key", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "key", "cid", F.coalesce("comp", "cid").alias("comp"))
-    mixed = placed.selectExpr("key", "cid", "comp", "min(comp) over (partition by key) as lo", "max(comp) over (partition by key) as hi")
-    mixed = written(mixed.where("lo <> hi").select("key", "cid", "comp").join(facts, "cid"), "join-mixed")
+    def judged(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Written pairs (a < b) that sizes and sketches allow, and those of them that link."""
+        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        p = written(p.join(side("a"), "a").join(side("b"), "b").where(_possible(pct)).select("a", "b"), "join-pairs")
+        return p, written(_verified(p, docs, classes, "doc_id", "text", n, pct).distinct(), "join-links")
+
+    def parted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components, and the written (key, cid, comp) of segments where several of them meet."""
+        comp = components(links)
+        placed = met.select("key", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select(
+            "key", "cid", F.coalesce("comp", "cid").alias("comp"))
+        several = placed.selectExpr("key", "cid", "comp", "min(comp) over (partition by key) as lo", "max(comp) over (partition by key) as hi")
+        return comp, written(several.where("lo <> hi").select("key", "cid", "comp"), "join-mixed")
+
+    tested, links = judged(met.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")))
+    comp, mixed = parted(links)
+    for r in range(STARS):  # other leaders, another one in each segment
+        lead = f"min(struct(xxhash64(key, cid, {r}) as h, cid as cid, comp as comp)) over (partition by key) as lead"
+        star = mixed.selectExpr("cid", "comp", lead).where("comp <> lead.comp").select(F.col("cid").alias("a"), F.col("lead.cid").alias("b"))
+        pairs, more = judged(star)
+        tested = tested.unionByName(pairs)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        comp, mixed = parted(links)
+    # what is left: all pairs of different components that meet in a segment
+    mixed = mixed.join(facts, "cid")
     a = mixed.select("key", *[F.col(c).alias(f"a_{c}") for c in ("cid", "comp", "n", "bits")])
     b = mixed.select("key", *[F.col(c).alias(f"b_{c}") for c in ("cid", "comp", "n", "bits")])
     rest = a.join(b, "key").where((F.col("a_cid") < F.col("b_cid")) & (F.col("a_comp") != F.col("b_comp")) & _possible(pct))
-    rest = rest.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(tested, ["a", "b"], "left_anti"), "join-rest")
-    more = _verified(rest, docs, classes, "doc_id", "text", n, pct)
-    comp = components(written(links.unionByName(more), "join-all-links"))
+    rest = rest.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    _, more = judged(rest)
+    if not more.isEmpty():
+        comp = components(links.unionByName(more))
     label = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "doc_id", F.coalesce("comp", "cid").alias("comp"))
     smallest = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_class = label.select("cid", "comp").join(smallest, "comp").select("cid", "component_id")

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SPACE = "▁"
 # Piece types of the model file: fixed values.
@@ -380,5 +381,5 @@ def tokenised(docs: DataFrame, model_path: str, text_col: str = "text") -> DataF
                     names=[*rest, "n_tokens", "ids", "decoded_sha256"])
 
     df = docs.select(*rest, text_col)
-    schema = df.select(*rest).schema.add("n_tokens", "long").add("ids", "array<int>").add("decoded_sha256", "string")
+    schema = StructType([*df.select(*rest).schema.fields, *StructType.fromDDL("n_tokens long, ids array<int>, decoded_sha256 string").fields])
     return df.mapInArrow(run, schema)
