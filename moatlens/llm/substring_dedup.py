@@ -294,7 +294,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if gone is not None:
         hit = hit.join(gone, "doc_id", "left_anti").unionByName(gone)
     copy_of = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
-    hit = written(hit.join(copy_of, "doc_id", "left").select(F.col("doc_id").alias("__id"), "at", "digests"), "substring-hit")
+    hit = written(hit.join(copy_of, "doc_id", "left").select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"), F.col("digests").alias("__whole")), "substring-hit")
     ids = written(hit.select(F.col("__id").alias(id_col)), "substring-ids")
     same = anti(docs, ids, id_col)
     touched = semi(docs, ids, id_col)
@@ -316,4 +316,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 arrays[c] = pa.array([None if t is None else len(t) for t in texts], arrays[c].type)
             yield pa.RecordBatch.from_arrays(arrays, names=cols).filter(pa.array(live, pa.bool_()))
 
-    return same.select(*cols).unionByName(touched.select(*cols, "at", "digests").mapInArrow(run, schema))
+    return same.select(*cols).unionByName(touched.select(*cols, "__at", "__whole").mapInArrow(run, schema))
