@@ -79,7 +79,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def encode_word(model: PieceModel, word: bytes) -> list[int]:
-    return model._part("▁" + word.decode("utf-8"))[0]
+    return model.encode(word.decode("utf-8"))[0]
 
 
 def transitions(counts: DataFrame, blob) -> DataFrame:

@@ -28,7 +28,7 @@ SPACE = "▁"
 # Piece types of the model file: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of a worker's cache of parts; it is emptied when full.
-CACHE = 200_000
+CACHE = 700_000
 #: Parts of more characters than this merge through a heap and aren't kept.
 LONG = 64
 
@@ -115,11 +115,8 @@ class PieceModel:
         self.cost = {p: -scores[i] for p, i in self.ids.items()}
         own = sorted((p for i, p in enumerate(self.pieces) if self.types[i] == USER_DEFINED), key=len, reverse=True)
         self.own = re.compile("(" + "|".join(map(re.escape, own)) + ")") if own else None
-        merged = [p for p in self.ids if len(p) > 1]
-        crosses = any(p[i] != SPACE and p[i + 1] == SPACE for p in merged for i in range(len(p) - 1))
-        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in merged))
-        self.part = re.compile(f"[{re.escape(alone)}]|{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+") if alone and not crosses else re.compile("(?s).+")
-        self.cache: dict[str, tuple] = {}
+        self.part = _parts([p for p in self.ids if len(p) > 1])
+        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
         # decoding: text of each id; a byte piece holds its byte value in raw
         self.text_of = ["" if t == CONTROL else self.unk_text if t == UNKNOWN else p.replace(SPACE, " ")
                         for p, t in zip(self.pieces, self.types, strict=True)]
@@ -197,50 +194,47 @@ class PieceModel:
                     heapq.heappush(heap, (c, k, s[k], s[right[k]]))
         return [x for x in s if x]
 
-    def _part(self, part: str) -> tuple[list[int], list[int], str]:
-        """Ids, characters of each (0 for all but the last byte of an unknown character) and the ids as text."""
-        symbols = self._merge_short(list(part)) if len(part) <= LONG else self._merge_long(list(part))
-        ids, sizes = [], []
-        for s in symbols:
+    def _symbols(self, part: str) -> list[str]:
+        if self.own is not None and self.own.fullmatch(part):
+            return [part]
+        return self._merge_short(list(part)) if len(part) <= LONG else self._merge_long(list(part))
+
+    def _part(self, part: str) -> tuple[tuple[int, ...], str]:
+        """Ids of a part, and as text; kept if it is short."""
+        ids: list[int] = []
+        for s in self._symbols(part):
             i = self.ids.get(s)
             if i is not None:
                 ids.append(i)
-                sizes.append(len(s))
             elif self.fallback:
-                own = s.encode("utf-8")
-                ids.extend(self.bytes[b] for b in own)
-                sizes.extend([0] * (len(own) - 1) + [len(s)])
-            elif ids and ids[-1] == self.unk:
-                sizes[-1] += len(s)
-            else:
+                ids.extend([self.bytes[b] for b in s.encode("utf-8")])
+            elif not ids or ids[-1] != self.unk:
                 ids.append(self.unk)
-                sizes.append(len(s))
-        return ids, sizes, ",".join(map(str, ids))
-
-    def parts(self, normal: str) -> Iterator[tuple]:
-        cache, pieces = self.cache, [normal] if self.own is None else self.own.split(normal)
-        for k, piece in enumerate(pieces):
-            if k % 2:
-                yield [self.ids[piece]], [len(piece)], str(self.ids[piece])
-                continue
-            for part in self.part.findall(piece):
-                got = cache.get(part)
-                if got is None:
-                    got = self._part(part)
-                    if len(part) <= LONG:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        cache[part] = got
-                yield got
+        got = tuple(ids), ",".join(map(str, ids))
+        if len(part) <= LONG:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[part] = got
+        return got
+
+    def parts(self, normal: str) -> list[str]:
+        if self.own is None:
+            return self.part.findall(normal)
+        out = []
+        for k, x in enumerate(self.own.split(normal)):
+            out += [x] if k % 2 else self.part.findall(x)
+        return out
 
     # -- whole texts
 
     def encode(self, text: str) -> tuple[list[int], str]:
         ids: list[int] = []
         said = []
-        for i, _, s in self.parts(self.normalise(text)[0]):
-            ids += i
-            said.append(s)
+        get, make, say = self.cache.get, self._part, said.append
+        for p in self.parts(self.normalise(text)[0]):
+            got = get(p) or make(p)
+            ids += got[0]
+            say(got[1])
         return ids, ",".join(said)
 
     def spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
@@ -253,19 +247,21 @@ class PieceModel:
                 n += len(c.encode("utf-8"))
             at = [0] * self.dummy + at + [n]
         ids, starts, ends, k = [], [], [], 0
-        for part_ids, sizes, _ in self.parts(normal):
-            run = 0  # bytes of the character since its first byte piece
-            for i, n in zip(part_ids, sizes, strict=True):
-                a, b = at[k], at[k + n]
-                if i in self.raw:
-                    whole = at[k + 1]
-                    a, b = min(at[k] + run, whole), min(at[k] + run + 1, whole)
-                    run = 0 if n else run + 1
-                    b = whole if n else b
-                ids.append(i)
-                starts.append(a)
-                ends.append(b)
-                k += n
+        for part in self.parts(normal):
+            for s in self._symbols(part):
+                i, a, b = self.ids.get(s), at[k], at[k + len(s)]
+                k += len(s)
+                if i is None and self.fallback:  # every byte piece has its own byte, the last one the rest
+                    own = s.encode("utf-8")
+                    ids += [self.bytes[x] for x in own]
+                    starts += [min(a + x, b) for x in range(len(own))]
+                    ends += [*[min(a + x, b) for x in range(1, len(own))], b]
+                elif i is None and ids and ids[-1] == self.unk:
+                    ends[-1] = b
+                else:
+                    ids.append(self.unk if i is None else i)
+                    starts.append(a)
+                    ends.append(b)
         return ids, starts, ends
 
     def decode(self, ids: list[int]) -> str:
@@ -291,6 +287,33 @@ class PieceModel:
         return out[1:] if strip else out
 
 
+def _parts(merged: list[str]) -> re.Pattern:
+    """Cuts a text between characters that no piece of several characters holds side by side.
+
+    Characters fall into groups joined by such neighbours; a part is a run of
+    one group, with the space marks before it.
+    """
+    if any(p[i] != SPACE and p[i + 1] == SPACE for p in merged for i in range(len(p) - 1)):
+        return re.compile("(?s).+")
+    up: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while up.setdefault(c, c) != c:
+            c = up[c]
+        return c
+
+    for p in merged:
+        run = p.lstrip(SPACE)
+        for a, b in zip(run, run[1:] or run, strict=False):
+            up[top(a)] = top(b)
+    groups: dict[str, list[str]] = {}
+    for c in list(up):
+        groups.setdefault(top(c), []).append(c)
+    runs = sorted(groups.values(), key=len, reverse=True)
+    runs = runs[:8] + ([sum(runs[8:], [])] if len(runs) > 8 else [])  # joining groups only cuts less
+    return re.compile("|".join([f"{SPACE}*[{''.join(map(re.escape, g))}]+" for g in runs] + [f"{SPACE}+", "(?s:.)"]))
+
+
 def _utf8(held: bytearray) -> str:
     """Bytes as text; every byte of an invalid sequence becomes one replacement character."""
     try:
