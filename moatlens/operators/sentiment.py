@@ -39,25 +39,29 @@ def polarity_mean(texts: DataFrame, key: str, text_col: str = "text") -> DataFra
 
 def news_window_sentiment(news: DataFrame, key: str, ts: str, score: Column, title: Column,
                           as_of: Column | None = None, lookback_days: int = L.NEWS_LOOKBACK_DAYS,
-                          max_articles: int = L.NEWS_MAX_ARTICLES) -> DataFrame:
-    """Mean sentiment of the newest <= 30 articles of the last N days before ``as_of``.
+                          newest: int = L.NEWS_MAX_ARTICLES) -> DataFrame:
+    """Mean sentiment of all articles of the last N days before ``as_of``, and of the ``newest`` of them.
 
     ``as_of`` defaults to the newest timestamp in the table (scalar subquery).
-    The newest-30 filter is a per-partition top-k before the shuffle, so a
-    company with a flood of articles costs no more than one with 30.
+    The full mean is a partial aggregate; the newest articles come from a
+    per-partition top-k before the shuffle, so a company with a flood of
+    articles is no hot group. Sample headlines carry their scores.
     """
     if as_of is None:
         as_of = news.agg(F.max(ts)).scalar()
     win = news.filter((F.col(ts) <= as_of) & (F.col(ts) > as_of - F.make_interval(days=F.lit(lookback_days))))
     w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col("_id").desc())
     ranked = win.select(key, F.col(ts), score.alias("_score"), title.alias("_title"), F.col("_id")) \
-        .withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= max_articles)
+        .withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= newest)
+    whole = win.select(key, score.alias("_score")).groupBy(key).agg(
+        F.count(F.lit(1)).alias("articles_analyzed"), F.round(F.avg("_score"), 4).alias("average_sentiment_compound"))
     agg = ranked.groupBy(key).agg(
-        F.count(F.lit(1)).alias("articles_analyzed"),
-        F.round(F.avg("_score"), 4).alias("average_sentiment_compound"),
-        F.array_sort(F.collect_list(F.struct("_rk", "_title"))).alias("_s"))
-    return agg.select(
-        key, "articles_analyzed", "average_sentiment_compound",
+        F.count(F.lit(1)).alias("newest_articles"),
+        F.round(F.avg("_score"), 4).alias("newest_sentiment_compound"),
+        F.array_sort(F.collect_list(F.struct("_rk", "_title", "_score"))).alias("_s"))  # at most ``newest`` rows
+    return whole.join(agg, key).select(
+        key, "articles_analyzed", "average_sentiment_compound", "newest_articles", "newest_sentiment_compound",
         (F.col("average_sentiment_compound") < L.NEGATIVE_SPIKE_BELOW).alias("negative_spike_detected"),
         (F.col("average_sentiment_compound") < L.NEGATIVE_SPIKE_BELOW).alias("law11_moat_flag"),
-        F.transform(F.slice("_s", 1, L.NEWS_SAMPLE_HEADLINES), lambda s: s["_title"]).alias("sample_headlines"))
+        F.transform(F.slice("_s", 1, L.NEWS_SAMPLE_HEADLINES),
+                    lambda s: F.struct(s["_title"].alias("title"), s["_score"].alias("score"))).alias("sample_headlines"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from moatlens.functions import lexicons as L
 from moatlens.functions import text as T
 
-# metric -> (statement or None for any, label pattern)
+# metric -> (statement, label pattern)
 METRICS = {
     "revenue": ("income", L.LABEL_REVENUE),
     "net_income": ("income", L.LABEL_NET_INCOME),
@@ -23,8 +23,8 @@ METRICS = {
     "rnd": ("income", L.LABEL_RND),
     "intangible": ("balance", L.LABEL_INTANGIBLE),
     "ppe": ("balance", L.LABEL_PPE),
-    "capex": (None, L.LABEL_CAPEX),
-    "free_cash_flow": (None, L.LABEL_FREE_CASH_FLOW),
+    "capex": ("cashflow", L.LABEL_CAPEX),
+    "free_cash_flow": ("cashflow", L.LABEL_FREE_CASH_FLOW),
 }
 
 
@@ -51,8 +51,7 @@ def safe_div(n: Column, d: Column, digits: int = L.RATIO_DIGITS) -> Column:
 
 def _match(metric: str) -> Column:
     stmt, pat = METRICS[metric]
-    cond = F.col("label").rlike(T.rx(pat, ignore_case=True))
-    return cond & (F.col("statement") == stmt) if stmt else cond
+    return F.col("label").rlike(T.rx(pat, ignore_case=True)) & (F.col("statement") == stmt)
 
 
 def label_lookup(lines: DataFrame, metrics, keys=("ticker", "period")) -> DataFrame:
@@ -132,22 +131,22 @@ def asset_intensity(lines: DataFrame) -> DataFrame:
                     r("rnd", "revenue").alias("rd_to_revenue_ratio"))
 
 
-def newest_period(lines: DataFrame, key: str = "ticker") -> DataFrame:
-    return lines.groupBy(key).agg(F.max("period").alias("period"))
+def newest_lookup(lines: DataFrame, statement: str, metrics) -> DataFrame:
+    """``label_lookup`` of each ticker's newest period of one statement (chosen on the aggregated rows).
 
-
-def newest_lookup(lines: DataFrame, metrics) -> DataFrame:
-    """``label_lookup`` of each ticker's newest period (chosen on the aggregated rows)."""
-    return _newest_periods(label_lookup(lines, metrics), 1)
+    Statements may end on different dates; another statement's newer date
+    doesn't count.
+    """
+    return _newest_periods(label_lookup(lines.filter(F.col("statement") == statement), metrics), 1)
 
 
 def company_margins(lines: DataFrame) -> DataFrame:
-    """Operating margin and R&D/revenue of the newest period.
+    """Operating margin and R&D/revenue of the newest income period.
 
     Operating income is the "Operating Income" line when one exists (even if
     its value is null), else net income; ``is_fallback`` marks the latter.
     """
-    v = newest_lookup(lines, ["revenue", "net_income", "operating_income", "rnd"])
+    v = newest_lookup(lines, "income", ["revenue", "net_income", "operating_income", "rnd"])
     op = F.when(F.col("has_operating_income"), F.col("operating_income")).otherwise(F.col("net_income"))
     return v.select("ticker", "period",
                     safe_div(op, F.col("revenue")).alias("operating_margin"),
@@ -156,23 +155,24 @@ def company_margins(lines: DataFrame) -> DataFrame:
 
 
 def balance_items(lines: DataFrame) -> DataFrame:
-    v = newest_lookup(lines, ["intangible", "ppe"])
+    v = newest_lookup(lines, "balance", ["intangible", "ppe"])
     return v.select("ticker", "period", F.col("intangible").alias("intangible_assets_usd"), F.col("ppe").alias("ppe_usd"))
 
 
 def capital_needs(lines: DataFrame) -> DataFrame:
-    v = newest_lookup(lines, ["capex", "free_cash_flow"])
+    v = newest_lookup(lines, "cashflow", ["capex", "free_cash_flow"])
     return v.select("ticker", "period", F.col("capex").alias("capex_usd"), F.col("free_cash_flow").alias("free_cash_flow_usd"))
 
 
 def segment_revenue(lines: DataFrame) -> DataFrame:
-    """Newest-period revenue lines split into geographic and product segments.
+    """Revenue lines of the newest income period split into geographic and product segments.
 
     The newest period comes from a per-ticker max (partial aggregate); only the
     few revenue lines are joined to it.
     """
-    newest = newest_period(lines)
-    rows = lines.filter((F.col("statement") == "income") & F.col("label").rlike(T.rx(L.LABEL_SEGMENT_REVENUE, True)))
+    income = lines.filter(F.col("statement") == "income")
+    newest = income.groupBy("ticker").agg(F.max("period").alias("period"))
+    rows = income.filter(F.col("label").rlike(T.rx(L.LABEL_SEGMENT_REVENUE, True)))
     rows = rows.join(newest, ["ticker", "period"], "left_semi")
     rows = rows.select("ticker", "period", "line_no", T.strip(F.col("label")).alias("segment"),
                        clean_num(F.col("value")).alias("revenue_usd")).filter(F.col("revenue_usd").isNotNull())

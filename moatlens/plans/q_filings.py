@@ -145,10 +145,10 @@ def _nation_dir(spark, sf):
 
 @query("peer_comparison", X.cte("fx_statement_lines") + """
 , lk as (select ticker, period, label, value, line_no from fx_statement_lines where statement = 'income'),
-np as (select ticker, max(period) as period from fx_statement_lines group by ticker),
+np as (select ticker, max(period) as period from fx_statement_lines where statement = 'income' group by ticker),
 m as (select lk.ticker,
    max(case when line_no = 1 then value end) as revenue, max(case when line_no = 3 then value end) as net_income,
-   max(case when line_no = 2 then value end) as op, max(case when line_no = 4 then value end) as rnd
+   case when bool_or(line_no = 2) then max(case when line_no = 2 then value end) else max(case when line_no = 3 then value end) end as op, max(case when line_no = 4 then value end) as rnd
   from lk join np using (ticker, period) group by lk.ticker),
 mm as (select ticker, case when revenue is not null and op is not null and revenue <> 0 then round(op / revenue, 6) end as operating_margin,
    case when revenue is not null and rnd is not null and revenue <> 0 then round(rnd / revenue, 6) end as rd_to_revenue_ratio from m),

@@ -31,7 +31,7 @@ _LK = f"""
 v as (select t.ticker, t.period, {', '.join(f"max(case when lk.metric = {q(m)} and lk.rn = 1 then lk.value end) as {m}, bool_or(lk.metric = {q(m)}) is true as has_{m}" for m in st.METRICS)}
   from (select distinct ticker, period from fx_statement_lines) t left join lk on lk.ticker = t.ticker and lk.period = t.period
   group by t.ticker, t.period),
-np as (select ticker, max(period) as period from fx_statement_lines group by ticker)
+np as (select ticker, statement, max(period) as period from fx_statement_lines group by ticker, statement)
 """
 
 
@@ -106,7 +106,7 @@ _MARGINS = _FX + _LK + f"""
 , cm as (select v.ticker, v.period,
    {_sd('case when has_operating_income then operating_income else net_income end', 'revenue')} as operating_margin,
    {_sd('rnd', 'revenue')} as rd_to_revenue_ratio, not has_operating_income as is_fallback
-  from v join np on np.ticker = v.ticker and np.period = v.period)
+  from v join np on np.ticker = v.ticker and np.period = v.period and np.statement = 'income')
 """
 
 
@@ -118,14 +118,14 @@ def q_margins(spark, sf):
 
 @query("balance_items", _FX + _LK + """
 select v.ticker, cast(v.period as varchar) as period, intangible as intangible_assets_usd, ppe as ppe_usd
-from v join np on np.ticker = v.ticker and np.period = v.period""")
+from v join np on np.ticker = v.ticker and np.period = v.period and np.statement = 'balance'""")
 def q_balance(spark, sf):
     return st.balance_items(_lines(spark, sf)).withColumn("period", F.col("period").cast("string"))
 
 
 @query("capital_needs", _FX + _LK + """
 select v.ticker, cast(v.period as varchar) as period, capex as capex_usd, free_cash_flow as free_cash_flow_usd
-from v join np on np.ticker = v.ticker and np.period = v.period""")
+from v join np on np.ticker = v.ticker and np.period = v.period and np.statement = 'cashflow'""")
 def q_capital(spark, sf):
     return st.capital_needs(_lines(spark, sf)).withColumn("period", F.col("period").cast("string"))
 
@@ -136,7 +136,7 @@ def _any(words):
 
 @query("segment_revenue", _FX + _LK + f"""
 , r as (select l.ticker, l.period, l.line_no, regexp_replace(l.label, '^\\s+|\\s+$', '', 'g') as segment, l.value as revenue_usd
-  from fx_statement_lines l join np on np.ticker = l.ticker and np.period = l.period
+  from fx_statement_lines l join np on np.ticker = l.ticker and np.period = l.period and np.statement = 'income'
   where l.statement = 'income' and regexp_matches(l.label, {ci(L.LABEL_SEGMENT_REVENUE)}) and l.value is not null)
 select ticker, cast(period as varchar) as period, line_no, segment, revenue_usd, kind from
  (select *, case when {_any(L.GEO_SEGMENT_WORDS)} then 'geographic' when {_any(L.PRODUCT_SEGMENT_WORDS)} then 'product' end as kind from r)
@@ -147,10 +147,14 @@ def q_segments(spark, sf):
 
 @query("statement_unpivot", _FX + """
 , k as (select distinct ticker, statement, line_no, label from fx_statement_lines),
-p as (select distinct cast(period as varchar) as period from fx_statement_lines)
+yr as (select min(year(o_orderdate)) as a, max(year(o_orderdate)) as b from orders),
+p as (select cast(y as varchar) || '-' || d as period from (select unnest(range(a, b + 1)) as y from yr) cross join (values ('09-30'), ('12-31')) as t(d))
 select k.ticker, k.statement, k.line_no, k.label, p.period, l.value from k cross join p
 left join fx_statement_lines l on l.ticker = k.ticker and l.line_no = k.line_no and cast(l.period as varchar) = p.period""")
 def q_unpivot(spark, sf):
     lines = _lines(spark, sf).withColumn("period", F.col("period").cast("string"))
-    wide = lines.groupBy("ticker", "statement", "line_no", "label").pivot("period").agg(F.first("value"))
+    # a wide statement needs its columns named; the periods of the landed orders' years are
+    years = tables.table(spark, sf, "orders").select(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    periods = [f"{y}-{d}" for y in range(years[0], years[1] + 1) for d in ("09-30", "12-31")]
+    wide = lines.groupBy("ticker", "statement", "line_no", "label").pivot("period", periods).agg(F.first("value"))
     return st.unpivot_statement(wide)

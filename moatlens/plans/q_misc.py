@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
@@ -46,21 +45,27 @@ w as (select user_id, ts, event_id, least(1.0, greatest(-1.0, (value - 50) / 50)
   from events, a where ts <= a.m and ts > a.m - interval {L.NEWS_LOOKBACK_DAYS} day),
 r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rk from w)
 select user_id, cast(count(*) as bigint) as articles_analyzed, round(avg(sc), 4) as average_sentiment_compound,
+  cast(count(*) filter (rk <= {L.NEWS_MAX_ARTICLES}) as bigint) as newest_articles,
+  round(avg(sc) filter (rk <= {L.NEWS_MAX_ARTICLES}), 4) as newest_sentiment_compound,
   round(avg(sc), 4) < {L.NEGATIVE_SPIKE_BELOW} as negative_spike_detected, round(avg(sc), 4) < {L.NEGATIVE_SPIKE_BELOW} as law11_moat_flag,
-  string_agg(title, '|' order by rk) filter (where rk <= {L.NEWS_SAMPLE_HEADLINES}) as sample_headlines
-from r where rk <= {L.NEWS_MAX_ARTICLES} group by user_id""")
+  string_agg(title, '|' order by rk) filter (where rk <= {L.NEWS_SAMPLE_HEADLINES}) as sample_headlines,
+  round(sum(sc) filter (where rk <= {L.NEWS_SAMPLE_HEADLINES}), 6) as sample_score_sum
+from r group by user_id""")
 def q_news(spark, sf):
     e = tables.table(spark, sf, "events").withColumnRenamed("event_id", "_id")
     out = sentiment.news_window_sentiment(e, "user_id", "ts", _news_score(F.col("value")), F.col("props"))
     return out.select("user_id", F.col("articles_analyzed").cast("bigint").alias("articles_analyzed"),
-                      "average_sentiment_compound", "negative_spike_detected", "law11_moat_flag",
-                      F.array_join("sample_headlines", "|").alias("sample_headlines"))
+                      "average_sentiment_compound", F.col("newest_articles").cast("bigint").alias("newest_articles"),
+                      "newest_sentiment_compound", "negative_spike_detected", "law11_moat_flag",
+                      F.array_join(F.transform("sample_headlines", lambda h: h["title"]), "|").alias("sample_headlines"),
+                      F.round(F.aggregate("sample_headlines", F.lit(0.0), lambda a, h: a + h["score"]), 6).alias("sample_score_sum"))
 
 
 @query("patent_counts", f"""
-select l_suppkey as company, cast(least(count(*) filter (where l_linestatus = 'F'), {L.PATENT_CAP}) as bigint) as active_patent_count,
-  cast(least(count(*) filter (where l_linestatus <> 'F'), {L.PATENT_CAP}) as bigint) as pending_applications
-from lineitem group by l_suppkey""")
+with c as (select l_suppkey as company, cast(count(*) filter (where l_linestatus = 'F') as bigint) as active_patent_count,
+  cast(count(*) filter (where l_linestatus <> 'F') as bigint) as pending_applications from lineitem group by l_suppkey)
+select *, cast(least(active_patent_count, {L.PATENT_CAP}) as bigint) as shown_active, cast(least(pending_applications, {L.PATENT_CAP}) as bigint) as shown_pending
+from c""")
 def q_patents(spark, sf):
     li = tables.table(spark, sf, "lineitem")
     p = li.select(F.col("l_suppkey").alias("company"),
@@ -70,7 +75,7 @@ def q_patents(spark, sf):
 
 @query("cpc_density", f"""
 with g as (select l_suppkey as company, l_orderkey, l_linenumber, l_partkey from lineitem where l_linestatus = 'F'),
-r as (select * from (select *, row_number() over (partition by company order by l_orderkey, l_linenumber, l_partkey) as rk from g) where rk <= {L.PATENT_CAP}),
+r as (select *, row_number() over (partition by company order by l_orderkey, l_linenumber, l_partkey) as rk from g),
 c as (select company, rk, unnest(string_split(p_type, ' ')) as code, unnest(range(0, len(string_split(p_type, ' ')))) as ci
   from r join part on p_partkey = l_partkey),
 p as (select company, substr(code, 1, {L.CPC_PREFIX_CHARS}) as prefix, count(*) as n, min(rk * 1000 + ci) as fp from c where code <> '' group by all),
@@ -78,12 +83,11 @@ d as (select *, row_number() over (partition by company order by n desc, fp) as
 select company, cast(density_rank as bigint) as density_rank, prefix, cast(n as bigint) as n_patents from d where density_rank <= {L.CPC_TOP_N}""")
 def q_cpc(spark, sf):
     li = tables.table(spark, sf, "lineitem").filter(F.col("l_linestatus") == "F")
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    first = li.withColumn("patent_ord", F.row_number().over(w)).filter(F.col("patent_ord") <= L.PATENT_CAP)
     part = tables.table(spark, sf, "part")
-    g = first.join(part, first.l_partkey == part.p_partkey).select(
-        F.col("l_suppkey").alias("company"), "patent_ord", F.split("p_type", " ", -1).alias("codes"))
-    return patents.cpc_density(g).withColumn("density_rank", F.col("density_rank").cast("bigint"))
+    order = ("l_orderkey", "l_linenumber", "l_partkey")
+    g = li.join(part, li.l_partkey == part.p_partkey).select(
+        F.col("l_suppkey").alias("company"), *order, F.split("p_type", " ", -1).alias("codes"))
+    return patents.cpc_density(g, order=order).withColumn("density_rank", F.col("density_rank").cast("bigint"))
 
 
 # --------------------------------------------------------------- report -----
@@ -116,8 +120,8 @@ _ROLLUP_SQL = q_fin._MARGINS + f"""
 , c as (select 'T' || cast(n_nationkey as varchar) as ticker from nation),
 fin as (select distinct ticker from fx_statement_lines where statement in ('income', 'balance')),
 f8 as (select distinct 'T' || cast(o_custkey % 25 as varchar) as ticker from orders where o_orderkey % 6 = 1),
-bal as (select v.ticker from v join np on np.ticker = v.ticker and np.period = v.period where intangible is not null or ppe is not null),
-seg as (select distinct l.ticker from fx_statement_lines l join np on np.ticker = l.ticker and np.period = l.period
+bal as (select v.ticker from v join np on np.ticker = v.ticker and np.period = v.period and np.statement = 'balance' where intangible is not null or ppe is not null),
+seg as (select distinct l.ticker from fx_statement_lines l join np on np.ticker = l.ticker and np.period = l.period and np.statement = 'income'
   where l.statement = 'income' and regexp_matches(l.label, '(?i)Revenue|Sales|Net sales') and l.value is not null
   and ({' or '.join(f"contains(lower(trim(l.label)), {q(w)})" for w in L.GEO_SEGMENT_WORDS + L.PRODUCT_SEGMENT_WORDS)})),
 st as (select c.ticker,
