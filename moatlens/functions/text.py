@@ -24,41 +24,29 @@ def rx(pattern: str, ignore_case: bool = False) -> str:
     return (_FLAGS_CI if ignore_case else _FLAGS) + pattern
 
 
-# Literal lexicon columns are rebuilt from the same fixed lists on every query
-# build; keep them per JVM context (a Column is only an expression handle).
-_LITERALS: dict = {}
-
-
-def _cached(key, build):
-    from pyspark import SparkContext
-    k = (id(SparkContext._active_spark_context), key)
-    if k not in _LITERALS:
-        _LITERALS[k] = build()
-    return _LITERALS[k]
-
-
 def lit_array(values: Sequence[str]) -> Column:
-    vals = tuple(values)
-    return _cached(("arr", vals), lambda: F.array(*[F.lit(v) for v in vals]) if vals
-                   else F.array().cast("array<string>"))
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
 def lexicon(classes: Sequence[tuple[str, Sequence[str]]], lower: bool = False) -> Column:
     """Ordered lexicon as ARRAY<STRUCT<name STRING, ord INT, kws ARRAY<STRING>>>."""
-    key = ("lex", lower, tuple((n, tuple(k)) for n, k in classes))
-    return _cached(key, lambda: F.array(*[
+    return F.array(*[
         F.struct(
             F.lit(name).alias("name"),
             F.lit(i).alias("ord"),
             lit_array([k.lower() if lower else k for k in kws]).alias("kws"),
         )
         for i, (name, kws) in enumerate(classes)
-    ]))
+    ])
+
+
+#: The characters Python's ``str.strip`` removes.
+WHITE_SPACE = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def strip(c: Column) -> Column:
-    """Python ``str.strip()`` (unicode white space on both ends)."""
-    return F.regexp_replace(c, rx(r"^\s+|\s+$"), "")
+    """Python ``str.strip()``; linear, also with long white space inside."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def lines(c: Column) -> Column:

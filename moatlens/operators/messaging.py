@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
 from moatlens.functions import text as T
-from moatlens.operators.pages import headings, spread
+from moatlens.operators.pages import headings
 
 
 def longest_first(arr: Column) -> Column:
@@ -50,7 +50,7 @@ def buzzwords(body_lower: Column) -> Column:
 
 def extract_messaging(df: DataFrame, text_col: str = "markdown") -> DataFrame:
     md = F.col(text_col)
-    stage = spread(df).select("*", F.filter(T.lines(md), lambda l: F.startswith(l, F.lit("#"))).alias("_hl"))
+    stage = df.select("*", F.filter(T.lines(md), lambda l: F.startswith(l, F.lit("#"))).alias("_hl"))
     stage = stage.select(
         "*",
         headings(md, L.H1_PATTERN, F.col("_hl")).alias("_h1"),

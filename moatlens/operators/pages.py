@@ -9,20 +9,14 @@ from moatlens.functions import lexicons as L
 from moatlens.functions import text as T
 
 
-def spread(df: DataFrame, key: str = "page_id") -> DataFrame:
-    """Hash-partition pages by id when the input has fewer files than cores.
+def spread(df: DataFrame, partitions: int | None = None, key: str = "page_id") -> DataFrame:
+    """Hash-partition pages by id into ``partitions``, if given.
 
-    Text extraction is CPU-bound per page; a page table landed as a few big
-    files would otherwise run on a few tasks. Hash partitioning (not round
-    robin) keeps the placement deterministic across task retries. With many
-    input files (the normal case at scale) this is a no-op and costs no shuffle.
+    Text extraction is CPU-bound per page; pages landed as a few big
+    unsplittable files run on a few tasks unless the caller spreads them, at
+    the cost of shuffling the texts once.
     """
-    if df.isStreaming:
-        return df  # micro-batches are planned per trigger; nothing to inspect here
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= target:  # file list only: no physical planning
-        return df
-    return df.repartition(target * 2, key)
+    return df if partitions is None else df.repartition(partitions, key)
 
 
 def page_gate(df: DataFrame, text_col: str = "markdown", success_col: str | None = "success",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
 from moatlens.functions import text as T
-from moatlens.operators.pages import spread
 
 
 def raw_mentions(md: Column, patterns) -> Column:
@@ -46,28 +45,19 @@ def _tier_matches(c: Column) -> Column:
 def tier_names(md: Column) -> Column:
     """Tier words in heading lines, then near a ``$digit`` with pricing context.
 
-    Match positions come from a zero-width split before every ``$digit``;
-    each piece's offset is the running sum of the lengths before it.
+    The text around every ``$digit`` comes from look-behind and look-ahead of
+    bounded length, so the work grows with the text, not with its square.
     """
     heading_lines = F.filter(T.lines(md), lambda l: l.rlike(T.rx(r"^\s*#")))
     pass1 = F.flatten(F.transform(heading_lines, _tier_matches))
 
-    pieces = F.split(md, T.rx(r"(?=\$\d)"), -1)
-    offsets = F.aggregate(
-        pieces,
-        F.struct(F.array().cast("array<struct<pos:int,piece:string>>").alias("acc"), F.lit(0).alias("off")),
-        lambda s, p: F.struct(
-            F.concat(s["acc"], F.array(F.struct(s["off"].alias("pos"), p.alias("piece")))).alias("acc"),
-            (s["off"] + F.length(p)).alias("off")),
-        lambda s: s["acc"],
-    )
-    starts = F.transform(
-        F.filter(offsets, lambda x: x["piece"].rlike(T.rx(r"^\$\d"))), lambda x: x["pos"])
-    n = F.length(md)
     w = L.PRICE_WINDOW_CHARS
-    windows = F.transform(starts, lambda p: F.substring(
-        md, F.greatest(p - w, F.lit(0)) + 1,
-        F.least(n, p + 2 + w) - F.greatest(p - w, F.lit(0))))
+    dollar = r"(?=\$\d)"
+    full, short = rf"(?<=(.{{{w}}}))", rf"(?<=\A(.{{0,{w - 1}}}))"
+    left = lambda group: F.regexp_extract_all(md, F.lit(f"(?Uds)(?:{full}|{short}){dollar}"), F.lit(group))
+    right = F.regexp_extract_all(md, F.lit(rf"(?Uds)(?=(\$\d.{{0,{w}}}))"), F.lit(1))
+    sides = F.arrays_zip(left(1).alias("a"), left(2).alias("b"), right.alias("c"))
+    windows = F.transform(sides, lambda x: F.concat(x["a"], x["b"], x["c"]))
     ctx = F.filter(windows, lambda win: win.rlike(T.rx(L.PRICING_CONTEXT_PATTERN, True)))
     pass2 = F.flatten(F.transform(ctx, _tier_matches))
     return F.array_distinct(F.transform(F.concat(pass1, pass2), F.initcap))
@@ -88,7 +78,7 @@ def extract_pricing(df: DataFrame, text_col: str = "markdown") -> DataFrame:
     once and reused.
     """
     md = F.col(text_col)
-    base = spread(df).select(
+    base = df.select(
         "*", F.lower(md).alias("_lower"),
         raw_mentions(md, L.PRICE_MONTHLY_PATTERNS).alias("_mraw"),
         raw_mentions(md, L.PRICE_ANNUAL_PATTERNS).alias("_araw"))
