@@ -143,9 +143,10 @@ def change_events(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts
                   features=snap.FEATURES) -> DataFrame:
     """Long table of change messages for every consecutive snapshot pair.
 
-    One shuffle (window on company); the diffs themselves are map-side.
+    The pairs cost the shuffles of ``with_previous``; the diffs are map-side.
+    Only the columns of the features asked for are moved.
     """
-    paired = snap.with_previous(snaps, key, ts, features).filter(F.col("compared_with").isNotNull())
+    paired = snap.with_previous(snaps.select(key, ts, *features), key, ts, features).filter(F.col("compared_with").isNotNull())
     per = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("f_ord"),
                              feature_changes(paired, f).alias("evs")) for i, f in enumerate(features)])
     x = paired.select(key, F.col(ts).alias("detected_at"), "compared_with",

@@ -39,7 +39,8 @@ _GAP_ANCHORS = [["wish"], ["missing"], ["doesn't", "does not", "can't", "cannot"
                 ["need"], ["would"], ["no"], ["limited"]]
 
 
-def feature_gaps(low: Column) -> Column:
+def feature_gaps(low: Column, first: int | None = None) -> Column:
+    """Distinct gaps in pattern order; with ``first`` only those among the first so many mentions."""
     empty = F.array().cast("array<string>")
     raw = F.concat(*[F.when(T.any_sub(low, T.lit_array(a)), T.findall(low, p, 1)).otherwise(empty)
                      for p, a in zip(L.FEATURE_GAP_PATTERNS, _GAP_ANCHORS)])
@@ -47,7 +48,7 @@ def feature_gaps(low: Column) -> Column:
     noise = T.lit_array(L.GAP_NOISE_PREFIXES)
     kept = F.filter(cleaned, lambda m: (F.length(m) > L.GAP_MIN_CHARS)
                     & ~F.exists(noise, lambda n: F.startswith(m, n)))
-    return F.array_distinct(F.slice(kept, 1, L.N_FEATURE_GAPS))
+    return F.array_distinct(kept if first is None else F.slice(kept, 1, first))
 
 
 def competitor_candidates(md: Column, own: Column) -> Column:
@@ -104,7 +105,8 @@ def extract_complaints(df: DataFrame, text_col: str = "markdown", company_col: s
         "*",
         category_scores(low, n).alias("_scores"),
         sample_lines(lines, F.col("_lines_low")).alias("sample_complaint_lines"),
-        feature_gaps(low).alias("feature_gaps_mentioned"),
+        feature_gaps(low).alias("feature_gaps_all"),
+        feature_gaps(low, L.N_FEATURE_GAPS).alias("feature_gaps_mentioned"),
         competitor_mentions(low, competitor_candidates(md, F.col("_own")), F.col("_own")).alias("competitor_comparisons"),
         T.sum_counts(low, T.lit_array(L.POSITIVE_SIGNALS), n).alias("positive_signal_count"),
         T.sum_counts(low, T.lit_array(L.NEGATIVE_SIGNALS), n).alias("negative_signal_count"),

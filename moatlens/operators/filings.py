@@ -28,9 +28,18 @@ def filings_head(filings: DataFrame, n_by_form: dict | None = None, no_amendment
 
 
 def newest_text(docs: DataFrame, key: str, order: str, text_col: str) -> DataFrame:
-    """Newest document per key via partial max_by (one text per key per map task)."""
-    agg = docs.groupBy(key).agg(F.max_by(F.struct(order, text_col), F.col(order)).alias("_d"))
-    return agg.select(key, F.col(f"_d.{order}").alias(order), F.col(f"_d.{text_col}").alias(text_col))
+    """Newest document per key: the newest order per key is found without the texts, then joined back."""
+    newest = docs.groupBy(key).agg(F.max(order).alias(order))
+    return docs.join(newest, [key, order], "left_semi").select(key, order, text_col)
+
+
+def sections(docs: DataFrame, items: dict[str, int], key: str = "ticker", item_col: str = "item", text_col: str = "text",
+             order: str = "doc_id") -> DataFrame:
+    """Named items (with their order) of the newest filing that has them: (key, section_ord, item, text)."""
+    ord_ = F.create_map(*[F.lit(x) for k, v in items.items() for x in (k, v)])[F.col(item_col)]
+    named = docs.filter(F.col(item_col).isin(list(items)))
+    newest = named.groupBy(key, item_col).agg(F.max(order).alias(order))
+    return named.join(newest, [key, item_col, order], "left_semi").select(key, ord_.alias("section_ord"), F.col(item_col).alias("item"), order, text_col)
 
 
 def truncate_text(c: Column, limit: int = L.MAX_TEXT_CHARS) -> Column:
@@ -44,7 +53,7 @@ def material_events(head_8k: DataFrame) -> DataFrame:
         items = F.array_join(items, "; ")
     desc = F.coalesce(F.nullif(items, F.lit("")), F.nullif(F.col("description"), F.lit("")), F.col("form"))
     return head_8k.select("ticker", "filing_id", "filed_date", F.col("form").alias("form_type"),
-                          F.substring(desc, 1, L.MAX_EVENT_CHARS).alias("description"))
+                          F.substring(desc, 1, L.MAX_EVENT_CHARS).alias("description"), desc.alias("full_description"))
 
 
 def insider_transactions(head: DataFrame, txns: DataFrame) -> DataFrame:
@@ -79,11 +88,21 @@ def insider_transactions(head: DataFrame, txns: DataFrame) -> DataFrame:
 
 
 def insider_summary(tx: DataFrame) -> DataFrame:
-    """Net shares and traded value per insider and transaction type."""
-    return tx.groupBy("ticker", "insider_name", "transaction_type").agg(
+    """Per insider: net shares (bought minus sold), and shares and traded value pivoted by kind of transaction.
+
+    Sums are decimals, so they don't depend on the order of tasks.
+    """
+    codes = dict(L.INSIDER_CODES)
+    buy, sell = F.col("transaction_type") == codes["P"], F.col("transaction_type") == codes["S"]
+    shares = F.col("shares").cast("decimal(30,6)")
+    value = (shares * F.col("price_per_share").cast("decimal(20,6)")).cast("decimal(38,6)")
+    total = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), F.lit(0)).cast("double")
+    return tx.groupBy("ticker", "insider_name").agg(
         F.count(F.lit(1)).alias("n_transactions"),
-        F.sum("shares").alias("total_shares"),
-        F.sum(F.col("shares") * F.col("price_per_share")).alias("total_value"))
+        total(buy, shares).alias("bought_shares"), total(sell, shares).alias("sold_shares"),
+        total(~buy & ~sell, shares).alias("other_shares"),
+        (total(buy, shares) - total(sell, shares)).alias("net_shares"),
+        total(buy, value).alias("bought_value"), total(sell, value).alias("sold_value"))
 
 
 def executive_pay(head_proxy: DataFrame, comp_rows: DataFrame) -> DataFrame:
@@ -118,4 +137,5 @@ def esg_paragraphs(tenk_sections: DataFrame, proxy: DataFrame | None = None, key
             key, F.concat(F.coalesce("parts", F.array().cast("array<string>")),
                           F.coalesce("pp", F.array().cast("array<string>"))).alias("parts"))
     return k.select(key, F.size("parts").cast("bigint").alias("n_paragraphs"),
-                    F.when(F.size("parts") > 0, truncate_text(F.array_join("parts", "\n"))).alias("esg_text"))
+                    F.when(F.size("parts") > 0, truncate_text(F.array_join("parts", "\n"))).alias("esg_text"),
+                    F.when(F.size("parts") > 0, F.array_join("parts", "\n")).alias("esg_full_text"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from moatlens.functions import lexicons as L
 
 _GRAM = 3
+_SALTS = 8
 
 
 def _grams(c, k):
@@ -21,38 +22,41 @@ def legal_entity_lookup(queries: DataFrame, registry: DataFrame, q_col: str = "q
     """First registry record (by ``lei``) whose legal name contains the query, case-insensitive.
 
     A containment join cannot be an equi-join, and neither side is assumed
-    small. Both sides are blocked on character grams: a legal name containing
-    the query contains every gram of it, so each query joins only the names
-    sharing its rarest gram (gram frequencies come from one aggregate), and
-    the containment is then checked exactly. Queries shorter than the gram
-    length use grams of their own length; an empty query matches everything.
+    small. Both sides are blocked on character grams, and the containment is
+    then checked exactly:
+
+    - a query of up to ``_GRAM`` characters is itself a gram: its answer is the
+      smallest ``lei`` of that gram, kept by the gram aggregate (no join of
+      names);
+    - a longer query joins the names that hold its rarest gram. Equal queries
+      are asked once, and a gram shared by many queries is split over
+      ``_SALTS`` tasks by name, so "inc" is no hot key;
+    - an empty query matches every name: the first record.
     """
     reg = registry.select("lei", F.lower("legal_name").alias("_name"))
-    q = queries.select(q_col, F.lower(F.col(q_col)).alias("_q"))
-    klen = F.least(F.length("_q"), F.lit(_GRAM))
-
-    # grams of sizes 1.._GRAM for names (short queries need short grams)
+    asked = queries.select(F.lower(F.col(q_col)).alias("_q")).distinct()
     reg_grams = reg.select("lei", F.explode(F.flatten(F.array(*[_grams(F.col("_name"), k) for k in range(1, _GRAM + 1)]))).alias("gram"))
-    freq = reg_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    freq = reg_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("lei").alias("first"))
 
-    nonempty = q.filter(F.length("_q") > 0)
-    qg = nonempty.select(q_col, "_q", F.explode(_grams(F.col("_q"), klen)).alias("gram"))
-    best = qg.join(freq, "gram", "left").groupBy(q_col, "_q").agg(
-        F.min_by("gram", F.coalesce(F.col("df"), F.lit(0))).alias("gram"),
-        F.min(F.coalesce(F.col("df"), F.lit(0))).alias("_df"))
-    cand = best.filter(F.col("_df") > 0).join(reg_grams, "gram").join(reg, "lei")
-    hit = cand.filter(F.contains(F.col("_name"), F.col("_q")))
-    first = hit.groupBy(q_col).agg(F.min("lei").alias("lei"))
+    short = asked.filter((F.length("_q") > 0) & (F.length("_q") <= _GRAM)).join(freq, F.col("_q") == F.col("gram")) \
+        .select("_q", F.col("first").alias("lei"))
+    long = asked.filter(F.length("_q") > _GRAM).select("_q", F.explode(_grams(F.col("_q"), F.lit(_GRAM))).alias("gram"))
+    best = long.join(freq, "gram", "left").groupBy("_q").agg(
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("b")).select("_q", "b.*").filter(F.col("df") > 0)
+    best = best.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    names = reg.select("lei", "_name", F.pmod(F.hash("lei"), F.lit(_SALTS)).alias("_s"), F.explode(_grams(F.col("_name"), F.lit(_GRAM))).alias("gram"))
+    hit = best.join(names, ["gram", "_s"]).filter(F.contains(F.col("_name"), F.col("_q")))
+    found = hit.groupBy("_q").agg(F.min("lei").alias("lei"))
 
-    # an empty query matches every name: the global first record (scalar subquery)
-    empty = q.filter(F.length("_q") == 0).select(q_col, reg.agg(F.min("lei")).scalar().alias("lei"))
-    matched = first.unionByName(empty)
-    return queries.select(q_col).join(matched, q_col, "left").join(registry, "lei", "left")
+    empty = asked.filter(F.length("_q") == 0).select("_q", reg.agg(F.min("lei")).scalar().alias("lei"))
+    matched = short.unionByName(found).unionByName(empty)
+    out = queries.select(q_col, F.lower(F.col(q_col)).alias("_q")).join(matched, "_q", "left").drop("_q")
+    return out.join(registry, "lei", "left")
 
 
 def identity_record(found: DataFrame, q_col: str = "query") -> DataFrame:
     """Corporate identity fields of a lookup; the address defaults to N/A."""
-    addr = F.col("address_lines")[0] if "address_lines" in found.columns else F.lit(None).cast("string")
+    addr = F.get("address_lines", F.lit(0)) if "address_lines" in found.columns else F.lit(None).cast("string")
     return found.select(
         q_col, F.col("legal_name").alias("official_legal_name"), F.col("lei").cast("string").alias("lei_code"),
         "jurisdiction", F.col("status").alias("entity_status"),

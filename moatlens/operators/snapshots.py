@@ -1,27 +1,30 @@
 """Snapshot history: latest, retention, stale carry-forward, sinks.
 
 A snapshot row is one crawl of one company: ``company, snapshot_ts`` plus one
-struct column per feature (``pricing``, ``messaging``, ``complaints``,
-``signals``). Each feature struct carries its stale marker fields
-``is_stale``, ``stale_since``, ``stale_reason``; a null struct means the
-feature was not attempted in that crawl.
+struct column per feature (``pricing``, ``messaging``, ``signals``,
+``complaints``). Each feature struct carries its stale marker fields
+``is_stale``, ``stale_since``, ``stale_reason``, and may carry ``attempted``:
+false where no URL was found, which makes the feature stale but not listed as
+such. A null struct means that the crawl did not have the feature at all.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
+from moatlens.session import ensure_checkpoint_dir
 
-FEATURES = ("pricing", "messaging", "complaints", "signals")
+#: In the order reports list them.
+FEATURES = ("pricing", "messaging", "signals", "complaints")
 
 
 def latest(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts") -> DataFrame:
-    """Newest snapshot per company (aggregate with map-side partial max_by)."""
-    cols = [c for c in snaps.columns if c != key]
-    agg = snaps.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_s"))
-    return agg.select(key, *[F.col(f"_s.{c}").alias(c) for c in cols])
+    """Newest snapshot per company: the newest time is found on two columns, then joined back."""
+    return snaps.join(snaps.groupBy(key).agg(F.max(ts).alias(ts)), [key, ts], "left_semi")
 
 
 def retention(snaps: DataFrame, max_archives: int = L.MAX_SNAPSHOT_ARCHIVES,
@@ -36,26 +39,41 @@ def retention(snaps: DataFrame, max_archives: int = L.MAX_SNAPSHOT_ARCHIVES,
     return snaps.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_archives + 1).drop("_rn")
 
 
-def bucketed(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
-             rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Add ``_b``: a time sub-bucket of the company's history of about ``rows_per_bucket`` rows.
+#: Snapshots of one company that one task orders; longer histories are cut at time quantiles.
+ROWS_PER_BUCKET = 1_000_000
+
 
-    Exact per-company aggregates (count, first and last time) cut each history
-    into equal time slices. A bucket is a pure function of the row and those
-    exact aggregates, so every plan branch agrees on it. A normal company has
-    one bucket; a company holding a third of all rows spans many.
+def bucketed(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
+             rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add ``_b``: a time sub-bucket of the company's history.
+
+    A company with more than ``rows_per_bucket`` snapshots is cut at the
+    quantiles of its times, so buckets hold about as many rows each, however
+    bursty the history. The quantiles of these companies come from a mergeable
+    sketch (one aggregate over two columns) and are written before use: every
+    plan branch sees the same bounds. Other companies have the one bucket 0.
     """
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    stats = snaps.groupBy(key).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count(F.lit(1)).alias("_n"))
-    nb = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
-    b = F.floor((t - F.col("_t0")) * nb / (F.col("_t1") - F.col("_t0") + 1)).cast("long")
+    hot = snaps.groupBy(key).count().filter(F.col("count") > rows_per_bucket)
+    cuts = [i / _CUTS for i in range(1, _CUTS)]
+    edges = snaps.select(key, t.alias("_t")).join(hot.select(key), key, "left_semi").groupBy(key).agg(
+        F.array_distinct(F.percentile_approx("_t", cuts, F.lit(10_000))).alias("_edges"))
+    path = f"{ensure_checkpoint_dir(snaps.sparkSession)}/moatlens-buckets-{uuid.uuid4().hex}"
+    edges.write.parquet(path)
+    edges = snaps.sparkSession.read.schema(edges.schema).parquet(path)
+    b = F.coalesce(F.size(F.filter("_edges", lambda e: t > e)), F.lit(0)).cast("long")
+    b = F.when(F.col("_edges").isNull(), F.lit(0).cast("long")).otherwise(b)
     # Distribute on (company, bucket) explicitly: hash partitioning on company
     # alone would satisfy the later windows and keep a hot company in one task.
-    return snaps.join(stats, key).withColumn("_b", b).drop("_t0", "_t1", "_n").repartition(key, "_b")
+    return snaps.join(edges, key, "left").withColumn("_b", b).drop("_edges").repartition(key, "_b")
+
+
+#: Quantiles that cut a hot company's history.
+_CUTS = 64
 
 
 def with_previous(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
-                  features=FEATURES, rows_per_bucket: int = 1_000_000) -> DataFrame:
+                  features=FEATURES, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Attach the previous snapshot of the same company (every consecutive pair).
 
     A company's history is never one task:
@@ -78,18 +96,18 @@ def with_previous(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts
 
 
 def _record_fields(snaps: DataFrame, f: str):
-    return [c for c in snaps.schema[f].dataType.fieldNames() if c not in ("is_stale", "stale_since", "stale_reason")]
+    return [c for c in snaps.schema[f].dataType.fieldNames() if c not in ("is_stale", "stale_since", "stale_reason", "attempted")]
 
 
 def carry_forward(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
-                  features=FEATURES, rows_per_bucket: int = 1_000_000) -> DataFrame:
+                  features=FEATURES, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Failed features keep the previous snapshot's record, flagged stale.
 
-    A stale feature row holds ``is_stale`` true. Its record becomes the last
-    non-stale record before it, which is what copying the previous (already
-    carried) record amounts to. ``stale_since`` is the previous snapshot time
-    when the previous snapshot had the feature. Without a previous record the
-    marker stays empty.
+    A stale feature row holds ``is_stale`` true. It takes the record of the
+    snapshot just before it, which may itself have been carried: that is the
+    last record that isn't stale, unless a snapshot without the feature lies
+    between, which ends the chain. ``stale_since`` is the previous snapshot's
+    time when that one had the feature. Else the marker stays empty.
 
     Like ``with_previous`` this runs per (company, time sub-bucket), with a
     per-bucket summary for the rows whose source lies in an earlier bucket.
@@ -98,61 +116,49 @@ def carry_forward(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts
     w = Window.partitionBy(key, "_b").orderBy(ts)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     stale = {f: F.coalesce(F.col(f"{f}.is_stale"), F.lit(False)) for f in features}
-    good = {f: F.when(~stale[f], F.col(f)) for f in features}
+    # what a stale row may take over: the record, or nothing where the feature is missing
+    fresh = {f: F.when(~stale[f], F.struct(F.col(f).alias("r"))) for f in features}
     inner = r.select("*", F.lag(F.col(ts)).over(w).alias("_lag_ts"),
                      *[F.lag(F.col(f)).over(w).isNotNull().alias(f"_lag_has_{f}") for f in features],
-                     *[F.last(good[f], ignorenulls=True).over(before).alias(f"_in_{f}") for f in features])
+                     *[F.last(fresh[f], ignorenulls=True).over(before).alias(f"_in_{f}") for f in features])
     summ = r.groupBy(key, "_b").agg(
         F.max(F.col(ts)).alias("_last_ts"),
         *[F.max_by(F.col(f).isNotNull(), F.col(ts)).alias(f"_last_has_{f}") for f in features],
-        *[F.max_by(F.col(f), F.when(~stale[f], F.col(ts))).alias(f"_last_good_{f}") for f in features])
+        *[F.max_by(F.struct(F.col(f).alias("r")), F.when(~stale[f], F.col(ts))).alias(f"_last_fresh_{f}") for f in features])
     wb = Window.partitionBy(key).orderBy("_b")
     wb_before = wb.rowsBetween(Window.unboundedPreceding, -1)
     carry = summ.select(key, "_b", F.lag("_last_ts").over(wb).alias("_before_ts"),
                         *[F.lag(f"_last_has_{f}").over(wb).alias(f"_before_has_{f}") for f in features],
-                        *[F.last(f"_last_good_{f}", ignorenulls=True).over(wb_before).alias(f"_before_{f}") for f in features])
+                        *[F.last(f"_last_fresh_{f}", ignorenulls=True).over(wb_before).alias(f"_before_{f}") for f in features])
     out = inner.join(carry, [key, "_b"], "left")
     first = F.col("_lag_ts").isNull()
     prev_ts = F.when(first, F.col("_before_ts")).otherwise(F.col("_lag_ts"))
     for f in features:
-        carried = F.coalesce(F.col(f"_in_{f}"), F.col(f"_before_{f}"))
+        carried = F.coalesce(F.col(f"_in_{f}"), F.col(f"_before_{f}"))["r"]
         prev_has = F.when(first, F.coalesce(F.col(f"_before_has_{f}"), F.lit(False))).otherwise(F.col(f"_lag_has_{f}"))
+        tried = [F.col(f"{f}.attempted").alias("attempted")] if "attempted" in snaps.schema[f].dataType.fieldNames() else []
         rec = F.struct(
             *[F.when(stale[f], carried[c]).otherwise(F.col(f"{f}.{c}")).alias(c) for c in _record_fields(snaps, f)],
             F.col(f"{f}.is_stale").alias("is_stale"),
             F.when(stale[f] & prev_has, prev_ts).alias("stale_since"),
-            F.col(f"{f}.stale_reason").alias("stale_reason"),
+            F.col(f"{f}.stale_reason").alias("stale_reason"), *tried,
         )
         out = out.withColumn(f, F.when(F.col(f).isNotNull(), rec))
     return out.select(*snaps.columns)
 
 
-def carry_forward_one(new: DataFrame, previous_latest: DataFrame, key: str = "company",
-                      ts: str = "snapshot_ts", features=FEATURES) -> DataFrame:
-    """One crawl step: new snapshot rows vs the stored latest snapshot (left join)."""
-    prev = previous_latest.select(key, F.col(ts).alias("_prev_ts"), *[F.col(f).alias(f"_prev_{f}") for f in features])
-    out = new.join(prev, key, "left")
-    for f in features:
-        fields = _record_fields(new, f)
-        stale = F.coalesce(F.col(f"{f}.is_stale"), F.lit(False))
-        rec = F.struct(
-            *[F.when(stale, F.col(f"_prev_{f}.{c}")).otherwise(F.col(f"{f}.{c}")).alias(c) for c in fields],
-            F.col(f"{f}.is_stale").alias("is_stale"),
-            F.when(stale & F.col(f"_prev_{f}").isNotNull(), F.col("_prev_ts")).alias("stale_since"),
-            F.col(f"{f}.stale_reason").alias("stale_reason"),
-        )
-        out = out.withColumn(f, F.when(F.col(f).isNotNull(), rec))
-    return out.drop("_prev_ts", *[f"_prev_{f}" for f in features])
-
-
 def stale_features(snaps: DataFrame, features=FEATURES) -> Column:
-    """Attempted (non-null) features that are stale in this snapshot, feature order."""
-    return F.filter(F.array(*[F.when(F.coalesce(F.col(f"{f}.is_stale"), F.lit(False)), F.lit(f)) for f in features]),
-                    lambda x: x.isNotNull())
+    """Attempted features that are stale in this snapshot, feature order."""
+    def listed(f: str) -> Column:
+        stale = F.coalesce(F.col(f"{f}.is_stale"), F.lit(False))
+        if "attempted" in snaps.schema[f].dataType.fieldNames():
+            stale = stale & F.coalesce(F.col(f"{f}.attempted"), F.lit(True))
+        return F.when(stale, F.lit(f))
+    return F.filter(F.array(*[listed(f) for f in features]), lambda x: x.isNotNull())
 
 
 def append(snaps: DataFrame, path: str, date_col: str = "snapshot_date") -> None:
-    """Append-only sink; the previous latest simply stays as history.
+    """Append-only sink partitioned by date; the previous latest simply stays as history.
 
     Spark's commit protocol makes each append all-or-nothing, so a crash
     never loses the earlier snapshots (no rename dance needed).
@@ -173,8 +179,3 @@ def from_json_docs(docs: DataFrame, schema, key: str = "company", features=FEATU
     parsed = docs.select(F.from_json("doc", schema).alias("d"))
     return parsed.select(F.col("d.company").alias(key), F.col("d.timestamp").alias("snapshot_ts"),
                          *[F.col(f"d.analysis.{f}").alias(f) for f in features if f in schema["analysis"].dataType.fieldNames()])
-
-
-def read_json_docs(spark, path: str, schema) -> DataFrame:
-    """Multi-line JSON snapshot files with an explicit schema."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -12,7 +12,21 @@ from moatlens.functions import text as T
 _XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
 
 
+def _numeric_entities(c: Column) -> Column:
+    """``&#38;`` and ``&#x26;`` decoded: the pieces after each ``&#`` are a number, ``;`` and the rest."""
+    pieces = F.split(c, "&#(?=(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)", -1)
+
+    def decoded(p: Column, i: Column) -> Column:
+        code = F.substring_index(p, ";", 1)
+        number = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.conv(F.substring(code, 2, 9), 16, 10)).otherwise(code).cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")  # a code point, through its UTF-32 bytes
+        return F.when(i == 0, p).otherwise(F.concat(char, F.substr(p, F.length(code) + 2)))
+
+    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(pieces, decoded), "")).otherwise(c)
+
+
 def xml_unescape(c: Column) -> Column:
+    c = _numeric_entities(c)
     for ent, ch in _XML_ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(ch))
     return c
@@ -25,27 +39,37 @@ def _well_formed(body: Column) -> Column:
 
 
 def _locs(body: Column) -> Column:
-    """Trimmed, decoded <loc> texts in document order (empty elements skipped)."""
-    raw = F.regexp_extract_all(body, F.lit("<loc>([^<]*)</loc>"), F.lit(1))
-    return F.transform(F.filter(raw, lambda x: x != ""), lambda x: xml_unescape(T.strip(x)))
+    """Trimmed, decoded <loc> texts in document order (empty elements skipped).
+
+    Comments are no elements; a CDATA section is taken as it stands.
+    """
+    bare = F.regexp_replace(body, r"(?s)<!--.*?-->", "")
+    cdata = r"<!\[CDATA\["
+    raw = F.regexp_extract_all(bare, F.lit(rf"(?s)<loc>(\s*{cdata}.*?\]\]>\s*|[^<]*)</loc>"), F.lit(1))
+    inner = lambda x: F.regexp_extract(x, rf"(?s){cdata}(.*)\]\]>", 1)
+    return F.filter(F.transform(raw, lambda x: F.when(x.rlike(rf"^\s*{cdata}"), T.strip(inner(x))).otherwise(xml_unescape(T.strip(x)))),
+                    lambda x: x != "")
 
 
-def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
-    """All <loc> URLs per domain; an index sitemap contributes its first 3 child sitemaps.
+def sitemap_locs(sitemaps: DataFrame, children: int | None = None) -> DataFrame:
+    """All <loc> URLs per domain; an index sitemap contributes its child sitemaps (the first ``children``, or all).
 
     ``sitemaps(domain, url, body)`` holds every fetched sitemap document;
-    the domain's root sitemap is ``https://<domain>/sitemap.xml``.
+    the domain's root sitemap is ``https://<domain>/sitemap.xml``. ``child`` is
+    0 for the root's own URLs and else the child's place in the index, so the
+    URLs of an index's first three children are those with child <= 3.
     """
-    docs = sitemaps.filter(_well_formed(F.col("body"))).select(
-        "domain", "url", F.contains(F.col("body"), F.lit("<sitemapindex")).alias("is_index"), _locs(F.col("body")).alias("locs"))
-    root = docs.filter(F.col("url") == F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap.xml")))
-    direct = root.filter(~F.col("is_index")).select(
+    docs = sitemaps.filter(_well_formed(F.col("body")))
+    is_index, body = F.contains(F.col("body"), F.lit("<sitemapindex")), F.col("body")
+    at_root = F.col("url") == F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap.xml"))
+    docs = docs.select("domain", "url", is_index.alias("is_index"), at_root.alias("at_root"), _locs(body).alias("locs"))
+    direct = docs.filter(F.col("at_root") & ~F.col("is_index")).select(
         "domain", F.lit(0).alias("child"), T.explode_kept(F.col("locs"), pos=True).alias("pos", "loc")) \
         .filter(F.col("loc").isNotNull())
-    children = root.filter(F.col("is_index")).select(
-        "domain", F.posexplode(F.slice("locs", 1, L.N_SITEMAP_CHILDREN)).alias("child", "child_url"))
+    listed = F.col("locs") if children is None else F.slice("locs", 1, children)
+    index = docs.filter(F.col("at_root") & F.col("is_index")).select("domain", F.posexplode(listed).alias("child", "child_url"))
     kids = docs.filter(~F.col("is_index")).select(F.col("url").alias("child_url"), F.col("locs").alias("child_locs"))
-    via_index = children.join(kids, "child_url").select(
+    via_index = index.join(kids, "child_url").select(
         "domain", (F.col("child") + 1).alias("child"), T.explode_kept(F.col("child_locs"), pos=True).alias("pos", "loc")) \
         .filter(F.col("loc").isNotNull())
     return direct.unionByName(via_index).select("domain", "child", "pos", "loc")
@@ -77,7 +101,7 @@ def probe_pick(probes: DataFrame, paths=L.FALLBACK_PATHS, min_chars: int = L.PRO
     cand = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(p).alias("path"), F.lit(i).alias("cand_ord"))
                      for f, ps in paths for i, p in enumerate(ps)])
     c = probes.filter(F.coalesce(F.col("success"), F.lit(False)) & (F.col("n_chars") >= min_chars)) \
-        .select("domain", "path").distinct()
+        .select("domain", "path")
     lit_c = c.sparkSession.range(1).select(F.explode(cand).alias("c")).select("c.*")
     ok = c.join(F.broadcast(lit_c), "path")  # literal candidate list: a handful of rows
     best = ok.groupBy("domain", "feature").agg(F.min_by("path", "cand_ord").alias("path"))
@@ -106,7 +130,7 @@ def _split_template(t: str):
 
 def ats_pick(candidates: DataFrame, fetch_log: DataFrame, name_col: str = "company",
              min_chars: int = L.ATS_MIN_CHARS) -> DataFrame:
-    ok = fetch_log.filter(F.coalesce(F.col("success"), F.lit(False)) & (F.col("n_chars") >= min_chars)).select("url").distinct()
+    ok = fetch_log.filter(F.coalesce(F.col("success"), F.lit(False)) & (F.col("n_chars") >= min_chars)).select("url")
     hit = candidates.join(ok, "url", "left_semi")
     return hit.groupBy(name_col).agg(F.min_by("url", "board_no").alias("url"))
 
@@ -177,11 +201,15 @@ def registry_merge(builtin: DataFrame, saved: DataFrame, cols=("company", "domai
     return builtin.select(*cols, F.lit("builtin").alias("origin")).unionByName(extra.select(*cols, F.lit("saved").alias("origin")))
 
 
-def registry_upsert(existing: DataFrame, new: DataFrame, order_col: str | None = None,
+def registry_upsert(existing: DataFrame, new: DataFrame, order_col: str,
                     cols=("company", "domain", "review_id", "review_slug")) -> DataFrame:
-    """Add new entries unless an entry with the same (company, domain) exists (first one wins)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("company", "domain").orderBy(*( [order_col] if order_col else [F.lit(0)]))
-    batch = new.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    """Add new entries unless an entry with the same (company, domain) exists.
+
+    Of new entries with the same pair the first by ``order_col`` wins, then the
+    smallest by the other columns, so the winner doesn't depend on the run.
+    """
+    rest = [c for c in cols if c not in ("company", "domain")]
+    first = new.groupBy("company", "domain").agg(F.min(F.struct(order_col, *[F.col(c).alias(f"_{c}") for c in rest])).alias("_f"))
+    batch = first.select("company", "domain", *[F.col(f"_f._{c}").alias(c) for c in rest])
     add = batch.join(existing.select("company", "domain"), ["company", "domain"], "left_anti")
     return existing.select(*cols).unionByName(add.select(*cols))

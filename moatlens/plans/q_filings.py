@@ -34,7 +34,8 @@ def q_filings_head(spark, sf):
 
 @query("material_events", _HEAD + f"""
 select ticker, filing_id, cast(filed_date as varchar) as filed_date, form as form_type,
-  substr(coalesce(nullif(items, ''), nullif(description, ''), form), 1, {L.MAX_EVENT_CHARS}) as description
+  substr(coalesce(nullif(items, ''), nullif(description, ''), form), 1, {L.MAX_EVENT_CHARS}) as description,
+  coalesce(nullif(items, ''), nullif(description, ''), form) as full_description
 from fh where form = '8-K'""")
 def q_events(spark, sf):
     ev = fl.material_events(_head(spark, sf).filter(F.col("form") == "8-K"))
@@ -63,8 +64,13 @@ def q_insider(spark, sf):
 
 
 @query("insider_summary", _TX + """
-select ticker, insider_name, transaction_type, cast(count(*) as bigint) as n_transactions, sum(shares) as total_shares,
-  sum(shares * price_per_share) as total_value from tx group by ticker, insider_name, transaction_type""")
+select ticker, insider_name, cast(count(*) as bigint) as n_transactions,
+  coalesce(sum(shares) filter (transaction_type = {buy}), 0) as bought_shares, coalesce(sum(shares) filter (transaction_type = {sell}), 0) as sold_shares,
+  coalesce(sum(shares) filter (transaction_type not in ({buy}, {sell})), 0) as other_shares,
+  coalesce(sum(shares) filter (transaction_type = {buy}), 0) - coalesce(sum(shares) filter (transaction_type = {sell}), 0) as net_shares,
+  coalesce(sum(shares * price_per_share) filter (transaction_type = {buy}), 0) as bought_value,
+  coalesce(sum(shares * price_per_share) filter (transaction_type = {sell}), 0) as sold_value
+from tx group by ticker, insider_name""".format(buy=q(dict(L.INSIDER_CODES)["P"]), sell=q(dict(L.INSIDER_CODES)["S"])))
 def q_insider_summary(spark, sf):
     t = fl.insider_transactions(_head(spark, sf), X.fixture(spark, sf, "fx_insider_txns"))
     return fl.insider_summary(t)
@@ -81,26 +87,34 @@ def q_exec_pay(spark, sf):
     return fl.executive_pay(_head(spark, sf), X.fixture(spark, sf, "fx_proxy_comp"))
 
 
-# Documents as filing texts: company = source; a third of the documents are proxy statements.
-_DOC_FILINGS = "(select source as ticker, doc_id, text, case when doc_id % 3 = 0 then 'DEF 14A' else '10-K' end as form from documents)"
+# Documents as filing texts: company = source; a quarter of the documents are
+# proxy statements, the others items of annual reports.
+_DOC_FILINGS = """(select source as ticker, doc_id, text, case doc_id % 4 when 0 then 'DEF 14A' else '10-K' end as form,
+  case doc_id % 4 when 1 then 'Item 1' when 2 then 'Item 1A' when 3 then 'Item 7' end as item from documents)"""
 
 
 def _doc_filings(spark, sf):
-    d = tables.table(spark, sf, "documents")
-    return d.select(F.col("source").alias("ticker"), "doc_id", "text",
-                    F.when(F.col("doc_id") % 3 == 0, "DEF 14A").otherwise("10-K").alias("form"))
+    d, r = tables.table(spark, sf, "documents"), F.col("doc_id") % 4
+    return d.select(F.col("source").alias("ticker"), "doc_id", "text", F.when(r == 0, "DEF 14A").otherwise("10-K").alias("form"),
+                    F.when(r == 1, "Item 1").when(r == 2, "Item 1A").when(r == 3, "Item 7").alias("item"))
+
+
+def _sections_sql(items):
+    names = ", ".join(q(i) for i in items)
+    return f"""f as {_DOC_FILINGS}, nk as (select ticker, item, max(doc_id) as doc_id from f where item in ({names}) group by ticker, item),
+sec as (select f.* from f join nk using (ticker, item, doc_id))"""
 
 
 @query("filing_section", f"""
-with f as {_DOC_FILINGS}, nk as (select ticker, max(doc_id) as doc_id from f where form = '10-K' group by ticker)
-select f.ticker, f.doc_id, cast(length(f.text) as bigint) as n_chars,
-  case when length(f.text) > {L.MAX_TEXT_CHARS} then substr(f.text, 1, {L.MAX_TEXT_CHARS}) || {q(L.TRUNCATION_SUFFIX)} else f.text end as excerpt
-from f join nk using (ticker, doc_id)""")
+with {_sections_sql(["Item 1A", "Item 7"])}
+select ticker, item, doc_id, cast(length(text) as bigint) as n_chars, text as section_text,
+  case when length(text) > {L.MAX_TEXT_CHARS} then substr(text, 1, {L.MAX_TEXT_CHARS}) || {q(L.TRUNCATION_SUFFIX)} else text end as excerpt
+from sec""")
 def q_section(spark, sf):
-    d = _doc_filings(spark, sf).filter(F.col("form") == "10-K")
-    newest = fl.newest_text(d, "ticker", "doc_id", "text")
-    return newest.select("ticker", "doc_id", F.length("text").cast("bigint").alias("n_chars"),
-                         fl.truncate_text(F.col("text")).alias("excerpt"))
+    """Risk factors and management discussion: Items 1A and 7 of the newest report."""
+    s = fl.sections(_doc_filings(spark, sf), {"Item 1A": 1, "Item 7": 2})
+    return s.select("ticker", "item", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.col("text").alias("section_text"),
+                    fl.truncate_text(F.col("text")).alias("excerpt"))
 
 
 def _paras_sql(terms):
@@ -109,18 +123,19 @@ def _paras_sql(terms):
 
 
 @query("esg_paragraphs", f"""
-with f as {_DOC_FILINGS},
-nk as (select f.ticker, {_paras_sql(L.ESG_TERMS_10K)} as p from f join (select ticker, max(doc_id) as doc_id from f where form = '10-K' group by ticker) m using (ticker, doc_id)),
+with {_sections_sql(["Item 1", "Item 1A"])},
+nq as (select ticker, flatten(list(p order by item)) as p from (select ticker, item, {_paras_sql(L.ESG_TERMS_10K)} as p from sec) group by ticker),
 np as (select f.ticker, {_paras_sql(L.ESG_TERMS_PROXY)} as p from f join (select ticker, max(doc_id) as doc_id from f where form = 'DEF 14A' group by ticker) m using (ticker, doc_id)),
-a as (select coalesce(nk.ticker, np.ticker) as ticker, coalesce(nk.p, []) || coalesce(np.p, []) as parts from nk full join np on nk.ticker = np.ticker)
+a as (select coalesce(nq.ticker, np.ticker) as ticker, coalesce(nq.p, []) || coalesce(np.p, []) as parts from nq full join np on nq.ticker = np.ticker)
 select ticker, cast(len(parts) as bigint) as n_paragraphs,
   case when len(parts) > 0 then case when length(array_to_string(parts, chr(10))) > {L.MAX_TEXT_CHARS}
-    then substr(array_to_string(parts, chr(10)), 1, {L.MAX_TEXT_CHARS}) || {q(L.TRUNCATION_SUFFIX)} else array_to_string(parts, chr(10)) end end as esg_text
+    then substr(array_to_string(parts, chr(10)), 1, {L.MAX_TEXT_CHARS}) || {q(L.TRUNCATION_SUFFIX)} else array_to_string(parts, chr(10)) end end as esg_text,
+  case when len(parts) > 0 then array_to_string(parts, chr(10)) end as esg_full_text
 from a""")
 def q_esg(spark, sf):
+    """Items 1 and 1A of the newest report, then the newest proxy."""
     d = _doc_filings(spark, sf)
-    tenk = fl.newest_text(d.filter(F.col("form") == "10-K"), "ticker", "doc_id", "text") \
-        .select("ticker", F.lit(1).alias("section_ord"), "text")
+    tenk = fl.sections(d, {"Item 1": 1, "Item 1A": 2})
     proxy = fl.newest_text(d.filter(F.col("form") == "DEF 14A"), "ticker", "doc_id", "text")
     return fl.esg_paragraphs(tenk, proxy)
 

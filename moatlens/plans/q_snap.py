@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
@@ -9,6 +11,7 @@ from pyspark.sql.types import DateType, StringType, StructField, StructType
 from moatlens.functions import text as T
 from moatlens.operators import changes, snapshots
 from moatlens.plans.registry import query
+from moatlens.session import ensure_checkpoint_dir
 from moatlens.sources import fixtures as X
 
 _STALE_REASON = "no markdown / too short"
@@ -16,28 +19,31 @@ _STALE_REASON = "no markdown / too short"
 
 def typed_snapshots(fx: DataFrame) -> DataFrame:
     """fx_snapshots rows as typed snapshot records (one struct per feature)."""
-    stale = [F.col("is_stale").alias("is_stale"), F.lit(None).cast("date").alias("stale_since"),
-             F.when(F.col("is_stale"), F.lit(_STALE_REASON)).alias("stale_reason")]
-    empty = F.array().cast("array<string>")
+    def marks(f: str, tried=None):
+        st = F.col(f"st_{f}")
+        return [st.alias("is_stale"), F.lit(None).cast("date").alias("stale_since"), F.when(st, F.lit(_STALE_REASON)).alias("stale_reason"),
+                (F.lit(True) if tried is None else F.col(tried)).alias("attempted")]
+    items = lambda c: F.split(c, r"\|")
     cats = F.array(
         F.struct(F.lit("pricing_value").alias("name"), F.lit(0).alias("ord"), F.col("score_price").cast("bigint").alias("score")),
         F.struct(F.lit("ux_complexity").alias("name"), F.lit(1).alias("ord"), F.col("score_ux").cast("bigint").alias("score")),
         F.struct(F.lit("performance").alias("name"), F.lit(2).alias("ord"), F.col("score_perf").cast("bigint").alias("score")),
     )
     ranked = T.ranked(cats, keep=lambda s: s > 0)
+    signals = F.struct("biggest_hiring_push", items("tech").alias("tech_investments"), items("geo").alias("geographic_expansion"),
+                       F.col("remote").alias("remote_stance"), *marks("signals"))
     return fx.select(
         "company", "snapshot_date",
-        F.struct(F.split("tiers", r"\|").alias("tiers_found"), F.split("monthly_prices", r"\|").alias("monthly_prices"),
-                 "has_free_tier", "requires_sales_call", *stale).alias("pricing"),
-        F.struct("main_headline", empty.alias("target_segments"), F.lit(None).cast("string").alias("primary_cta"),
-                 empty.alias("positioning_angle"), *stale).alias("messaging"),
+        F.struct(items("tiers").alias("tiers_found"), items("monthly_prices").alias("monthly_prices"),
+                 "has_free_tier", "requires_sales_call", *marks("pricing")).alias("pricing"),
+        F.struct("main_headline", items("segments").alias("target_segments"), F.col("cta").alias("primary_cta"),
+                 items("positioning").alias("positioning_angle"), *marks("messaging", "tried_messaging")).alias("messaging"),
+        F.when(F.col("has_signals"), signals).alias("signals"),
         F.struct(T.names(ranked).alias("top_complaint_categories"),
                  F.transform(ranked, lambda s: F.struct(s["name"].alias("name"), s["score"].alias("score"))).alias("category_scores"),
                  (F.col("score_price") + F.col("score_ux") + F.col("score_perf")).cast("bigint").alias("total_complaint_signals"),
-                 F.array().cast("array<struct<name:string,count:bigint>>").alias("competitor_comparisons"),
-                 *stale).alias("complaints"),
-        F.struct("biggest_hiring_push", empty.alias("tech_investments"), empty.alias("geographic_expansion"),
-                 F.lit(None).cast("string").alias("remote_stance"), *stale).alias("signals"),
+                 F.transform(items("competitors"), lambda c: F.struct(c.alias("name"), F.lit(1).cast("bigint").alias("count"))).alias("competitor_comparisons"),
+                 *marks("complaints")).alias("complaints"),
     )
 
 
@@ -59,7 +65,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 _FX = X.cte("fx_snapshots")
 _FLAT_SQL = """company, cast(snapshot_date as varchar) as snapshot_date, tiers, monthly_prices, has_free_tier,
-  requires_sales_call, main_headline, biggest_hiring_push, is_stale"""
+  requires_sales_call, main_headline, case when has_signals then biggest_hiring_push end as biggest_hiring_push, st_pricing as is_stale"""
 
 
 @query("snapshot_latest", _FX + f"""
@@ -81,10 +87,17 @@ def q_retention(spark, sf):
     return _flat(snapshots.retention(_snaps(spark, sf), _RET_ARCHIVES, ts="snapshot_date"))
 
 
+def _run_folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/moatlens-{name}-{uuid.uuid4().hex}"
+
+
 @query("snapshot_append", _FX + f"select {_FLAT_SQL} from fx_snapshots")
 def q_append(spark, sf):
-    """Rows exactly as ``snapshots.append`` writes them (partition column snapshot_date)."""
-    return _flat(_snaps(spark, sf))
+    """Two appends to a run folder, read back."""
+    s, path = _snaps(spark, sf), _run_folder(spark, "append")
+    for early in (True, False):
+        snapshots.append(s.filter((F.col("snapshot_date") < F.lit("2024-03-01").cast("date")) == F.lit(early)), path)
+    return _flat(spark.read.schema(s.schema).parquet(path))
 
 
 def snapshot_doc_schema(df: DataFrame) -> StructType:
@@ -95,32 +108,44 @@ def snapshot_doc_schema(df: DataFrame) -> StructType:
 
 @query("snapshot_json_io", _FX + f"select {_FLAT_SQL} from fx_snapshots")
 def q_json_io(spark, sf):
-    s = _snaps(spark, sf)
-    docs = snapshots.to_json_docs(s.withColumnRenamed("snapshot_date", "snapshot_ts"))
-    back = snapshots.from_json_docs(docs, snapshot_doc_schema(s))
+    """Snapshot documents written as text files to a run folder, read back and parsed."""
+    s, path = _snaps(spark, sf), _run_folder(spark, "json")
+    snapshots.to_json_docs(s.withColumnRenamed("snapshot_date", "snapshot_ts")).select("doc").write.text(path)
+    back = snapshots.from_json_docs(spark.read.text(path).withColumnRenamed("value", "doc"), snapshot_doc_schema(s))
     return _flat(back.withColumnRenamed("snapshot_ts", "snapshot_date"))
 
 
-@query("stale_carry_forward", _FX + """
-, c as (select company, snapshot_date, is_stale,
-    lag(snapshot_date) over w as prev_date,
-    max(case when not is_stale then snapshot_date end) over (partition by company order by snapshot_date
-        rows between unbounded preceding and 1 preceding) as src_date
-  from fx_snapshots window w as (partition by company order by snapshot_date))
-select c.company, cast(c.snapshot_date as varchar) as snapshot_date, c.is_stale,
-  cast(case when c.is_stale then c.prev_date end as varchar) as stale_since,
-  case when c.is_stale then s.tiers else o.tiers end as tiers,
-  case when c.is_stale then s.monthly_prices else o.monthly_prices end as monthly_prices,
-  case when c.is_stale then s.main_headline else o.main_headline end as main_headline,
-  case when c.is_stale then s.biggest_hiring_push else o.biggest_hiring_push end as biggest_hiring_push
-from c join fx_snapshots o on o.company = c.company and o.snapshot_date = c.snapshot_date
-left join fx_snapshots s on s.company = c.company and s.snapshot_date = c.src_date""")
+# The rule as the crawl applies it, one snapshot after the other: a stale feature
+# takes what the previous snapshot had stored for it, if it had the feature.
+_CARRY = _FX.replace("with ", "with recursive ", 1) + """
+, n as (select *, row_number() over (partition by company order by snapshot_date) as k from fx_snapshots)
+, step as (
+  select company, k, snapshot_date, case when not st_pricing then tiers end as tiers, case when not st_pricing then monthly_prices end as monthly_prices,
+    case when not st_messaging then main_headline end as main_headline, has_signals as had_signals,
+    case when has_signals and not st_signals then biggest_hiring_push end as push,
+    cast(null as date) as since_pricing, cast(null as date) as since_signals
+  from n where k = 1
+  union all
+  select n.company, n.k, n.snapshot_date, case when n.st_pricing then p.tiers else n.tiers end, case when n.st_pricing then p.monthly_prices else n.monthly_prices end,
+    case when n.st_messaging then p.main_headline else n.main_headline end, n.has_signals,
+    case when not n.has_signals then null when n.st_signals then case when p.had_signals then p.push end else n.biggest_hiring_push end,
+    case when n.st_pricing then p.snapshot_date end, case when n.has_signals and n.st_signals and p.had_signals then p.snapshot_date end
+  from step p join n on n.company = p.company and n.k = p.k + 1)
+"""
+
+
+@query("stale_carry_forward", _CARRY + """
+select step.company, cast(step.snapshot_date as varchar) as snapshot_date, n.st_pricing as is_stale,
+  cast(since_pricing as varchar) as stale_since, cast(since_signals as varchar) as signals_since, step.tiers, step.monthly_prices, step.main_headline,
+  step.push as biggest_hiring_push
+from step join n on n.company = step.company and n.k = step.k""")
 def q_carry(spark, sf):
     c = snapshots.carry_forward(_snaps(spark, sf), ts="snapshot_date")
     return c.select(
         "company", F.col("snapshot_date").cast("string").alias("snapshot_date"),
         F.col("pricing.is_stale").alias("is_stale"),
         F.col("pricing.stale_since").cast("string").alias("stale_since"),
+        F.col("signals.stale_since").cast("string").alias("signals_since"),
         F.array_join("pricing.tiers_found", "|").alias("tiers"),
         F.array_join("pricing.monthly_prices", "|").alias("monthly_prices"),
         F.col("messaging.main_headline").alias("main_headline"),
@@ -128,27 +153,34 @@ def q_carry(spark, sf):
 
 
 @query("stale_features", _FX + """
-select company, cast(snapshot_date as varchar) as snapshot_date,
-  case when is_stale then 'pricing|messaging|complaints|signals' else '' end as stale_features from fx_snapshots""")
+select company, cast(snapshot_date as varchar) as snapshot_date, concat_ws('|', case when st_pricing then 'pricing' end,
+  case when st_messaging and tried_messaging then 'messaging' end, case when st_signals and has_signals then 'signals' end,
+  case when st_complaints then 'complaints' end) as stale_features from fx_snapshots""")
 def q_stale_features(spark, sf):
     s = _snaps(spark, sf)
     return s.select("company", F.col("snapshot_date").cast("string").alias("snapshot_date"),
                     F.array_join(snapshots.stale_features(s), "|").alias("stale_features"))
 
 
-_PAIRS = _FX + """
-, s as (select *, string_split(tiers, '|') as tl, string_split(monthly_prices, '|') as ml,
-    list_sort(list_filter([{'neg': -score_price, 'ord': 0, 'name': 'pricing_value', 'score': score_price},
-                           {'neg': -score_ux, 'ord': 1, 'name': 'ux_complexity', 'score': score_ux},
-                           {'neg': -score_perf, 'ord': 2, 'name': 'performance', 'score': score_perf}], lambda x: x.score > 0)) as cats,
+_LISTS = {"tl": "tiers", "ml": "monthly_prices", "sl": "segments", "pl": "positioning", "el": "tech", "gl": "geo", "cl": "competitors"}
+_LAGS = ["tl", "ml", "sl", "pl", "cl", "has_free_tier", "requires_sales_call", "main_headline", "cta", "cats", "total", "score_price", "score_ux", "score_perf",
+         "st_pricing", "st_messaging", "st_signals", "st_complaints", "has_signals"]
+_SIGNALS = ["el", "gl", "biggest_hiring_push", "remote"]
+_PAIRS = _FX + f"""
+, s as (select *, {', '.join(f"string_split({c}, '|') as {a}" for a, c in _LISTS.items())},
+    list_sort(list_filter([{{'neg': -score_price, 'ord': 0, 'name': 'pricing_value', 'score': score_price}},
+                           {{'neg': -score_ux, 'ord': 1, 'name': 'ux_complexity', 'score': score_ux}},
+                           {{'neg': -score_perf, 'ord': 2, 'name': 'performance', 'score': score_perf}}], lambda x: x.score > 0)) as cats,
     score_price + score_ux + score_perf as total from fx_snapshots),
-p as (select s.*, lag(tl) over w as o_tl, lag(ml) over w as o_ml, lag(has_free_tier) over w as o_free,
-    lag(requires_sales_call) over w as o_sales, lag(main_headline) over w as o_head, lag(biggest_hiring_push) over w as o_push,
-    lag(cats) over w as o_cats, lag(total) over w as o_total, lag(is_stale) over w as o_stale,
-    lag(score_price) over w as o_price, lag(score_ux) over w as o_ux, lag(score_perf) over w as o_perf,
-    lag(snapshot_date) over w as compared_with
+p as (select s.*, {', '.join(f'lag({c}) over w as o_{c}' for c in _LAGS)},
+    lag(snapshot_date) over w as compared_with,
+    {', '.join(f"lag(case when has_signals then {c} end) over w as o0_{c}" for c in _SIGNALS)}
   from s window w as (partition by company order by snapshot_date)),
-ok as (select * from p where compared_with is not null and not is_stale and not o_stale)
+p2 as (select *, coalesce(o0_el, []) as o_el, coalesce(o0_gl, []) as o_gl, o0_biggest_hiring_push as o_push, o0_remote as o_remote from p where compared_with is not null),
+ok_pricing as (select * from p2 where not st_pricing and not o_st_pricing),
+ok_messaging as (select * from p2 where not st_messaging and not o_st_messaging),
+ok_complaints as (select * from p2 where not st_complaints and not o_st_complaints),
+ok_signals as (select * from p2 where has_signals and not st_signals and not (o_has_signals and o_st_signals))
 """
 
 
@@ -160,20 +192,65 @@ def _render(lst):
     return "'{' || array_to_string(list_transform(" + lst + ", lambda x: '''' || x || ''''), ', ') || '}'"
 
 
-def _set_rows(kind, label, new, old):
-    d = _set(new, old)
-    return (f"select company, snapshot_date, compared_with, '{kind}' as kind, array_to_string({d}, ', ') as detail, "
-            f"'{label}: ' || {_render(d)} as message from ok where len({d}) > 0")
-
-
-def _change_rows(kind, label, old, new):
-    text = f"'''' || coalesce({old}, 'None') || ''' → ''' || coalesce({new}, 'None') || ''''"
-    return (f"select company, snapshot_date, compared_with, '{kind}' as kind, {text} as detail, "
-            f"'{label}: ' || {text} as message from ok where {old} is distinct from {new}")
+def _rows(feature, kind, detail, message, where):
+    return (f"select '{feature}' as feature, company, snapshot_date, compared_with, '{kind}' as kind, {detail} as detail, "
+            f"{message} as message from ok_{feature} where {where}")
 
 
-def _diff_sql(parts):
-    return _PAIRS + ", ev as (" + " union all ".join(parts) + """)
+def _set_rows(feature, kind, label, new, old):
+    d = _set(new, old)
+    return _rows(feature, kind, f"array_to_string({d}, ', ')", f"'{label}: ' || {_render(d)}", f"len({d}) > 0")
+
+
+def _pair(old, new):
+    quoted = lambda c: f"chr(39) || coalesce(cast({c} as varchar), 'None') || chr(39)"
+    return f"{quoted(old)} || ' → ' || {quoted(new)}"
+
+
+def _change_rows(feature, kind, label, old, new):
+    text = _pair(old, new)
+    return _rows(feature, kind, text, f"'{label}: ' || {text}", f"{old} is distinct from {new}")
+
+
+_EVENTS = {
+    "pricing": [
+        _set_rows("pricing", "new_monthly_prices", "NEW monthly prices", "ml", "o_ml"),
+        _set_rows("pricing", "removed_monthly_prices", "REMOVED monthly prices", "o_ml", "ml"),
+        _set_rows("pricing", "new_tiers", "NEW tiers added", "tl", "o_tl"),
+        _set_rows("pricing", "removed_tiers", "REMOVED tiers", "o_tl", "tl"),
+        _rows("pricing", "free_tier", _pair("o_has_free_tier", "has_free_tier"),
+              "'FREE TIER ' || case when has_free_tier then 'ADDED' else 'REMOVED' end", "o_has_free_tier is distinct from has_free_tier"),
+        _rows("pricing", "sales_call", _pair("o_requires_sales_call", "requires_sales_call"),
+              "'Sales call requirement ' || case when requires_sales_call then 'now requires' else 'dropped' end",
+              "o_requires_sales_call is distinct from requires_sales_call")],
+    "messaging": [
+        _change_rows("messaging", "headline", "HEADLINE CHANGED", "o_main_headline", "main_headline"),
+        _set_rows("messaging", "new_segments", "NOW targeting new segments", "sl", "o_sl"),
+        _set_rows("messaging", "dropped_segments", "DROPPED targeting", "o_sl", "sl"),
+        _change_rows("messaging", "primary_cta", "PRIMARY CTA CHANGED", "o_cta", "cta"),
+        _set_rows("messaging", "new_positioning", "NEW positioning angle", "pl", "o_pl")],
+    "complaints": [
+        _rows("complaints", "top_shift", _pair("o_cats[1].name", "cats[1].name"), "'TOP COMPLAINT SHIFTED: ' || " + _pair("o_cats[1].name", "cats[1].name"),
+              "len(o_cats) > 0 and len(cats) > 0 and o_cats[1].name <> cats[1].name"),
+        """select 'complaints' as feature, company, snapshot_date, compared_with, 'share_spike' as kind, c.name as detail,
+  'COMPLAINT SHARE SPIKE in \'\'' || c.name || '\'\': ' || cast(cast(round_even(old_share * 100, 0) as bigint) as varchar) || '% → '
+    || cast(cast(round_even(new_share * 100, 0) as bigint) as varchar) || '%' as message
+from (select *, unnest(cats) as c from ok_complaints) x,
+  lateral (select case c.name when 'pricing_value' then o_score_price when 'ux_complexity' then o_score_ux else o_score_perf end as old_score) os,
+  lateral (select old_score / (case when o_total = 0 then 1 else o_total end) as old_share,
+                  c.score / (case when total = 0 then 1 else total end) as new_share) sh
+where old_score <> 0 and new_share > old_share * 1.5 and new_share > 0.05""",
+        _set_rows("complaints", "new_competitors", "NEW competitor comparisons appearing", "cl", "o_cl")],
+    "signals": [
+        _change_rows("signals", "hiring_focus", "HIRING FOCUS SHIFTED", "o_push", "biggest_hiring_push"),
+        _set_rows("signals", "new_tech", "NEW tech investment areas", "el", "o_el"),
+        _set_rows("signals", "new_geo", "NEW geographic expansion signals", "gl", "o_gl"),
+        _change_rows("signals", "remote_stance", "REMOTE POLICY CHANGED", "o_remote", "remote")],
+}
+
+
+def _diff_sql(feature):
+    return _PAIRS + ", ev as (" + " union all ".join(_EVENTS[feature]) + """)
 select company, cast(snapshot_date as varchar) as detected_at, cast(compared_with as varchar) as compared_with,
   kind, detail, message from ev"""
 
@@ -184,82 +261,42 @@ def _diff_query(spark, sf, feature):
                      F.col("compared_with").cast("string").alias("compared_with"), "kind", "detail", "message")
 
 
-_FLIP_FREE = """select company, snapshot_date, compared_with, 'free_tier' as kind,
-  '''' || coalesce(cast(o_free as varchar), 'None') || ''' → ''' || coalesce(cast(has_free_tier as varchar), 'None') || '''' as detail,
-  'FREE TIER ' || case when has_free_tier then 'ADDED' else 'REMOVED' end as message
-  from ok where o_free is distinct from has_free_tier"""
-_FLIP_SALES = """select company, snapshot_date, compared_with, 'sales_call' as kind,
-  '''' || coalesce(cast(o_sales as varchar), 'None') || ''' → ''' || coalesce(cast(requires_sales_call as varchar), 'None') || '''' as detail,
-  'Sales call requirement ' || case when requires_sales_call then 'now requires' else 'dropped' end as message
-  from ok where o_sales is distinct from requires_sales_call"""
-
-
-@query("diff_pricing", _diff_sql([
-    _set_rows("new_monthly_prices", "NEW monthly prices", "ml", "o_ml"),
-    _set_rows("removed_monthly_prices", "REMOVED monthly prices", "o_ml", "ml"),
-    _set_rows("new_tiers", "NEW tiers added", "tl", "o_tl"),
-    _set_rows("removed_tiers", "REMOVED tiers", "o_tl", "tl"),
-    _FLIP_FREE, _FLIP_SALES]))
+@query("diff_pricing", _diff_sql("pricing"))
 def q_diff_pricing(spark, sf):
     return _diff_query(spark, sf, "pricing")
 
 
-@query("diff_messaging", _diff_sql([_change_rows("headline", "HEADLINE CHANGED", "o_head", "main_headline")]))
+@query("diff_messaging", _diff_sql("messaging"))
 def q_diff_messaging(spark, sf):
     return _diff_query(spark, sf, "messaging")
 
 
-_SPIKES = """select company, snapshot_date, compared_with, 'share_spike' as kind, c.name as detail,
-  'COMPLAINT SHARE SPIKE in ''' || c.name || ''': ' || cast(cast(round_even(old_share * 100, 0) as bigint) as varchar) || '% → '
-    || cast(cast(round_even(new_share * 100, 0) as bigint) as varchar) || '%' as message
-from (select *, unnest(cats) as c from ok) x,
-  lateral (select case c.name when 'pricing_value' then o_price when 'ux_complexity' then o_ux else o_perf end as old_score) os,
-  lateral (select old_score / (case when o_total = 0 then 1 else o_total end) as old_share,
-                  c.score / (case when total = 0 then 1 else total end) as new_share) sh
-where old_score <> 0 and new_share > old_share * 1.5 and new_share > 0.05"""
-_SHIFT = """select company, snapshot_date, compared_with, 'top_shift' as kind,
-  '''' || o_cats[1].name || ''' → ''' || cats[1].name || '''' as detail,
-  'TOP COMPLAINT SHIFTED: ''' || o_cats[1].name || ''' → ''' || cats[1].name || '''' as message
-from ok where len(o_cats) > 0 and len(cats) > 0 and o_cats[1].name <> cats[1].name"""
-
-
-@query("diff_complaints", _diff_sql([_SHIFT, _SPIKES]))
+@query("diff_complaints", _diff_sql("complaints"))
 def q_diff_complaints(spark, sf):
     return _diff_query(spark, sf, "complaints")
 
 
-@query("diff_signals", _diff_sql([_change_rows("hiring_focus", "HIRING FOCUS SHIFTED", "o_push", "biggest_hiring_push")]))
+@query("diff_signals", _diff_sql("signals"))
 def q_diff_signals(spark, sf):
     return _diff_query(spark, sf, "signals")
 
 
 @query("stale_guard", _PAIRS + """
 select company, cast(snapshot_date as varchar) as detected_at, cast(compared_with as varchar) as compared_with,
-  not is_stale and not o_stale as comparable from p where compared_with is not null""")
+  not st_pricing and not o_st_pricing as comparable, has_signals and not st_signals and not (o_has_signals and o_st_signals) as signals_comparable from p2""")
 def q_stale_guard(spark, sf):
-    s = _snaps(spark, sf)
-    p = snapshots.with_previous(s, ts="snapshot_date").filter(F.col("compared_with").isNotNull())
+    s = _snaps(spark, sf).select("company", "snapshot_date", "pricing", "signals")
+    p = snapshots.with_previous(s, ts="snapshot_date", features=("pricing", "signals")).filter(F.col("compared_with").isNotNull())
     return p.select("company", F.col("snapshot_date").cast("string").alias("detected_at"),
                     F.col("compared_with").cast("string").alias("compared_with"),
-                    changes.stale_guard(F.col("prev_pricing"), F.col("pricing")).alias("comparable"))
+                    changes.stale_guard(F.col("prev_pricing"), F.col("pricing")).alias("comparable"),
+                    changes.stale_guard(F.col("prev_signals"), F.col("signals")).alias("signals_comparable"))
 
 
-_ALL_EVENTS = [
-    _set_rows("new_monthly_prices", "NEW monthly prices", "ml", "o_ml").replace("select company,", "select 'pricing' as feature, company,", 1),
-    _set_rows("removed_monthly_prices", "REMOVED monthly prices", "o_ml", "ml").replace("select company,", "select 'pricing' as feature, company,", 1),
-    _set_rows("new_tiers", "NEW tiers added", "tl", "o_tl").replace("select company,", "select 'pricing' as feature, company,", 1),
-    _set_rows("removed_tiers", "REMOVED tiers", "o_tl", "tl").replace("select company,", "select 'pricing' as feature, company,", 1),
-    _FLIP_FREE.replace("select company,", "select 'pricing' as feature, company,", 1),
-    _FLIP_SALES.replace("select company,", "select 'pricing' as feature, company,", 1),
-    _change_rows("headline", "HEADLINE CHANGED", "o_head", "main_headline").replace("select company,", "select 'messaging' as feature, company,", 1),
-    _SHIFT.replace("select company,", "select 'complaints' as feature, company,", 1),
-    _SPIKES.replace("select company,", "select 'complaints' as feature, company,", 1),
-    _change_rows("hiring_focus", "HIRING FOCUS SHIFTED", "o_push", "biggest_hiring_push").replace("select company,", "select 'signals' as feature, company,", 1),
-]
-_FEATURE_ORD = "case feature when 'pricing' then 0 when 'messaging' then 1 when 'complaints' then 2 else 3 end"
+_ALL = _PAIRS + ", ev as (" + " union all ".join(x for f in snapshots.FEATURES for x in _EVENTS[f]) + ")\n"
 
 
-@query("change_report", _PAIRS + ", ev as (" + " union all ".join(_ALL_EVENTS) + f""")
+@query("change_report", _ALL + """
 select company, cast(snapshot_date as varchar) as detected_at, cast(compared_with as varchar) as compared_with,
   cast(count(*) as bigint) as n_changes,
   array_to_string(list_sort(list_distinct(list(feature))), '|') as features_changed
@@ -273,8 +310,18 @@ def q_change_report(spark, sf):
                       .alias("features_changed"))
 
 
-@query("change_report_write")
+@query("change_report_write", _ALL + """
+, st as (select company, snapshot_date, concat_ws('|', case when st_pricing then 'pricing' end, case when st_messaging and tried_messaging then 'messaging' end,
+   case when st_signals and has_signals then 'signals' end, case when st_complaints then 'complaints' end) as stale_features from fx_snapshots)
+select ev.company, cast(ev.snapshot_date as varchar) as detected_at, cast(compared_with as varchar) as compared_with, feature,
+  array_to_string(list_sort(list(message)), '|') as messages, st.stale_features
+from ev join st on st.company = ev.company and st.snapshot_date = ev.snapshot_date group by all""")
 def q_change_report_write(spark, sf):
-    """JSON documents exactly as ``changes.write_change_reports`` writes them."""
-    rep = changes.change_report(_snaps(spark, sf), ts="snapshot_date")
-    return changes.change_report_json(rep).select("company", F.col("detected_at").cast("string").alias("detected_at"), "doc")
+    """Report files written to a run folder, read back and parsed: a row per feature with changes."""
+    path = _run_folder(spark, "changes")
+    changes.write_change_reports(changes.change_report(_snaps(spark, sf), ts="snapshot_date"), path)
+    schema = "company string, detected_at string, compared_with string, changes map<string,array<string>>, stale_features array<string>"
+    d = spark.read.schema("value string").text(path).select(F.from_json("value", schema).alias("d")).select("d.*")
+    d = d.select("company", "detected_at", "compared_with", F.explode("changes").alias("feature", "m"), "stale_features")
+    return d.select("company", "detected_at", "compared_with", "feature", F.array_join(F.array_sort("m"), "|").alias("messages"),
+                    F.array_join("stale_features", "|").alias("stale_features"))

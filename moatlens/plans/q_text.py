@@ -158,11 +158,12 @@ _NOISE = " or ".join(f"starts_with(m, {q(n)})" for n in L.GAP_NOISE_PREFIXES)
 
 
 @query("feature_gaps", _CMP + f"""
-, g as (select page_id, list_slice(list_filter(list_transform({_GAPS}, lambda m: regexp_replace({S.strip('m')}, '[.,;:]+$', '')),
-   lambda m: length(m) > {L.GAP_MIN_CHARS} and not ({_NOISE})), 1, {L.N_FEATURE_GAPS}) as gl from cc)
-select page_id, array_to_string({S.dedupe('gl')}, '|') as feature_gaps_mentioned from g""")
+, g as (select page_id, list_filter(list_transform({_GAPS}, lambda m: regexp_replace({S.strip('m')}, '[.,;:]+$', '')),
+   lambda m: length(m) > {L.GAP_MIN_CHARS} and not ({_NOISE})) as ga, list_slice(ga, 1, {L.N_FEATURE_GAPS}) as gl from cc)
+select page_id, array_to_string({S.dedupe('gl')}, '|') as feature_gaps_mentioned, array_to_string({S.dedupe('ga')}, '|') as feature_gaps_all from g""")
 def q_gaps(spark, sf):
-    return _cmp(spark, sf).select("page_id", T.join(F.col("feature_gaps_mentioned")).alias("feature_gaps_mentioned"))
+    return _cmp(spark, sf).select("page_id", T.join(F.col("feature_gaps_mentioned")).alias("feature_gaps_mentioned"),
+                                  T.join(F.col("feature_gaps_all")).alias("feature_gaps_all"))
 
 
 @query("competitor_candidates", _CMP + f"""

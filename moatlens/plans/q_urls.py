@@ -12,22 +12,25 @@ from moatlens.sources import tables
 
 
 def _sitemaps(spark, sf):
-    s = X.fixture(spark, sf, "fx_sitemaps")
-    return s.select("domain", F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap.xml")).alias("url"), "body")
+    return X.fixture(spark, sf, "fx_sitemaps")
 
 
 def _locs(spark, sf):
     return U.sitemap_locs(_sitemaps(spark, sf))
 
 
-_LOCS = X.cte("fx_sitemaps") + """
-, ok as (select domain, body from fx_sitemaps where (contains(body, '<urlset') and contains(body, '</urlset>'))
-   or (contains(body, '<sitemapindex') and contains(body, '</sitemapindex>'))),
-raw as (select domain, list_filter(regexp_extract_all(body, '<loc>([^<]*)</loc>', 1), lambda x: x <> '') as l from ok),
-lc as (select domain, unnest(l) as r, unnest(range(0, len(l))) as pos from raw),
-locs as (select domain, 0 as child, pos,
-   replace(replace(replace(replace(replace(regexp_replace(r, '^\\s+|\\s+$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') as loc
-  from lc)
+_DECODE = ("replace(replace(replace(replace(replace(replace(replace({0}, '&#38;', '&'), '&#x41;', 'A'), "
+           "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&amp;', '&')")
+_LOCS = X.cte("fx_sitemaps") + f"""
+, ok as (select domain, url, contains(body, '<sitemapindex') as is_index, regexp_replace(body, '(?s)<!--.*?-->', '', 'g') as body from fx_sitemaps
+   where (contains(body, '<urlset') and contains(body, '</urlset>')) or (contains(body, '<sitemapindex') and contains(body, '</sitemapindex>'))),
+raw as (select domain, url, is_index, regexp_extract_all(body, '(?s)<loc>(.*?)</loc>', 1) as l from ok),
+el as (select domain, url, is_index, unnest(l) as r, unnest(range(0, len(l))) as pos from raw),
+dec as (select domain, url, is_index, pos, case when contains(r, '<![CDATA[') then trim(replace(replace(r, '<![CDATA[', ''), ']]>', ''))
+   else {_DECODE.format("trim(r)")} end as loc from el),
+locs as (select domain, 0 as child, pos, loc from dec where not is_index and url = 'https://' || domain || '/sitemap.xml'
+   union all select i.domain, i.pos + 1, k.pos, k.loc from dec i join dec k on k.url = i.loc and not k.is_index
+   where i.is_index and i.url = 'https://' || i.domain || '/sitemap.xml')
 """
 
 
@@ -93,7 +96,7 @@ def q_reach(spark, sf):
 
 
 _ATS_SQL = X.cte("fx_ats_probes").replace("with ", ", ", 1) + f"""
-, dm as (select domain, replace(domain, '.com', '') as company from fx_sitemaps),
+, dm as (select distinct domain, replace(domain, '.com', '') as company from fx_sitemaps),
 ac as (select company, b.board_no, b.pre || company || b.post as url from dm
   cross join (values {', '.join(f"({i}, {q(t.split('{slug}')[0])}, {q(t.split('{slug}')[1])})" for i, t in enumerate(L.ATS_TEMPLATES))}) as b(board_no, pre, post)),
 ats as (select company, arg_min(ac.url, board_no) as url from ac join (select distinct url from fx_ats_probes where success and n_chars >= {L.ATS_MIN_CHARS}) f using (url) group by company),
@@ -117,21 +120,27 @@ left join probe pp2 on pp2.domain = dm.domain and pp2.feature = 'pricing'
 left join probe ps on ps.domain = dm.domain and ps.feature = 'signals'
 left join ats on ats.company = dm.company""")
 def q_resolve(spark, sf):
-    domains = X.fixture(spark, sf, "fx_sitemaps").select("domain", F.replace(F.col("domain"), F.lit(".com"), F.lit("")).alias("company"))
+    domains = X.fixture(spark, sf, "fx_sitemaps").select("domain", F.replace(F.col("domain"), F.lit(".com"), F.lit("")).alias("company")).distinct()
     ats = U.ats_pick(U.ats_candidates(domains.select("company")), X.fixture(spark, sf, "fx_ats_probes"))
     return U.resolve_urls(domains, _locs(spark, sf), X.fixture(spark, sf, "fx_probes"), ats)
 
 
-@query("domain_normalize", """
-with d as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(url, '^\\s+|\\s+$', '', 'g')),
-   '^https?://', ''), '^www\\.', ''), '/+$', '') as domain from pages)
-select page_id, domain, regexp_matches(domain, '^(?:[a-zA-Z0-9](?:[a-zA-Z0-9\\-]{0,61}[a-zA-Z0-9])?\\.)+[a-zA-Z]{2,}$') as is_valid,
-  regexp_replace(lower(regexp_replace(url, '^\\s+|\\s+$', '', 'g')), '\\s+', '-', 'g') as company_key from d""")
+_RAW_DOMAINS = """(select page_id, url as raw from pages
+  union all select 1000000 + s_suppkey, case s_suppkey % 4 when 0 then concat(' HTTPS://www.Site-', cast(s_suppkey as string), '.com/ ')
+    when 1 then concat('site', cast(s_suppkey as string), '.co.uk') when 2 then concat('-bad', cast(s_suppkey as string), '.com') else concat('http://a.b', cast(s_suppkey as string)) end from supplier)"""
+
+
+@query("domain_normalize", f"""
+with d as (select page_id, raw, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(raw, '^\\s+|\\s+$', '', 'g')),
+   '^https?://', ''), '^www\\.', ''), '/+$', '') as domain from {_RAW_DOMAINS})
+select page_id, domain, regexp_matches(domain, '^(?:[a-zA-Z0-9](?:[a-zA-Z0-9\\-]{{0,61}}[a-zA-Z0-9])?\\.)+[a-zA-Z]{{2,}}$') as is_valid,
+  regexp_replace(lower(regexp_replace(raw, '^\\s+|\\s+$', '', 'g')), '\\s+', '-', 'g') as company_key from d""")
 def q_domains(spark, sf):
-    p = tables.table(spark, sf, "pages")
-    d = U.domain_normalize(F.col("url"))
+    tables.register(spark, sf, ("pages", "supplier"))
+    p = spark.sql(f"select * from {_RAW_DOMAINS}")
+    d = U.domain_normalize(F.col("raw"))
     return p.select("page_id", d.alias("domain"), U.domain_valid(d).alias("is_valid"),
-                    U.company_key(F.col("url")).alias("company_key"))
+                    U.company_key(F.col("raw")).alias("company_key"))
 
 
 def _registry(spark, sf):
@@ -159,4 +168,4 @@ select company, domain, review_id, cast(null as varchar) as review_slug from b
 where not exists (select 1 from s where s.company = b.company and s.domain = b.domain)""")
 def q_upsert(spark, sf):
     b, s = _registry(spark, sf)
-    return U.registry_upsert(s, b)
+    return U.registry_upsert(s, b, "company")

@@ -78,8 +78,17 @@ select concat('co', cast(p_partkey as string)) as company,
   concat('Headline ', cast((p_partkey + v) % 2 as string)) as main_headline,
   case when (p_partkey + v) % 5 = 0 then null else concat('dept', cast((p_partkey * (v + 1)) % 4 as string)) end as biggest_hiring_push,
   10 + (p_partkey * (v + 1)) % 17 as score_ux, 5 + (p_partkey * (v + 2)) % 13 as score_perf, (p_partkey * (v + 1)) % 6 as score_price,
-  (p_partkey + v) % 11 = 0 as is_stale
-from part @@EXPAND t|v|(0),(1),(2)@@
+  (p_partkey + v) % 11 = 0 as st_pricing, (p_partkey + 2 * v) % 13 = 0 or (p_partkey + v) % 23 = 5 as st_messaging,
+  (p_partkey * 3 + v) % 17 = 0 as st_signals, (p_partkey + v) % 19 = 0 as st_complaints,
+  (p_partkey + v) % 23 <> 5 as tried_messaging, (p_partkey + 2 * v) % 7 <> 3 as has_signals,
+  concat_ws('|', 'smb', case when (p_partkey + v) % 3 = 0 then 'enterprise' end, case when (p_partkey + v) % 4 = 1 then 'developers' end) as segments,
+  case when (p_partkey + v) % 6 <> 0 then concat('cta', cast((p_partkey + v) % 2 as string)) end as cta,
+  concat_ws('|', 'price', case when (p_partkey + v) % 2 = 0 then 'ease' end, case when (p_partkey + v) % 5 = 1 then 'speed' end) as positioning,
+  concat_ws('|', 'ai', case when (p_partkey + v) % 3 = 1 then 'security' end) as tech,
+  concat_ws('|', 'us', case when (p_partkey + 2 * v) % 4 = 2 then 'apac' end) as geo,
+  case (p_partkey + v) % 4 when 0 then 'hybrid' when 1 then 'remote' end as remote,
+  concat_ws('|', 'zoho', case when (p_partkey + v) % 3 = 2 then 'hubspot' end) as competitors
+from part @@EXPAND t|v|(0),(1),(2),(3)@@
 """
 
 FX_STATEMENT_LINES = """
@@ -118,19 +127,30 @@ from lineitem
 """
 
 FX_SITEMAPS = """
-select concat('site', cast(p_partkey as string), '.com') as domain, concat('<urlset>',
+select concat('site', cast(p_partkey as string), '.com') as domain, concat('https://site', cast(p_partkey as string), '.com/sitemap.xml') as url,
+  case when p_partkey % 7 = 3 then concat('<sitemapindex><!-- <sitemap><loc>https://old</loc></sitemap> -->',
+    '<sitemap><loc>https://site', cast(p_partkey as string), '.com/a.xml</loc></sitemap><sitemap><loc>https://site', cast(p_partkey as string), '.com/none.xml</loc></sitemap>',
+    '<sitemap><loc>https://site', cast(p_partkey as string), '.com/c.xml</loc></sitemap><sitemap><loc><![CDATA[https://site', cast(p_partkey as string), '.com/d.xml]]></loc></sitemap></sitemapindex>')
+  else concat('<urlset>',
   '<url><loc> https://site', cast(p_partkey as string), '.com/blog/pricing-guide </loc></url>',
+  case when p_partkey % 4 = 1 then concat('<url><loc><![CDATA[ https://site', cast(p_partkey as string), '.com/plans?a=1&b=2 ]]></loc></url>') else '' end,
+  case when p_partkey % 6 = 1 then concat('<!-- <url><loc>https://site', cast(p_partkey as string), '.com/pricing</loc></url> --><url><loc>https://site', cast(p_partkey as string), '.com/x?a=1&#38;b=&#x41;&amp;c</loc></url>') else '' end,
   case when p_partkey % 2 = 0 then concat('<url><loc>https://site', cast(p_partkey as string), '.com/pricing</loc></url>') else '' end,
   case when p_partkey % 3 = 0 then concat('<url><loc>https://site', cast(p_partkey as string), '.com/careers/jobs</loc></url>') else '' end,
-  case when p_partkey % 5 = 0 then '<url><loc>broken' else '</urlset>' end) as body
+  case when p_partkey % 5 = 0 then '<url><loc>broken' else '</urlset>' end) end as body
 from part
+union all
+select concat('site', cast(p_partkey as string), '.com'), concat('https://site', cast(p_partkey as string), '.com/', k.name, '.xml'),
+  concat('<urlset><url><loc>https://site', cast(p_partkey as string), '.com/', k.name, k.path, '</loc></url></urlset>')
+from part @@EXPAND k|name, path|('a', '/about'), ('c', '/careers'), ('d', '/pricing')@@
+where p_partkey % 7 = 3
 """
 
 FX_PROBES = """
 select concat('site', cast(p_partkey as string), '.com') as domain, t.path, t.ord,
-  (p_partkey + t.ord) % 3 <> 0 as success,
+  p_partkey % 11 <> 4 and (p_partkey + t.ord) % 3 <> 0 as success,
   (p_partkey * (t.ord + 3)) % 1000 as n_chars,
-  case when (p_partkey + t.ord) % 3 = 0 then case when p_partkey % 2 = 0 then 'Timeout 8000ms' else 'HTTP 404' end end as error_message
+  case when p_partkey % 11 = 4 then 'net::ERR_CONNECTION_REFUSED' when (p_partkey + t.ord) % 3 = 0 then case when p_partkey % 2 = 0 then 'Timeout 8000ms' else 'HTTP 404' end end as error_message
 from part @@EXPAND t|path, ord|('/pricing', 0), ('/plans', 1), ('/careers', 2), ('/jobs', 3)@@
 """
 

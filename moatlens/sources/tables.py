@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,25 +14,26 @@ TABLES = (
 )
 
 # One reader per (session, folder, table): file listing and parquet footers
-# are read once, not on every query build.
-_READERS: dict[tuple[int, str, str], DataFrame] = {}
-_VIEWS: dict[tuple[int, str], str] = {}
+# are read once, not on every query build. The entries go with their session.
+_READERS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_VIEWS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. Column pruning and filter pushdown reach this scan."""
-    k = (id(spark), sf_dir, name)
-    if k not in _READERS:
-        _READERS[k] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return _READERS[k]
+    own = _READERS.setdefault(spark, {})
+    if (sf_dir, name) not in own:
+        own[sf_dir, name] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return own[sf_dir, name]
 
 
 def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Register input tables as temp views so shared SQL text can run on them."""
+    own = _VIEWS.setdefault(spark, {})
     for n in names:
-        if _VIEWS.get((id(spark), n)) != sf_dir:
+        if own.get(n) != sf_dir:
             table(spark, sf_dir, n).createOrReplaceTempView(n)
-            _VIEWS[(id(spark), n)] = sf_dir
+            own[n] = sf_dir
 
 
 def referenced(sql: str) -> list[str]:

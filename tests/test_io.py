@@ -68,9 +68,3 @@ def test_sink_queries_are_json(spark):
     for key in ("change_report_write", "report_write"):
         row = QUERIES[key](spark, SF001).first()
         json.loads(row.doc)
-
-
-def test_cut_lineage_uses_checkpoint_folder(spark):
-    from moatlens.session import cut_lineage
-    df = cut_lineage(spark.range(10))
-    assert df.count() == 10 and spark.sparkContext.getCheckpointDir()
