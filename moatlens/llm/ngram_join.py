@@ -28,11 +28,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moatlens.llm.common import anti, semi, written
@@ -45,6 +46,8 @@ LONGS = BITS // 64
 RATIO = 1.5
 #: Rounds with one leader a segment after the first, before all pairs between components are formed.
 STARS = 3
+#: Leaders that a member is verified against in such a round.
+BEST = 2
 MASK = (1 << 64) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _32, _29, _31 = np.uint64(32), np.uint64(29), np.uint64(31)
@@ -161,12 +164,16 @@ def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     return docs.select(text_col).mapInArrow(run, "cid long, members binary")
 
 
+def _far() -> Column:
+    """Hamming distance of the bit sketches of a pair (a_*, b_*)."""
+    bits = [F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(LONGS)]
+    return reduce(lambda x, y: x + y, bits)
+
+
 def _possible(pct: int) -> Column:
-    """Whether sizes and bit sketches of a pair (a_*, b_*) allow a link."""
+    """Whether sizes and bit sketches of a pair allow a link."""
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    far = sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(1, LONGS)),
-              F.bit_count(F.col("a_bits")[0].bitwiseXOR(F.col("b_bits")[0])))
-    return (small * 100 >= large * pct) & (far * (100 + pct) <= (small + large) * (100 - pct))
+    return (small * 100 >= large * pct) & (_far() * (100 + pct) <= (small + large) * (100 - pct))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int, pct: int) -> DataFrame:
@@ -210,10 +217,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def side(name: str) -> DataFrame:
         return facts.select(F.col("cid").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
 
-    def judged(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Written pairs (a < b) that sizes and sketches allow, and those of them that link."""
-        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        p = written(p.join(side("a"), "a").join(side("b"), "b").where(_possible(pct)).select("a", "b"), "join-pairs")
+    def judged(pairs: DataFrame, best: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Written pairs (a < b) that sizes and sketches allow, and those of them that link.
+
+        ``best`` keeps, for each member a, its nearest leaders b by sketch; one link
+        is enough to join a leader's component, and the last round leaves no pair out.
+        """
+        p = pairs.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("far", _far()).where(_possible(pct))
+        if best is not None:
+            p = p.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))).where(F.col("r") <= best)
+        p = written(p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
         return p, written(_verified(p, docs, classes, "doc_id", "text", n, pct).distinct(), "join-links")
 
     def parted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,12 +237,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         several = placed.selectExpr("key", "cid", "comp", "min(comp) over (partition by key) as lo", "max(comp) over (partition by key) as hi")
         return comp, written(several.where("lo <> hi").select("key", "cid", "comp"), "join-mixed")
 
-    tested, links = judged(met.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")))
+    tested, links = judged(met.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")), BEST)
     comp, mixed = parted(links)
     for r in range(STARS):  # other leaders, another one in each segment
         lead = f"min(struct(xxhash64(key, cid, {r}) as h, cid as cid, comp as comp)) over (partition by key) as lead"
         star = mixed.selectExpr("cid", "comp", lead).where("comp <> lead.comp").select(F.col("cid").alias("a"), F.col("lead.cid").alias("b"))
-        pairs, more = judged(star)
+        pairs, more = judged(star, BEST)
         tested = tested.unionByName(pairs)
         if more.isEmpty():
             break
@@ -241,7 +254,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     b = mixed.select("key", *[F.col(c).alias(f"b_{c}") for c in ("cid", "comp", "n", "bits")])
     rest = a.join(b, "key").where((F.col("a_cid") < F.col("b_cid")) & (F.col("a_comp") != F.col("b_comp")) & _possible(pct))
     rest = rest.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    _, more = judged(rest)
+    more = judged(rest)[1]
     if not more.isEmpty():
         comp = components(links.unionByName(more))
     label = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "doc_id", F.coalesce("comp", "cid").alias("comp"))
