@@ -2,46 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
 
 
-def module_rows(df: DataFrame, name: str, success, error_message, payload=None) -> DataFrame:
-    """One module-result row per ticker: name, status, error and an optional payload struct."""
-    ok = F.coalesce(success, F.lit(False))
-    cols = [F.upper(F.col("ticker")).alias("ticker"), F.lit(name).alias("name"),
-            F.when(ok, "success").otherwise("error").alias("status"),
-            F.when(~ok, error_message).alias("error_message")]
-    if payload is not None:
-        cols.append(F.to_json(payload).alias("payload"))
-    else:
-        cols.append(F.lit(None).cast("string").alias("payload"))
-    return df.select(*cols)
-
-
-def module_rollup(results: DataFrame) -> DataFrame:
-    """Module rows of a ticker in the fixed module order (a bounded per-ticker list)."""
-    order = F.array_position(F.array(*[F.lit(m) for m in L.MODULE_ORDER]), F.col("name"))
-    r = results.withColumn("_ord", order)
-    return r.groupBy("ticker").agg(
-        F.array_sort(F.collect_list(F.struct("_ord", "name", "status", "error_message", "payload"))).alias("_m"),
-        F.count_if(F.col("status") == "success").alias("n_success")
-    ).select("ticker", F.transform("_m", lambda m: F.struct(m["name"].alias("name"), m["status"].alias("status"),
-                                                            m["error_message"].alias("error_message"),
-                                                            m["payload"].alias("payload"))).alias("modules"),
-             "n_success")
+def module_rollup(parts: DataFrame, payloads: dict, statuses: dict | None = None) -> DataFrame:
+    """One report per ticker: its modules in the fixed order, each with its typed payload.
+
+    ``parts`` has one row per ticker with the columns the payload structs use
+    and, per module, ``<name>_started_at`` and ``<name>_completed_at``.
+    ``statuses`` gives (ok, error message) for the modules that can fail; the
+    others succeed, also with empty fields. A module's struct has a field for
+    every payload, null for those of other modules (left out of the JSON).
+    """
+    statuses = statuses or {}
+
+    def module(name: str):
+        ok, message = statuses.get(name, (F.lit(True), F.lit(None).cast("string")))
+        ok = F.coalesce(ok, F.lit(False))
+        return F.struct(
+            F.lit(name).alias("name"), F.when(ok, "success").otherwise("error").alias("status"),
+            F.col(f"{name}_started_at").alias("started_at"), F.col(f"{name}_completed_at").alias("completed_at"),
+            F.when(~ok, message).alias("error_message"),
+            *[F.when(F.lit(p == name), payload).alias(p) for p, payload in payloads.items()])
+
+    modules = F.array(*[module(m) for m in L.MODULE_ORDER])
+    return parts.select(F.upper("ticker").alias("ticker"), modules.alias("modules")).withColumn(
+        "n_success", F.size(F.filter("modules", lambda m: m["status"] == "success")))
 
 
 def module_timing(runs: DataFrame, run_key: str, module_col: str, ts: str) -> DataFrame:
     """Elapsed time per (run, module) and the run's wall time, in microseconds."""
     t = F.col(ts).cast("timestamp")
     per = runs.groupBy(run_key, module_col).agg(F.min(t).alias("started_at"), F.max(t).alias("completed_at"))
-    wall = runs.groupBy(run_key).agg((F.unix_micros(F.max(t)) - F.unix_micros(F.min(t))).alias("wall_us"))
-    return per.join(wall, run_key).select(
+    w = Window.partitionBy(run_key)  # a row per module of the run
+    wall = F.unix_micros(F.max("completed_at").over(w)) - F.unix_micros(F.min("started_at").over(w))
+    return per.select(
         run_key, module_col, "started_at", "completed_at",
-        (F.unix_micros("completed_at") - F.unix_micros("started_at")).alias("elapsed_us"), "wall_us")
+        (F.unix_micros("completed_at") - F.unix_micros("started_at")).alias("elapsed_us"), wall.alias("wall_us"))
 
 
 def report_json(rollup: DataFrame, generated_at=None) -> DataFrame:
@@ -51,6 +51,6 @@ def report_json(rollup: DataFrame, generated_at=None) -> DataFrame:
     return rollup.select("ticker", F.to_json(doc).alias("doc"))
 
 
-def write_reports(rollup: DataFrame, path: str) -> None:
+def write_reports(rollup: DataFrame, path: str, generated_at=None) -> None:
     """One line per ticker; the commit protocol replaces the temp-then-rename dance."""
-    report_json(rollup).select("doc").write.mode("overwrite").text(path)
+    report_json(rollup, generated_at).select("doc").write.mode("overwrite").text(path)

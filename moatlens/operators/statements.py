@@ -140,6 +140,26 @@ def newest_lookup(lines: DataFrame, statement: str, metrics) -> DataFrame:
     return _newest_periods(label_lookup(lines.filter(F.col("statement") == statement), metrics), 1)
 
 
+def newest_metrics(lines: DataFrame) -> DataFrame:
+    """Per ticker the newest income, balance and cash-flow metrics as structs, and the number of periods.
+
+    One aggregate over the lines for all metrics, then one over its few rows.
+    """
+    v = label_lookup(lines, list(METRICS), keys=("ticker", "statement", "period"))
+    own = {"income": ["revenue", "net_income", "operating_income", "has_operating_income", "rnd"],
+           "balance": ["total_assets", "total_equity", "intangible", "ppe"], "cashflow": ["capex", "free_cash_flow"]}
+    return v.groupBy("ticker").agg(
+        *[F.max_by(F.struct("period", *cols), F.when(F.col("statement") == st, F.col("period"))).alias(st) for st, cols in own.items()],
+        F.count_distinct(F.when(F.col("statement").isin("income", "balance"), F.col("period"))).alias("n_periods"))
+
+
+def margins_of(income: str = "income") -> tuple[Column, Column]:
+    """Operating margin and R&D share of an income struct of ``newest_metrics``."""
+    c = lambda n: F.col(f"{income}.{n}")
+    op = F.when(c("has_operating_income"), c("operating_income")).otherwise(c("net_income"))
+    return safe_div(op, c("revenue")), safe_div(c("rnd"), c("revenue"))
+
+
 def company_margins(lines: DataFrame) -> DataFrame:
     """Operating margin and R&D/revenue of the newest income period.
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from moatlens.functions import lexicons as L
 from moatlens.operators import filings as fl
 from moatlens.operators import patents, report, sentiment, statements
 from moatlens.plans import q_fin
 from moatlens.plans.registry import q, query
+from moatlens.session import ensure_checkpoint_dir
 from moatlens.sources import fixtures as X
 from moatlens.sources import tables
 
@@ -91,59 +95,67 @@ def q_cpc(spark, sf):
 
 
 # --------------------------------------------------------------- report -----
-def _module_results(spark, sf):
+def _rollup(spark, sf):
+    """Reports of all nations: every payload from one metrics aggregate, one segment and one event branch."""
     lines = X.fixture(spark, sf, "fx_statement_lines")
     comp = q_fin._companies(spark, sf)
-    fin = statements.latest_financials(lines, comp)
-    r_fin = report.module_rows(fin, "financial", F.col("status") == "success", F.col("error_message"))
-    r_ip = report.module_rows(comp, "ip", F.lit(False), F.lit(L.IP_NOT_IMPLEMENTED))
+    money = lambda c: F.col(c).cast("decimal(38,6)")
+    seg = statements.segment_revenue(lines).groupBy("ticker").agg(F.array_sort(F.collect_list(
+        F.struct("line_no", "segment", "kind", F.col("revenue_usd").cast("decimal(38,6)").alias("revenue_usd")))).alias("segments"))
     ev = fl.material_events(fl.filings_head(X.fixture(spark, sf, "fx_filings")).filter(F.col("form") == "8-K"))
     pol = sentiment.polarity_mean(ev.select("ticker", F.col("description").alias("text")), "ticker")
-    r_sent = report.module_rows(comp.join(pol, "ticker", "left"), "sentiment",
-                                F.coalesce(F.col("sample_size"), F.lit(0)) > 0, F.lit("no texts"))
-    mar = comp.join(statements.company_margins(lines), "ticker", "left")
-    r_por = report.module_rows(mar, "porters", F.col("operating_margin").isNotNull(), F.lit("no margin data"))
-    bal = comp.join(statements.balance_items(lines), "ticker", "left")
-    r_vrio = report.module_rows(bal, "vrio", F.col("intangible_assets_usd").isNotNull() | F.col("ppe_usd").isNotNull(),
-                                F.lit("no balance items"))
-    seg = statements.segment_revenue(lines).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_seg"))
-    r_pes = report.module_rows(comp.join(seg, "ticker", "left"), "pestel", F.coalesce(F.col("n_seg"), F.lit(0)) > 0,
-                               F.lit("no segment revenue"))
-    return r_fin.unionByName(r_ip).unionByName(r_sent).unionByName(r_por).unionByName(r_vrio).unionByName(r_pes)
-
-
-def _rollup(spark, sf):
-    return report.module_rollup(_module_results(spark, sf))
-
-
-_ROLLUP_SQL = q_fin._MARGINS + f"""
-, c as (select 'T' || cast(n_nationkey as varchar) as ticker from nation),
-fin as (select distinct ticker from fx_statement_lines where statement in ('income', 'balance')),
-f8 as (select distinct 'T' || cast(o_custkey % 25 as varchar) as ticker from orders where o_orderkey % 6 = 1),
-bal as (select v.ticker from v join np on np.ticker = v.ticker and np.period = v.period and np.statement = 'balance' where intangible is not null or ppe is not null),
-seg as (select distinct l.ticker from fx_statement_lines l join np on np.ticker = l.ticker and np.period = l.period and np.statement = 'income'
+    # a run's times, per company and module: the dates of its customers' orders of one priority
+    o = tables.table(spark, sf, "orders").join(tables.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    cut = [F.col("o_orderkey") % 6 == i for i in range(len(L.MODULE_ORDER))]
+    times = o.groupBy(F.concat(F.lit("T"), F.col("c_nationkey").cast("string")).alias("ticker")).agg(
+        *[f(F.when(c, F.col("o_orderdate"))).cast("string").alias(f"{m}_{n}") for m, c in zip(L.MODULE_ORDER, cut, strict=True)
+          for f, n in ((F.min, "started_at"), (F.max, "completed_at"))])
+    parts = comp.join(statements.newest_metrics(lines), "ticker", "left").join(seg, "ticker", "left").join(pol, "ticker", "left").join(times, "ticker", "left")
+    margin, rnd = statements.margins_of()
+    payloads = {
+        "financial": F.struct(F.format_string("%s (CIK %s)", F.col("name"), F.col("cik")).alias("headline"),
+                              money("income.revenue").alias("revenue_usd"), money("balance.total_assets").alias("total_assets_usd")),
+        "ip": F.struct(F.lit(None).cast("bigint").alias("patent_count"), F.lit(L.IP_NOT_IMPLEMENTED).alias("notes")),
+        "sentiment": F.struct(F.col("compound_score").alias("compound_score"), F.coalesce("sample_size", F.lit(0)).alias("sample_size")),
+        "porters": F.struct(money("cashflow.capex").alias("capex_usd"), money("cashflow.free_cash_flow").alias("free_cash_flow_usd"),
+                            margin.alias("operating_margin"), rnd.alias("rd_to_revenue_ratio")),
+        "vrio": F.struct(money("balance.intangible").alias("intangible_assets_usd"), money("balance.ppe").alias("ppe_usd")),
+        "pestel": F.struct(F.coalesce(F.col("segments"), F.array().cast("array<struct<line_no:int,segment:string,kind:string,revenue_usd:decimal(38,6)>>")).alias("segments")),
+    }
+    statuses = {"financial": (F.col("n_periods") > 0, F.lit("financials_present_but_no_period_data_extracted")),
+                "ip": (F.lit(False), F.lit(L.IP_NOT_IMPLEMENTED))}
+    return report.module_rollup(parts, payloads, statuses)
+
+
+_SEG_SQL = f"""select l.ticker, count(*) as n_segments, sum(l.value) as segment_revenue from fx_statement_lines l
+  join np on np.ticker = l.ticker and np.period = l.period and np.statement = 'income'
   where l.statement = 'income' and regexp_matches(l.label, '(?i)Revenue|Sales|Net sales') and l.value is not null
-  and ({' or '.join(f"contains(lower(trim(l.label)), {q(w)})" for w in L.GEO_SEGMENT_WORDS + L.PRODUCT_SEGMENT_WORDS)})),
-st as (select c.ticker,
-  case when fin.ticker is not null then 'success' else 'error' end as s_financial, 'error' as s_ip,
-  case when f8.ticker is not null then 'success' else 'error' end as s_sentiment,
-  case when cm.operating_margin is not null then 'success' else 'error' end as s_porters,
-  case when bal.ticker is not null then 'success' else 'error' end as s_vrio,
-  case when seg.ticker is not null then 'success' else 'error' end as s_pestel
- from c left join fin using (ticker) left join f8 using (ticker) left join cm using (ticker) left join bal using (ticker) left join seg using (ticker))
+  and ({' or '.join(f"contains(lower(trim(l.label)), {q(w)})" for w in L.GEO_SEGMENT_WORDS + L.PRODUCT_SEGMENT_WORDS)}) group by l.ticker"""
+_TIMES_SQL = "select 'T' || cast(c_nationkey as varchar) as ticker, " + ", ".join(
+    f"cast({f}(o_orderdate) filter (o_orderkey % 6 = {i}) as varchar) as {m}_{n}" for i, m in enumerate(L.MODULE_ORDER)
+    for f, n in (("min", "started_at"), ("max", "completed_at"))) + " from orders join customer on o_custkey = c_custkey group by c_nationkey"
+_F8 = f"""select ticker, count(*) as sample_size from (select *, row_number() over (partition by ticker order by filed_date desc, filing_id desc) as rk
+  from fx_filings where form = '8-K') where rk <= {L.FILING_HEAD_N['8-K']} group by ticker"""
+_ROLLUP_SQL = q_fin._MARGINS + ", fx_filings as (" + X.render("fx_filings", "duckdb") + f""")
+, c as (select 'T' || cast(n_nationkey as varchar) as ticker, n_name || ' (CIK ' || cast(n_nationkey as varchar) || ')' as headline from nation),
+fin as (select distinct ticker from fx_statement_lines where statement in ('income', 'balance')),
+bal as (select v.* from v join np on np.ticker = v.ticker and np.period = v.period and np.statement = 'balance'),
+inc as (select v.* from v join np on np.ticker = v.ticker and np.period = v.period and np.statement = 'income'),
+cash as (select v.* from v join np on np.ticker = v.ticker and np.period = v.period and np.statement = 'cashflow'),
+seg as ({_SEG_SQL}), tm as ({_TIMES_SQL}), f8 as ({_F8})
 """
 
 
 @query("module_rollup", _ROLLUP_SQL + """
-select ticker, 'financial:' || s_financial || '|ip:' || s_ip || '|sentiment:' || s_sentiment || '|porters:' || s_porters
-  || '|vrio:' || s_vrio || '|pestel:' || s_pestel as statuses,
-  cast((s_financial = 'success')::int + (s_sentiment = 'success')::int + (s_porters = 'success')::int
-       + (s_vrio = 'success')::int + (s_pestel = 'success')::int as bigint) as n_success
-from st""")
+select c.ticker, 'financial:' || case when fin.ticker is not null then 'success' else 'error' end
+  || '|ip:error|sentiment:success|porters:success|vrio:success|pestel:success' as statuses,
+  cast(4 + (fin.ticker is not null)::int as bigint) as n_success, coalesce(n_segments, 0) as n_segments
+from c left join fin using (ticker) left join seg using (ticker)""")
 def q_rollup(spark, sf):
     r = _rollup(spark, sf)
     return r.select("ticker", F.array_join(F.transform("modules", lambda m: F.concat(m["name"], F.lit(":"), m["status"])), "|")
-                    .alias("statuses"), F.col("n_success").cast("bigint").alias("n_success"))
+                    .alias("statuses"), F.col("n_success").cast("bigint").alias("n_success"),
+                    F.size(F.col("modules")[L.MODULE_ORDER.index("pestel")]["pestel"]["segments"]).cast("bigint").alias("n_segments"))
 
 
 @query("module_timing", """
@@ -156,7 +168,32 @@ def q_timing(spark, sf):
     return t.select("user_id", "event_type", "elapsed_us", "wall_us")
 
 
-@query("report_write")
+# Per module the three numbers of its payload that the check compares.
+_NUMBERS = {"financial": ("inc.revenue", "bal.total_assets", "null"), "ip": ("null", "null", "null"),
+            "sentiment": ("null", "null", "coalesce(sample_size, 0)"), "porters": ("cash.capex", "cash.free_cash_flow", "operating_margin"),
+            "vrio": ("bal.intangible", "bal.ppe", "null"), "pestel": ("segment_revenue", "null", "coalesce(n_segments, 0)")}
+_STATUS = {"financial": "case when fin.ticker is not null then 'success' else 'error' end", "ip": "'error'"}
+
+
+@query("report_write", _ROLLUP_SQL + " union all ".join(
+    f"""select c.ticker, '2024-01-01 00:00:00' as generated_at, '{m}' as name, {_STATUS.get(m, "'success'")} as status, tm.{m}_started_at as started_at,
+  tm.{m}_completed_at as completed_at, cast({a} as double) as first_value, cast({b} as double) as second_value, cast({n} as double) as number,
+  {'headline' if m == 'financial' else 'null'} as headline
+from c left join fin using (ticker) left join seg using (ticker) left join f8 using (ticker) left join tm using (ticker)
+  left join bal on bal.ticker = c.ticker left join inc on inc.ticker = c.ticker left join cash on cash.ticker = c.ticker left join cm on cm.ticker = c.ticker"""
+    for m, (a, b, n) in _NUMBERS.items()))
 def q_report_write(spark, sf):
-    """JSON documents exactly as ``report.write_reports`` writes them (fixed generation time)."""
-    return report.report_json(_rollup(spark, sf), F.lit("2024-01-01 00:00:00"))
+    """Report documents written to a run folder, read back and parsed: a row per module."""
+    r = _rollup(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark)}/moatlens-reports-{uuid.uuid4().hex}"
+    report.write_reports(r, path, F.lit("2024-01-01 00:00:00"))
+    schema = StructType([StructField("ticker", StringType()), StructField("generated_at", StringType()), StructField("modules", r.schema["modules"].dataType)])
+    d = spark.read.schema("value string").text(path).select(F.from_json("value", schema).alias("d")).select("d.ticker", "d.generated_at", F.explode("d.modules").alias("m"))
+    g = lambda c: F.col(f"m.{c}").cast("double")
+    return d.select(
+        "ticker", "generated_at", "m.name", "m.status", "m.started_at", "m.completed_at",
+        F.coalesce(g("financial.revenue_usd"), g("porters.capex_usd"), g("vrio.intangible_assets_usd"),
+                   F.when(F.size("m.pestel.segments") > 0, F.aggregate("m.pestel.segments", F.lit(0.0), lambda a, x: a + x["revenue_usd"].cast("double")))).alias("first_value"),
+        F.coalesce(g("financial.total_assets_usd"), g("porters.free_cash_flow_usd"), g("vrio.ppe_usd")).alias("second_value"),
+        F.coalesce(g("porters.operating_margin"), g("sentiment.sample_size"), F.when(F.col("m.pestel").isNotNull(), F.size("m.pestel.segments")).cast("double")).alias("number"),
+        F.col("m.financial.headline").alias("headline"))

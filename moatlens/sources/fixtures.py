@@ -89,13 +89,14 @@ select concat('co', cast(p_partkey as string)) as company,
   case (p_partkey + v) % 4 when 0 then 'hybrid' when 1 then 'remote' end as remote,
   concat_ws('|', 'zoho', case when (p_partkey + v) % 3 = 2 then 'hubspot' end) as competitors
 from part @@EXPAND t|v|(0),(1),(2),(3)@@
+where not (v = 3 and p_partkey % 5 = 0)
 """
 
 FX_STATEMENT_LINES = """
 with y as (select c_nationkey as n, year(o_orderdate) as yr, cast(count(*) as bigint) as cnt, cast(floor(sum(o_totalprice)) as bigint) as rev
   from orders join customer on o_custkey = c_custkey group by c_nationkey, year(o_orderdate))
 select concat('T', cast(n as string)) as ticker,
-  cast(concat(cast(yr as string), case when (l.statement = 'balance' and n % 5 = 0) or (l.statement = 'cashflow' and n % 3 = 0) then '-09-30' else '-12-31' end) as date) as period, l.statement, l.line_no, l.label,
+  cast(concat(cast(yr as string), case when (l.statement = 'balance' and n % 5 = 0) or (l.statement = 'cashflow' and n % 3 = 0) or (l.statement = 'income' and n % 8 = 3) then '-09-30' else '-12-31' end) as date) as period, l.statement, l.line_no, l.label,
   case l.line_no when 1 then rev when 2 then case when (n + yr) % 9 = 0 then null else rev * 3 / 10 end
     when 3 then rev * (2 + (n * 7 + yr) % 11) / 50 when 4 then rev * (1 + n % 6) / 40 when 5 then rev * 2 / 5 when 6 then rev * 3 / 5
     when 7 then cnt * 100 when 8 then cnt * 250 when 9 then rev * 2 + cnt * 1000 when 10 then case when n % 8 = 0 then 0 else rev * 4 / 5 + cnt * 700 end
@@ -105,7 +106,7 @@ from y @@EXPAND l|line_no, statement, label|(1, 'income', 'Total Revenue'), (2,
   (7, 'balance', 'Intangible Assets, Net'), (8, 'balance', 'Property, Plant and Equipment, Net'),
   (9, 'balance', 'Total Assets'), (10, 'balance', 'Total Stockholders Equity'),
   (11, 'cashflow', 'Capital Expenditures'), (12, 'cashflow', 'Free Cash Flow')@@
-where not (l.line_no = 2 and n % 6 = 1)
+where not (l.line_no = 2 and n % 6 = 1) and not (l.line_no = 6 and n % 7 = 2) and n <> 24
 """
 
 FX_FILINGS = """

@@ -56,7 +56,8 @@ def compare(spark, key: str, sf_dir: str, con=None):
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     out = {"key": key, "rows": len(s_rows), "oracle_rows": len(d_rows),
-           "cols_equal": sorted(s_cols) == sorted(d_cols)}
+           "cols_equal": sorted(s_cols) == sorted(d_cols),
+           "distinct": {c: len({repr(_norm(x[i])) for x in s_rows}) for i, c in enumerate(s_cols)}}
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
     out["equal"] = out["cols_equal"] and a == b
     if not out["equal"]:
