@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from moatlens.functions import text as T
-from moatlens.operators import changes, snapshots
+from moatlens.operators import assembly, changes, snapshots
 from moatlens.plans.registry import query
 from moatlens.session import ensure_checkpoint_dir
 from moatlens.sources import fixtures as X
@@ -325,3 +325,56 @@ def q_change_report_write(spark, sf):
     d = d.select("company", "detected_at", "compared_with", F.explode("changes").alias("feature", "m"), "stale_features")
     return d.select("company", "detected_at", "compared_with", "feature", F.array_join(F.array_sort("m"), "|").alias("messages"),
                     F.array_join("stale_features", "|").alias("stale_features"))
+
+
+def _crawl(spark, sf, day):
+    c = X.fixture(spark, sf, "fx_crawls").filter(F.col("day") == day)
+    fetched = c.filter(F.col("url").isNotNull()).select("company", "feature", "markdown", "success", "error_message")
+    return assembly.assemble(c.select("company", "feature", "url"), fetched, F.lit(f"2024-01-0{day}").cast("timestamp"))
+
+
+# A target's page is accepted if it was fetched and has 500 characters; what it says was planted.
+_CRAWL = X.cte("fx_crawls") + """
+, g as (select *, url is not null and success and length(markdown) >= 500 as ok,
+   case when url is null then 'URL discovery failed (no sitemap match, no probe success)'
+        when not (success and length(markdown) >= 500) then coalesce(string_split(error_message, chr(10))[1], 'no markdown / too short') end as reason,
+   case feature when 'pricing' then regexp_extract(markdown, '[$][0-9]+/mo') when 'messaging' then regexp_extract(markdown, 'Headline [0-9]')
+     when 'signals' then case when contains(markdown, 'recruiter') then 'hr_people' else 'engineering' end else 'pricing_value' end as planted from fx_crawls)
+"""
+
+
+@query("snapshot_assembly", _CRAWL + """
+select company, cast(day as bigint) as day, feature, not ok as is_stale, reason as stale_reason, url is not null as attempted,
+  case when ok then planted end as found
+from g""")
+def q_assembly(spark, sf):
+    """Both crawls of every company, a row per feature the crawl had."""
+    rows = None
+    for day in (1, 2):
+        s = _crawl(spark, sf, day)
+        found = {"pricing": F.get("pricing.monthly_prices", F.lit(0)), "messaging": F.col("messaging.main_headline"),
+                 "signals": F.col("signals.biggest_hiring_push"), "complaints": F.get("complaints.top_complaint_categories", F.lit(0))}
+        per = F.array(*[F.when(F.col(f).isNotNull(), F.struct(
+            F.lit(f).alias("feature"), F.col(f"{f}.is_stale").alias("is_stale"), F.col(f"{f}.stale_reason").alias("stale_reason"),
+            F.col(f"{f}.attempted").alias("attempted"), v.alias("found"))) for f, v in found.items()])
+        d = s.select("company", F.lit(day).cast("bigint").alias("day"), T.explode_kept(per).alias("x")).filter(F.col("x").isNotNull()).select("company", "day", "x.*")
+        rows = d if rows is None else rows.unionByName(d)
+    return rows
+
+
+@query("crawl_to_changes", _CRAWL + """
+, v as (select company, feature, chr(39) || max(planted) filter (day = 1) || chr(39) as old, chr(39) || max(planted) filter (day = 2) || chr(39) as new
+  from g group by company, feature having bool_and(ok)),
+e as (select company, feature, 'NEW monthly prices: {' || new || '}' as message from v where feature = 'pricing' and old <> new
+  union all select company, feature, 'REMOVED monthly prices: {' || old || '}' from v where feature = 'pricing' and old <> new
+  union all select company, feature, 'HEADLINE CHANGED: ' || old || ' → ' || new from v where feature = 'messaging' and old <> new
+  union all select company, feature, 'HIRING FOCUS SHIFTED: ' || old || ' → ' || new from v where feature = 'signals' and old <> new)
+select company, feature, message from e""")
+def q_crawl_to_changes(spark, sf):
+    """Assembled crawls appended to a history, carried forward, read back and compared."""
+    path = _run_folder(spark, "crawls")
+    for day in (1, 2):
+        snapshots.append(_crawl(spark, sf, day), path)
+    history = spark.read.parquet(path).drop("snapshot_date")
+    ev = changes.change_events(snapshots.carry_forward(history))
+    return ev.select("company", "feature", "message")

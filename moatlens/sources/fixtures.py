@@ -193,7 +193,23 @@ select concat(t.pre, 'site', cast(p_partkey as string), t.post) as url,
 from part @@EXPAND t|pre, post, b|('https://jobs.lever.co/', '', 1), ('https://', '.workable.com', 2)@@
 """
 
+# Two crawls (day 1 and 2) of a company per part: targets with their fetches.
+FX_CRAWLS = """
+select concat('co', cast(p_partkey as string)) as company, t.day, t.feature,
+  case when (p_partkey + t.ord + t.day) % 9 <> 0 then concat('https://co', cast(p_partkey as string), '.com/', t.feature) end as url,
+  (p_partkey + 2 * t.ord + t.day) % 7 <> 0 as success,
+  case when (p_partkey + 2 * t.ord + t.day) % 7 = 0 and p_partkey % 2 = 0 then concat('Timeout 8000ms', chr(10), 'at page') end as error_message,
+  concat(case t.feature when 'pricing' then concat('# Pro plan $', cast(p_size + t.day * (p_partkey % 3) as string), '/mo')
+    when 'messaging' then concat('# Headline ', cast((p_partkey * t.day) % 3 as string))
+    when 'signals' then case when (p_partkey + t.day) % 2 = 0 then 'recruiter wanted' else 'devops wanted' end
+    else 'everybody here finds it overpriced' end, chr(10),
+    case when (p_partkey + t.ord) % 5 = 0 then 'short' else repeat('zzqx wvvk yyqj ', 40) end) as markdown
+from part @@EXPAND t|feature, ord, day|('pricing', 0, 1), ('messaging', 1, 1), ('signals', 2, 1), ('complaints', 3, 1), ('pricing', 0, 2), ('messaging', 1, 2), ('signals', 2, 2), ('complaints', 3, 2)@@
+where t.feature <> 'complaints' or p_partkey % 2 = 0
+"""
+
 VIEWS = {
+    "fx_crawls": FX_CRAWLS,
     "fx_pricing_pages": FX_PRICING_PAGES,
     "fx_messaging_pages": FX_MESSAGING_PAGES,
     "fx_review_pages": FX_REVIEW_PAGES,
