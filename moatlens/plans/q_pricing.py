@@ -14,7 +14,7 @@ from moatlens.sources import tables
 
 
 def _pricing(spark, sf):
-    return pricing.extract_pricing(X.fixture(spark, sf, "fx_pricing_pages"))
+    return pricing.extract_pricing(X.pages(spark, sf, "fx_pricing_pages"))
 
 
 @query("page_gate", f"""
@@ -36,7 +36,7 @@ _NORM = "list_transform({}, lambda p: regexp_replace(trim(p), '\\s+', ' ', 'g'))
 , m as (select page_id, company, {_NORM.format('(' + _M + ')')} as l from fx_pricing_pages)
 select page_id, company, {S.joined(S.dedupe('l'))} as monthly_prices, cast(len({S.dedupe('l')}) as bigint) as n_monthly from m""")
 def q_monthly(spark, sf):
-    df = X.fixture(spark, sf, "fx_pricing_pages").select(
+    df = X.pages(spark, sf, "fx_pricing_pages").select(
         "page_id", "company", pricing.monthly_prices(F.col("markdown")).alias("l"))
     return df.select("page_id", "company", T.join(F.col("l")).alias("monthly_prices"),
                      F.size("l").cast("bigint").alias("n_monthly"))
@@ -46,7 +46,7 @@ def q_monthly(spark, sf):
 , m as (select page_id, company, {_NORM.format('(' + _A + ')')} as l from fx_pricing_pages)
 select page_id, company, {S.joined(S.dedupe('l'))} as annual_prices, cast(len({S.dedupe('l')}) as bigint) as n_annual from m""")
 def q_annual(spark, sf):
-    df = X.fixture(spark, sf, "fx_pricing_pages").select(
+    df = X.pages(spark, sf, "fx_pricing_pages").select(
         "page_id", "company", pricing.annual_prices(F.col("markdown")).alias("l"))
     return df.select("page_id", "company", T.join(F.col("l")).alias("annual_prices"),
                      F.size("l").cast("bigint").alias("n_annual"))
@@ -77,21 +77,21 @@ tc as (select page_id, list_transform(raw, lambda x: upper(left(x, 1)) || lower(
 
 @query("tier_names", _TIERS_SQL + f"select page_id, {S.joined(S.dedupe('l'))} as tiers_found from tc")
 def q_tiers(spark, sf):
-    df = X.fixture(spark, sf, "fx_pricing_pages")
+    df = X.pages(spark, sf, "fx_pricing_pages")
     return df.select("page_id", T.join(pricing.tier_names(F.col("markdown"))).alias("tiers_found"))
 
 
 @query("pricing_models", X.cte("fx_pricing_pages") + f"""
 select page_id, {S.joined(S.classes('lower(markdown)', L.PRICING_MODELS))} as pricing_model from fx_pricing_pages""")
 def q_models(spark, sf):
-    df = X.fixture(spark, sf, "fx_pricing_pages")
+    df = X.pages(spark, sf, "fx_pricing_pages")
     return df.select("page_id", T.join(pricing.pricing_models(F.lower("markdown"))).alias("pricing_model"))
 
 
 @query("trial_offers", X.cte("fx_pricing_pages") + f"""
 select page_id, {S.joined(S.classes('lower(markdown)', L.TRIAL_OFFERS))} as trial_offers from fx_pricing_pages""")
 def q_trials(spark, sf):
-    df = X.fixture(spark, sf, "fx_pricing_pages")
+    df = X.pages(spark, sf, "fx_pricing_pages")
     return df.select("page_id", T.join(pricing.trial_offers(F.lower("markdown"))).alias("trial_offers"))
 
 
@@ -106,7 +106,7 @@ _VALS_SQL = X.cte("fx_pricing_pages") + f"""
 select page_id, case when len(vals) > 0 then '$' || cast(list_min(vals) as varchar) end as price_lowest,
   case when len(vals) > 0 then '$' || cast(list_max(vals) as varchar) end as price_highest from v""")
 def q_range(spark, sf):
-    df = X.fixture(spark, sf, "fx_pricing_pages").select(
+    df = X.pages(spark, sf, "fx_pricing_pages").select(
         "page_id", pricing.price_values(F.col("markdown")).alias("v"))
     return df.select("page_id", pricing.price_label(F.array_min("v")).alias("price_lowest"),
                      pricing.price_label(F.array_max("v")).alias("price_highest"))

@@ -18,7 +18,7 @@ def _name_scores(col, score="score"):
 
 # ------------------------------------------------------------- messaging ----
 def _msg(spark, sf):
-    return messaging.extract_messaging(X.fixture(spark, sf, "fx_messaging_pages"))
+    return messaging.extract_messaging(X.pages(spark, sf, "fx_messaging_pages"))
 
 
 def _heads(pat):
@@ -39,7 +39,7 @@ select page_id,
   array_to_string(list_slice(h2, 1, {L.N_SUBHEADLINES}), '|') as subheadlines,
   array_to_string(list_slice(h3, 1, {L.N_H3}), '|') as h3_messages, cast(len(h1) as bigint) as n_h1 from mm""")
 def q_headings(spark, sf):
-    df = X.fixture(spark, sf, "fx_messaging_pages")
+    df = X.pages(spark, sf, "fx_messaging_pages")
     from moatlens.operators.pages import headings
     h = df.select("page_id", headings(F.col("markdown"), L.H1_PATTERN).alias("h1"))
     m = _msg(spark, sf).select("page_id", "main_headline", T.join(F.col("subheadlines")).alias("subheadlines"),
@@ -103,7 +103,7 @@ def q_buzz(spark, sf):
 
 # ------------------------------------------------------------ complaints ----
 def _cmp(spark, sf):
-    return complaints.extract_complaints(X.fixture(spark, sf, "fx_review_pages"))
+    return complaints.extract_complaints(X.pages(spark, sf, "fx_review_pages"))
 
 
 _CMP = X.cte("fx_review_pages") + f"""
@@ -118,7 +118,7 @@ cc as (select *, lower(array_to_string(lines, chr(10))) as low from rl)
 select page_id, cast(len(lines) as bigint) as n_lines, array_to_string(lines, chr(10)) as clean_text from cc""")
 def q_review_lines(spark, sf):
     from moatlens.operators.pages import review_lines
-    df = X.fixture(spark, sf, "fx_review_pages").select("page_id", review_lines(F.col("markdown")).alias("l"))
+    df = X.pages(spark, sf, "fx_review_pages").select("page_id", review_lines(F.col("markdown")).alias("l"))
     return df.select("page_id", F.size("l").cast("bigint").alias("n_lines"), F.array_join("l", "\n").alias("clean_text"))
 
 
@@ -171,7 +171,7 @@ select page_id, array_to_string(list_filter(list_transform({S.findall('markdown'
    lambda m: lower({S.strip('m')})), lambda n: length(n) >= {L.COMPETITOR_MIN_CHARS} and n <> own
    and not list_contains({S.sql_list(L.COMPETITOR_STOP_WORDS)}, n)), '|') as candidates from cc""")
 def q_candidates(spark, sf):
-    df = X.fixture(spark, sf, "fx_review_pages")
+    df = X.pages(spark, sf, "fx_review_pages")
     own = F.lower(T.strip(F.col("company")))
     return df.select("page_id", T.join(complaints.competitor_candidates(F.col("markdown"), own)).alias("candidates"))
 
@@ -205,7 +205,7 @@ def q_lean(spark, sf):
 
 # --------------------------------------------------------------- signals ----
 def _sig(spark, sf):
-    return signals.extract_signals(X.fixture(spark, sf, "fx_jobs_pages"))
+    return signals.extract_signals(X.pages(spark, sf, "fx_jobs_pages"))
 
 
 _SIG = X.cte("fx_jobs_pages") + ", jj as (select page_id, lower(markdown) as low from fx_jobs_pages)\n"

@@ -257,6 +257,15 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def pages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A page view, dealt out by page id.
+
+    The test tables are one unsplittable file each, while extraction is
+    CPU-bound; real page tables of many files need no such shuffle.
+    """
+    return fixture(spark, sf_dir, name).repartition(2 * spark.sparkContext.defaultParallelism, "page_id")
+
+
 def cte(*names: str) -> str:
     """``WITH`` clause defining the named views, for oracle SQL."""
     return "with " + ",\n".join(f"{n} as ({render(n, 'duckdb')})" for n in names) + "\n"
