@@ -224,6 +224,7 @@ MAX_SNAPSHOT_ARCHIVES = 10
 MIN_PAGE_CHARS = 500
 PAGE_ERROR_DEFAULT = "no markdown / too short"
 PAGE_ERROR_CHARS = 200
+REVIEW_URL_PREFIX = "https://www.capterra.com/p/"
 URL_DISCOVERY_FAILED = "URL discovery failed (no sitemap match, no probe success)"
 SHARE_SPIKE_FACTOR = 1.5
 SHARE_SPIKE_FLOOR = 0.05

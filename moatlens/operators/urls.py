@@ -81,31 +81,40 @@ def url_path(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("/")), F.element_at(F.split(after, "/", 2), -1)).otherwise(F.lit(""))
 
 
-def pick_url(locs: DataFrame, keywords=L.DISCOVERY_KEYWORDS) -> DataFrame:
-    """Best URL per (domain, feature): lowest keyword index, then shortest path, then text."""
+def sitemap_candidates(locs: DataFrame, keywords=L.DISCOVERY_KEYWORDS) -> DataFrame:
+    """(domain, feature, a, b, url) of the URLs with a keyword: a is its place in the list, b the length of the path."""
     feats = F.array(*[F.struct(F.lit(f).alias("feature"), T.lit_array(kws).alias("kws")) for f, kws in keywords])
     x = locs.select("domain", "loc", F.explode(feats).alias("f"))
     idx = T.first(F.filter(F.transform(F.col("f.kws"), lambda k, i: F.when(F.contains(F.lower("loc"), k), i)),
                            lambda i: i.isNotNull()))
-    x = x.select("domain", F.col("f.feature").alias("feature"), idx.alias("kw_idx"),
-                 F.length(url_path(F.col("loc"))).alias("path_len"), "loc").filter(F.col("kw_idx").isNotNull())
-    best = x.groupBy("domain", "feature").agg(F.min(F.struct("kw_idx", "path_len", "loc")).alias("b"))
-    return best.select("domain", "feature", F.col("b.loc").alias("url"))
+    return x.select("domain", F.col("f.feature").alias("feature"), idx.alias("a"),
+                    F.length(url_path(F.col("loc"))).alias("b"), F.col("loc").alias("url")).filter(F.col("a").isNotNull())
 
 
-def probe_pick(probes: DataFrame, paths=L.FALLBACK_PATHS, min_chars: int = L.PROBE_MIN_CHARS) -> DataFrame:
-    """First fallback path (priority order) whose probe succeeded with enough content.
+def pick_url(locs: DataFrame, keywords=L.DISCOVERY_KEYWORDS) -> DataFrame:
+    """Best URL per (domain, feature): lowest keyword index, then shortest path, then text."""
+    best = sitemap_candidates(locs, keywords).groupBy("domain", "feature").agg(F.min(F.struct("a", "b", "url")).alias("c"))
+    return best.select("domain", "feature", F.col("c.url").alias("url"))
+
 
-    ``probes(domain, path, success, n_chars)`` is the fetch log of the probes.
+def probe_candidates(probes: DataFrame, paths=L.FALLBACK_PATHS, min_chars: int = L.PROBE_MIN_CHARS) -> DataFrame:
+    """(domain, feature, a, b, url) of the probes that succeeded with enough content: a is the place of the path.
+
+    ``probes(domain, path, success, n_chars)`` is the fetch log of the probes;
+    the few fallback paths are literals, so nothing is joined.
     """
-    cand = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(p).alias("path"), F.lit(i).alias("cand_ord"))
+    cand = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(p).alias("path"), F.lit(i).alias("a"))
                      for f, ps in paths for i, p in enumerate(ps)])
-    c = probes.filter(F.coalesce(F.col("success"), F.lit(False)) & (F.col("n_chars") >= min_chars)) \
-        .select("domain", "path")
-    lit_c = c.sparkSession.range(1).select(F.explode(cand).alias("c")).select("c.*")
-    ok = c.join(F.broadcast(lit_c), "path")  # literal candidate list: a handful of rows
-    best = ok.groupBy("domain", "feature").agg(F.min_by("path", "cand_ord").alias("path"))
-    return best.select("domain", "feature", F.concat(F.lit("https://"), F.col("domain"), F.col("path")).alias("url"))
+    ok = probes.filter(F.coalesce(F.col("success"), F.lit(False)) & (F.col("n_chars") >= min_chars))
+    hit = ok.select("domain", "path", T.explode_kept(F.filter(cand, lambda c: c["path"] == F.col("path"))).alias("c")).filter(F.col("c").isNotNull())
+    return hit.select("domain", F.col("c.feature").alias("feature"), F.col("c.a").alias("a"), F.lit(0).alias("b"),
+                      F.concat(F.lit("https://"), F.col("domain"), F.col("path")).alias("url"))
+
+
+def probe_pick(probes: DataFrame, paths=L.FALLBACK_PATHS, min_chars: int = L.PROBE_MIN_CHARS) -> DataFrame:
+    """First fallback path (priority order) whose probe succeeded with enough content."""
+    best = probe_candidates(probes, paths, min_chars).groupBy("domain", "feature").agg(F.min_by("url", "a").alias("url"))
+    return best.select("domain", "feature", "url")
 
 
 def company_slug(name: Column) -> Column:
@@ -148,35 +157,42 @@ def domain_reachability(fetch_log: DataFrame) -> DataFrame:
     return fetch_log.groupBy("domain").agg(F.bool_or(reachable(F.col("success"), F.col("error_message"))).alias("reachable"))
 
 
+def review_url(review_id: Column, review_slug: Column) -> Column:
+    """The review page of a company whose id and slug are known."""
+    return F.when((F.coalesce(review_id, F.lit("")) != "") & (F.coalesce(review_slug, F.lit("")) != ""),
+                  F.concat(F.lit(L.REVIEW_URL_PREFIX), review_id, F.lit("/"), review_slug, F.lit("/reviews/")))
+
+
 def resolve_urls(domains: DataFrame, locs: DataFrame, probes: DataFrame, ats: DataFrame | None = None) -> DataFrame:
-    """Sitemap pick, else probe pick, else (signals only) job board; homepage always.
+    """Sitemap pick, else probe pick, else (signals only) job board; homepage always; review page where known.
 
-    ``domains(domain, company)``; unreachable domains keep only the homepage.
+    ``domains(domain, company[, review_id, review_slug])``; unreachable domains
+    keep only the homepage and the review page, which isn't theirs. All
+    candidates and the probes' signs of life are rows of one table and one
+    aggregate on the domain picks among them.
     """
-    reach = domain_reachability(probes)
-    sm = pick_url(locs).groupBy("domain").pivot("feature", [f for f, _ in L.DISCOVERY_KEYWORDS]).agg(F.first("url"))
-    pr = probe_pick(probes).groupBy("domain").pivot("feature", [f for f, _ in L.FALLBACK_PATHS]).agg(F.first("url"))
-    d = domains.join(reach, "domain", "left") \
-        .join(sm.select("domain", F.col("pricing").alias("sm_pricing"), F.col("signals").alias("sm_signals")), "domain", "left") \
-        .join(pr.select("domain", F.col("pricing").alias("pr_pricing"), F.col("signals").alias("pr_signals")), "domain", "left")
+    none = lambda t: F.lit(None).cast(t)
+    cols = ["domain", "feature", "rank", "a", "b", "url", "alive"]
+    rows = sitemap_candidates(locs).withColumn("rank", F.lit(0)).withColumn("alive", none("boolean")).select(cols)
+    rows = rows.unionByName(probe_candidates(probes).withColumn("rank", F.lit(1)).withColumn("alive", none("boolean")).select(cols))
+    rows = rows.unionByName(probes.select("domain", none("string").alias("feature"), none("int").alias("rank"), none("int").alias("a"), none("int").alias("b"),
+                                          none("string").alias("url"), reachable(F.col("success"), F.col("error_message")).alias("alive")))
     if ats is not None:
-        d = d.join(ats.select("company", F.col("url").alias("ats_signals")), "company", "left")
-    else:
-        d = d.withColumn("ats_signals", F.lit(None).cast("string"))
-    alive = F.coalesce(F.col("reachable"), F.lit(True))
-
-    def src(*pairs):
-        e = None
-        for name, col in pairs:
-            e = F.when(F.col(col).isNotNull(), F.lit(name)) if e is None else e.when(F.col(col).isNotNull(), F.lit(name))
-        return F.when(alive, e)
+        jobs = ats.select("company", "url").join(domains.select("company", "domain"), "company")
+        rows = rows.unionByName(jobs.select("domain", F.lit("signals").alias("feature"), F.lit(2).alias("rank"), F.lit(0).alias("a"), F.lit(0).alias("b"),
+                                            "url", none("boolean").alias("alive")))
+    pick = lambda f: F.min(F.when(F.col("feature") == f, F.struct("rank", "a", "b", "url"))).alias(f)
+    best = rows.groupBy("domain").agg(pick("pricing"), pick("signals"), F.bool_or("alive").alias("_alive"))
+    d = domains.join(best, "domain", "left")
+    alive = F.coalesce("_alive", F.lit(True))
+    source = lambda f: F.when(alive, F.get(F.array(*[F.lit(x) for x in ("sitemap", "probe", "ats")]), F.col(f"{f}.rank")))
+    known = "review_id" in domains.columns and "review_slug" in domains.columns
     return d.select(
         "domain", "company", alive.alias("reachable"),
-        F.when(alive, F.coalesce("sm_pricing", "pr_pricing")).alias("pricing_url"),
-        src(("sitemap", "sm_pricing"), ("probe", "pr_pricing")).alias("pricing_source"),
+        F.when(alive, F.col("pricing.url")).alias("pricing_url"), source("pricing").alias("pricing_source"),
         F.concat(F.lit("https://"), F.col("domain")).alias("messaging_url"),
-        F.when(alive, F.coalesce("sm_signals", "pr_signals", "ats_signals")).alias("signals_url"),
-        src(("sitemap", "sm_signals"), ("probe", "pr_signals"), ("ats", "ats_signals")).alias("signals_source"))
+        F.when(alive, F.col("signals.url")).alias("signals_url"), source("signals").alias("signals_source"),
+        (review_url(F.col("review_id"), F.col("review_slug")) if known else none("string")).alias("complaints_url"))
 
 
 def domain_normalize(raw: Column) -> Column:

@@ -112,7 +112,8 @@ select dm.domain, dm.company, coalesce(rc.reachable, true) as reachable,
   'https://' || dm.domain as messaging_url,
   case when coalesce(rc.reachable, true) then coalesce(ss.url, ps.url, ats.url) end as signals_url,
   case when coalesce(rc.reachable, true) then case when ss.url is not null then 'sitemap' when ps.url is not null then 'probe'
-       when ats.url is not null then 'ats' end end as signals_source
+       when ats.url is not null then 'ats' end end as signals_source,
+  case when cast(substr(dm.company, 5) as bigint) % 3 = 0 then 'https://www.capterra.com/p/' || substr(dm.company, 5) || '/' || dm.company || '/reviews/' end as complaints_url
 from dm left join rc using (domain)
 left join picks sp on sp.domain = dm.domain and sp.feature = 'pricing'
 left join picks ss on ss.domain = dm.domain and ss.feature = 'signals'
@@ -121,6 +122,8 @@ left join probe ps on ps.domain = dm.domain and ps.feature = 'signals'
 left join ats on ats.company = dm.company""")
 def q_resolve(spark, sf):
     domains = X.fixture(spark, sf, "fx_sitemaps").select("domain", F.replace(F.col("domain"), F.lit(".com"), F.lit("")).alias("company")).distinct()
+    number = F.substring("company", 5, 20)
+    domains = domains.select("*", F.when(number.cast("bigint") % 3 == 0, number).alias("review_id"), F.col("company").alias("review_slug"))
     ats = U.ats_pick(U.ats_candidates(domains.select("company")), X.fixture(spark, sf, "fx_ats_probes"))
     return U.resolve_urls(domains, _locs(spark, sf), X.fixture(spark, sf, "fx_probes"), ats)
 
