@@ -55,6 +55,8 @@ def bucketed(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
     """
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     hot = snaps.groupBy(key).count().filter(F.col("count") > rows_per_bucket)
+    if hot.isEmpty():
+        return snaps.withColumn("_b", F.lit(0).cast("long"))
     cuts = [i / _CUTS for i in range(1, _CUTS)]
     edges = snaps.select(key, t.alias("_t")).join(hot.select(key), key, "left_semi").groupBy(key).agg(
         F.array_distinct(F.percentile_approx("_t", cuts, F.lit(10_000))).alias("_edges"))
