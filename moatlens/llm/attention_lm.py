@@ -24,6 +24,7 @@ alike, each; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +60,7 @@ def lower_words(text: str | None) -> list[bytes]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over (text) rows; each task adds up its own words first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[bytes, int] = {}
+        own: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
             b = pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["word", "c"])
@@ -68,8 +69,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for t in b.column(0):
-                for w in lower_words(t.as_py()):
-                    own[w] = own.get(w, 0) + 1
+                own.update(lower_words(t.as_py()))
                 if len(own) >= COUNT_WORDS:
                     yield out()
         if own:
