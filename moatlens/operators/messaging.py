@@ -62,7 +62,7 @@ def extract_messaging(df: DataFrame, text_col: str = "markdown") -> DataFrame:
     low, hlow, n, hn = F.col("_low"), F.col("_hlow"), F.col("_n"), F.col("_hn")
     out = stage.select(
         "*",
-        longest_first(F.col("_h1")).alias("main_headline"),
+        longest_first(F.col("_h1")).alias("main_headline"), F.size("_h1").alias("n_h1"),
         F.slice("_h2", 1, L.N_SUBHEADLINES).alias("subheadlines"),
         F.slice("_h3", 1, L.N_H3).alias("h3_messages"),
         bucket_rank(low, hlow, L.SEGMENTS, n, hn).alias("target_segments"),

@@ -39,12 +39,8 @@ select page_id,
   array_to_string(list_slice(h2, 1, {L.N_SUBHEADLINES}), '|') as subheadlines,
   array_to_string(list_slice(h3, 1, {L.N_H3}), '|') as h3_messages, cast(len(h1) as bigint) as n_h1 from mm""")
 def q_headings(spark, sf):
-    df = X.pages(spark, sf, "fx_messaging_pages")
-    from moatlens.operators.pages import headings
-    h = df.select("page_id", headings(F.col("markdown"), L.H1_PATTERN).alias("h1"))
-    m = _msg(spark, sf).select("page_id", "main_headline", T.join(F.col("subheadlines")).alias("subheadlines"),
-                               T.join(F.col("h3_messages")).alias("h3_messages"))
-    return m.join(h.select("page_id", F.size("h1").cast("bigint").alias("n_h1")), "page_id")
+    return _msg(spark, sf).select("page_id", "main_headline", T.join(F.col("subheadlines")).alias("subheadlines"),
+                                  T.join(F.col("h3_messages")).alias("h3_messages"), F.col("n_h1").cast("bigint").alias("n_h1"))
 
 
 def _bucket(lex):

@@ -44,3 +44,20 @@ def test_statement_metrics_single_aggregate(spark):
 def test_unused_columns_not_read(spark):
     p = _plan(QUERIES["patent_counts"](spark, SF01))
     assert "l_suppkey" in p and "l_extendedprice" not in p
+
+
+
+
+@pytest.mark.parametrize(("key", "most"), [("change_report", 3), ("stale_carry_forward", 3), ("diff_pricing", 3), ("resolve_urls", 6), ("snapshot_latest", 2)])
+def test_shuffles_at_small_scale(spark, key, most):
+    # as planned, before any broadcast is chosen at run time
+    p = _plan(QUERIES[key](spark, SF01)).split("Initial Plan")[-1]
+    assert p.count("Exchange hashpartitioning") <= most, p
+
+
+def test_no_file_listing_on_the_driver():
+    import pathlib
+
+    import moatlens
+    for f in pathlib.Path(moatlens.__file__).parent.rglob("*.py"):
+        assert "inputFiles" not in f.read_text()
