@@ -47,7 +47,9 @@ RATIO = 1.5
 #: Rounds with one leader a segment after the first, before all pairs between components are formed.
 STARS = 3
 #: Leaders that a member is verified against in such a round.
-BEST = 2
+BEST = 1
+#: Bytes of a shingle's hash that verification compares: 2**-48 is the chance that two differ unseen.
+HASH_BYTES = 6
 MASK = (1 << 64) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _32, _29, _31 = np.uint64(32), np.uint64(29), np.uint64(31)
@@ -154,16 +156,26 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
 
 def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """(cid, members): the hashes of every set as bytes."""
+    """(cid, members): the upper HASH_BYTES of the hashes of every set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [s for t in b.column(0) if len(s := shingles(t.as_py(), n))]
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in got], pa.int64()), pa.array([_packed(s) for s in got], pa.binary())],
                                              names=["cid", "members"])
 
     return docs.select(text_col).mapInArrow(run, "cid long, members binary")
 
 
+def _packed(s: np.ndarray) -> bytes:
+    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES:]).tobytes()
+
+
+def _unpacked(b: pa.Buffer) -> np.ndarray:
+    out = np.zeros((b.size // HASH_BYTES, 8), np.uint8)
+    out[:, 8 - HASH_BYTES:] = np.frombuffer(b, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel()
+
+
 def _far() -> Column:
     """Hamming distance of the bit sketches of a pair (a_*, b_*)."""
     bits = [F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(LONGS)]
@@ -188,7 +200,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, t
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                u, v = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(100 * both >= pct * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -229,16 +241,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         p = written(p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
         return p, written(_verified(p, docs, classes, "doc_id", "text", n, pct).distinct(), "join-links")
 
-    def parted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components, and the written (key, cid, comp) of segments where several of them meet."""
+    def parted(links: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components, and the written (key, cid, comp) of those segments of ``rows`` where several of them meet."""
         comp = components(links)
-        placed = met.select("key", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select(
+        placed = rows.select("key", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select(
             "key", "cid", F.coalesce("comp", "cid").alias("comp"))
         several = placed.selectExpr("key", "cid", "comp", "min(comp) over (partition by key) as lo", "max(comp) over (partition by key) as hi")
         return comp, written(several.where("lo <> hi").select("key", "cid", "comp"), "join-mixed")
 
     tested, links = judged(met.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")), BEST)
-    comp, mixed = parted(links)
+    comp, mixed = parted(links, met)
     for r in range(STARS):  # other leaders, another one in each segment
         lead = f"min(struct(xxhash64(key, cid, {r}) as h, cid as cid, comp as comp)) over (partition by key) as lead"
         star = mixed.selectExpr("cid", "comp", lead).where("comp <> lead.comp").select(F.col("cid").alias("a"), F.col("lead.cid").alias("b"))
@@ -247,7 +259,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        comp, mixed = parted(links)
+        comp, mixed = parted(links, mixed)
     # what is left: all pairs of different components that meet in a segment
     mixed = mixed.join(facts, "cid")
     a = mixed.select("key", *[F.col(c).alias(f"a_{c}") for c in ("cid", "comp", "n", "bits")])
