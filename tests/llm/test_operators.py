@@ -173,8 +173,10 @@ def test_join_equals_brute_force(spark):
         w = [rng.choice(words) for _ in range(rng.choice([1, 3, 5, 8, 14, 20, 33, 60, 110, 260]))]
         for _ in range(9):
             v = list(w)
-            for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5]) if v else 0):
-                k = rng.randrange(len(v) or 1)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5])):
+                k = rng.randrange(len(v)) if v else 0
+                if not v:
+                    break
                 v[k:k + 1] = rng.choice([[rng.choice(words)], [], [v[k], "Extra"]])
             texts.append((len(texts) * 3 % 997, " ".join(v)))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs(spark, texts)).collect()}
