@@ -24,6 +24,7 @@ alike, each; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,12 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moatlens.llm.common import written
+from moatlens.llm.merges import ManyWords
 from moatlens.llm.pieces import PieceModel, _blob, _model
 
 FOLDS = 10
 ALPHA = 0.1
 HEAD = 100_000
-CACHE = 300_000
+CACHE = 1_000_000
 SPAN, STEP = 16, 12
 DIM, CLASSES, GROUPS = 16, 64, 24
 SLOTS, BACKOFF = 1024, 20.0
@@ -78,23 +80,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def encode_word(model: PieceModel, word: bytes) -> list[int]:
-    return model.encode(word.decode("utf-8"))[0]
-
-
 def transitions(counts: DataFrame, blob) -> DataFrame:
     """(a, b, n) over the counted words: piece b follows piece a; BEGIN and END stand before and after a word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(blob.value)
+        many = ManyWords(m)
         for b in batches:
-            steps, weight = [], []
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = encode_word(m, w)
-                steps += [BEGIN, *got]
-                steps.append(END)
-                weight += [c] * (len(got) + 1)
-                weight.append(0)  # from one word's END to the next BEGIN: no step
-            x = np.array(steps, np.int64)
+            if not len(b):
+                continue
+            ids, size = many.encode([w.decode("utf-8") for w in b.column(0).to_pylist()])
+            last = np.cumsum(size + 2) - 1
+            x = np.full(len(ids) + 2 * len(size), END)
+            x[last - size - 1] = BEGIN
+            inner = np.ones(len(x), bool)
+            inner[last] = inner[last - size - 1] = False
+            x[inner] = ids
+            weight = np.repeat(b.column(1).to_numpy(), size + 2)
+            weight[last] = 0  # from one word's END to the next BEGIN: no step
             key, at = np.unique(x[:-1] * len(m.pieces) + x[1:], return_inverse=True)
             n = np.bincount(at, weight[:-1], len(key))
             key, n = key[n > 0], n[n > 0]
@@ -310,24 +312,49 @@ def train(sequences: list[np.ndarray], cls: np.ndarray, seed: int = 5) -> dict:
 
 
 class Words:
-    """A task's words: piece ids and base log probability of each, kept while few."""
+    """A task's words: piece ids, all in one array, and base log probability of each; emptied when CACHE are kept."""
 
     def __init__(self, model: PieceModel, head: dict[bytes, float]):
-        self.model, self.head, self.at = model, head, {}
-        self.ids: list[list[int]] = []
-        self.base: list[float] = []
+        self.many, self.head = ManyWords(model), head
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.ids, self.start, self.size, self.base = array("q"), array("q"), array("q"), array("d")
 
-    def of(self, words: list[bytes]) -> list[int]:
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Numbers of the words of every text."""
         if len(self.at) > CACHE:
-            self.at, self.ids, self.base = {}, [], []
-        at, out = self.at, []
-        for w in words:
-            i = at.get(w)
-            if i is None:
-                i = at[w] = len(self.ids)
-                self.ids.append(encode_word(self.model, w))
-                self.base.append(self.head.get(w, math.nan))
-            out.append(i)
+            self.clear()
+        at, get = self.at, self.at.get
+        out = [[get(w) for w in words] for words in texts]
+        open_ = [k for k, numbers in enumerate(out) if None in numbers]
+        self._add(list(dict.fromkeys(w for k in open_ for w, i in zip(texts[k], out[k], strict=True) if i is None)))
+        for k in open_:
+            out[k] = [at[w] if i is None else i for w, i in zip(texts[k], out[k], strict=True)]
+        return [np.array(numbers, np.int64) for numbers in out]
+
+    def _add(self, words: list[bytes]) -> None:
+        ids, size = self.many.encode([w.decode("utf-8") for w in words])
+        first = len(self.ids) + np.cumsum(size) - size
+        self.at.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
+        self.ids.frombytes(ids.astype(np.int64).tobytes())
+        self.start.frombytes(first.astype(np.int64).tobytes())
+        self.size.frombytes(size.astype(np.int64).tobytes())
+        self.base.extend(self.head.get(w, math.nan) for w in words)
+
+    def logs(self, numbers: np.ndarray) -> np.ndarray:
+        """Base log probabilities, nan for words that aren't frequent."""
+        return np.frombuffer(self.base)[numbers] if len(numbers) else np.empty(0)
+
+    def pieces(self, numbers: np.ndarray) -> np.ndarray:
+        """Piece ids of the words, one after the other, and END."""
+        out = np.array([END], np.int64)
+        if len(numbers):
+            size = np.frombuffer(self.size, np.int64)[numbers]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(np.frombuffer(self.start, np.int64)[numbers] - ends + size, size)
+            out = np.append(np.frombuffer(self.ids, np.int64)[at], END)
         return out
 
 
@@ -353,7 +380,7 @@ def scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     sample = training.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE).toLocalIterator()
     sequences, room = [], SAMPLE_IDS
     for r in sample:
-        s = [i for w in lower_words(r["text"])[:room] for i in encode_word(model, w)][:room] + [END]
+        s = [i for w in lower_words(r["text"])[:room] for i in model.encode(w.decode("utf-8"))[0]][:room] + [END]
         room -= len(s)
         sequences.append(np.array(s, np.int64))
         if room <= 0:
@@ -369,23 +396,17 @@ def scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
                 size, head_sum, head_n, rare, times, seqs = [], [], [], [], [], []
-                for t in b.column(2):
-                    w = lower_words(t.as_py())
-                    at = words.of(w)
-                    ids, base = words.ids, words.base
-                    lp = np.array([base[i] for i in at])
+                texts = [lower_words(t.as_py()) for t in b.column(2)]
+                for w, at in zip(texts, words.of(texts), strict=True):
+                    lp = words.logs(at)
                     out = np.isnan(lp)
                     size.append(len(w) + 1)
                     head_sum.append(float(np.where(out, 0, lp).sum()))
-                    head_n.append(int((~out).sum()))
-                    left: dict[bytes, int] = {}
-                    for i in np.flatnonzero(out):
-                        left[w[i]] = left.get(w[i], 0) + 1
+                    head_n.append(len(w) - int(out.sum()))
+                    left = Counter([w[i] for i in np.flatnonzero(out)])
                     rare.append(list(left))
                     times.append(list(left.values()))
-                    s = [i for k in at for i in ids[k]]
-                    s.append(END)
-                    seqs.append(np.array(s, np.int64))
+                    seqs.append(words.pieces(at))
                 score = scorer.log10(np.concatenate(seqs), np.array([len(s) for s in seqs]))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(head_n, pa.int64()), pa.array(head_sum, pa.float64()), pa.array(score),
