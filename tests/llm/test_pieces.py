@@ -103,3 +103,17 @@ def test_tables(spark):
     spans = {r["id"]: r for r in encoded(df, path).collect()}
     assert spans[3]["starts"][0] == 0 and spans[3]["ends"][-1] == 5
     assert tokenised(df.drop("ids"), path).where("n_tokens = 0").count() == 2
+
+
+def test_many_words_merge_as_one_does(model):
+    from moatlens.llm.merges import ManyWords
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshr,.é日🙂▁<0") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    words += ["the", "a" * 500, "!!!!", "", "ab" * 40]
+    ids, size = ManyWords(model).encode(words)
+    at = 0
+    for w, n in zip(words, size, strict=True):
+        assert list(ids[at:at + n]) == model.encode(w or "")[0] or not w
+        at += n
+    assert at == len(ids)
+    assert [len(x) for x in ManyWords(model).encode([])] == [0, 0]
