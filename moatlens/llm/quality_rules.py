@@ -61,10 +61,11 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     out = docs.select("*", by_words.alias("qr_w"), by_lines.alias("qr_l"),
                       F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("qr_n_symbols"))
-    out = out.withColumn("qr_n_repeat_words", covered_words(F.col("qr_w.grams")))
-    return out.select(*docs.columns, F.col("qr_w.n_words").alias("qr_n_words"), F.col("qr_w.word_chars").alias("qr_word_chars"),
-                      "qr_n_symbols", F.col("qr_l.n_lines").alias("qr_n_lines"), F.col("qr_l.n_dup_lines").alias("qr_n_dup_lines"),
-                      "qr_n_repeat_words")
+    # as a generator of one row: a filter on the counts isn't pushed below it, where it would count again for each use
+    return out.select(*docs.columns, F.inline(F.array(F.struct(
+        F.col("qr_w.n_words").alias("qr_n_words"), F.col("qr_w.word_chars").alias("qr_word_chars"), "qr_n_symbols",
+        F.col("qr_l.n_lines").alias("qr_n_lines"), F.col("qr_l.n_dup_lines").alias("qr_n_dup_lines"),
+        covered_words(F.col("qr_w.grams")).alias("qr_n_repeat_words")))))
 
 
 def _floor_div(a: Column, b: Column) -> Column:
