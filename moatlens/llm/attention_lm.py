@@ -10,8 +10,8 @@ the id within its class follows the id before it, by transition counts over
 all training documents (dense for the ``SLOTS`` most frequent ids, backing off
 to the id's share of its class). Classes are groups of ids with like
 neighbours, cut by count into about equal shares. Embeddings, attention and
-groups are trained in numpy on a bounded sample (``SAMPLE`` documents, the
-least by hash of the id, ``SAMPLE_IDS`` ids in all). Texts are scored whole:
+groups are trained in numpy on a bounded sample (``SAMPLE`` documents,
+chosen by hash of the id, ``SAMPLE_IDS`` ids in all). Texts are scored whole:
 windows of ``SPAN`` ids overlap, every id is scored once, with at least
 ``SPAN - STEP`` ids before it after the first window, many windows at a time
 under one mask.
@@ -381,7 +381,9 @@ def scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     pieces = np.zeros(len(model.pieces))
     for r in steps.where(F.col("b") != END).groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most a row per id
         pieces[r["b"]] = r["n"]
-    sample = training.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE).toLocalIterator()
+    # by a bound on the hash: about twice SAMPLE rows are left before the limit, at any size
+    some = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE / max(ends, 1)))
+    sample = training.where(some).select("text").limit(SAMPLE).toLocalIterator()
     sequences, room = [], SAMPLE_IDS
     for r in sample:
         s = [i for w in lower_words(r["text"])[:room] for i in model.encode(w.decode("utf-8"))[0]][:room] + [END]
