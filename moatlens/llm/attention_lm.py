@@ -9,9 +9,14 @@ an end id. One causal head over ``SPAN`` ids predicts the class of the next id;
 the id within its class follows the id before it, by transition counts over
 all training documents (dense for the ``SLOTS`` most frequent ids, backing off
 to the id's share of its class). Classes are groups of ids with like
-neighbours, cut by count into about equal shares. Embeddings, attention and
-groups are trained in numpy on a bounded sample (``SAMPLE`` documents,
-chosen by hash of the id, ``SAMPLE_IDS`` ids in all). Texts are scored whole:
+neighbours, cut by count into about equal shares; neighbours are counted over
+all training documents. Embeddings, attention and class weights are trained in
+numpy on every id of all training documents: these are dealt by hash into parts
+of about ``PART`` words, the parts are trained on in the tasks from one common
+start, and what they move the parameters by is summed, weighted by the ids that
+each part trained on. The start is the model of the first part, after
+``EPOCHS`` passes over it. Parts don't depend on how the input is split, and the
+sums are of whole numbers, so reruns agree. Texts are scored whole:
 windows of ``SPAN`` ids overlap, every id is scored once, with at least
 ``SPAN - STEP`` ids before it after the first window, many windows at a time
 under one mask.
@@ -27,6 +32,7 @@ import math
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +50,11 @@ CACHE = 1_000_000
 SPAN, STEP = 16, 13
 DIM, CLASSES, GROUPS = 16, 48, 24
 SLOTS, BACKOFF = 1024, 20.0
-SAMPLE, SAMPLE_IDS = 1500, 400_000
+#: Words of a part, and ids of it that are trained on at a time.
+PART, TRAINED = 500_000, 300_000
+#: Steps of the whole numbers in which the parts' moves are summed.
+FIXED = float(1 << 20)
+TOP = 256
 EPOCHS, RATE, BATCH = 6, 0.02, 256
 BEGIN, END = 1, 2
 #: Windows scored at a time; their arrays stay in the processor's cache.
@@ -110,22 +120,48 @@ def transitions(counts: DataFrame, blob) -> DataFrame:
 
 # -- the model
 
-def groups_of(sequences: list[np.ndarray], counts: np.ndarray, groups: int = GROUPS, seed: int = 3) -> np.ndarray:
-    """Group of every id by k-means over its neighbours in the sample; 0 for ids not seen."""
+def neighbour_columns(counts: np.ndarray) -> np.ndarray:
+    """Column of every id as a neighbour: its own for the TOP most frequent, else the last one."""
+    column = np.full(len(counts), TOP)
+    column[np.argsort(-counts, kind="stable")[:TOP]] = np.arange(min(TOP, len(counts)))
+    return column
+
+
+def neighbour_keys(ids: np.ndarray, sizes: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """A key (id, side and column of the neighbour) for both neighbours of every id of concatenated sequences."""
+    start = np.zeros(len(ids), bool)
+    start[np.cumsum(sizes) - sizes] = True
+    before = np.where(start, BEGIN, np.concatenate(([BEGIN], ids[:-1])))
+    inner = np.flatnonzero(~start)
+    wide = 2 * (TOP + 1)
+    return np.concatenate((ids * wide + column[before], ids[inner - 1] * wide + TOP + 1 + column[ids[inner]]))
+
+
+def groups_of(sequences: list[np.ndarray], counts: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Group of every id by k-means over its neighbours in the sequences; 0 for ids not seen."""
     if not sequences:
         return np.zeros(len(counts), np.int64)
-    ids, top = np.concatenate(sequences), 256
-    before = np.concatenate(([BEGIN], ids[:-1]))
-    column = np.full(len(counts), top)
-    column[np.argsort(-counts, kind="stable")[:top]] = np.arange(top)
-    used, row = np.unique(ids, return_inverse=True)
-    near = np.zeros((len(used), 2 * (top + 1)))
-    np.add.at(near, (row, column[before]), 1)
-    np.add.at(near, (row[:-1], top + 1 + column[ids[1:]]), 1)
-    total = near.sum(1, keepdims=True)
-    near = np.sqrt((near + 8 * near.sum(0) / near.sum()) / (total + 8))
-    near -= (near * total).sum(0) / total.sum()
-    axes = np.linalg.svd(near * np.sqrt(total), full_matrices=False)[2][:16]
+    keys = neighbour_keys(np.concatenate(sequences), np.array([len(s) for s in sequences]), neighbour_columns(counts))
+    return grouped(*np.unique(keys, return_counts=True), counts, groups)
+
+
+def grouped(key: np.ndarray, n: np.ndarray, counts: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Group of every id by k-means over its neighbours, given how often each neighbour key is there."""
+    out = np.zeros(len(counts), np.int64)
+    if not len(key):
+        return out
+    wide = 2 * (TOP + 1)
+    used, row = np.unique(key // wide, return_inverse=True)
+    near = np.zeros((len(used), wide), np.float32)
+    near[row, key % wide] = n
+    total = near.sum(1, keepdims=True, dtype=np.float64)
+    all_ = near.sum(0, dtype=np.float64)
+    near += (8 * all_ / all_.sum()).astype(np.float32)
+    near /= (total + 8).astype(np.float32)
+    np.sqrt(near, out=near)
+    near -= (total[:, 0] @ near / total.sum()).astype(np.float32)
+    heavy = near * np.sqrt(total / total.sum()).astype(np.float32)
+    axes = np.linalg.eigh((heavy.T @ heavy).astype(np.float64))[1][:, ::-1][:, :16].T
     x, w = near @ axes.T, counts[used] + 1
     c = x[np.argsort(-w, kind="stable")[:groups]].copy()
     for _ in range(12):
@@ -133,11 +169,37 @@ def groups_of(sequences: list[np.ndarray], counts: np.ndarray, groups: int = GRO
         for g in range(len(c)):
             if (own == g).any():
                 c[g] = np.average(x[own == g], axis=0, weights=w[own == g])
-    out = np.zeros(len(counts), np.int64)
     out[used] = own + 1
     return out
 
 
+def neighbours(encoded: DataFrame, counts: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbour keys over all documents and how often each is there: at most a row per id and column."""
+    column = neighbour_columns(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(len(column) * 2 * (TOP + 1), np.int64)
+        for b in batches:
+            for ids, sizes in sequences_of(b.column(0), kind):
+                np.add.at(own, neighbour_keys(ids, sizes, column), 1)
+        key = np.flatnonzero(own)
+        for s in range(0, len(key), 1 << 18):
+            k = key[s:s + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own[k])], names=["key", "n"])
+
+    got = encoded.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = got["key"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def sequences_of(column: pa.Array, kind: type, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Concatenated ids and their sizes, so many rows at a time."""
+    for s in range(0, len(column), rows):
+        got = column.slice(s, rows).to_pylist()
+        yield np.frombuffer(b"".join(got), kind).astype(np.int64), np.array([len(g) for g in got]) // np.dtype(kind).itemsize
+
+
 def classes_of(counts: np.ndarray, end: float, group: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
     """Class of every id, and log share of the id in its class (add-one smoothed)."""
     c = counts + 1.0
@@ -258,61 +320,165 @@ class Scorer:
         return np.add.reduceat(got.astype(np.float64), np.cumsum(sizes) - sizes) / math.log(10)
 
 
-def train(sequences: list[np.ndarray], cls: np.ndarray, seed: int = 5) -> dict:
-    """Embeddings, one causal head and class weights, by Adam over windows of the sequences."""
-    n, rng = int(cls.max()) + 1, np.random.default_rng(seed)
-    init = lambda *s: rng.normal(0, s[0] ** -0.5, s)
-    p = {"e": rng.normal(0, 0.3, (len(cls), DIM)), "p": rng.normal(0, 0.1, (SPAN, DIM)), "q": init(DIM, DIM), "k": init(DIM, DIM),
-         "v": init(DIM, DIM), "o": init(DIM, DIM), "u": np.zeros((DIM, n)), "c": np.zeros(n)}
-    if sequences:
-        ids = np.concatenate(sequences)
-        sizes = np.array([len(s) for s in sequences])
+DENSE = ("p", "q", "k", "v", "o", "u", "c")
+
+
+class Trainer:
+    """Parameters and the state of their optimiser: Adam, and for the embeddings, of which only those seen move, Adagrad."""
+
+    def __init__(self, p: dict, m1: dict, m2: dict, t: int = 0):
+        self.p, self.m1, self.m2, self.t = p, m1, m2, t
+        self.seen, self.n = np.zeros(len(p["e"]), np.int64), 0
+
+    @classmethod
+    def new(cls, n_ids: int, n_classes: int, seed: int = 5) -> Trainer:
+        rng = np.random.default_rng(seed)
+        init = lambda *s: rng.normal(0, s[0] ** -0.5, s)
+        p = {"e": rng.normal(0, 0.3, (n_ids, DIM)), "p": rng.normal(0, 0.1, (SPAN, DIM)), "q": init(DIM, DIM), "k": init(DIM, DIM),
+             "v": init(DIM, DIM), "o": init(DIM, DIM), "u": np.zeros((DIM, n_classes)), "c": np.zeros(n_classes)}
+        p = {k: v.astype(np.float32) for k, v in p.items()}
+        return cls(p, {k: np.zeros_like(p[k]) for k in DENSE}, {k: np.zeros_like(v) for k, v in p.items()})
+
+    def copy(self) -> Trainer:
+        return Trainer(*({k: v.copy() for k, v in d.items()} for d in (self.p, self.m1, self.m2)), self.t)
+
+    def fit(self, ids: np.ndarray, sizes: np.ndarray, cls: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over concatenated sequences, window by window in random order."""
         before = np.concatenate(([BEGIN], ids[:-1]))
         before[np.cumsum(sizes) - sizes] = BEGIN
         first, skip, of = windows(sizes)
-        last, step, mask, scale = np.cumsum(sizes)[of], np.arange(SPAN), _mask(), 1 / math.sqrt(DIM)
-        m1, m2, t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
+        last, at_step, target = np.cumsum(sizes)[of], np.arange(SPAN), cls[ids]
+        order = rng.permutation(len(first))
+        for s in range(0, len(order), BATCH):
+            w = order[s:s + BATCH]
+            at = first[w, None] + at_step
+            inside = at < last[w, None]
+            live = inside & (at_step >= skip[w, None])
+            at = np.minimum(at, len(ids) - 1)
+            b = before[at]
+            self.step(b, target[at[live]], live)
+            self.seen += np.bincount(b[inside], minlength=len(self.seen))
+            self.n += int(live.sum())
+
+    def step(self, b: np.ndarray, y: np.ndarray, live: np.ndarray) -> None:
+        p, scale = self.p, np.float32(1 / math.sqrt(DIM))
+        flat = lambda m: m.reshape(-1, m.shape[-1])
+        times = lambda m, w: (flat(m) @ w).reshape(m.shape)
+        x = p["e"][b] + p["p"]
+        q, k, v = times(x, p["q"]), times(x, p["k"]), times(x, p["v"])
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a *= scale
+        np.exp(np.clip(a, -30, 30, out=a), out=a)
+        a *= _mask()
+        a /= a.sum(2, keepdims=True)
+        o = np.matmul(a, v)
+        r = (x + times(o, p["o"]))[live]
+        below = 1 + np.abs(r)
+        h = r / below
+        dz = h @ p["u"]
+        dz += p["c"]
+        dz -= dz.max(1, keepdims=True)
+        np.exp(dz, out=dz)
+        dz /= dz.sum(1, keepdims=True)
+        dz[np.arange(len(y)), y] -= 1
+        dz /= len(y)
+        dr = np.zeros_like(x)
+        dr[live] = dz @ p["u"].T / below ** 2
+        do = times(dr, p["o"].T)
+        da = np.matmul(do, v.transpose(0, 2, 1))
+        da -= (da * a).sum(2, keepdims=True)
+        da *= a
+        da *= scale
+        dq, dk, dv = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), do)
+        dx = dr + times(dq, p["q"].T) + times(dk, p["k"].T) + times(dv, p["v"].T)
+        grad = {"p": dx.sum(0), "q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv),
+                "o": flat(o).T @ flat(dr), "u": h.T @ dz, "c": dz.sum(0)}
+        self.t += 1
+        for key, g in grad.items():
+            self.m1[key] += 0.1 * (g - self.m1[key])
+            self.m2[key] += 0.001 * (g * g - self.m2[key])
+            p[key] -= RATE * (self.m1[key] / (1 - 0.9 ** self.t)) / (np.sqrt(self.m2[key] / (1 - 0.999 ** self.t)) + 1e-8)
+        rows, inverse = np.unique(b, return_inverse=True)
+        inverse = inverse.ravel()
+        order = np.argsort(inverse, kind="stable")
+        g = np.add.reduceat(flat(dx)[order], np.searchsorted(inverse[order], np.arange(len(rows))), axis=0)
+        self.m2["e"][rows] += g * g
+        p["e"][rows] -= 0.1 * g / (np.sqrt(self.m2["e"][rows]) + 1e-8)
+
+
+def stacked(p: dict) -> np.ndarray:
+    """All parameters as rows of DIM numbers, the embeddings first."""
+    c = np.zeros(-(-len(p["c"]) // DIM) * DIM, np.float32)
+    c[:len(p["c"])] = p["c"]
+    return np.concatenate([p["e"], *(p[k] for k in "pqkvo"), p["u"].T, c.reshape(-1, DIM)])
+
+
+def unstacked(rows: np.ndarray, like: dict) -> dict:
+    out, at = {}, 0
+    for k in ("e", "p", "q", "k", "v", "o", "u", "c"):
+        n = -(-like[k].size // DIM)
+        part = rows[at:at + n]
+        out[k] = part.T if k == "u" else part.ravel()[:like[k].size].reshape(like[k].shape)
+        at += n
+    return out
+
+
+def train(sequences: list[np.ndarray], cls: np.ndarray, seed: int = 5) -> Trainer:
+    """A model of the sequences, after EPOCHS passes over them."""
+    out, rng = Trainer.new(len(cls), int(cls.max()) + 1, seed), np.random.default_rng(seed)
+    if sequences:
+        ids, sizes = np.concatenate(sequences), np.array([len(s) for s in sequences])
         for _ in range(EPOCHS):
-            order = rng.permutation(len(first))
-            for s in range(0, len(order), BATCH):
-                w = order[s:s + BATCH]
-                f = first[w, None] + step
-                live = ((f < last[w, None]) & (step >= skip[w, None])).astype(np.float64)
-                at = np.minimum(f, len(ids) - 1)
-                b, y = before[at], cls[ids[at]]
-                x = p["e"][b] + p["p"]
-                q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-                a = np.exp(np.clip(q @ k.transpose(0, 2, 1) * scale, -30, 30)) * mask
-                a /= a.sum(2, keepdims=True)
-                o = a @ v
-                r = x + o @ p["o"]
-                h = r / (1 + np.abs(r))
-                z = h @ p["u"] + p["c"]
-                z = np.exp(z - z.max(2, keepdims=True))
-                dz = z / z.sum(2, keepdims=True)
-                np.put_along_axis(dz, y[:, :, None], np.take_along_axis(dz, y[:, :, None], 2) - 1, 2)
-                dz *= live[:, :, None] / live.sum()
-                flat = lambda m: m.reshape(-1, m.shape[-1])
-                dr = (dz @ p["u"].T) / (1 + np.abs(r)) ** 2
-                do = dr @ p["o"].T
-                da = do @ v.transpose(0, 2, 1)
-                ds = a * (da - (da * a).sum(2, keepdims=True)) * scale
-                dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-                dx = dr + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-                grad = {"p": dx.sum(0), "q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv),
-                        "o": flat(o).T @ flat(dr), "u": flat(h).T @ flat(dz), "c": dz.sum((0, 1))}
-                t += 1
-                for key, g in grad.items():
-                    m1[key] += 0.1 * (g - m1[key])
-                    m2[key] += 0.001 * (g * g - m2[key])
-                    p[key] -= RATE * (m1[key] / (1 - 0.9 ** t)) / (np.sqrt(m2[key] / (1 - 0.999 ** t)) + 1e-8)
-                # only the embeddings seen move
-                rows, inverse = np.unique(b, return_inverse=True)
-                g = np.zeros((len(rows), DIM))
-                np.add.at(g, inverse.ravel(), flat(dx))
-                m2["e"][rows] += g * g
-                p["e"][rows] -= 0.1 * g / (np.sqrt(m2["e"][rows]) + 1e-8)
-    return p | {"cls": cls}
+            out.fit(ids, sizes, cls, rng)
+    return out
+
+
+def moves(start: Trainer, cls: np.ndarray, parts: Iterator[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sum, in whole numbers, of what each part of (part, sequence) moves the parameters by, and the weights.
+
+    An embedding's weight is how often its id was seen, that of the others the number of ids trained on.
+    """
+    origin, n_ids = stacked(start.p).astype(np.float64), len(cls)
+    moved, weight = np.zeros(origin.shape, np.int64), np.zeros(len(origin), np.int64)
+    for part, of_part in groupby(parts, key=lambda x: x[0]):
+        own, rng, held, room = start.copy(), np.random.default_rng(part), [], TRAINED
+        for _, s in of_part:
+            held.append(s)
+            room -= len(s)
+            if room <= 0:
+                own.fit(np.concatenate(held), np.array([len(x) for x in held]), cls, rng)
+                held, room = [], TRAINED
+        if held:
+            own.fit(np.concatenate(held), np.array([len(x) for x in held]), cls, rng)
+        w = np.concatenate((own.seen, np.full(len(origin) - n_ids, own.n)))
+        at = np.flatnonzero(w)
+        moved[at] += np.rint((stacked(own.p)[at] - origin[at]) * (w[at, None] * FIXED)).astype(np.int64)
+        weight += w
+    return moved, weight
+
+
+def trained(encoded: DataFrame, parts: int, cls: np.ndarray, kind: type) -> dict:
+    """The parameters after a pass over all documents of (h, ids): the parts' moves from the common start, averaged."""
+    spark = encoded.sparkSession
+    dealt = encoded.select(F.pmod("h", F.lit(parts)).cast("int").alias("part"), "h", "ids")
+    first = dealt.where("part = 0").orderBy("h").select("ids").toArrow()["ids"].to_pylist()
+    start = train([np.frombuffer(x, kind).astype(np.int64) for x in first], cls)
+    sent = spark.sparkContext.broadcast((start, cls))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, classes = sent.value
+        pairs = ((part, np.frombuffer(x, kind).astype(np.int64)) for b in batches for part, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        moved, weight = moves(begun, classes, pairs)
+        at = np.flatnonzero(weight)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight[at]), *(pa.array(moved[at, i]) for i in range(DIM))], names=names)
+
+    names = ["key", "weight", *(f"m{i}" for i in range(DIM))]
+    got = dealt.repartition("part").sortWithinPartitions("part", "h").select("part", "ids").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    got = got.groupBy("key").agg(*(F.sum(n).alias(n) for n in names[1:])).toArrow()
+    rows = stacked(start.p).astype(np.float64)
+    moved = np.stack([got[n].to_numpy() for n in names[2:]], 1)
+    rows[got["key"].to_numpy()] += moved / (got["weight"].to_numpy()[:, None] * FIXED)
+    return unstacked(rows, start.p) | {"cls": cls}
 
 
 class Words:
@@ -381,28 +547,15 @@ def scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     pieces = np.zeros(len(model.pieces))
     for r in steps.where(F.col("b") != END).groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most a row per id
         pieces[r["b"]] = r["n"]
-    # by a bound on the hash: about twice SAMPLE rows are left before the limit, at any size
-    some = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE / max(ends, 1)))
-    sample = training.where(some).select("text").limit(SAMPLE).toLocalIterator()
-    sequences, room = [], SAMPLE_IDS
-    for r in sample:
-        s = [i for w in lower_words(r["text"])[:room] for i in model.encode(w.decode("utf-8"))[0]][:room] + [END]
-        room -= len(s)
-        sequences.append(np.array(s, np.int64))
-        if room <= 0:
-            break
-    cls, share = classes_of(pieces, ends, groups_of(sequences, pieces))
-    slot, column = layout(cls, pieces)
-    follows = following(cls, share, slot, column, *gathered(steps, slot, column))
-    sent = spark.sparkContext.broadcast((train(sequences, cls) | follows, head))
+    kind = np.uint16 if len(model.pieces) <= 1 << 16 else np.int32
+    known = spark.sparkContext.broadcast(head)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parameters, known = sent.value
-        scorer, words = Scorer(parameters), Words(_model(blob.value), known)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(_model(blob.value), known.value)
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
                 size, head_sum, head_n, rare, times, seqs = [], [], [], [], [], []
-                texts = [lower_words(t.as_py()) for t in b.column(2)]
+                texts = [lower_words(t.as_py()) for t in b.column(3)]
                 for w, at in zip(texts, words.of(texts), strict=True):
                     lp = words.logs(at)
                     out = np.isnan(lp)
@@ -412,21 +565,36 @@ def scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     left = Counter([w[i] for i in np.flatnonzero(out)])
                     rare.append(list(left))
                     times.append(list(left.values()))
-                    seqs.append(words.pieces(at))
-                score = scorer.log10(np.concatenate(seqs), np.array([len(s) for s in seqs]))
+                    seqs.append(words.pieces(at).astype(kind).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(head_n, pa.int64()), pa.array(head_sum, pa.float64()), pa.array(score),
-                     pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "n_tokens", "head_n", "head_sum", "score", "rare", "times"])
+                    [b.column(0), b.column(1), b.column(2), pa.array(size, pa.int64()), pa.array(head_n, pa.int64()), pa.array(head_sum, pa.float64()),
+                     pa.array(seqs, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                    names=["row", "doc_id", "h", "n_tokens", "head_n", "head_sum", "ids", "rare", "times"])
+
+    schema = "row long, doc_id long, h long, n_tokens long, head_n long, head_sum double, ids binary, rare array<binary>, times array<long>"
+    table = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
+                    .mapInArrow(encode, schema), "lm-encoded")
+    learned = table.where(~held_out(F.col("doc_id"), folds)).select("h", "ids")
+    cls, share = classes_of(pieces, ends, grouped(*neighbours(learned, pieces, kind), pieces))
+    slot, column = layout(cls, pieces)
+    follows = following(cls, share, slot, column, *gathered(steps, slot, column))
+    sent = spark.sparkContext.broadcast(trained(learned, max(1, -(-tokens // PART)), cls, kind) | follows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in batches:
+            score = [scorer.log10(*x) for x in sequences_of(b.column(5), kind)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(np.concatenate(score) if score else [], pa.float64())],
+                                             names=["row", "doc_id", "n_tokens", "head_n", "head_sum", "score"])
 
-    schema = "row long, doc_id long, n_tokens long, head_n long, head_sum double, score double, rare array<binary>, times array<long>"
-    table = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema), "lm-scored")
+    scored = table.select("row", "doc_id", "n_tokens", "head_n", "head_sum", "ids").mapInArrow(
+        run, "row long, doc_id long, n_tokens long, head_n long, head_sum double, score double")
     tail = table.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     tail = tail.join(counts if least is None else counts.where(F.col("c") < least), "word", "left")
     lp = F.log10((F.coalesce("c", F.lit(0)) + ALPHA) / below)
     tail = tail.groupBy("row").agg(F.sum(F.col("k") * lp).alias("tail_sum"), F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("tail_n"))
     end = math.log10((ends + ALPHA) / below)
-    return table.drop("rare", "times").join(tail, "row", "left").select(
+    return scored.join(tail, "row", "left").select(
         "doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "n_tokens",
         (F.col("head_n") + F.coalesce("tail_n", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),

@@ -1,6 +1,7 @@
 """Small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -405,6 +406,33 @@ def test_next_id_probabilities_sum_to_one():
         assert np.allclose(np.bincount(cls, p), 1, atol=1e-6)
 
 
+def test_attention_model_learns_from_every_training_document(spark):
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(3, 60, rng.integers(1, 90)).astype(np.uint16) for _ in range(200)]
+    texts.append(np.append(np.full(5000, 3), 61).astype(np.uint16))  # an id that only the end of a long text holds
+    texts = [np.append(t, 2).astype(np.uint16) for t in texts]
+    rows = [(i * 7919, t.tobytes()) for i, t in enumerate(texts)]
+    cls, parts = np.arange(70) % 9, 6
+    got = [attention_lm.trained(spark.createDataFrame(rows, "h long, ids binary").repartition(n), parts, cls, np.uint16) for n in (1, 5)]
+    assert all((got[0][k] == got[1][k]).all() for k in got[0])
+    start = attention_lm.train([t.astype(np.int64) for (h, _), t in zip(rows, texts, strict=True) if h % parts == 0], cls)
+    moved, weight = attention_lm.moves(start, cls, ((h % parts, t.astype(np.int64)) for (h, _), t in sorted(zip(rows, texts, strict=True), key=lambda x: (x[0][0] % parts, x[0][0]))))
+    assert weight[-1] == sum(len(t) for t in texts)
+    assert np.allclose(attention_lm.unstacked(attention_lm.stacked(start.p) + moved / (np.maximum(weight, 1)[:, None] * attention_lm.FIXED), start.p)["u"], got[0]["u"])
+    assert weight[61] > 0 and (got[0]["e"][61] != start.p["e"][61]).any()
+    key, n = attention_lm.neighbours(spark.createDataFrame(rows, "h long, ids binary").repartition(4), np.arange(70.0), np.uint16)
+    want = Counter(k for t in texts for k in attention_lm.neighbour_keys(t.astype(np.int64), np.array([len(t)]), attention_lm.neighbour_columns(np.arange(70.0))))
+    assert dict(zip(key, n, strict=True)) == want
+
+
+def test_language_model_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "PART", 300, raising=False)
+    rng = random.Random(6)
+    df = docs(spark, [(i, " ".join(rng.choice("the cat sat on a mat and dog ran".split()) for _ in range(rng.randint(1, 60)))) for i in range(60)])
+    got = [{r["doc_id"]: r["score"] for r in attention_lm.scores(df.repartition(n), vocabulary("piece_bpe_32k.model")).collect()} for n in (1, 5)]
+    assert got[0] == got[1]
+
+
 def test_classifier_odd_rows_and_labels(spark):
     df = docs(spark, ODD, ["label", "score"])
     none = spark.createDataFrame([], "doc_id long, quality int")
