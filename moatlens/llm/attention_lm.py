@@ -47,8 +47,8 @@ FOLDS = 10
 ALPHA = 0.1
 HEAD = 200_000
 CACHE = 1_000_000
-SPAN, STEP = 16, 13
-DIM, CLASSES, GROUPS = 16, 48, 24
+SPAN, STEP = 32, 16
+DIM, CLASSES, GROUPS = 16, 64, 24
 SLOTS, BACKOFF = 1024, 20.0
 #: Words of a part, and ids of it that are trained on at a time.
 PART, TRAINED = 500_000, 300_000
@@ -61,6 +61,8 @@ BEGIN, END = 1, 2
 CHUNK = 256
 #: Words counted before a task hands its counts on.
 COUNT_WORDS = 400_000
+#: Neighbour keys counted before a task hands its counts on.
+COUNT_KEYS = 1_000_000
 
 
 def held_out(id_: Column, folds: int = FOLDS) -> Column:
@@ -178,14 +180,22 @@ def neighbours(encoded: DataFrame, counts: np.ndarray, kind: type) -> tuple[np.n
     column = neighbour_columns(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(len(column) * 2 * (TOP + 1), np.int64)
+        held, room = [], COUNT_KEYS
+
+        def out() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
         for b in batches:
             for ids, sizes in sequences_of(b.column(0), kind):
-                np.add.at(own, neighbour_keys(ids, sizes, column), 1)
-        key = np.flatnonzero(own)
-        for s in range(0, len(key), 1 << 18):
-            k = key[s:s + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own[k])], names=["key", "n"])
+                held.append(neighbour_keys(ids, sizes, column))
+                room -= len(held[-1])
+                if room <= 0:
+                    yield out()
+                    room = COUNT_KEYS
+        if held:
+            yield out()
 
     got = encoded.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, n = got["key"].to_numpy(), got["n"].to_numpy()

@@ -392,6 +392,11 @@ def test_windows_score_every_id_once():
     assert (seen == 1).all()
 
 
+def test_windows_leave_half_a_span_of_context():
+    first, skip, of = attention_lm.windows(np.array([5, 40, 1000]))
+    assert attention_lm.CLASSES >= 64 and (skip[np.flatnonzero(np.diff(of) == 0) + 1] >= max(8, attention_lm.SPAN // 2)).all()
+
+
 def test_next_id_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 50, 1500).astype(float)
