@@ -7,7 +7,10 @@ index knows point to templates and offsets; hits of one template on nearby
 diagonals make one candidate. Each candidate is aligned with the template in a
 band of ``BAND`` diagonals to each side; the longest common subsequence inside
 the band gives matched words, coverage of the template and the matched spans
-of the original text.
+of the original text. After a match its words are taken out and the band is
+aligned again while hits are left, so close repeats are each reported. Pieces
+below the coverage bound are joined with the next piece of the same template
+before they are judged: a notice may be interrupted by ``GAP`` foreign words.
 
 The index is sent to the tasks. It is bounded by ``MAX_POSTINGS``; more
 templates are scanned in several rounds, each with its own index.
@@ -37,6 +40,8 @@ MIN_COVERAGE = 0.8
 MAX_POSTINGS = 2_000_000
 #: Diagonals that one candidate may span.
 SPREAD = 2 * BAND
+#: Foreign words that may interrupt a notice, or as many as it has itself if that is more.
+GAP = 64
 _WORD = re.compile(r"[^\W_]+")
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(31)
 
@@ -125,10 +130,14 @@ def align(template: list[str], words: list[str], diagonal: int) -> list[tuple[in
         up = best[i, 2:]  # the template word stays unmatched: same document word, next diagonal
         row = np.maximum(best[i, 1:-1] + same[i], up[:width])
         best[i + 1, 1:-1] = np.maximum.accumulate(row)  # a document word stays unmatched
+    # the earliest end, and from there the latest words: an occurrence isn't mixed with the next
     out, i, d = [], len(template), width - 1
     while i and d >= 0:
         here = best[i, d + 1]
-        if d and best[i, d] == here:
+        if out and same[i - 1, d] and best[i - 1, d + 1] + 1 == here:
+            out.append((i - 1, i - 1 + diagonal - BAND + d))
+            i -= 1
+        elif d and best[i, d] == here:
             d -= 1
         elif d + 1 < width and best[i - 1, d + 2] == here:
             i, d = i - 1, d + 1
@@ -149,17 +158,54 @@ def matches(text: str, index: Index, min_coverage: float = MIN_COVERAGE) -> list
     template, diagonal, at = index.hits(words)
     out = []
     for t in np.unique(template):
-        d = np.unique(diagonal[template == t])
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(d) > SPREAD) + 1, [len(d)]))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            for s in range(d[a], d[b - 1] + 1, SPREAD + 1):  # a wide run of diagonals is covered by several bands
-                part = d[(d >= s) & (d <= s + SPREAD)]
-                if len(part):
-                    pairs = align(index.words[int(t)], words, int((part[0] + part[-1]) // 2))
-                    if pairs and len(pairs) >= min_coverage * len(index.words[int(t)]):
-                        out.append(_report(int(t), pairs, len(index.words[int(t)]), found))
-    # overlapping bands can find one match twice
-    return list({(m["template_id"], m["start"], m["end"]): m for m in out}.values())
+        mine = template == t
+        out += _occurrences(int(t), index.words[int(t)], words, diagonal[mine], at[mine], found, min_coverage)
+    return out
+
+
+def _occurrences(t: int, wanted: list[str], words: list[str], diagonal: np.ndarray, at: np.ndarray, found: list[tuple[str, int, int]], min_coverage: float) -> list[dict]:
+    """Occurrences of one template; the words of one are taken out before the next is looked for."""
+    out, partial, left = [], [], list(words)
+    free = np.ones(len(words), bool)
+    d = np.unique(diagonal)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(d) > SPREAD) + 1, [len(d)]))
+
+    def take(pairs: list[tuple[int, int]]) -> bool:
+        if not pairs or len(pairs) < min_coverage * len(wanted):
+            return False
+        out.append(_report(t, pairs, len(wanted), found))
+        for _, j in pairs:
+            left[j], free[j] = "", False
+        return True
+
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for s in range(d[a], d[b - 1] + 1, SPREAD + 1):  # a wide run of diagonals is covered by several bands
+            here = (diagonal >= s) & (diagonal <= s + SPREAD)
+            while (here & free[at]).any():
+                part = diagonal[here & free[at]]
+                pairs = align(wanted, left, int((part.min() + part.max()) // 2))
+                if not take(pairs):
+                    partial.append(pairs)
+                    break
+    # an interrupted notice: its pieces lie in several bands
+    chain: list[tuple[int, int]] = []
+    for pairs in sorted(filter(None, partial), key=lambda q: (q[0][1], q[-1][1])):
+        pairs = [x for x in pairs if free[x[1]]]
+        near = chain and pairs and pairs[0][1] - chain[-1][1] <= max(GAP, len(wanted))
+        joined = _joined(chain, pairs, len(wanted)) if near else pairs
+        chain = [] if take(joined) else joined
+    return out
+
+
+def _joined(a: list[tuple[int, int]], b: list[tuple[int, int]], total: int) -> list[tuple[int, int]]:
+    """The most pairs of ``a`` for the template's words up to some place, and of ``b`` from there on."""
+    best = max(a, b, key=len)
+    for k in range(total + 1):
+        head = [x for x in a if x[0] < k]
+        tail = [x for x in b if x[0] >= k and (not head or x[1] > head[-1][1])]
+        if len(head) + len(tail) > len(best):
+            best = head + tail
+    return best
 
 
 def _report(t: int, pairs: list[tuple[int, int]], total: int, found: list[tuple[str, int, int]]) -> dict:

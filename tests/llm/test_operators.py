@@ -318,6 +318,20 @@ def test_alignment_equals_full_table():
         assert all(t[i] == w[j] for i, j in pairs) and pairs == sorted(pairs) and len({j for _, j in pairs}) == len(pairs)
 
 
+def test_close_repeats_and_interrupted_notices():
+    index = license_scan.Index([(t, license_scan.tokens(x)) for t, (_, x) in enumerate(license_scan.TEMPLATES)])
+    line = license_scan.TEMPLATES[1][1]
+    for n in (1, 2, 10, 40):
+        text = "\n".join([line] * n)
+        got = sorted((m["start"], m["end"]) for m in license_scan.matches(text, index) if m["template_id"] == 1)
+        assert got == [(k * (len(line) + 1), k * (len(line) + 1) + len(line) - 1) for k in range(n)]
+    words = license_scan.TEMPLATES[5][1].split()
+    for gap in (20, 50):
+        text = " ".join(words[:40] + [f"foreign{k}" for k in range(gap)] + words[40:])
+        got = [m for m in license_scan.matches(text, index) if m["template_id"] == 5]
+        assert len(got) == 1 and got[0]["coverage"] == 1.0 and len(got[0]["spans"]) == 2
+
+
 def test_many_templates_take_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "MAX_POSTINGS", 12)
     texts = [(i, t) for i, (_, t) in enumerate(license_scan.TEMPLATES)]
