@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moatlens.llm import attention_lm, chat, license_scan, mixing, ngram_join, oracles, pieces, posting_lists, quality_mil, substring_dedup
+from moatlens.llm import (attention_lm, chat, fill_in_middle, hard_negatives, license_scan, mixing, ngram_join, oracles, pieces, posting_lists,
+                          quality_mil, sharding, substring_dedup)
 from moatlens.llm import quality_rules as qr
 from moatlens.llm.common import read, written
 
@@ -112,3 +113,31 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in every document without windows of 50 words that an earlier document holds."""
     return substring_dedup.removals(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100, ten for each of its five positives."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = (F.col("label").cast("decimal(20,0)") + 1) % 10
+    label = F.when(F.col("vec_id") % 7 == 0, moved.cast("long")).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label))
+
+
+@query
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document among eight shards, and its shard among nine."""
+    docs = sharding.assigned(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = sharding.slots(docs, ["doc_id"])
+    return out.select("doc_id", F.col("shard_size").alias("size"), F.col("shard_crc32").alias("text_crc32"), F.lit("key").alias("law"),
+                      "shard", F.col("shard_slot").alias("slot"), F.col("shard_grown").alias("grown_shard"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut between lines and reordered, and the text rebuilt from that."""
+    out = fill_in_middle.transformed(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = fill_in_middle.restored(F.col("fim_output"), F.col("fim_form"))
+    return out.select("doc_id", F.col("fim_lines").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"),
+                      F.col("fim_middle_chars").alias("middle_chars"), F.sha2("fim_output", 256).alias("output_sha256"),
+                      F.sha2(text, 256).alias("restored_sha256"))

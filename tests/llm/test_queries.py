@@ -28,7 +28,7 @@ def test_equals_sql(spark, duck, key):
 
 
 def test_every_numbered_query_is_there():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_entry_lists_them():
@@ -112,3 +112,23 @@ def test_op8_equals_the_library(spark, duck):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_op12_equals_brute_force(spark, duck):
+    docs = dict(duck.execute("select doc_id, text from documents").fetchall())
+
+    def best(i, n):
+        key = hashlib.md5(f"i{i}".encode()).hexdigest()
+        u = [(int(hashlib.md5(f"shard-1:{s}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52 for s in range(n)]
+        return max(range(n), key=lambda s: (1 / -math.log(u[s]), -s))
+    got = QUERIES["op12_sharding"](spark, SF01).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    slots = {}
+    for r in got:
+        raw = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 1, zlib.crc32(raw), "key")
+        assert (r["shard"], r["grown_shard"]) == (best(r["doc_id"], 8), best(r["doc_id"], 9))
+        assert r["grown_shard"] in (r["shard"], 8)
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(slots) == list(range(8))
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
