@@ -48,6 +48,7 @@ ALPHA = 0.1
 HEAD = 200_000
 CACHE = 1_000_000
 SPAN, STEP = 32, 16
+SKIP = SPAN - STEP
 DIM, CLASSES, GROUPS = 16, 64, 24
 SLOTS, BACKOFF = 1024, 20.0
 #: Words of a part, and ids of it that are trained on at a time.
@@ -272,16 +273,20 @@ def following(cls: np.ndarray, share: np.ndarray, slot: np.ndarray, column: np.n
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of concatenated sequences: each window's first position, its scored range begins there, and its sequence."""
-    n = 1 + np.maximum(0, -(-(sizes - SPAN) // STEP))
+    """Of concatenated sequences: each window's first position, its scored range begins there, and its sequence.
+
+    Every window scores its last STEP ids; a sequence's first window begins before the sequence does.
+    """
+    n = np.maximum(1, -(-sizes // STEP))
     of = np.repeat(np.arange(len(sizes)), n)
     k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    first = np.repeat(np.cumsum(sizes) - sizes, n) + k * STEP
-    return first, np.where(k == 0, 0, SPAN - STEP), of
+    first = np.repeat(np.cumsum(sizes) - sizes, n) + k * STEP - SKIP
+    return first, np.full(len(of), SKIP), of
 
 
 def _mask() -> np.ndarray:
-    return np.tril(np.ones((SPAN, SPAN), np.float32))
+    """Which ids of a window each scored one sees."""
+    return np.tril(np.ones((SPAN, SPAN), np.float32))[SKIP:]
 
 
 class Scorer:
@@ -290,44 +295,56 @@ class Scorer:
     def __init__(self, p: dict):
         self.p = {k: v.astype(np.float32) for k, v in p.items() if k not in ("cls", "slot", "column")}
         q = self.p
-        w = np.concatenate([q["q"] / math.sqrt(DIM), q["k"], q["v"] @ q["o"], np.eye(DIM, dtype=np.float32)], 1)
-        self.per_id, self.per_pos, self.cls, self.mask = q["e"] @ w, q["p"] @ w, p["cls"], _mask()
+        scored = np.concatenate([q["q"] / math.sqrt(DIM), np.eye(DIM, dtype=np.float32)], 1)
+        seen = np.concatenate([q["k"], q["v"] @ q["o"]], 1)
+        self.scored_id, self.scored_pos = q["e"] @ scored, (q["p"] @ scored)[SKIP:]
+        self.seen_id, self.seen_pos, self.cls, self.mask = q["e"] @ seen, q["p"] @ seen, p["cls"], _mask()
         self.slot, self.column, self.ones = p["slot"], p["column"], np.ones(len(q["c"]), np.float32)
         # hidden values are below 1: whether a class's weight can overflow
         self.steep = float((np.abs(q["u"]).sum(0) + np.abs(q["c"])).max()) > 80
 
     def log10(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Log probability of each concatenated sequence (every one ends with END)."""
+        """Log probability of each concatenated sequence (every one ends with END).
+
+        Windows are scored in blocks of one shape, the last one filled up with
+        its last window, and products are made window by window: how sums are
+        made does not depend on what shares a call, or where in it a text lies.
+        """
+        starts = np.cumsum(sizes) - sizes
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
-        before[np.cumsum(sizes) - sizes] = BEGIN
+        before[starts] = BEGIN
         got = np.zeros(len(ids), np.float32)
-        first, skip, of = windows(sizes)
-        last, step, target = np.cumsum(sizes)[of], np.arange(SPAN), self.cls[ids]
+        first, _, of = windows(sizes)
+        begin, end, step, target = starts[of], (starts + sizes)[of], np.arange(SPAN), self.cls[ids]
+        rows = np.arange(CHUNK * STEP)
         for s in range(0, len(first), CHUNK):
-            at = first[s:s + CHUNK, None] + step
-            live = (at < last[s:s + CHUNK, None]) & (step >= skip[s:s + CHUNK, None])
-            x = self.per_id[before[np.minimum(at, len(ids) - 1)]]
-            x += self.per_pos
-            q, k, v, same = (x[:, :, i * DIM:(i + 1) * DIM] for i in range(4))
-            a = np.matmul(q, k.transpose(0, 2, 1))
+            w = np.minimum(np.arange(s, s + CHUNK), len(first) - 1)
+            at = first[w, None] + step
+            b = before[np.clip(at, 0, len(ids) - 1)]
+            seen, own = self.seen_id[b], self.scored_id[b[:, SKIP:]]
+            seen += self.seen_pos
+            own += self.scored_pos
+            a = np.matmul(own[:, :, :DIM], seen[:, :, :DIM].transpose(0, 2, 1))
             np.exp(np.clip(a, -30, 30, out=a), out=a)
             a *= self.mask
-            o = np.matmul(a, v)
-            o /= a.sum(2, keepdims=True)
-            o += same
-            h = o[live]
+            early = np.flatnonzero(at[:, 0] < begin[w])
+            a[early] *= (at[early] >= begin[w[early], None])[:, None]
+            h = np.matmul(a, seen[:, :, DIM:])
+            h /= a.sum(2, keepdims=True)
+            h += own[:, :, DIM:]
             h /= 1 + np.abs(h)
-            z = h @ self.p["u"]
+            z = np.matmul(h, self.p["u"]).reshape(len(rows), -1)  # a product per window
             z += self.p["c"]
             if self.steep:
                 np.clip(z, -80, 80, out=z)
-            at = at[live]
-            own = z[np.arange(len(z)), target[at]]
+            at = at[:, SKIP:]
+            live = at < end[w, None]
+            own = z[rows, target[np.minimum(at, len(ids) - 1)].ravel()]
             np.exp(z, out=z)
-            got[at] = own - np.log(z @ self.ones)
+            got[at[live]] = (own - np.log(z @ self.ones))[live.ravel()]
         got += self.p["follow"][self.slot[before], self.column[ids]] + self.p["rest"][ids]
-        return np.add.reduceat(got.astype(np.float64), np.cumsum(sizes) - sizes) / math.log(10)
+        return np.add.reduceat(got.astype(np.float64), starts) / math.log(10)
 
 
 DENSE = ("p", "q", "k", "v", "o", "u", "c")
@@ -354,35 +371,40 @@ class Trainer:
 
     def fit(self, ids: np.ndarray, sizes: np.ndarray, cls: np.ndarray, rng: np.random.Generator) -> None:
         """One pass over concatenated sequences, window by window in random order."""
+        starts = np.cumsum(sizes) - sizes
         before = np.concatenate(([BEGIN], ids[:-1]))
-        before[np.cumsum(sizes) - sizes] = BEGIN
-        first, skip, of = windows(sizes)
-        last, at_step, target = np.cumsum(sizes)[of], np.arange(SPAN), cls[ids]
+        before[starts] = BEGIN
+        first, _, of = windows(sizes)
+        begin, end, at_step, target = starts[of], (starts + sizes)[of], np.arange(SPAN), cls[ids]
         order = rng.permutation(len(first))
         for s in range(0, len(order), BATCH):
             w = order[s:s + BATCH]
             at = first[w, None] + at_step
-            inside = at < last[w, None]
-            live = inside & (at_step >= skip[w, None])
-            at = np.minimum(at, len(ids) - 1)
-            b = before[at]
-            self.step(b, target[at[live]], live)
+            there = at >= begin[w, None]
+            inside = there & (at < end[w, None])
+            live = inside[:, SKIP:]
+            b = before[np.clip(at, 0, len(ids) - 1)]
+            self.step(b, target[at[:, SKIP:][live]], live, there)
             self.seen += np.bincount(b[inside], minlength=len(self.seen))
             self.n += int(live.sum())
 
-    def step(self, b: np.ndarray, y: np.ndarray, live: np.ndarray) -> None:
+    def step(self, b: np.ndarray, y: np.ndarray, live: np.ndarray, there: np.ndarray) -> None:
+        """One update from windows of ids: only their scored ids ask, all of them that are there are seen."""
         p, scale = self.p, np.float32(1 / math.sqrt(DIM))
         flat = lambda m: m.reshape(-1, m.shape[-1])
         times = lambda m, w: (flat(m) @ w).reshape(m.shape)
         x = p["e"][b] + p["p"]
-        q, k, v = times(x, p["q"]), times(x, p["k"]), times(x, p["v"])
+        own = np.ascontiguousarray(x[:, SKIP:])
+        q, k, v = times(own, p["q"]), times(x, p["k"]), times(x, p["v"])
         a = np.matmul(q, k.transpose(0, 2, 1))
         a *= scale
         np.exp(np.clip(a, -30, 30, out=a), out=a)
         a *= _mask()
+        early = np.flatnonzero(~there[:, 0])
+        a[early] *= there[early][:, None]
         a /= a.sum(2, keepdims=True)
         o = np.matmul(a, v)
-        r = (x + times(o, p["o"]))[live]
+        r = (own + times(o, p["o"]))[live]
         below = 1 + np.abs(r)
         h = r / below
         dz = h @ p["u"]
@@ -392,7 +414,7 @@ class Trainer:
         dz /= dz.sum(1, keepdims=True)
         dz[np.arange(len(y)), y] -= 1
         dz /= len(y)
-        dr = np.zeros_like(x)
+        dr = np.zeros_like(own)
         dr[live] = dz @ p["u"].T / below ** 2
         do = times(dr, p["o"].T)
         da = np.matmul(do, v.transpose(0, 2, 1))
@@ -400,8 +422,9 @@ class Trainer:
         da *= a
         da *= scale
         dq, dk, dv = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), do)
-        dx = dr + times(dq, p["q"].T) + times(dk, p["k"].T) + times(dv, p["v"].T)
-        grad = {"p": dx.sum(0), "q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv),
+        dx = times(dk, p["k"].T) + times(dv, p["v"].T)
+        dx[:, SKIP:] += dr + times(dq, p["q"].T)
+        grad = {"p": dx.sum(0), "q": flat(own).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv),
                 "o": flat(o).T @ flat(dr), "u": h.T @ dz, "c": dz.sum(0)}
         self.t += 1
         for key, g in grad.items():
