@@ -46,7 +46,8 @@ def tier_names(md: Column) -> Column:
     """Tier words in heading lines, then near a ``$digit`` with pricing context.
 
     The text around every ``$digit`` comes from look-behind and look-ahead of
-    bounded length, so the work grows with the text, not with its square.
+    bounded length, so the work grows with the text, not with its square. The
+    look-behind is only tried where the look-ahead has found a ``$digit``.
     """
     heading_lines = F.filter(T.lines(md), lambda l: l.rlike(T.rx(r"^\s*#")))
     pass1 = F.flatten(F.transform(heading_lines, _tier_matches))
@@ -54,7 +55,7 @@ def tier_names(md: Column) -> Column:
     w = L.PRICE_WINDOW_CHARS
     dollar = r"(?=\$\d)"
     full, short = rf"(?<=(.{{{w}}}))", rf"(?<=\A(.{{0,{w - 1}}}))"
-    left = lambda group: F.regexp_extract_all(md, F.lit(f"(?Uds)(?:{full}|{short}){dollar}"), F.lit(group))
+    left = lambda group: F.regexp_extract_all(md, F.lit(f"(?Uds){dollar}(?:{full}|{short})"), F.lit(group))
     right = F.regexp_extract_all(md, F.lit(rf"(?Uds)(?=(\$\d.{{0,{w}}}))"), F.lit(1))
     sides = F.arrays_zip(left(1).alias("a"), left(2).alias("b"), right.alias("c"))
     windows = F.transform(sides, lambda x: F.concat(x["a"], x["b"], x["c"]))

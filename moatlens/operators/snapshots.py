@@ -22,9 +22,18 @@ from moatlens.session import ensure_checkpoint_dir
 FEATURES = ("pricing", "messaging", "signals", "complaints")
 
 
+def one_per(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: of rows that repeat one, the last in the order of their JSON text, whatever the run."""
+    order = Window.partitionBy(*keys).orderBy(F.to_json(F.struct(*rows.columns)).desc())
+    return rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") == 1).drop("_rn")
+
+
 def latest(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts") -> DataFrame:
-    """Newest snapshot per company: the newest time is found on two columns, then joined back."""
-    return snaps.join(snaps.groupBy(key).agg(F.max(ts).alias(ts)), [key, ts], "left_semi")
+    """Newest snapshot per company: the newest time is found on two columns, then joined back.
+
+    Of several snapshots of the newest time one comes out (see ``one_per``).
+    """
+    return one_per(snaps.join(snaps.groupBy(key).agg(F.max(ts).alias(ts)), [key, ts], "left_semi"), [key])
 
 
 def retention(snaps: DataFrame, max_archives: int = L.MAX_SNAPSHOT_ARCHIVES,
@@ -43,23 +52,35 @@ def retention(snaps: DataFrame, max_archives: int = L.MAX_SNAPSHOT_ARCHIVES,
 ROWS_PER_BUCKET = 1_000_000
 
 
+#: Quantiles that cut a hot company's history, at least.
+_CUTS = 64
+
+
+def _hot(snaps: DataFrame, key: str, rows_per_bucket: int) -> DataFrame:
+    """(company, count) of the companies with more snapshots than one task should order."""
+    return snaps.groupBy(key).count().filter(F.col("count") > rows_per_bucket)
+
+
 def bucketed(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
              rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``_b``: a time sub-bucket of the company's history.
 
     A company with more than ``rows_per_bucket`` snapshots is cut at the
     quantiles of its times, so buckets hold about as many rows each, however
-    bursty the history. The quantiles of these companies come from a mergeable
-    sketch (one aggregate over two columns) and are written before use: every
-    plan branch sees the same bounds. Other companies have the one bucket 0.
+    bursty the history, and as many quantiles as the longest history needs. The
+    quantiles come from a mergeable sketch (one aggregate over two columns) and
+    are written before use: every plan branch sees the same bounds. Other
+    companies have the one bucket 0.
     """
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    hot = snaps.groupBy(key).count().filter(F.col("count") > rows_per_bucket)
-    if hot.isEmpty():
+    hot = _hot(snaps, key, rows_per_bucket)
+    most = hot.agg(F.max("count")).first()[0]
+    if most is None:
         return snaps.withColumn("_b", F.lit(0).cast("long"))
-    cuts = [i / _CUTS for i in range(1, _CUTS)]
+    n = max(_CUTS, -(-most // rows_per_bucket))
+    cuts = [i / n for i in range(1, n)]
     edges = snaps.select(key, t.alias("_t")).join(hot.select(key), key, "left_semi").groupBy(key).agg(
-        F.array_distinct(F.percentile_approx("_t", cuts, F.lit(10_000))).alias("_edges"))
+        F.array_distinct(F.percentile_approx("_t", cuts, F.lit(max(10_000, 20 * n)))).alias("_edges"))
     path = f"{ensure_checkpoint_dir(snaps.sparkSession)}/moatlens-buckets-{uuid.uuid4().hex}"
     edges.write.parquet(path)
     edges = snaps.sparkSession.read.schema(edges.schema).parquet(path)
@@ -70,31 +91,39 @@ def bucketed(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
     return snaps.join(edges, key, "left").withColumn("_b", b).drop("_edges").repartition(key, "_b")
 
 
-#: Quantiles that cut a hot company's history.
-_CUTS = 64
+def _split(snaps: DataFrame, key: str, rows_per_bucket: int) -> tuple[DataFrame, DataFrame | None]:
+    """Snapshots of companies that one window serves, and those of hot companies (None if there are none)."""
+    hot = _hot(snaps, key, rows_per_bucket)
+    if hot.isEmpty():
+        return snaps, None
+    return snaps.join(hot.select(key), key, "left_anti"), snaps.join(hot.select(key), key, "left_semi")
 
 
 def with_previous(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
                   features=FEATURES, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Attach the previous snapshot of the same company (every consecutive pair).
 
-    A company's history is never one task:
+    A plain ``lag`` over the company's history. The histories of hot companies
+    are never one task:
     - ``lag`` runs within (company, time sub-bucket) (see ``bucketed``);
     - the first row of a bucket takes the last row of the company's nearest
       earlier bucket, from a summary with one row per (company, bucket).
-    With one bucket this is the plain window.
     """
     cols = [ts, *features]
-    r = bucketed(snaps, key, ts, rows_per_bucket)
+    plain, hot = _split(snaps, key, rows_per_bucket)
+    w = Window.partitionBy(key).orderBy(ts)
+    out = plain.select(*snaps.columns, F.lag(ts).over(w).alias("compared_with"), *[F.lag(c).over(w).alias(f"prev_{c}") for c in features])
+    if hot is None:
+        return out
+    r = bucketed(hot, key, ts, rows_per_bucket)
     w = Window.partitionBy(key, "_b").orderBy(ts)
     inner = r.select("*", *[F.lag(F.col(c)).over(w).alias(f"_lag_{c}") for c in cols])
     last = r.groupBy(key, "_b").agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_last"))
     carry = last.select(key, "_b", F.lag("_last").over(Window.partitionBy(key).orderBy("_b")).alias("_before"))
-    out = inner.join(carry, [key, "_b"], "left")
+    paired = inner.join(carry, [key, "_b"], "left")
     first = F.col(f"_lag_{ts}").isNull()
     pick = lambda c: F.when(first, F.col(f"_before.{c}")).otherwise(F.col(f"_lag_{c}"))
-    return out.select(*snaps.columns, pick(ts).alias("compared_with"),
-                      *[pick(c).alias(f"prev_{c}") for c in features])
+    return out.unionByName(paired.select(*snaps.columns, pick(ts).alias("compared_with"), *[pick(c).alias(f"prev_{c}") for c in features]))
 
 
 def _record_fields(snaps: DataFrame, f: str):
@@ -102,7 +131,7 @@ def _record_fields(snaps: DataFrame, f: str):
 
 
 def carry_forward(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts",
-                  features=FEATURES, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                  features=FEATURES, rows_per_bucket: int = ROWS_PER_BUCKET, first_stale: bool = False) -> DataFrame:
     """Failed features keep the previous snapshot's record, flagged stale.
 
     A stale feature row holds ``is_stale`` true. It takes the record of the
@@ -111,42 +140,93 @@ def carry_forward(snaps: DataFrame, key: str = "company", ts: str = "snapshot_ts
     between, which ends the chain. ``stale_since`` is the previous snapshot's
     time when that one had the feature. Else the marker stays empty.
 
-    Like ``with_previous`` this runs per (company, time sub-bucket), with a
-    per-bucket summary for the rows whose source lies in an earlier bucket.
+    With ``first_stale`` every record also gets ``first_stale_since``: the time
+    of the first snapshot of the run of stale ones it belongs to. A run ends
+    with a snapshot that isn't stale for the feature, or hasn't got it.
+
+    Plain windows over a company's history; those of hot companies run per
+    (company, time sub-bucket), with a per-bucket summary for the rows whose
+    source lies in an earlier bucket.
     """
-    r = bucketed(snaps, key, ts, rows_per_bucket)
-    w = Window.partitionBy(key, "_b").orderBy(ts)
+    plain, hot = _split(snaps, key, rows_per_bucket)
+    out = _carried(plain.withColumn("_b", F.lit(0).cast("long")), snaps, key, ts, features, first_stale, False)
+    if hot is None:
+        return out
+    return out.unionByName(_carried(bucketed(hot, key, ts, rows_per_bucket), snaps, key, ts, features, first_stale, True))
+
+
+def _carried(r: DataFrame, snaps: DataFrame, key: str, ts: str, features, first_stale: bool, stitched: bool) -> DataFrame:
+    """``carry_forward`` of rows with a bucket ``_b``; ``stitched`` when a company has several."""
+    w = Window.partitionBy(key, "_b").orderBy(ts) if stitched else Window.partitionBy(key).orderBy(ts)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     stale = {f: F.coalesce(F.col(f"{f}.is_stale"), F.lit(False)) for f in features}
     # what a stale row may take over: the record, or nothing where the feature is missing
     fresh = {f: F.when(~stale[f], F.struct(F.col(f).alias("r"))) for f in features}
-    inner = r.select("*", F.lag(F.col(ts)).over(w).alias("_lag_ts"),
-                     *[F.lag(F.col(f)).over(w).isNotNull().alias(f"_lag_has_{f}") for f in features],
-                     *[F.last(fresh[f], ignorenulls=True).over(before).alias(f"_in_{f}") for f in features])
-    summ = r.groupBy(key, "_b").agg(
-        F.max(F.col(ts)).alias("_last_ts"),
-        *[F.max_by(F.col(f).isNotNull(), F.col(ts)).alias(f"_last_has_{f}") for f in features],
-        *[F.max_by(F.struct(F.col(f).alias("r")), F.when(~stale[f], F.col(ts))).alias(f"_last_fresh_{f}") for f in features])
-    wb = Window.partitionBy(key).orderBy("_b")
-    wb_before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select(key, "_b", F.lag("_last_ts").over(wb).alias("_before_ts"),
-                        *[F.lag(f"_last_has_{f}").over(wb).alias(f"_before_has_{f}") for f in features],
-                        *[F.last(f"_last_fresh_{f}", ignorenulls=True).over(wb_before).alias(f"_before_{f}") for f in features])
-    out = inner.join(carry, [key, "_b"], "left")
-    first = F.col("_lag_ts").isNull()
-    prev_ts = F.when(first, F.col("_before_ts")).otherwise(F.col("_lag_ts"))
+    runs = features if first_stale else ()
+    stale_ts = {f: F.when(stale[f], F.col(ts)) for f in runs}
+    fresh_ts = {f: F.when(~stale[f], F.col(ts)) for f in runs}
+    # a run begins with the first stale snapshot after the last that isn't: the earliest stale time since then
+    run = {f: F.max(fresh_ts[f]).over(before) for f in runs}
+    out = r.select("*", F.lag(F.col(ts)).over(w).alias("_lag_ts"),
+                   *[F.lag(F.col(f)).over(w).isNotNull().alias(f"_lag_has_{f}") for f in features],
+                   *[F.last(fresh[f], ignorenulls=True).over(before).alias(f"_in_{f}") for f in features],
+                   *[run[f].alias(f"_ended_{f}") for f in runs])
+    if runs:
+        within = lambda f: (Window.partitionBy(key, "_b", f"_ended_{f}") if stitched else Window.partitionBy(key, f"_ended_{f}")).orderBy(ts)
+        for f in runs:
+            so_far = within(f).rowsBetween(Window.unboundedPreceding, 0)
+            out = out.withColumn(f"_begun_{f}", F.min(stale_ts[f]).over(so_far))
+    prev_ts, has, source = F.col("_lag_ts"), {f: F.col(f"_lag_has_{f}") for f in features}, {f: F.col(f"_in_{f}") for f in features}
+    begun = {f: F.col(f"_begun_{f}") for f in runs}
+    if stitched:
+        out = out.join(_borders(r, key, ts, features, stale, fresh, runs), [key, "_b"], "left")
+        first = F.col("_lag_ts").isNull()
+        prev_ts = F.when(first, F.col("_before_ts")).otherwise(prev_ts)
+        has = {f: F.when(first, F.coalesce(F.col(f"_before_has_{f}"), F.lit(False))).otherwise(has[f]) for f in features}
+        source = {f: F.coalesce(source[f], F.col(f"_before_{f}")) for f in features}
+        # no snapshot that isn't stale before this one in its bucket: the run may have begun in an earlier one
+        begun = {f: F.when(F.col(f"_ended_{f}").isNull(), F.coalesce(F.col(f"_before_run_{f}"), begun[f])).otherwise(begun[f]) for f in runs}
     for f in features:
-        carried = F.coalesce(F.col(f"_in_{f}"), F.col(f"_before_{f}"))["r"]
-        prev_has = F.when(first, F.coalesce(F.col(f"_before_has_{f}"), F.lit(False))).otherwise(F.col(f"_lag_has_{f}"))
         tried = [F.col(f"{f}.attempted").alias("attempted")] if "attempted" in snaps.schema[f].dataType.fieldNames() else []
+        since = [F.when(stale[f], begun[f]).alias("first_stale_since")] if first_stale else []
         rec = F.struct(
-            *[F.when(stale[f], carried[c]).otherwise(F.col(f"{f}.{c}")).alias(c) for c in _record_fields(snaps, f)],
+            *[F.when(stale[f], source[f]["r"][c]).otherwise(F.col(f"{f}.{c}")).alias(c) for c in _record_fields(snaps, f)],
             F.col(f"{f}.is_stale").alias("is_stale"),
-            F.when(stale[f] & prev_has, prev_ts).alias("stale_since"),
-            F.col(f"{f}.stale_reason").alias("stale_reason"), *tried,
+            F.when(stale[f] & has[f], prev_ts).alias("stale_since"),
+            F.col(f"{f}.stale_reason").alias("stale_reason"), *tried, *since,
         )
-        out = out.withColumn(f, F.when(F.col(f).isNotNull(), rec))
-    return out.select(*snaps.columns)
+        out = out.withColumn(f"_out_{f}", F.when(F.col(f).isNotNull(), rec))
+    return out.select(*[F.col(f"_out_{c}").alias(c) if c in features else F.col(c) for c in snaps.columns])
+
+
+def _borders(r: DataFrame, key: str, ts: str, features, stale: dict, fresh: dict, runs) -> DataFrame:
+    """What a bucket takes over from the company's earlier ones: a row per (company, bucket)."""
+    summ = r.groupBy(key, "_b").agg(
+        F.max(F.col(ts)).alias("_last_ts"),
+        *[F.max_by(F.col(f).isNotNull(), F.col(ts)).alias(f"_last_has_{f}") for f in features],
+        *[F.max_by(F.struct(F.col(f).alias("r")), F.when(~stale[f], F.col(ts))).alias(f"_last_fresh_{f}") for f in features],
+        *[F.max(F.when(~stale[f], F.col(ts))).alias(f"_last_ended_{f}") for f in runs],
+        *[F.min(F.when(stale[f], F.col(ts))).alias(f"_first_stale_{f}") for f in runs])
+    # the first stale time behind the bucket's last snapshot that isn't stale: the run that is open at its end
+    for f in runs:
+        last = r.select(key, "_b", F.when(stale[f], F.col(ts)).alias("_t")).join(summ.select(key, "_b", f"_last_ended_{f}"), [key, "_b"])
+        open_ = last.filter(F.col(f"_last_ended_{f}").isNotNull() & (F.col("_t") > F.col(f"_last_ended_{f}")))
+        summ = summ.join(open_.groupBy(key, "_b").agg(F.min("_t").alias(f"_open_{f}")), [key, "_b"], "left")
+    wb = Window.partitionBy(key).orderBy("_b")
+    wb_before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    # a bucket with a snapshot that isn't stale says which run is open behind it (none, maybe); one that is stale throughout passes on
+    ends = {f: F.when(F.col(f"_last_ended_{f}").isNotNull(), F.struct(F.col(f"_open_{f}").alias("t"), F.col("_b").alias("b"))) for f in runs}
+    out = summ.select("*", F.lag("_last_ts").over(wb).alias("_before_ts"),
+                      *[F.lag(f"_last_has_{f}").over(wb).alias(f"_before_has_{f}") for f in features],
+                      *[F.last(f"_last_fresh_{f}", ignorenulls=True).over(wb_before).alias(f"_before_{f}") for f in features],
+                      *[F.last(ends[f], ignorenulls=True).over(wb_before).alias(f"_end_{f}") for f in runs])
+    for f in runs:
+        # the first stale time of the buckets after the one that ended a run (of all earlier ones, if none did)
+        since = Window.partitionBy(key, f"_end_{f}.b").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        stale_only = F.when(F.col(f"_last_ended_{f}").isNull(), F.col(f"_first_stale_{f}"))
+        out = out.withColumn(f"_before_run_{f}", F.coalesce(F.col(f"_end_{f}.t"), F.min(stale_only).over(since)))
+    return out.select(key, "_b", "_before_ts", *[f"_before_has_{f}" for f in features], *[f"_before_{f}" for f in features],
+                      *[f"_before_run_{f}" for f in runs])
 
 
 def stale_features(snaps: DataFrame, features=FEATURES) -> Column:
@@ -160,10 +240,11 @@ def stale_features(snaps: DataFrame, features=FEATURES) -> Column:
 
 
 def append(snaps: DataFrame, path: str, date_col: str = "snapshot_date") -> None:
-    """Append-only sink partitioned by date; the previous latest simply stays as history.
+    """Plain append partitioned by date; the previous latest simply stays as history.
 
-    Spark's commit protocol makes each append all-or-nothing, so a crash
-    never loses the earlier snapshots (no rename dance needed).
+    Earlier snapshots are never touched. A job that is killed while it commits,
+    or repeated, may leave part of its rows or rows twice: ``store.append``
+    has neither.
     """
     df = snaps if date_col in snaps.columns else snaps.withColumn(date_col, F.to_date("snapshot_ts"))
     df.write.mode("append").partitionBy(date_col).parquet(path)

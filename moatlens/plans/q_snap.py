@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from moatlens.functions import text as T
-from moatlens.operators import assembly, changes, snapshots
+from moatlens.operators import assembly, change_log, changes, snapshots, store
 from moatlens.plans.registry import query
 from moatlens.session import ensure_checkpoint_dir
 from moatlens.sources import fixtures as X
@@ -93,11 +93,24 @@ def _run_folder(spark, name: str) -> str:
 
 @query("snapshot_append", _FX + f"select {_FLAT_SQL} from fx_snapshots")
 def q_append(spark, sf):
-    """Two appends to a run folder, read back."""
+    """Two batches appended to a run folder, the first one twice, read back."""
     s, path = _snaps(spark, sf), _run_folder(spark, "append")
-    for early in (True, False):
-        snapshots.append(s.filter((F.col("snapshot_date") < F.lit("2024-03-01").cast("date")) == F.lit(early)), path)
-    return _flat(spark.read.schema(s.schema).parquet(path))
+    for batch in ("early", "late", "early"):
+        part = s.filter((F.col("snapshot_date") < F.lit("2024-03-01").cast("date")) == F.lit(batch == "early"))
+        store.append(part, path, batch, "snapshot_date")
+    return _flat(store.read(spark, path, s.schema, "snapshot_date"))
+
+
+@query("snapshot_prune", _FX + f"""
+, r as (select *, row_number() over (partition by company order by snapshot_date desc) as rn from fx_snapshots)
+select {_FLAT_SQL} from r where rn <= {_RET_ARCHIVES + 1}""")
+def q_prune(spark, sf):
+    """A stored history pruned to latest and archives, its replaced files deleted, read back."""
+    s, path = _snaps(spark, sf), _run_folder(spark, "prune")
+    store.append(s, path, "all", "snapshot_date")
+    store.prune(spark, path, s.schema, "snapshot_date", "prune", _RET_ARCHIVES + 1, "company", "snapshot_date")
+    store.vacuum(spark, path, "snapshot_date")
+    return _flat(store.read(spark, path, s.schema, "snapshot_date"))
 
 
 def snapshot_doc_schema(df: DataFrame) -> StructType:
@@ -134,17 +147,25 @@ _CARRY = _FX.replace("with ", "with recursive ", 1) + """
 """
 
 
-@query("stale_carry_forward", _CARRY + """
-select step.company, cast(step.snapshot_date as varchar) as snapshot_date, n.st_pricing as is_stale,
+# A run of stale snapshots begins with the first stale one after the last that wasn't.
+_RUNS = """
+, ended as (select *, max(case when not st_pricing then snapshot_date end) over (partition by company order by snapshot_date) as fresh from fx_snapshots)
+, runs as (select company, snapshot_date, min(case when st_pricing then snapshot_date end) over (partition by company, fresh order by snapshot_date) as begun from ended)
+"""
+
+
+@query("stale_carry_forward", _CARRY + _RUNS + """
+select case when n.st_pricing then cast(runs.begun as varchar) end as first_stale_since, step.company, cast(step.snapshot_date as varchar) as snapshot_date, n.st_pricing as is_stale,
   cast(since_pricing as varchar) as stale_since, cast(since_signals as varchar) as signals_since, step.tiers, step.monthly_prices, step.main_headline,
   step.push as biggest_hiring_push
-from step join n on n.company = step.company and n.k = step.k""")
+from step join n on n.company = step.company and n.k = step.k join runs on runs.company = step.company and runs.snapshot_date = step.snapshot_date""")
 def q_carry(spark, sf):
-    c = snapshots.carry_forward(_snaps(spark, sf), ts="snapshot_date")
+    c = snapshots.carry_forward(_snaps(spark, sf), ts="snapshot_date", first_stale=True)
     return c.select(
         "company", F.col("snapshot_date").cast("string").alias("snapshot_date"),
         F.col("pricing.is_stale").alias("is_stale"),
         F.col("pricing.stale_since").cast("string").alias("stale_since"),
+        F.col("pricing.first_stale_since").cast("string").alias("first_stale_since"),
         F.col("signals.stale_since").cast("string").alias("signals_since"),
         F.array_join("pricing.tiers_found", "|").alias("tiers"),
         F.array_join("pricing.monthly_prices", "|").alias("monthly_prices"),
@@ -296,13 +317,14 @@ def q_stale_guard(spark, sf):
 _ALL = _PAIRS + ", ev as (" + " union all ".join(x for f in snapshots.FEATURES for x in _EVENTS[f]) + ")\n"
 
 
-@query("change_report", _ALL + """
+_REPORT = """
 select company, cast(snapshot_date as varchar) as detected_at, cast(compared_with as varchar) as compared_with,
   cast(count(*) as bigint) as n_changes,
   array_to_string(list_sort(list_distinct(list(feature))), '|') as features_changed
-from ev group by company, snapshot_date, compared_with""")
-def q_change_report(spark, sf):
-    rep = changes.change_report(_snaps(spark, sf), ts="snapshot_date")
+from ev group by company, snapshot_date, compared_with"""
+
+
+def _report_rows(rep: DataFrame) -> DataFrame:
     return rep.select("company", F.col("detected_at").cast("string").alias("detected_at"),
                       F.col("compared_with").cast("string").alias("compared_with"),
                       F.size("changes").cast("bigint").alias("n_changes"),
@@ -310,6 +332,21 @@ def q_change_report(spark, sf):
                       .alias("features_changed"))
 
 
+@query("change_report", _ALL + _REPORT)
+def q_change_report(spark, sf):
+    return _report_rows(changes.change_report(_snaps(spark, sf), ts="snapshot_date"))
+
+
+@query("change_report_batches", _ALL + _REPORT)
+def q_change_batches(spark, sf):
+    """Reports kept up to date over three batches, of which the last holds late snapshots; the history is read once."""
+    s, path = _snaps(spark, sf), _run_folder(spark, "changelog")
+    first, late = F.col("snapshot_date") < F.lit("2024-03-01").cast("date"), F.pmod(F.crc32("company"), F.lit(3)) == F.month("snapshot_date") - 2
+    for batch, which in (("1", first & ~late), ("2", ~first & ~late), ("3", late)):
+        change_log.update(s.filter(which), path, batch, ts="snapshot_date", buckets=8)
+    return _report_rows(change_log.reports(spark, path, ts_type=DateType()))
+
+
 @query("change_report_write", _ALL + """
 , st as (select company, snapshot_date, concat_ws('|', case when st_pricing then 'pricing' end, case when st_messaging and tried_messaging then 'messaging' end,
    case when st_signals and has_signals then 'signals' end, case when st_complaints then 'complaints' end) as stale_features from fx_snapshots)
