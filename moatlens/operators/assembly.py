@@ -1,9 +1,11 @@
-"""Pages of one crawl to snapshot rows: gate, extract, mark failures, assemble.
+"""Pages of crawls to snapshot rows: one fetch per target, gate, extract, mark failures, assemble.
 
 ``targets(company, feature, url)`` lists the features a crawl has per company;
 a null url means that none was found. ``fetches(company, feature, markdown,
-success, error_message)`` is the fetch log. Every target becomes a feature
-record:
+success, error_message[, fetched_at])`` is the fetch log, with a row per
+attempt. Of a target's attempts the newest accepted one counts, else the newest
+(else, without times, the smallest text), whatever the order of the rows.
+Every target becomes a feature record:
 
 - found, fetched and accepted: the extracted record;
 - found but rejected or not fetched: stale, with the reason;
@@ -14,7 +16,7 @@ A feature that isn't among a company's targets is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
@@ -23,33 +25,48 @@ from moatlens.operators.pages import page_gate
 
 EXTRACTORS = {"pricing": pricing.extract_pricing, "messaging": messaging.extract_messaging,
               "signals": signals.extract_signals, "complaints": complaints.extract_complaints}
-_OWN = ("company", "feature", "url", "markdown", "success", "error_message", "accepted", "reject_reason")
 
 
-def feature_records(targets: DataFrame, fetches: DataFrame, feature: str) -> DataFrame:
-    """(company, <feature>): one record per target of the feature."""
-    t = targets.filter(F.col("feature") == feature)
-    f = fetches.filter(F.col("feature") == feature).select("company", "markdown", "success", "error_message")
-    gated = page_gate(t.join(f, "company", "left").select(*_OWN[:6]))
+def best_fetches(fetches: DataFrame, keys: list[str]) -> DataFrame:
+    """One gated fetch per target: a per-partition top-1 before the shuffle, so a target fetched very often ships few rows."""
+    at = F.col("fetched_at") if "fetched_at" in fetches.columns else F.lit(None).cast("timestamp")
+    gated = page_gate(fetches).withColumn("fetched_at", at)
+    order = Window.partitionBy(*keys).orderBy(F.col("accepted").desc(), F.col("fetched_at").desc_nulls_last(),
+                                              F.col("error_message").asc_nulls_last(), F.col("markdown").asc_nulls_last())
+    return gated.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") == 1).select(*keys, "markdown", "accepted", "reject_reason")
+
+
+def feature_records(targets: DataFrame, fetches: DataFrame, keys: list[str]) -> DataFrame:
+    """``targets`` with a column per feature, of which the target's own holds its record.
+
+    One pass over the rows: every extractor reads the texts of its own feature
+    and an empty one elsewhere.
+    """
+    gated = targets.join(best_fetches(fetches, [*keys, "feature"]), [*keys, "feature"], "left")
     found = F.col("url").isNotNull()
     ok = found & F.coalesce(F.col("accepted"), F.lit(False))
-    # a rejected page has no text to extract from
-    out = EXTRACTORS[feature](gated.withColumn("markdown", F.when(ok, F.col("markdown")).otherwise("")))
-    fields = [c for c in out.columns if c not in _OWN]
-    reason = F.when(~found, F.lit(L.URL_DISCOVERY_FAILED)).when(~ok, F.col("reject_reason"))
-    record = F.struct(*[F.when(ok, F.col(c)).alias(c) for c in fields], (~ok).alias("is_stale"),
-                      F.lit(None).cast("timestamp").alias("stale_since"), reason.alias("stale_reason"), found.alias("attempted"))
-    return out.select("company", record.alias(feature))
+    reason = F.when(~found, F.lit(L.URL_DISCOVERY_FAILED)).when(~ok, F.coalesce("reject_reason", F.lit(L.PAGE_ERROR_DEFAULT)))
+    out = gated.select(*keys, "feature", F.when(ok, F.col("markdown")).alias("_text"), ok.alias("_ok"), reason.alias("_reason"), found.alias("_found"))
+    for feature, extract in EXTRACTORS.items():
+        mine = F.col("feature") == feature
+        before = out.columns
+        # a rejected page has no text to extract from
+        out = extract(out.withColumn("_mine", F.coalesce(F.when(mine, F.col("_text")), F.lit(""))), "_mine")
+        fields = [c for c in out.columns if c not in before and c != "_mine"]
+        record = F.struct(*[F.when(F.col("_ok"), F.col(c)).alias(c) for c in fields], (~F.col("_ok")).alias("is_stale"),
+                          F.lit(None).cast("timestamp").alias("stale_since"), F.col("_reason").alias("stale_reason"), F.col("_found").alias("attempted"))
+        out = out.select(*before, F.when(mine, record).alias(feature))
+    return out.select(*keys, *EXTRACTORS)
 
 
-def assemble(targets: DataFrame, fetches: DataFrame, snapshot_ts: Column) -> DataFrame:
-    """(company, snapshot_ts, pricing, messaging, signals, complaints): one snapshot row per company.
+def assemble(targets: DataFrame, fetches: DataFrame, snapshot_ts: Column | None = None) -> DataFrame:
+    """(company, snapshot_ts, pricing, messaging, signals, complaints): one snapshot row per company and crawl.
 
-    The four branches are put together by one aggregate on the company.
+    ``snapshot_ts`` is the time of a single crawl; without it both tables hold
+    a column of that name, and many crawls are assembled at once.
     """
-    parts = [feature_records(targets, fetches, f) for f in EXTRACTORS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    rows = out.groupBy("company").agg(*[F.first(f, ignorenulls=True).alias(f) for f in EXTRACTORS])
-    return rows.select("company", snapshot_ts.alias("snapshot_ts"), *EXTRACTORS)
+    if snapshot_ts is not None:
+        targets, fetches = targets.withColumn("snapshot_ts", snapshot_ts), fetches.withColumn("snapshot_ts", snapshot_ts)
+    keys = ["company", "snapshot_ts"]
+    records = feature_records(targets.select(*keys, "feature", "url"), fetches, keys)
+    return records.groupBy(*keys).agg(*[F.first(f, ignorenulls=True).alias(f) for f in EXTRACTORS])

@@ -12,7 +12,7 @@ from moatlens.operators.statements import clean_num
 
 def filings_head(filings: DataFrame, n_by_form: dict | None = None, no_amendments=("10-K",),
                  key: str = "ticker") -> DataFrame:
-    """Newest n filings per (ticker, form); amended filings dropped for ``no_amendments`` forms.
+    """Newest n filings per (ticker, form), all of a form whose n is None; amended filings dropped for ``no_amendments`` forms.
 
     The rank filter uses one literal bound (the largest n) so Spark plans a
     per-partition top-k before the shuffle; the per-form n is applied after.
@@ -22,24 +22,63 @@ def filings_head(filings: DataFrame, n_by_form: dict | None = None, no_amendment
     if no_amendments and "amended" in f.columns:
         f = f.filter(~(F.col("form").isin(list(no_amendments)) & F.coalesce(F.col("amended"), F.lit(False))))
     w = Window.partitionBy(key, "form").orderBy(F.col("filed_date").desc(), F.col("filing_id").desc())
-    ranked = f.withColumn("filing_rank", F.row_number().over(w)).filter(F.col("filing_rank") <= max(n_by_form.values()))
-    limit = F.create_map(*[x for k, v in n_by_form.items() for x in (F.lit(k), F.lit(v))])
-    return ranked.filter(F.col("filing_rank") <= limit[F.col("form")])
+    ranked = f.withColumn("filing_rank", F.row_number().over(w))
+    if None not in n_by_form.values():
+        ranked = ranked.filter(F.col("filing_rank") <= max(n_by_form.values()))
+    limit = F.create_map(*[x for k, v in n_by_form.items() for x in (F.lit(k), F.lit(v).cast("int"))])[F.col("form")]
+    return ranked.filter(limit.isNull() | (F.col("filing_rank") <= limit))
 
 
 def newest_text(docs: DataFrame, key: str, order: str, text_col: str) -> DataFrame:
-    """Newest document per key: the newest order per key is found without the texts, then joined back."""
+    """Newest document per key: the newest order per key is found without the texts, then joined back.
+
+    Of several documents of the newest order the smallest text counts.
+    """
     newest = docs.groupBy(key).agg(F.max(order).alias(order))
-    return docs.join(newest, [key, order], "left_semi").select(key, order, text_col)
+    rows = docs.join(newest, [key, order], "left_semi").select(key, order, text_col)
+    return rows.groupBy(key, order).agg(F.min(text_col).alias(text_col))
 
 
 def sections(docs: DataFrame, items: dict[str, int], key: str = "ticker", item_col: str = "item", text_col: str = "text",
              order: str = "doc_id") -> DataFrame:
-    """Named items (with their order) of the newest filing that has them: (key, section_ord, item, text)."""
+    """Named items (with their order) of the newest filing that has them: (key, section_ord, item, text).
+
+    For filings whose items are rows already; ``filing_items`` cuts whole texts.
+    """
     ord_ = F.create_map(*[F.lit(x) for k, v in items.items() for x in (k, v)])[F.col(item_col)]
     named = docs.filter(F.col(item_col).isin(list(items)))
     newest = named.groupBy(key, item_col).agg(F.max(order).alias(order))
-    return named.join(newest, [key, item_col, order], "left_semi").select(key, ord_.alias("section_ord"), F.col(item_col).alias("item"), order, text_col)
+    rows = named.join(newest, [key, item_col, order], "left_semi").groupBy(key, item_col, order).agg(F.min(text_col).alias(text_col))
+    return rows.select(key, ord_.alias("section_ord"), F.col(item_col).alias("item"), order, text_col)
+
+
+#: A line that begins an item: its number with a letter maybe, and a full stop or colon.
+ITEM_HEADING = r"[ \t]*item[ \t]+([0-9]{1,2}[a-c]?)[.:]"
+
+
+def item_texts(body: Column, items) -> Column:
+    """The text of every named item of a filing, heading included; null for an item it hasn't got.
+
+    The body is cut where a line begins with an item's heading. A table of
+    contents lists the headings too: of an item's pieces the longest counts,
+    of equally long ones the first. One pass over the text.
+    """
+    pieces = F.split(body, rf"(?imd)(?=^{ITEM_HEADING})", -1)
+    named = F.transform(pieces, lambda p, i: F.struct(F.length(p).alias("n"), (-i).alias("at"), F.upper(
+        F.regexp_extract(p, rf"(?id)\A{ITEM_HEADING}", 1)).alias("number"), p.alias("piece")))
+    longest = lambda item: F.array_max(F.filter(named, lambda p: p["number"] == item.upper().removeprefix("ITEM ")))["piece"]
+    return F.array(*[T.strip(longest(item)) for item in items])
+
+
+def filing_items(filings: DataFrame, items: dict[str, int], key: str = "ticker", body_col: str = "body", order: str = "filing_id") -> DataFrame:
+    """(key, section_ord, item, order, text): the named items of every company's newest filing, cut from its body.
+
+    Only newest filings are cut. An item that the newest filing hasn't got has a null text.
+    """
+    newest = newest_text(filings, key, order, body_col)
+    texts = newest.select(key, order, T.explode_kept(item_texts(F.col(body_col), list(items)), pos=True).alias("i", "text"))
+    at = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("i"))
+    return texts.select(key, at(items.values()).alias("section_ord"), at(items).alias("item"), order, "text")
 
 
 def truncate_text(c: Column, limit: int = L.MAX_TEXT_CHARS) -> Column:
@@ -47,11 +86,14 @@ def truncate_text(c: Column, limit: int = L.MAX_TEXT_CHARS) -> Column:
 
 
 def material_events(head_8k: DataFrame) -> DataFrame:
-    """Description: items joined by '; ', else filing description, else the form; cut to 1000."""
-    items = F.col("items")
-    if dict(head_8k.dtypes).get("items", "").startswith("array"):
-        items = F.array_join(items, "; ")
-    desc = F.coalesce(F.nullif(items, F.lit("")), F.nullif(F.col("description"), F.lit("")), F.col("form"))
+    """Description: items joined by '; ', else the header's items, else filing description, else the form; cut to 1000.
+
+    ``header_items`` is optional, and like ``items`` a string or an array.
+    """
+    def said(name: str) -> Column:
+        kind = dict(head_8k.dtypes).get(name, "void")
+        return F.nullif(F.array_join(name, "; ") if kind.startswith("array") else F.col(name) if kind != "void" else F.lit(None).cast("string"), F.lit(""))
+    desc = F.coalesce(said("items"), said("header_items"), said("description"), F.col("form"))
     return head_8k.select("ticker", "filing_id", "filed_date", F.col("form").alias("form_type"),
                           F.substring(desc, 1, L.MAX_EVENT_CHARS).alias("description"), desc.alias("full_description"))
 
@@ -123,13 +165,13 @@ def esg_paragraphs(tenk_sections: DataFrame, proxy: DataFrame | None = None, key
 
     ``tenk_sections(key, section_ord, text)``; ``proxy(key, text)``. A paragraph
     is one line holding any term; paragraphs are stripped, joined by newline,
-    null when none, cut to 5000 chars.
+    null when none, cut to 5000 chars. A section without a text counts as empty.
     """
     def paras(text, terms):
         return F.transform(F.filter(T.lines(text), lambda p: T.any_sub(F.lower(p), T.lit_array(terms))), T.strip)
 
-    k = tenk_sections.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("section_ord", paras(F.col("text"), L.ESG_TERMS_10K).alias("p")))).alias("_s"))
+    own = paras(F.coalesce("text", F.lit("")), L.ESG_TERMS_10K)
+    k = tenk_sections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section_ord", own.alias("p")))).alias("_s"))
     k = k.select(key, F.flatten(F.transform("_s", lambda s: s["p"])).alias("parts"))
     if proxy is not None:
         p = proxy.select(key, paras(F.col("text"), L.ESG_TERMS_PROXY).alias("pp"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
 from moatlens.functions import text as T
+from moatlens.session import ensure_checkpoint_dir
 
 # XML character entities decoded in <loc> text (fixed values).
 _XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
@@ -32,47 +35,110 @@ def xml_unescape(c: Column) -> Column:
     return c
 
 
+#: What may stand before and behind a document's root: white space and processing instructions.
+_AROUND = r"(?:\s++|<\?.*?\?>)*+"
+_CDATA = r"<!\[CDATA\["
+
+
+def _bare(body: Column) -> Column:
+    """The body without comments; a comment that doesn't end takes the text up to the next one with it."""
+    behind = lambda p: F.when(F.contains(p, F.lit("-->")), F.substr(p, F.locate("-->", p) + 3)).otherwise("")
+    pieces = F.split(body, "<!--", -1)
+    return F.when(F.contains(body, F.lit("<!--")), F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(behind(p))), "")).otherwise(body)
+
+
+def _root(bare: Column) -> Column:
+    """Name of the root element, sitemap or index, if the text begins with its opening and ends with its closing tag."""
+    name = F.regexp_extract(bare, rf"(?s)\A{_AROUND}<(urlset|sitemapindex)[\s/>]", 1)
+    last = F.substring_index(bare, "</", -1)
+    closed = F.regexp_extract(last, rf"(?s)\A(urlset|sitemapindex)\s*+>{_AROUND}\z", 1)
+    return F.when((name != "") & (name == closed), name)
+
+
 def _well_formed(body: Column) -> Column:
-    """Opening and closing root tag present (stated narrowing of a full XML parse)."""
-    return ((F.contains(body, F.lit("<urlset")) & F.contains(body, F.lit("</urlset>")))
-            | (F.contains(body, F.lit("<sitemapindex")) & F.contains(body, F.lit("</sitemapindex>"))))
+    """Whether a sitemap or sitemap index is a well-formed document.
+
+    Spark's streaming XML reader checks tags, entities, attributes and comments
+    of the text within one element around it; it stands for the whole text, so
+    what follows the root counts too. Prefixes must be declared somewhere in
+    the document. A document type declaration is not accepted.
+    """
+    bare = _bare(body)
+    whole = F.concat(F.lit("<document>"), F.regexp_replace(body, r"(?s)^<\?xml\s.*?\?>", ""), F.lit("</document>"))
+    parsed = F.from_xml(whole, "urlset array<string>, sitemapindex array<string>, _bad string",
+                        {"rowTag": "document", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    roots = F.coalesce(F.size(parsed["urlset"]), F.lit(0)) + F.coalesce(F.size(parsed["sitemapindex"]), F.lit(0))
+    used = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"<([A-Za-z_][\w.-]*):"), F.lit(1)))
+    declared = F.forall(used, lambda p: F.contains(bare, F.concat(F.lit("xmlns:"), p, F.lit("="))))
+    # the cheap tests first: most bodies of failed fetches are no XML at all
+    return F.when(_root(bare).isNotNull() & declared, F.coalesce(parsed["_bad"].isNull() & (roots == 1), F.lit(False))).otherwise(F.lit(False))
 
 
 def _locs(body: Column) -> Column:
     """Trimmed, decoded <loc> texts in document order (empty elements skipped).
 
-    Comments are no elements; a CDATA section is taken as it stands.
+    An element's text ends at its first child element. Comments are no
+    elements; CDATA sections are taken as they stand.
     """
-    bare = F.regexp_replace(body, r"(?s)<!--.*?-->", "")
-    cdata = r"<!\[CDATA\["
-    raw = F.regexp_extract_all(bare, F.lit(rf"(?s)<loc>(\s*{cdata}.*?\]\]>\s*|[^<]*)</loc>"), F.lit(1))
-    inner = lambda x: F.regexp_extract(x, rf"(?s){cdata}(.*)\]\]>", 1)
-    return F.filter(F.transform(raw, lambda x: F.when(x.rlike(rf"^\s*{cdata}"), T.strip(inner(x))).otherwise(xml_unescape(T.strip(x)))),
-                    lambda x: x != "")
-
-
-def sitemap_locs(sitemaps: DataFrame, children: int | None = None) -> DataFrame:
+    bare = _bare(body)
+    raw = F.regexp_extract_all(bare, F.lit(rf"(?s)<loc(?:\s[^<>]*)?(?<!/)>((?:[^<]++|{_CDATA}.*?\]\]>)*+)"), F.lit(1))
+    pieces = lambda x: F.regexp_extract_all(x, F.lit(rf"(?s)([^<]++|{_CDATA}.*?\]\]>)"), F.lit(1))
+    inner = lambda x: F.substring(x, 10, F.length(x) - 12)
+    text = lambda x: F.when(F.contains(x, F.lit("<![CDATA[")), F.array_join(F.transform(pieces(x), lambda p: F.when(
+        F.startswith(p, F.lit("<![CDATA[")), inner(p)).otherwise(xml_unescape(p))), "")).otherwise(xml_unescape(x))
+    return F.filter(F.transform(raw, lambda x: T.strip(text(x))), lambda x: x != "")
+
+
+def _parsed(sitemaps: DataFrame) -> DataFrame:
+    """(domain, url, is_index, at_root, locs) of every well-formed document, parsed once and written; one row per domain and URL."""
+    spark, body = sitemaps.sparkSession, F.col("body")
+    is_index = _root(_bare(body)) == "sitemapindex"
+    at_root = F.col("url") == F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap.xml"))
+    docs = sitemaps.filter(_well_formed(body)).select("domain", "url", is_index.alias("is_index"), at_root.alias("at_root"), _locs(body).alias("locs"))
+    path = f"{ensure_checkpoint_dir(spark)}/moatlens-sitemaps-{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    docs = spark.read.schema(docs.schema).parquet(path)
+    again = docs.groupBy("domain", "url").count().filter("count > 1").select("domain", "url")
+    if again.isEmpty():
+        return docs
+    # a document fetched more than once: the last of its well-formed bodies in the order of their hashes
+    one = Window.partitionBy("domain", "url").orderBy(F.xxhash64("is_index", "locs").desc())
+    repeated = docs.join(again, ["domain", "url"], "left_semi").withColumn("_rn", F.row_number().over(one)).filter(F.col("_rn") == 1).drop("_rn")
+    return docs.join(again, ["domain", "url"], "left_anti").unionByName(repeated)
+
+
+def sitemap_locs(sitemaps: DataFrame, children: int | None = None, nested: bool = True) -> DataFrame:
     """All <loc> URLs per domain; an index sitemap contributes its child sitemaps (the first ``children``, or all).
 
-    ``sitemaps(domain, url, body)`` holds every fetched sitemap document;
-    the domain's root sitemap is ``https://<domain>/sitemap.xml``. ``child`` is
-    0 for the root's own URLs and else the child's place in the index, so the
-    URLs of an index's first three children are those with child <= 3.
+    ``sitemaps(domain, url, body)`` holds the sitemap documents fetched for a
+    domain; its root sitemap is ``https://<domain>/sitemap.xml``. Documents
+    that are not well-formed give nothing. ``child`` is 0 for the root's own
+    URLs and else the child's place in the root's index, so the URLs of an
+    index's first three children are those with child <= 3. ``sitemap_url`` is
+    the document a URL stands in and ``pos`` its place there.
+
+    Indexes within indexes are followed by one join per level, until none is
+    new (not at all without ``nested``); a document that a domain reaches on
+    several ways counts for the first child that leads to it.
     """
-    docs = sitemaps.filter(_well_formed(F.col("body")))
-    is_index, body = F.contains(F.col("body"), F.lit("<sitemapindex")), F.col("body")
-    at_root = F.col("url") == F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap.xml"))
-    docs = docs.select("domain", "url", is_index.alias("is_index"), at_root.alias("at_root"), _locs(body).alias("locs"))
-    direct = docs.filter(F.col("at_root") & ~F.col("is_index")).select(
-        "domain", F.lit(0).alias("child"), T.explode_kept(F.col("locs"), pos=True).alias("pos", "loc")) \
-        .filter(F.col("loc").isNotNull())
+    spark, docs = sitemaps.sparkSession, _parsed(sitemaps)
     listed = F.col("locs") if children is None else F.slice("locs", 1, children)
-    index = docs.filter(F.col("at_root") & F.col("is_index")).select("domain", F.posexplode(listed).alias("child", "child_url"))
-    kids = docs.filter(~F.col("is_index")).select(F.col("url").alias("child_url"), F.col("locs").alias("child_locs"))
-    via_index = index.join(kids, "child_url").select(
-        "domain", (F.col("child") + 1).alias("child"), T.explode_kept(F.col("child_locs"), pos=True).alias("pos", "loc")) \
-        .filter(F.col("loc").isNotNull())
-    return direct.unionByName(via_index).select("domain", "child", "pos", "loc")
+    out = docs.filter(F.col("at_root") & ~F.col("is_index")).select("domain", F.lit(0).alias("child"), "url", "locs")
+    to = docs.filter(F.col("at_root") & F.col("is_index")).select("domain", F.posexplode(listed).alias("child", "url"))
+    to = to.groupBy("domain", "url").agg((F.min("child") + 1).alias("child"))
+    inner = docs.filter(F.col("is_index") & ~F.col("at_root"))
+    if nested and not inner.isEmpty():
+        while True:
+            more = inner.select("domain", "url", "locs").join(to, ["domain", "url"]).select("domain", "child", F.explode("locs").alias("url"))
+            path = f"{ensure_checkpoint_dir(spark)}/moatlens-sitemaps-{uuid.uuid4().hex}"
+            to.unionByName(more).groupBy("domain", "url").agg(F.min("child").alias("child")).write.parquet(path)
+            state = to.agg(F.count("*"), F.sum("child")).first()
+            to = spark.read.schema("domain string, url string, child int").parquet(path)
+            if to.agg(F.count("*"), F.sum("child")).first() == state:
+                break
+    out = out.unionByName(docs.filter(~F.col("is_index") & ~F.col("at_root")).join(to, ["domain", "url"]).select("domain", "child", "url", "locs"))
+    out = out.select("domain", "child", F.col("url").alias("sitemap_url"), T.explode_kept(F.col("locs"), pos=True).alias("pos", "loc"))
+    return out.filter(F.col("loc").isNotNull())
 
 
 def url_path(url: Column) -> Column:

@@ -34,8 +34,8 @@ def q_filings_head(spark, sf):
 
 @query("material_events", _HEAD + f"""
 select ticker, filing_id, cast(filed_date as varchar) as filed_date, form as form_type,
-  substr(coalesce(nullif(items, ''), nullif(description, ''), form), 1, {L.MAX_EVENT_CHARS}) as description,
-  coalesce(nullif(items, ''), nullif(description, ''), form) as full_description
+  substr(coalesce(nullif(items, ''), nullif(header_items, ''), nullif(description, ''), form), 1, {L.MAX_EVENT_CHARS}) as description,
+  coalesce(nullif(items, ''), nullif(header_items, ''), nullif(description, ''), form) as full_description
 from fh where form = '8-K'""")
 def q_events(spark, sf):
     ev = fl.material_events(_head(spark, sf).filter(F.col("form") == "8-K"))
@@ -45,22 +45,23 @@ def q_events(spark, sf):
 _CODES = " ".join(f"when {q(k)} then {q(v)}" for k, v in L.INSIDER_CODES)
 _TX = X.cte("fx_filings", "fx_insider_txns").replace("with fx_insider_txns", ", fx_insider_txns") + _HEAD.replace(
     X.cte("fx_filings"), "") + f"""
+, tk as (select *, bool_or(kind = 'transactions') over (partition by filing_id) as has_tx from fx_insider_txns)
 , tx as (select fh.ticker, fh.form, fh.filing_id, fh.filed_date, t.line_no,
-   coalesce(t.insider_name, 'Unknown') as insider_name,
+   coalesce(t.insider_name, 'Unknown') as insider_name, t.officer_title as title,
    case when t.code is null then 'Unknown' else case t.code {_CODES} else t.code end end as transaction_type,
    cast(case when t.transaction_shares is not null and t.transaction_shares <> 0 then t.transaction_shares else t.shares end as double) as shares,
-   cast(t.price as double) as price_per_share
-  from fh join fx_insider_txns t on t.filing_id = fh.filing_id where fh.form in ('4', '3', '5'))
+   cast(coalesce(nullif(t.transaction_price_per_share, 0), t.price_per_share) as double) as price_per_share
+  from fh join tk t on t.filing_id = fh.filing_id where fh.form in ('4', '3', '5') and (t.kind = 'transactions' or not t.has_tx))
 """
 
 
 @query("insider_transactions", _TX + """
-select ticker, form, filing_id, cast(filed_date as varchar) as filed_date, line_no, insider_name, transaction_type,
+select ticker, form, filing_id, cast(filed_date as varchar) as filed_date, line_no, insider_name, title, transaction_type,
   shares, price_per_share from tx""")
 def q_insider(spark, sf):
     t = fl.insider_transactions(_head(spark, sf), X.fixture(spark, sf, "fx_insider_txns"))
     return t.select("ticker", "form", "filing_id", F.col("filed_date").cast("string").alias("filed_date"), "line_no",
-                    "insider_name", "transaction_type", "shares", "price_per_share")
+                    "insider_name", "title", "transaction_type", "shares", "price_per_share")
 
 
 @query("insider_summary", _TX + """
@@ -87,45 +88,39 @@ def q_exec_pay(spark, sf):
     return fl.executive_pay(_head(spark, sf), X.fixture(spark, sf, "fx_proxy_comp"))
 
 
-# Documents as filing texts: company = source; a quarter of the documents are
-# proxy statements, the others items of annual reports.
-_DOC_FILINGS = """(select source as ticker, doc_id, text, case doc_id % 4 when 0 then 'DEF 14A' else '10-K' end as form,
-  case doc_id % 4 when 1 then 'Item 1' when 2 then 'Item 1A' when 3 then 'Item 7' end as item from documents)"""
+# The second formulation goes line by line: a heading begins a piece, pieces are put together again by number.
+def _items_sql(items):
+    names = ", ".join(f"({q(i.upper().removeprefix('ITEM '))}, {q(i)})" for i in items)
+    return X.cte("fx_annual_reports") + f""", nf as (select ticker, max(filing_id) as filing_id from fx_annual_reports group by ticker),
+nb as (select r.* from fx_annual_reports r join nf using (ticker, filing_id)),
+ln as (select ticker, filing_id, unnest(string_split(body, chr(10))) as line, unnest(range(0, len(string_split(body, chr(10))))) as line_no from nb),
+hd as (select *, upper(regexp_extract(line, '^[ \\t]*(?i:item)[ \\t]+([0-9]{{1,2}}[a-cA-C]?)[.:]', 1)) as number from ln),
+pc as (select *, sum(case when number <> '' then 1 else 0 end) over (partition by ticker order by line_no) as piece from hd),
+tx as (select ticker, filing_id, piece, max(number) as number, string_agg(line, chr(10) order by line_no) as text from pc group by ticker, filing_id, piece having max(number) <> ''),
+sec as (select nf.ticker, nf.filing_id, n.item, (select regexp_replace(arg_max(tx.text, length(tx.text)), '^\\s+|\\s+$', '', 'g') from tx where tx.ticker = nf.ticker and tx.number = n.number) as text
+  from nf cross join (values {names}) as n(number, item))"""
 
 
-def _doc_filings(spark, sf):
-    d, r = tables.table(spark, sf, "documents"), F.col("doc_id") % 4
-    return d.select(F.col("source").alias("ticker"), "doc_id", "text", F.when(r == 0, "DEF 14A").otherwise("10-K").alias("form"),
-                    F.when(r == 1, "Item 1").when(r == 2, "Item 1A").when(r == 3, "Item 7").alias("item"))
-
-
-def _sections_sql(items):
-    names = ", ".join(q(i) for i in items)
-    return f"""f as {_DOC_FILINGS}, nk as (select ticker, item, max(doc_id) as doc_id from f where item in ({names}) group by ticker, item),
-sec as (select f.* from f join nk using (ticker, item, doc_id))"""
-
-
-@query("filing_section", f"""
-with {_sections_sql(["Item 1A", "Item 7"])}
-select ticker, item, doc_id, cast(length(text) as bigint) as n_chars, text as section_text,
+@query("filing_section", f"""{_items_sql(["Item 1A", "Item 7"])}
+select ticker, item, filing_id, cast(length(text) as bigint) as n_chars, text as section_text,
   case when length(text) > {L.MAX_TEXT_CHARS} then substr(text, 1, {L.MAX_TEXT_CHARS}) || {q(L.TRUNCATION_SUFFIX)} else text end as excerpt
 from sec""")
 def q_section(spark, sf):
     """Risk factors and management discussion: Items 1A and 7 of the newest report."""
-    s = fl.sections(_doc_filings(spark, sf), {"Item 1A": 1, "Item 7": 2})
-    return s.select("ticker", "item", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.col("text").alias("section_text"),
+    s = fl.filing_items(X.fixture(spark, sf, "fx_annual_reports"), {"Item 1A": 1, "Item 7": 2})
+    return s.select("ticker", "item", "filing_id", F.length("text").cast("bigint").alias("n_chars"), F.col("text").alias("section_text"),
                     fl.truncate_text(F.col("text")).alias("excerpt"))
 
 
 def _paras_sql(terms):
     cond = " or ".join(f"contains(lower(p), {q(t)})" for t in terms)
-    return f"list_transform(list_filter(string_split(text, chr(10)), lambda p: {cond}), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g'))"
+    return f"list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda p: {cond}), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g'))"
 
 
-@query("esg_paragraphs", f"""
-with {_sections_sql(["Item 1", "Item 1A"])},
+@query("esg_paragraphs", f"""{_items_sql(["Item 1", "Item 1A"])},
+px as (select source || '-' || cast(doc_id % 40 as varchar) as ticker, doc_id, text from documents where doc_id % 4 = 0),
 nq as (select ticker, flatten(list(p order by item)) as p from (select ticker, item, {_paras_sql(L.ESG_TERMS_10K)} as p from sec) group by ticker),
-np as (select f.ticker, {_paras_sql(L.ESG_TERMS_PROXY)} as p from f join (select ticker, max(doc_id) as doc_id from f where form = 'DEF 14A' group by ticker) m using (ticker, doc_id)),
+np as (select px.ticker, {_paras_sql(L.ESG_TERMS_PROXY)} as p from px join (select ticker, max(doc_id) as doc_id from px group by ticker) m using (ticker, doc_id)),
 a as (select coalesce(nq.ticker, np.ticker) as ticker, coalesce(nq.p, []) || coalesce(np.p, []) as parts from nq full join np on nq.ticker = np.ticker)
 select ticker, cast(len(parts) as bigint) as n_paragraphs,
   case when len(parts) > 0 then case when length(array_to_string(parts, chr(10))) > {L.MAX_TEXT_CHARS}
@@ -133,10 +128,11 @@ select ticker, cast(len(parts) as bigint) as n_paragraphs,
   case when len(parts) > 0 then array_to_string(parts, chr(10)) end as esg_full_text
 from a""")
 def q_esg(spark, sf):
-    """Items 1 and 1A of the newest report, then the newest proxy."""
-    d = _doc_filings(spark, sf)
-    tenk = fl.sections(d, {"Item 1": 1, "Item 1A": 2})
-    proxy = fl.newest_text(d.filter(F.col("form") == "DEF 14A"), "ticker", "doc_id", "text")
+    """Items 1 and 1A of the newest report, then the newest proxy statement (a document out of four)."""
+    tenk = fl.filing_items(X.fixture(spark, sf, "fx_annual_reports"), {"Item 1": 1, "Item 1A": 2})
+    d = tables.table(spark, sf, "documents").filter(F.col("doc_id") % 4 == 0)
+    ticker = F.concat("source", F.lit("-"), (F.col("doc_id") % 40).cast("string"))
+    proxy = fl.newest_text(d.select(ticker.alias("ticker"), "doc_id", "text"), "ticker", "doc_id", "text")
     return fl.esg_paragraphs(tenk, proxy)
 
 

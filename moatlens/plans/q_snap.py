@@ -364,19 +364,21 @@ def q_change_report_write(spark, sf):
                     F.array_join("stale_features", "|").alias("stale_features"))
 
 
-def _crawl(spark, sf, day):
-    c = X.fixture(spark, sf, "fx_crawls").filter(F.col("day") == day)
-    fetched = c.filter(F.col("url").isNotNull()).select("company", "feature", "markdown", "success", "error_message")
-    return assembly.assemble(c.select("company", "feature", "url"), fetched, F.lit(f"2024-01-0{day}").cast("timestamp"))
+def _crawls(spark, sf):
+    """Both crawls of every company, assembled in one pass."""
+    c = X.fixture(spark, sf, "fx_crawls").withColumn("snapshot_ts", F.to_timestamp(F.concat(F.lit("2024-01-0"), F.col("day").cast("string"))))
+    fetched = c.filter(F.col("url").isNotNull()).select("company", "snapshot_ts", "feature", "markdown", "success", "error_message",
+                                                        (F.col("snapshot_ts") + F.make_dt_interval(mins=F.col("attempt"))).alias("fetched_at"))
+    return assembly.assemble(c.filter(F.col("attempt") == 2).select("company", "snapshot_ts", "feature", "url"), fetched)
 
 
-# A target's page is accepted if it was fetched and has 500 characters; what it says was planted.
+# A target's page is accepted if it was fetched and has 500 characters; what it says was planted in the attempt that counts.
 _CRAWL = X.cte("fx_crawls") + """
 , g as (select *, url is not null and success and length(markdown) >= 500 as ok,
    case when url is null then 'URL discovery failed (no sitemap match, no probe success)'
         when not (success and length(markdown) >= 500) then coalesce(string_split(error_message, chr(10))[1], 'no markdown / too short') end as reason,
    case feature when 'pricing' then regexp_extract(markdown, '[$][0-9]+/mo') when 'messaging' then regexp_extract(markdown, 'Headline [0-9]')
-     when 'signals' then case when contains(markdown, 'recruiter') then 'hr_people' else 'engineering' end else 'pricing_value' end as planted from fx_crawls)
+     when 'signals' then case when contains(markdown, 'recruiter') then 'hr_people' else 'engineering' end else 'pricing_value' end as planted from fx_crawls where attempt = 2)
 """
 
 
@@ -386,17 +388,14 @@ select company, cast(day as bigint) as day, feature, not ok as is_stale, reason
 from g""")
 def q_assembly(spark, sf):
     """Both crawls of every company, a row per feature the crawl had."""
-    rows = None
-    for day in (1, 2):
-        s = _crawl(spark, sf, day)
-        found = {"pricing": F.get("pricing.monthly_prices", F.lit(0)), "messaging": F.col("messaging.main_headline"),
-                 "signals": F.col("signals.biggest_hiring_push"), "complaints": F.get("complaints.top_complaint_categories", F.lit(0))}
-        per = F.array(*[F.when(F.col(f).isNotNull(), F.struct(
-            F.lit(f).alias("feature"), F.col(f"{f}.is_stale").alias("is_stale"), F.col(f"{f}.stale_reason").alias("stale_reason"),
-            F.col(f"{f}.attempted").alias("attempted"), v.alias("found"))) for f, v in found.items()])
-        d = s.select("company", F.lit(day).cast("bigint").alias("day"), T.explode_kept(per).alias("x")).filter(F.col("x").isNotNull()).select("company", "day", "x.*")
-        rows = d if rows is None else rows.unionByName(d)
-    return rows
+    s = _crawls(spark, sf)
+    found = {"pricing": F.get("pricing.monthly_prices", F.lit(0)), "messaging": F.col("messaging.main_headline"),
+             "signals": F.col("signals.biggest_hiring_push"), "complaints": F.get("complaints.top_complaint_categories", F.lit(0))}
+    per = F.array(*[F.when(F.col(f).isNotNull(), F.struct(
+        F.lit(f).alias("feature"), F.col(f"{f}.is_stale").alias("is_stale"), F.col(f"{f}.stale_reason").alias("stale_reason"),
+        F.col(f"{f}.attempted").alias("attempted"), v.alias("found"))) for f, v in found.items()])
+    day = F.dayofmonth("snapshot_ts").cast("bigint").alias("day")
+    return s.select("company", day, T.explode_kept(per).alias("x")).filter(F.col("x").isNotNull()).select("company", "day", "x.*")
 
 
 @query("crawl_to_changes", _CRAWL + """
@@ -408,10 +407,10 @@ e as (select company, feature, 'NEW monthly prices: {' || new || '}' as message
   union all select company, feature, 'HIRING FOCUS SHIFTED: ' || old || ' → ' || new from v where feature = 'signals' and old <> new)
 select company, feature, message from e""")
 def q_crawl_to_changes(spark, sf):
-    """Assembled crawls appended to a history, carried forward, read back and compared."""
-    path = _run_folder(spark, "crawls")
+    """Assembled crawls appended to a history, batch by batch, read back, carried forward and compared."""
+    path, crawls = _run_folder(spark, "crawls"), _crawls(spark, sf).withColumn("snapshot_date", F.to_date("snapshot_ts"))
     for day in (1, 2):
-        snapshots.append(_crawl(spark, sf, day), path)
-    history = spark.read.parquet(path).drop("snapshot_date")
+        store.append(crawls.filter(F.dayofmonth("snapshot_ts") == day), path, f"day-{day}", "snapshot_date")
+    history = store.read(spark, path, crawls.schema, "snapshot_date").drop("snapshot_date", "batch", "seq")
     ev = changes.change_events(snapshots.carry_forward(history))
     return ev.select("company", "feature", "message")

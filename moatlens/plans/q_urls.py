@@ -21,22 +21,24 @@ def _locs(spark, sf):
 
 _DECODE = ("replace(replace(replace(replace(replace(replace(replace({0}, '&#38;', '&'), '&#x41;', 'A'), "
            "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&amp;', '&')")
-_LOCS = X.cte("fx_sitemaps") + f"""
-, ok as (select domain, url, contains(body, '<sitemapindex') as is_index, regexp_replace(body, '(?s)<!--.*?-->', '', 'g') as body from fx_sitemaps
-   where (contains(body, '<urlset') and contains(body, '</urlset>')) or (contains(body, '<sitemapindex') and contains(body, '</sitemapindex>'))),
+# Whether a body is well-formed was planted; indexes are followed to their leaves from child to child.
+_LOCS = X.cte("fx_sitemaps").replace("with ", "with recursive ", 1) + f"""
+, ok as (select distinct domain, url, contains(body, '<sitemapindex') as is_index, regexp_replace(body, '(?s)<!--.*?-->', '', 'g') as body from fx_sitemaps where planted_ok),
 raw as (select domain, url, is_index, regexp_extract_all(body, '(?s)<loc>(.*?)</loc>', 1) as l from ok),
 el as (select domain, url, is_index, unnest(l) as r, unnest(range(0, len(l))) as pos from raw),
 dec as (select domain, url, is_index, pos, case when contains(r, '<![CDATA[') then trim(replace(replace(r, '<![CDATA[', ''), ']]>', ''))
    else {_DECODE.format("trim(r)")} end as loc from el),
-locs as (select domain, 0 as child, pos, loc from dec where not is_index and url = 'https://' || domain || '/sitemap.xml'
-   union all select i.domain, i.pos + 1, k.pos, k.loc from dec i join dec k on k.url = i.loc and not k.is_index
-   where i.is_index and i.url = 'https://' || i.domain || '/sitemap.xml')
+way as (select domain, loc as url, pos + 1 as child from dec where is_index and url = 'https://' || domain || '/sitemap.xml'
+   union select dec.domain, dec.loc, way.child from way join dec on dec.domain = way.domain and dec.url = way.url and dec.is_index),
+first_way as (select domain, url, min(child) as child from way group by domain, url),
+locs as (select domain, 0 as child, url as sitemap_url, pos, loc from dec where not is_index and url = 'https://' || domain || '/sitemap.xml'
+   union all select w.domain, w.child, w.url, k.pos, k.loc from first_way w join dec k on k.domain = w.domain and k.url = w.url and not k.is_index)
 """
 
 
-@query("sitemap_locs", _LOCS + "select domain, cast(child as bigint) as child, cast(pos as bigint) as pos, loc from locs")
+@query("sitemap_locs", _LOCS + "select domain, cast(child as bigint) as child, sitemap_url, cast(pos as bigint) as pos, loc from locs")
 def q_sitemap_locs(spark, sf):
-    return _locs(spark, sf).select("domain", F.col("child").cast("bigint").alias("child"),
+    return _locs(spark, sf).select("domain", F.col("child").cast("bigint").alias("child"), "sitemap_url",
                                    F.col("pos").cast("bigint").alias("pos"), "loc")
 
 

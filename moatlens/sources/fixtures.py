@@ -109,41 +109,64 @@ from y @@EXPAND l|line_no, statement, label|(1, 'income', 'Total Revenue'), (2,
 where not (l.line_no = 2 and n % 6 = 1) and not (l.line_no = 6 and n % 7 = 2) and n <> 24
 """
 
+# Of an event filing's items some are missing: then header items, then the description, then the form say what it is.
 FX_FILINGS = """
 select concat('T', cast(o_custkey % 25 as string)) as ticker, o_orderkey as filing_id,
   case o_orderkey % 6 when 0 then '10-K' when 1 then '8-K' when 2 then '4' when 3 then '3' when 4 then '5' else 'DEF 14A' end as form,
   cast(o_orderdate as date) as filed_date, o_orderkey % 10 = 0 as amended,
-  case when o_orderkey % 4 = 0 then null else concat_ws('; ', concat('Item ', cast(o_orderkey % 9 as string), '.01'), case when o_orderkey % 3 = 0 then 'Item 9.01' end) end as items,
-  case when o_orderkey % 8 = 0 then '' else concat('Filing of ', o_orderpriority) end as description
+  case when cast(floor(o_orderkey / 6) as bigint) % 4 = 0 then null else concat_ws('; ', concat('Item ', cast(o_orderkey % 9 as string), '.01'), case when o_orderkey % 3 = 0 then 'Item 9.01' end) end as items,
+  case when cast(floor(o_orderkey / 6) as bigint) % 16 = 4 then concat('Item 5.0', cast(o_orderkey % 4 as string)) when cast(floor(o_orderkey / 6) as bigint) % 16 = 12 then '' end as header_items,
+  case when cast(floor(o_orderkey / 6) as bigint) % 8 = 0 then '' else concat('Filing of ', o_orderpriority) end as description
 from orders
 """
 
+# Two of three filings report their transactions in one list, the others by kind of security.
 FX_INSIDER_TXNS = """
-select l_orderkey as filing_id, l_linenumber as line_no, concat('Owner ', cast(l_suppkey as string)) as insider_name,
-  case l_returnflag when 'R' then 'S' when 'A' then 'P' else case when l_linenumber % 2 = 0 then 'M' else 'X' end end as code,
+select l_orderkey as filing_id, l_linenumber as line_no, case when l_suppkey % 11 = 0 then null else concat('Owner ', cast(l_suppkey as string)) end as insider_name,
+  case when l_suppkey % 3 = 0 then 'Director' end as officer_title,
+  case when l_orderkey % 3 = 0 then case when l_linenumber % 2 = 0 then 'derivative' else 'non_derivative' end
+    when l_linenumber % 3 = 2 then 'non_derivative' else 'transactions' end as kind,
+  case when l_linenumber = 6 then null else case l_returnflag when 'R' then 'S' when 'A' then 'P' else case when l_linenumber % 2 = 0 then 'M' else 'X' end end end as code,
   case when l_linenumber = 3 then 0 else cast(floor(l_quantity) as bigint) end as transaction_shares,
   cast(floor(l_quantity) as bigint) + 1 as shares,
-  cast(floor(l_extendedprice) as bigint) as price
+  case l_linenumber % 4 when 1 then 0 when 2 then null else cast(floor(l_extendedprice) as bigint) end as transaction_price_per_share,
+  cast(floor(l_extendedprice) as bigint) + 7 as price_per_share
 from lineitem
 """
 
+# Annual reports as whole texts: a table of contents, then items with the words of a
+# document; item names also stand within lines, and some reports lack an item.
+FX_ANNUAL_REPORTS = """
+select concat(source, '-', cast(doc_id % 40 as string)) as ticker, doc_id as filing_id,
+  concat_ws(chr(10), 'TABLE OF CONTENTS', 'Item 1. Business 3', 'Item 1A. Risk Factors 9', '  ITEM 7. Discussion 20', 'PART I', '',
+    'Item 1. Business', substring(text, 1, 3000), 'See Item 7. for more.', 'Our climate and governance report', concat('ITEM 1a:  Risk Factors of ', cast(doc_id as string)),
+    case when doc_id % 5 <> 0 then text end, 'Diversity matters', case when doc_id % 3 <> 0 then 'item 7. Discussion' end, substring(text, 2, 100), 'Item 15. Exhibits', 'none') as body
+from documents where doc_id % 4 <> 0
+"""
+
+# ``planted_ok`` says whether a body was planted well-formed; only the oracle reads it.
 FX_SITEMAPS = """
 select concat('site', cast(p_partkey as string), '.com') as domain, concat('https://site', cast(p_partkey as string), '.com/sitemap.xml') as url,
-  case when p_partkey % 7 = 3 then concat('<sitemapindex><!-- <sitemap><loc>https://old</loc></sitemap> -->',
+  case when p_partkey % 7 = 3 then concat('<?xml version="1.0" encoding="UTF-8"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><!-- <sitemap><loc>https://old</loc></sitemap> -->',
     '<sitemap><loc>https://site', cast(p_partkey as string), '.com/a.xml</loc></sitemap><sitemap><loc>https://site', cast(p_partkey as string), '.com/none.xml</loc></sitemap>',
-    '<sitemap><loc>https://site', cast(p_partkey as string), '.com/c.xml</loc></sitemap><sitemap><loc><![CDATA[https://site', cast(p_partkey as string), '.com/d.xml]]></loc></sitemap></sitemapindex>')
+    '<sitemap><loc>https://site', cast(p_partkey as string), '.com/c.xml</loc></sitemap><sitemap><loc><![CDATA[https://site', cast(p_partkey as string), '.com/d.xml]]></loc></sitemap>',
+    '<sitemap><loc>https://shared.net/s.xml</loc></sitemap></sitemapindex>')
   else concat('<urlset>',
   '<url><loc> https://site', cast(p_partkey as string), '.com/blog/pricing-guide </loc></url>',
   case when p_partkey % 4 = 1 then concat('<url><loc><![CDATA[ https://site', cast(p_partkey as string), '.com/plans?a=1&b=2 ]]></loc></url>') else '' end,
   case when p_partkey % 6 = 1 then concat('<!-- <url><loc>https://site', cast(p_partkey as string), '.com/pricing</loc></url> --><url><loc>https://site', cast(p_partkey as string), '.com/x?a=1&#38;b=&#x41;&amp;c</loc></url>') else '' end,
   case when p_partkey % 2 = 0 then concat('<url><loc>https://site', cast(p_partkey as string), '.com/pricing</loc></url>') else '' end,
   case when p_partkey % 3 = 0 then concat('<url><loc>https://site', cast(p_partkey as string), '.com/careers/jobs</loc></url>') else '' end,
-  case when p_partkey % 5 = 0 then '<url><loc>broken' else '</urlset>' end) end as body
+  case p_partkey % 20 when 0 then '<url><loc>broken' when 5 then '<url></urlset>' when 10 then '<url><loc>crossed</url></loc></urlset>' when 15 then '</urlset><urlset></urlset>'
+    when 11 then '<url><loc>a?b&c</loc></url></urlset>' else '</urlset>' end) end as body,
+  p_partkey % 7 = 3 or not p_partkey % 20 in (0, 5, 10, 15, 11) as planted_ok
 from part
 union all
-select concat('site', cast(p_partkey as string), '.com'), concat('https://site', cast(p_partkey as string), '.com/', k.name, '.xml'),
-  concat('<urlset><url><loc>https://site', cast(p_partkey as string), '.com/', k.name, k.path, '</loc></url></urlset>')
-from part @@EXPAND k|name, path|('a', '/about'), ('c', '/careers'), ('d', '/pricing')@@
+select concat('site', cast(p_partkey as string), '.com'), case when k.name = 's' then 'https://shared.net/s.xml' else concat('https://site', cast(p_partkey as string), '.com/', k.name, '.xml') end,
+  case when k.name = 'd' and p_partkey % 2 = 0 then concat('<sitemapindex><sitemap><loc>https://site', cast(p_partkey as string), '.com/e.xml</loc></sitemap><sitemap><loc>https://site',
+    cast(p_partkey as string), '.com/d.xml</loc></sitemap></sitemapindex>')
+  else concat('<urlset><url><loc>https://site', cast(p_partkey as string), '.com/', k.name, k.path, '</loc></url></urlset>') end, true
+from part @@EXPAND k|name, path|('a', '/about'), ('a', '/about'), ('c', '/careers'), ('d', '/pricing'), ('e', '/plans'), ('s', '/jobs')@@
 where p_partkey % 7 = 3
 """
 
@@ -193,19 +216,21 @@ select concat(t.pre, 'site', cast(p_partkey as string), t.post) as url,
 from part @@EXPAND t|pre, post, b|('https://jobs.lever.co/', '', 1), ('https://', '.workable.com', 2)@@
 """
 
-# Two crawls (day 1 and 2) of a company per part: targets with their fetches.
+# Two crawls (day 1 and 2) of a company per part: targets with their fetches. Half of the
+# targets were tried three times: a time-out, a page that came too early, and what counts.
 FX_CRAWLS = """
-select concat('co', cast(p_partkey as string)) as company, t.day, t.feature,
+select concat('co', cast(p_partkey as string)) as company, t.day, t.feature, a.attempt,
   case when (p_partkey + t.ord + t.day) % 9 <> 0 then concat('https://co', cast(p_partkey as string), '.com/', t.feature) end as url,
-  (p_partkey + 2 * t.ord + t.day) % 7 <> 0 as success,
-  case when (p_partkey + 2 * t.ord + t.day) % 7 = 0 and p_partkey % 2 = 0 then concat('Timeout 8000ms', chr(10), 'at page') end as error_message,
-  concat(case t.feature when 'pricing' then concat('# Pro plan $', cast(p_size + t.day * (p_partkey % 3) as string), '/mo')
+  a.attempt <> 3 and (p_partkey + 2 * t.ord + t.day) % 7 <> 0 as success,
+  case when a.attempt = 3 then 'net::ERR_CONNECTION_RESET' when (p_partkey + 2 * t.ord + t.day) % 7 = 0 and p_partkey % 2 = 0 then concat('Timeout 8000ms', chr(10), 'at page') end as error_message,
+  case when a.attempt = 1 then concat('# Free plan, pro plan $1/mo', chr(10), repeat('zzqx wvvk yyqj ', 40)) when a.attempt = 2 then concat(case t.feature when 'pricing' then concat('# Pro plan $', cast(p_size + t.day * (p_partkey % 3) as string), '/mo')
     when 'messaging' then concat('# Headline ', cast((p_partkey * t.day) % 3 as string))
     when 'signals' then case when (p_partkey + t.day) % 2 = 0 then 'recruiter wanted' else 'devops wanted' end
     else 'everybody here finds it overpriced' end, chr(10),
-    case when (p_partkey + t.ord) % 5 = 0 then 'short' else repeat('zzqx wvvk yyqj ', 40) end) as markdown
+    case when (p_partkey + t.ord) % 5 = 0 then 'short' else repeat('zzqx wvvk yyqj ', 40) end) end as markdown
 from part @@EXPAND t|feature, ord, day|('pricing', 0, 1), ('messaging', 1, 1), ('signals', 2, 1), ('complaints', 3, 1), ('pricing', 0, 2), ('messaging', 1, 2), ('signals', 2, 2), ('complaints', 3, 2)@@
-where t.feature <> 'complaints' or p_partkey % 2 = 0
+@@EXPAND a|attempt|(2), (1), (3)@@
+where (t.feature <> 'complaints' or p_partkey % 2 = 0) and (a.attempt = 2 or ((p_partkey + t.ord) % 2 = 0 and (p_partkey + t.ord) % 5 <> 0 and (p_partkey + 2 * t.ord + t.day) % 7 <> 0))
 """
 
 VIEWS = {
@@ -217,6 +242,7 @@ VIEWS = {
     "fx_snapshots": FX_SNAPSHOTS,
     "fx_statement_lines": FX_STATEMENT_LINES,
     "fx_filings": FX_FILINGS,
+    "fx_annual_reports": FX_ANNUAL_REPORTS,
     "fx_insider_txns": FX_INSIDER_TXNS,
     "fx_sitemaps": FX_SITEMAPS,
     "fx_probes": FX_PROBES,
