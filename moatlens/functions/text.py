@@ -49,6 +49,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``, also within conditions and lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lines(c: Column) -> Column:
     """``text.split('\\n')``; trailing empty pieces kept."""
     return F.split(c, "\n", -1)

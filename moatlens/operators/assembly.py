@@ -16,12 +16,16 @@ A feature that isn't among a company's targets is null.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
 from moatlens.operators import complaints, messaging, pricing, signals
 from moatlens.operators.pages import page_gate
+from moatlens.session import ensure_checkpoint_dir
 
 EXTRACTORS = {"pricing": pricing.extract_pricing, "messaging": messaging.extract_messaging,
               "signals": signals.extract_signals, "complaints": complaints.extract_complaints}
@@ -36,27 +40,28 @@ def best_fetches(fetches: DataFrame, keys: list[str]) -> DataFrame:
     return gated.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") == 1).select(*keys, "markdown", "accepted", "reject_reason")
 
 
-def feature_records(targets: DataFrame, fetches: DataFrame, keys: list[str]) -> DataFrame:
-    """``targets`` with a column per feature, of which the target's own holds its record.
-
-    One pass over the rows: every extractor reads the texts of its own feature
-    and an empty one elsewhere.
-    """
+def gated_targets(targets: DataFrame, fetches: DataFrame, keys: list[str]) -> DataFrame:
+    """Targets with the text of their accepted page, if any, and why there is none; written once, a folder per feature."""
+    spark = targets.sparkSession
     gated = targets.join(best_fetches(fetches, [*keys, "feature"]), [*keys, "feature"], "left")
     found = F.col("url").isNotNull()
     ok = found & F.coalesce(F.col("accepted"), F.lit(False))
     reason = F.when(~found, F.lit(L.URL_DISCOVERY_FAILED)).when(~ok, F.coalesce("reject_reason", F.lit(L.PAGE_ERROR_DEFAULT)))
-    out = gated.select(*keys, "feature", F.when(ok, F.col("markdown")).alias("_text"), ok.alias("_ok"), reason.alias("_reason"), found.alias("_found"))
-    for feature, extract in EXTRACTORS.items():
-        mine = F.col("feature") == feature
-        before = out.columns
-        # a rejected page has no text to extract from
-        out = extract(out.withColumn("_mine", F.coalesce(F.when(mine, F.col("_text")), F.lit(""))), "_mine")
-        fields = [c for c in out.columns if c not in before and c != "_mine"]
-        record = F.struct(*[F.when(F.col("_ok"), F.col(c)).alias(c) for c in fields], (~F.col("_ok")).alias("is_stale"),
-                          F.lit(None).cast("timestamp").alias("stale_since"), F.col("_reason").alias("stale_reason"), F.col("_found").alias("attempted"))
-        out = out.select(*before, F.when(mine, record).alias(feature))
-    return out.select(*keys, *EXTRACTORS)
+    rows = gated.select(*keys, F.when(ok, F.col("markdown")).alias("markdown"), ok.alias("_ok"), reason.alias("_reason"), found.alias("_found"), "feature")
+    path = f"{ensure_checkpoint_dir(spark)}/moatlens-gated-{uuid.uuid4().hex}"
+    rows.write.partitionBy("feature").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def feature_records(gated: DataFrame, feature: str, keys: list[str]) -> DataFrame:
+    """``keys`` and the record of every target of the feature; only its own rows are read."""
+    mine = gated.filter(F.col("feature") == feature)
+    # a rejected page has no text to extract from
+    out = EXTRACTORS[feature](mine.withColumn("markdown", F.coalesce("markdown", F.lit(""))))
+    fields = [c for c in out.columns if c not in gated.columns]
+    record = F.struct(*[F.when(F.col("_ok"), F.col(c)).alias(c) for c in fields], (~F.col("_ok")).alias("is_stale"),
+                      F.lit(None).cast("timestamp").alias("stale_since"), F.col("_reason").alias("stale_reason"), F.col("_found").alias("attempted"))
+    return out.select(*keys, record.alias(feature))
 
 
 def assemble(targets: DataFrame, fetches: DataFrame, snapshot_ts: Column | None = None) -> DataFrame:
@@ -68,5 +73,6 @@ def assemble(targets: DataFrame, fetches: DataFrame, snapshot_ts: Column | None
     if snapshot_ts is not None:
         targets, fetches = targets.withColumn("snapshot_ts", snapshot_ts), fetches.withColumn("snapshot_ts", snapshot_ts)
     keys = ["company", "snapshot_ts"]
-    records = feature_records(targets.select(*keys, "feature", "url"), fetches, keys)
+    gated = gated_targets(targets.select(*keys, "feature", "url"), fetches, keys)
+    records = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [feature_records(gated, f, keys) for f in EXTRACTORS])
     return records.groupBy(*keys).agg(*[F.first(f, ignorenulls=True).alias(f) for f in EXTRACTORS])

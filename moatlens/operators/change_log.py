@@ -41,6 +41,12 @@ def _report_schema(key: str, ts) -> StructType:
     return reports
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/moatlens-batch-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def update(snaps: DataFrame, path: str, batch: str, archives: int = L.MAX_SNAPSHOT_ARCHIVES, key: str = "company", ts: str = "snapshot_ts",
            features=snapshots.FEATURES, buckets: int = BUCKETS) -> bool:
     """Take a batch of snapshots into state and reports; False if it is there already."""
@@ -49,11 +55,11 @@ def update(snaps: DataFrame, path: str, batch: str, archives: int = L.MAX_SNAPSH
         return False
     schema = snaps.select(key, ts, *features).schema
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    # one row per company and time, written once: every branch below sees the same rows
-    scratch = f"{ensure_checkpoint_dir(spark)}/moatlens-batch-{uuid.uuid4().hex}"
-    rows = snaps.select(*schema.names).filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    snapshots.one_per(rows, [key, ts]).withColumn(_PART, bucket).write.parquet(scratch)
-    new = spark.read.schema(_bucketed(schema)).parquet(scratch)
+    # written once: every branch below sees the same rows
+    rows = snaps.select(*schema.names, bucket.alias(_PART)).filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    new = _written(rows)
+    if not new.groupBy(key, ts).count().filter("count > 1").isEmpty():
+        new = _written(snapshots.one_per(new, [key, ts]))
     touched = [r[0] for r in new.select(_PART).distinct().collect()]  # ``buckets`` numbers at most
 
     stored = store.read(spark, f"{path}/state", _bucketed(schema), _PART).filter(F.col(_PART).isin(touched))

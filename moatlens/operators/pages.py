@@ -20,19 +20,20 @@ def spread(df: DataFrame, partitions: int | None = None, key: str = "page_id") -
 
 
 def page_gate(df: DataFrame, text_col: str = "markdown", success_col: str | None = "success",
-              error_col: str | None = "error_message") -> DataFrame:
+              error_col: str | None = "error_message", error_chars: int | None = L.PAGE_ERROR_CHARS) -> DataFrame:
     """A fetched page is accepted iff fetched, non-empty and >= 500 chars.
 
-    Rejected pages get ``reason`` = first line of the error, cut to 200 chars
-    (default reason when there is no error text).
+    Rejected pages get ``reject_reason`` = first line of the error, cut to
+    ``error_chars`` characters (None: whole), or the default reason when there
+    is no error text.
     """
     md = F.col(text_col)
     ok = md.isNotNull() & (F.length(md) >= L.MIN_PAGE_CHARS)
     if success_col and success_col in df.columns:
         ok = F.coalesce(F.col(success_col), F.lit(False)) & ok
     err = F.col(error_col) if error_col and error_col in df.columns else F.lit(None).cast("string")
-    reason = F.substring(T.first(F.split(F.coalesce(err, F.lit(L.PAGE_ERROR_DEFAULT)), "\n", -1)),
-                         1, L.PAGE_ERROR_CHARS)
+    reason = T.first(F.split(F.coalesce(err, F.lit(L.PAGE_ERROR_DEFAULT)), "\n", -1))
+    reason = reason if error_chars is None else F.substring(reason, 1, error_chars)
     return df.select("*", ok.alias("accepted"), F.when(~ok, reason).alias("reject_reason"))
 
 

@@ -39,6 +39,18 @@ def unpivot_statement(wide: DataFrame, ids=("ticker", "statement", "line_no", "l
     return wide.unpivot(list(ids), periods, "period", "value")
 
 
+def unpivot_cells(lines: DataFrame, ids=("ticker", "statement", "line_no", "label"), cells: str = "cells") -> DataFrame:
+    """Ragged statements to long rows: every line brings its own period columns, as a map from column name to value.
+
+    Statements with different periods lie in one table, and no column name is
+    known beforehand. Keys that don't look like a period are ignored; a period
+    without a value keeps its null. Lines without any period give no rows.
+    """
+    period = F.col("period")
+    dated = (F.length(period) == 10) & (F.substring(period, 5, 1) == "-") & (F.substring(period, 8, 1) == "-")
+    return lines.select(*ids, F.explode(cells).alias("period", "value")).filter(dated)
+
+
 def clean_num(c: Column) -> Column:
     """NaN / +-inf / unparsable become null."""
     d = c.try_cast("double")

@@ -55,23 +55,43 @@ def _root(bare: Column) -> Column:
     return F.when((name != "") & (name == closed), name)
 
 
+def _usual() -> str:
+    """Pattern of the documents that sitemaps usually are, all of them well-formed.
+
+    A root with entries of a few text elements, comments and character data
+    anywhere, a default namespace and an XML declaration. Every loop is
+    possessive: no character is looked at twice.
+    """
+    misc = r"(?:\s++|<!--(?:[^-]++|-(?!-))*+-->)*+"
+    char = r"[^<>&\x00-\x08\x0B\x0C\x0E-\x1F]++"
+    text = rf"(?:{char}|&(?:lt|gt|quot|apos|amp|#(?!0)[0-9]{{2,4}}|#x[2-9a-fA-F][0-9a-fA-F]{{1,3}});|<!\[CDATA\[(?:[^\]<>&\x00-\x1F]|&)*+\]\]>|<!--(?:[^-]++|-(?!-))*+-->)*+"
+    declaration = r"""(?:<\?xml\s++version\s*+=\s*+(?:"1\.0"|'1\.0')(?:\s++encoding\s*+=\s*+(?:"[A-Za-z][\w.-]*+"|'[A-Za-z][\w.-]*+'))?+\s*+\?>)?+"""
+    space = r"""(?:\s++xmlns\s*+=\s*+(?:"[^"<&]++"|'[^'<&]++'))?+"""
+    leaf = rf"<(loc|lastmod|changefreq|priority)>{text}</\3>{misc}"
+    entry = rf"<(url|sitemap)>{misc}(?:{leaf})*+</\2>{misc}"
+    return rf"\A{declaration}{misc}<(urlset|sitemapindex){space}\s*+>{misc}(?:{entry})*+</\1\s*+>{misc}\z"
+
+
 def _well_formed(body: Column) -> Column:
     """Whether a sitemap or sitemap index is a well-formed document.
 
-    Spark's streaming XML reader checks tags, entities, attributes and comments
-    of the text within one element around it; it stands for the whole text, so
-    what follows the root counts too. Prefixes must be declared somewhere in
-    the document. A document type declaration is not accepted.
+    Usual documents are known by one linear pattern. For all others Spark's
+    streaming XML reader checks tags, entities, attributes and comments of the
+    text within one element around it; it stands for the whole text, so what
+    follows the root counts too. Prefixes must be declared somewhere in the
+    document. A document type declaration is not accepted.
     """
-    bare = _bare(body)
-    whole = F.concat(F.lit("<document>"), F.regexp_replace(body, r"(?s)^<\?xml\s.*?\?>", ""), F.lit("</document>"))
+    whole = F.concat(F.lit("<document>"), F.regexp_replace(body, r"(?s)\A<\?xml\s.*?\?>", ""), F.lit("</document>"))
     parsed = F.from_xml(whole, "urlset array<string>, sitemapindex array<string>, _bad string",
                         {"rowTag": "document", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    roots = F.coalesce(F.size(parsed["urlset"]), F.lit(0)) + F.coalesce(F.size(parsed["sitemapindex"]), F.lit(0))
-    used = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"<([A-Za-z_][\w.-]*):"), F.lit(1)))
-    declared = F.forall(used, lambda p: F.contains(bare, F.concat(F.lit("xmlns:"), p, F.lit("="))))
+    n = lambda roots: F.coalesce(F.size(roots), F.lit(0))
+    read = T.let(parsed, lambda p: F.coalesce(p["_bad"].isNull() & (n(p["urlset"]) + n(p["sitemapindex"]) == 1), F.lit(False)))
+
+    def declared(bare: Column) -> Column:
+        used = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"<([A-Za-z_][\w.-]*):"), F.lit(1)))
+        return F.forall(used, lambda p: F.contains(bare, F.concat(F.lit("xmlns:"), p, F.lit("="))))
     # the cheap tests first: most bodies of failed fetches are no XML at all
-    return F.when(_root(bare).isNotNull() & declared, F.coalesce(parsed["_bad"].isNull() & (roots == 1), F.lit(False))).otherwise(F.lit(False))
+    return F.when(body.rlike(_usual()), F.lit(True)).when(T.let(_bare(body), lambda bare: _root(bare).isNotNull() & declared(bare)), read).otherwise(F.lit(False))
 
 
 def _locs(body: Column) -> Column:
@@ -128,13 +148,14 @@ def sitemap_locs(sitemaps: DataFrame, children: int | None = None, nested: bool
     to = to.groupBy("domain", "url").agg((F.min("child") + 1).alias("child"))
     inner = docs.filter(F.col("is_index") & ~F.col("at_root"))
     if nested and not inner.isEmpty():
+        state = None
         while True:
             more = inner.select("domain", "url", "locs").join(to, ["domain", "url"]).select("domain", "child", F.explode("locs").alias("url"))
             path = f"{ensure_checkpoint_dir(spark)}/moatlens-sitemaps-{uuid.uuid4().hex}"
             to.unionByName(more).groupBy("domain", "url").agg(F.min("child").alias("child")).write.parquet(path)
-            state = to.agg(F.count("*"), F.sum("child")).first()
             to = spark.read.schema("domain string, url string, child int").parquet(path)
-            if to.agg(F.count("*"), F.sum("child")).first() == state:
+            before, state = state, to.agg(F.count("*"), F.sum("child")).first()
+            if before == state:
                 break
     out = out.unionByName(docs.filter(~F.col("is_index") & ~F.col("at_root")).join(to, ["domain", "url"]).select("domain", "child", "url", "locs"))
     out = out.select("domain", "child", F.col("url").alias("sitemap_url"), T.explode_kept(F.col("locs"), pos=True).alias("pos", "loc"))
@@ -276,11 +297,36 @@ def company_key(raw: Column) -> Column:
     return F.regexp_replace(F.lower(T.strip(raw)), T.rx(r"\s+"), "-")
 
 
-def registry_merge(builtin: DataFrame, saved: DataFrame, cols=("company", "domain", "review_id", "review_slug")) -> DataFrame:
-    """Built-in entries, then saved entries whose full tuple is not built in (nulls compare equal)."""
+def positions(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Number the rows from 0 in the given order, without bringing them together in one task.
+
+    Rows are range-partitioned, sorted within partitions and written; the rows
+    of all partitions before come as an offset from a table of a row per
+    partition. Ties are numbered in some order.
+    """
+    spark = rows.sparkSession
+    n = spark.sparkContext.defaultParallelism
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    path = f"{ensure_checkpoint_dir(spark)}/moatlens-positions-{uuid.uuid4().hex}"
+    ranged.select("*", F.spark_partition_id().alias("_part"), inside.alias("_at")).write.parquet(path)
+    placed = spark.read.parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    return placed.join(offsets, "_part").select(*rows.columns, (F.col("_offset") + F.col("_at")).alias(name))
+
+
+def registry_merge(builtin: DataFrame, saved: DataFrame, cols=("company", "domain", "review_id", "review_slug"), order: str | None = None) -> DataFrame:
+    """Built-in entries, then saved entries whose full tuple is not built in (nulls compare equal).
+
+    With ``order``, a column of both that numbers their entries, the result
+    gets ``position``: its place in the merged list, from 0.
+    """
+    keep = [*cols, *([order] if order else [])]
     cond = [saved[c].eqNullSafe(builtin[c]) for c in cols]
     extra = saved.join(builtin.select(*cols), cond, "left_anti")
-    return builtin.select(*cols, F.lit("builtin").alias("origin")).unionByName(extra.select(*cols, F.lit("saved").alias("origin")))
+    out = builtin.select(*keep, F.lit("builtin").alias("origin")).unionByName(extra.select(*keep, F.lit("saved").alias("origin")))
+    return positions(out, ["origin", order]).drop(order) if order else out  # builtin sorts before saved
 
 
 def registry_upsert(existing: DataFrame, new: DataFrame, order_col: str,

@@ -180,11 +180,11 @@ from part @@EXPAND t|path, ord|('/pricing', 0), ('/plans', 1), ('/careers', 2),
 
 FX_COMPANIES = """
 select 'builtin' as origin, concat('co', cast(s_suppkey as string)) as company, concat('site', cast(s_suppkey as string), '.com') as domain,
-  case when s_suppkey % 3 = 0 then null else cast(1000 + s_suppkey as string) end as review_id
+  case when s_suppkey % 3 = 0 then null else cast(1000 + s_suppkey as string) end as review_id, s_suppkey * 37 % 100003 as entry_no
 from supplier
 union all
 select 'saved', concat('co', cast(s_suppkey * 2 as string)), concat('site', cast(s_suppkey * 2 as string), '.com'),
-  case when s_suppkey % 3 = 0 then null else cast(1000 + s_suppkey * 2 as string) end
+  case when s_suppkey % 3 = 0 then null else cast(1000 + s_suppkey * 2 as string) end, s_suppkey * 53 % 100003
 from supplier
 """
 

@@ -7,7 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from moatlens.operators import assembly, filings, snapshots, urls
+from moatlens.operators import assembly, filings, pages, snapshots, statements, urls
+from moatlens.plans.q_snap import snapshot_doc_schema
 
 GOOD = "<urlset><url><loc>https://d.com/a</loc></url></urlset>"
 WELL_FORMED = [
@@ -133,3 +134,41 @@ def test_crawls_assembled_at_once_are_those_assembled_one_by_one(spark):
     one = [r for t in days for r in assembly.assemble(targets.filter(F.col("snapshot_ts") == t).drop("snapshot_ts"), fetches.filter(F.col("snapshot_ts") == t).drop("snapshot_ts"), F.lit(t)).collect()]
     assert both == sorted(one, key=str) and len(both) == 4
     assert snapshots.latest(assembly.assemble(targets, fetches)).count() == 2
+
+
+def test_statements_with_disjoint_periods_in_one_table(spark):
+    rows = [("A", "income", 1, "Revenue", {"2024-12-31": 5.0, "2023-12-31": None, "depth": 1.0}), ("B", "income", 1, "Revenue", {"2022-06-30": 7.0, "2022/06/30": 9.0}),
+            ("C", "income", 1, "Revenue", {"label": 2.0}), ("D", "income", 1, "Revenue", {}), ("E", "income", 1, "Revenue", None)]
+    df = spark.createDataFrame(rows, "ticker string, statement string, line_no int, label string, cells map<string,double>")
+    got = sorted((r.ticker, r.period, r.value) for r in statements.unpivot_cells(df).collect())
+    assert got == [("A", "2023-12-31", None), ("A", "2024-12-31", 5.0), ("B", "2022-06-30", 7.0)]
+
+
+def test_bad_documents_go_to_quarantine(spark, tmp_path):
+    good = '{\n "company": "c1",\n "timestamp": "2024-01-02",\n "analysis": {\n  "pricing": {"tiers_found": ["Pro"],\n "is_stale": false}\n }\n}'
+    docs = {"a/c1.json": good, "a/c2.json": good.replace("c1", "c2").replace("\n", " "), "b/broken.json": good[:60], "b/type.json": good.replace('["Pro"]', '{"x": 1}'),
+            "b/nobody.json": good.replace('"company": "c1",', ""), "b/never.json": good.replace('"timestamp": "2024-01-02",', ""), "empty.json": "", "blank.json": "\n\n", "text.json": "hello"}
+    for name, text in docs.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    s = spark.createDataFrame([], "pricing struct<tiers_found:array<string>,is_stale:boolean>, messaging struct<main_headline:string>, signals struct<x:string>, complaints struct<x:string>")
+    rows, bad = snapshots.read_json_docs(spark, str(tmp_path), snapshot_doc_schema(s))
+    assert sorted((r.company, str(r.snapshot_ts), r.pricing.tiers_found) for r in rows.collect()) == [("c1", "2024-01-02", ["Pro"]), ("c2", "2024-01-02", ["Pro"])]
+    got = {r.file.rsplit("/", 1)[1]: r.reason for r in bad.collect()}
+    assert len(got) == bad.count() == len(docs) - 2
+    assert (got["empty.json"], got["nobody.json"], got["never.json"]) == ("empty", "no company", "no timestamp")
+    assert got["broken.json"] == got["type.json"] == got["text.json"] == "not a document of the schema"
+
+
+def test_positions_follow_the_order_over_partitions(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), F.col("id").alias("v")).repartition(7)
+    got = urls.positions(df, ["k"]).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1000)) and [r.k for r in got] == sorted(r.k for r in got)
+    assert urls.positions(df.limit(0), ["k"]).collect() == []
+    same = urls.positions(df.withColumn("k", F.lit(1)), ["k"]).select("position").collect()
+    assert sorted(r.position for r in same) == list(range(1000))
+
+
+def test_whole_errors_on_request(spark):
+    df = spark.createDataFrame([("x", False, "e" * 300 + "\nmore")], "markdown string, success boolean, error_message string")
+    assert [len(pages.page_gate(df, error_chars=n).first().reject_reason) for n in (200, None, 5)] == [200, 300, 5]
