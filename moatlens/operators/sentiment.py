@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
+from moatlens.functions import valence as valence_data
 
 
 def _edge_class() -> str:
-    return "[" + "".join("\\" + c for c in L.TOKEN_EDGE_PUNCT) + "]"
+    return "[" + "".join("\\" + c for c in valence_data.TOKEN_EDGE_PUNCT) + "]"
 
 
 def tokens(text: Column) -> Column:
@@ -19,7 +20,7 @@ def tokens(text: Column) -> Column:
                                 lambda t: F.regexp_replace(t, f"^{e}+|{e}+$", "")), lambda t: t != "")
 
 
-def compound(text: Column, valence=L.VALENCE, alpha: int = L.VADER_ALPHA) -> Column:
+def compound(text: Column, valence=valence_data.VALENCE, alpha: int = L.VADER_ALPHA) -> Column:
     """Sum of token valences normalised to (-1, 1) by s / sqrt(s^2 + alpha).
 
     The valence table is a literal map, so scoring is one map-side pass (no

@@ -269,20 +269,22 @@ def read_json_docs(spark: SparkSession, path: str, schema: StructType, key: str
     """Snapshot documents of one file each, spread over as many lines as they like: (snapshots, quarantine).
 
     ``quarantine(file, reason, document)`` holds every file that gives no
-    snapshot: one that is empty, isn't JSON or has a value of another type, or
-    names no company or time. Files of both add up to all files.
+    snapshot: one that is blank, isn't JSON or has a value of another type, or
+    names no company or time. Files of both add up to all files that hold a
+    byte (Spark's readers leave out files without any). Documents are parsed
+    once and written, so that both parts are judged by the same reading.
     """
     bad = "_document"
     docs = spark.read.schema(StructType([*schema.fields, StructField(bad, StringType())])).option("multiLine", True) \
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("recursiveFileLookup", True).json(path)
     docs = docs.select("*", F.col("_metadata.file_path").alias("file"))
     reason = F.when(F.col(bad).isNotNull(), "not a document of the schema").when(F.col("company").isNull(), "no company").when(F.col("timestamp").isNull(), "no timestamp")
-    judged = docs.withColumn("reason", reason)
+    out = f"{ensure_checkpoint_dir(spark)}/moatlens-documents-{uuid.uuid4().hex}"
+    docs.withColumn("reason", reason).write.parquet(out)
+    judged = spark.read.parquet(out)
     good = judged.filter(F.col("reason").isNull()).select(F.col("company").alias(key), F.col("timestamp").alias("snapshot_ts"), *[
         F.col(f"analysis.{f}").alias(f) for f in features if f in schema["analysis"].dataType.fieldNames()])
     rejected = judged.filter(F.col("reason").isNotNull()).select("file", "reason", F.col(bad).alias("document"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("file"), "length")
-    # by the conditions on their contents: a plain list of the rows' files needs no parsing, and has the empty ones too
-    read = judged.filter(F.col("reason").isNull()).select("file").unionByName(rejected.select("file")).distinct()
-    empty = files.join(read, "file", "left_anti").select("file", F.lit("empty").alias("reason"), F.lit(None).cast("string").alias("document"))
-    return good, rejected.unionByName(empty)
+    blank = files.join(judged.select("file").distinct(), "file", "left_anti").select("file", F.lit("blank").alias("reason"), F.lit(None).cast("string").alias("document"))
+    return good, rejected.unionByName(blank)

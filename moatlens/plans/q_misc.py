@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from moatlens.functions import lexicons as L
+from moatlens.functions import valence as valence_data
 from moatlens.operators import filings as fl
 from moatlens.operators import patents, report, sentiment, statements
 from moatlens.plans import q_fin
@@ -16,8 +17,8 @@ from moatlens.session import ensure_checkpoint_dir
 from moatlens.sources import fixtures as X
 from moatlens.sources import tables
 
-_PUNCT = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in L.TOKEN_EDGE_PUNCT) + "]"
-_VALENCE = "(values " + ", ".join(f"({q(w)}, {float(v)})" for w, v in L.VALENCE) + ") as vl(word, val)"
+_PUNCT = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in valence_data.TOKEN_EDGE_PUNCT) + "]"
+_VALENCE = "(values " + ", ".join(f"({q(w)}, {float(v)})" for w, v in valence_data.VALENCE) + ") as vl(word, val)"
 
 
 def _compound_sql(src: str, key: str) -> str:

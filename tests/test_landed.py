@@ -155,8 +155,8 @@ def test_bad_documents_go_to_quarantine(spark, tmp_path):
     rows, bad = snapshots.read_json_docs(spark, str(tmp_path), snapshot_doc_schema(s))
     assert sorted((r.company, str(r.snapshot_ts), r.pricing.tiers_found) for r in rows.collect()) == [("c1", "2024-01-02", ["Pro"]), ("c2", "2024-01-02", ["Pro"])]
     got = {r.file.rsplit("/", 1)[1]: r.reason for r in bad.collect()}
-    assert len(got) == bad.count() == len(docs) - 2
-    assert (got["empty.json"], got["nobody.json"], got["never.json"]) == ("empty", "no company", "no timestamp")
+    assert len(got) == bad.count() == len(docs) - 3  # all but two good ones and the one without a byte
+    assert (got["blank.json"], got["nobody.json"], got["never.json"]) == ("blank", "no company", "no timestamp")
     assert got["broken.json"] == got["type.json"] == got["text.json"] == "not a document of the schema"
 
 
