@@ -109,22 +109,26 @@ def _locs(body: Column) -> Column:
     return F.filter(F.transform(raw, lambda x: T.strip(text(x))), lambda x: x != "")
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/moatlens-sitemaps-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _parsed(sitemaps: DataFrame) -> DataFrame:
     """(domain, url, is_index, at_root, locs) of every well-formed document, parsed once and written; one row per domain and URL."""
-    spark, body = sitemaps.sparkSession, F.col("body")
+    body = F.col("body")
     is_index = _root(_bare(body)) == "sitemapindex"
     at_root = F.col("url") == F.concat(F.lit("https://"), F.col("domain"), F.lit("/sitemap.xml"))
     docs = sitemaps.filter(_well_formed(body)).select("domain", "url", is_index.alias("is_index"), at_root.alias("at_root"), _locs(body).alias("locs"))
-    path = f"{ensure_checkpoint_dir(spark)}/moatlens-sitemaps-{uuid.uuid4().hex}"
-    docs.write.parquet(path)
-    docs = spark.read.schema(docs.schema).parquet(path)
+    docs = _written(docs)
     again = docs.groupBy("domain", "url").count().filter("count > 1").select("domain", "url")
     if again.isEmpty():
         return docs
     # a document fetched more than once: the last of its well-formed bodies in the order of their hashes
     one = Window.partitionBy("domain", "url").orderBy(F.xxhash64("is_index", "locs").desc())
     repeated = docs.join(again, ["domain", "url"], "left_semi").withColumn("_rn", F.row_number().over(one)).filter(F.col("_rn") == 1).drop("_rn")
-    return docs.join(again, ["domain", "url"], "left_anti").unionByName(repeated)
+    return _written(docs.join(again, ["domain", "url"], "left_anti").unionByName(repeated))
 
 
 def sitemap_locs(sitemaps: DataFrame, children: int | None = None, nested: bool = True) -> DataFrame:
@@ -141,7 +145,7 @@ def sitemap_locs(sitemaps: DataFrame, children: int | None = None, nested: bool
     new (not at all without ``nested``); a document that a domain reaches on
     several ways counts for the first child that leads to it.
     """
-    spark, docs = sitemaps.sparkSession, _parsed(sitemaps)
+    docs = _parsed(sitemaps)
     listed = F.col("locs") if children is None else F.slice("locs", 1, children)
     out = docs.filter(F.col("at_root") & ~F.col("is_index")).select("domain", F.lit(0).alias("child"), "url", "locs")
     to = docs.filter(F.col("at_root") & F.col("is_index")).select("domain", F.posexplode(listed).alias("child", "url"))
@@ -151,9 +155,7 @@ def sitemap_locs(sitemaps: DataFrame, children: int | None = None, nested: bool
         state = None
         while True:
             more = inner.select("domain", "url", "locs").join(to, ["domain", "url"]).select("domain", "child", F.explode("locs").alias("url"))
-            path = f"{ensure_checkpoint_dir(spark)}/moatlens-sitemaps-{uuid.uuid4().hex}"
-            to.unionByName(more).groupBy("domain", "url").agg(F.min("child").alias("child")).write.parquet(path)
-            to = spark.read.schema("domain string, url string, child int").parquet(path)
+            to = _written(to.unionByName(more).groupBy("domain", "url").agg(F.min("child").alias("child")))
             before, state = state, to.agg(F.count("*"), F.sum("child")).first()
             if before == state:
                 break
