@@ -14,14 +14,18 @@ from moatlens.llm.common import read, written
 from moatlens.llm.queries import vocabulary
 
 
+#: Near duplicates: words of a shingle, least similarity in percent.
+WORDS, SIMILAR = 5, 80
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules (operator 1)."""
     return qr.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every component of the n-gram Jaccard join (operator 5)."""
-    return ngram_join.first_of_groups(docs)
+    """The document of smallest id of every component of the n-gram Jaccard join (operator 5) on five words and 80 %."""
+    return ngram_join.first_of_groups(docs, WORDS, SIMILAR)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, with the digest of what they decode to (operator 8)."""
+    """Piece ids of every text with their original bytes, and the digest of what they decode to (operator 8)."""
     return pieces.tokenised(docs, vocabulary("piece_bpe_32k.model"))
 
 

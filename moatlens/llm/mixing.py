@@ -8,7 +8,8 @@ Defined cases: a null text or one without words has size 0 (it is still
 emitted by its source's rate); a null source is a source of its own, last in
 order; repeated rows are decided alike, by the hash of their id (of their text
 where the id is null); an empty table gives an empty result; extra columns pass
-through ``mix`` and never take part, its own columns are prefixed ``mix_``.
+through ``mix`` and never take part, its own columns are prefixed ``mix_``
+(others of that prefix give way to them).
 """
 
 from __future__ import annotations

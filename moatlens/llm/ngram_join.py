@@ -277,7 +277,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def first_of_groups(docs: DataFrame) -> DataFrame:
+def first_of_groups(docs: DataFrame, n: int = N, pct: int = PCT) -> DataFrame:
     """Documents without those that a document of smaller id in their component stands for."""
-    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = jaccard_components(docs, n=n, pct=pct).where("doc_id <> component_id").select("doc_id").distinct()
     return anti(docs, written(gone, "join-gone"), "doc_id").select(*docs.columns)

@@ -9,7 +9,8 @@ could cross, and the parts' pieces are kept in a bounded cache per worker.
 Defined cases: null and empty texts have no pieces and decode to an empty
 text; texts of any length are encoded whole (long parts merge through a heap);
 repeated rows are encoded alike; an empty table gives no rows; extra columns
-are not read.
+are not read, or, where the documents are returned, carried along: those named
+like a result (in any case) give way to it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -116,7 +118,7 @@ class PieceModel:
         own = sorted((p for i, p in enumerate(self.pieces) if self.types[i] == USER_DEFINED), key=len, reverse=True)
         self.own = re.compile("(" + "|".join(map(re.escape, own)) + ")") if own else None
         self.part = _parts([p for p in self.ids if len(p) > 1])
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.cache: dict[str, tuple[tuple[int, ...], str, tuple[int, ...]]] = {}
         # decoding: text of each id; a byte piece holds its byte value in raw
         self.text_of = ["" if t == CONTROL else self.unk_text if t == UNKNOWN else p.replace(SPACE, " ")
                         for p, t in zip(self.pieces, self.types, strict=True)]
@@ -199,18 +201,25 @@ class PieceModel:
             return [part]
         return self._merge_short(list(part)) if len(part) <= LONG else self._merge_long(list(part))
 
-    def _part(self, part: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a part, and as text; kept if it is short."""
+    def _part(self, part: str) -> tuple[tuple[int, ...], str, tuple[int, ...]]:
+        """Ids of a part, as text too, and 4 * first character + byte of it where each begins; kept if the part is short."""
         ids: list[int] = []
+        begin: list[int] = []
+        k = 0
         for s in self._symbols(part):
             i = self.ids.get(s)
             if i is not None:
                 ids.append(i)
-            elif self.fallback:
-                ids.extend([self.bytes[b] for b in s.encode("utf-8")])
+                begin.append(4 * k)
+            elif self.fallback:  # one character: its first byte piece begins it
+                own = s.encode("utf-8")
+                ids.extend([self.bytes[b] for b in own])
+                begin.extend(range(4 * k, 4 * k + len(own)))
             elif not ids or ids[-1] != self.unk:
                 ids.append(self.unk)
-        got = tuple(ids), ",".join(map(str, ids))
+                begin.append(4 * k)
+            k += len(s)
+        got = tuple(ids), ",".join(map(str, ids)), tuple(begin)
         if len(part) <= LONG:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
@@ -237,32 +246,42 @@ class PieceModel:
             say(got[1])
         return ids, ",".join(said)
 
-    def spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """Ids with the original bytes [start, end) of each; a byte piece of an unchanged character has its one byte."""
+    def spans(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ids with the original bytes [start, end) of each; a byte piece of an unchanged character has its one byte.
+
+        Spans follow each other without gaps: a piece ends where the next begins.
+        """
         normal, at = self.normalise(text)
-        if at is None:
-            at, n = [], 0
-            for c in text:
-                at.append(n)
-                n += len(c.encode("utf-8"))
-            at = [0] * self.dummy + at + [n]
-        ids, starts, ends, k = [], [], [], 0
-        for part in self.parts(normal):
-            for s in self._symbols(part):
-                i, a, b = self.ids.get(s), at[k], at[k + len(s)]
-                k += len(s)
-                if i is None and self.fallback:  # every byte piece has its own byte, the last one the rest
-                    own = s.encode("utf-8")
-                    ids += [self.bytes[x] for x in own]
-                    starts += [min(a + x, b) for x in range(len(own))]
-                    ends += [*[min(a + x, b) for x in range(1, len(own))], b]
-                elif i is None and ids and ids[-1] == self.unk:
-                    ends[-1] = b
-                else:
-                    ids.append(self.unk if i is None else i)
-                    starts.append(a)
-                    ends.append(b)
-        return ids, starts, ends
+        if not normal:
+            return [], np.empty(0, np.int64), np.empty(0, np.int64)
+        ids: list[int] = []
+        begin: list[int] = []
+        sizes, lengths = [], []
+        get, make = self.cache.get, self._part
+        for p in self.parts(normal):
+            got = get(p) or make(p)
+            ids += got[0]
+            begin += got[2]
+            sizes.append(len(got[0]))
+            lengths.append(len(p))
+        at = self._offsets(text) if at is None else np.array(at, np.int64)
+        code, length = np.array(begin, np.int64), np.array(lengths, np.int64)
+        char = (code >> 2) + np.repeat(np.cumsum(length) - length, sizes)
+        starts = np.minimum(at[char] + (code & 3), at[char + 1])
+        if not self.fallback:  # unknown pieces side by side are one
+            a = np.array(ids)
+            keep = np.append(True, (a[1:] != self.unk) | (a[:-1] != self.unk))
+            ids, starts = a[keep].tolist(), starts[keep]
+        return ids, starts, np.append(starts[1:], at[-1])
+
+    def _offsets(self, text: str) -> np.ndarray:
+        """Original byte offset of every character of an unchanged text, and its end."""
+        if text.isascii():
+            at = np.arange(len(text) + 1)
+        else:
+            c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            at = np.append(0, np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
+        return np.append(0, at) if self.dummy else at
 
     def decode(self, ids: list[int]) -> str:
         text_of, raw = self.text_of, self.raw
@@ -348,11 +367,11 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         m = _model(sent.value)
         for b in batches:
             got = [m.spans(t or "") for t in b.column(1).to_pylist()]
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[k] for g in got], ints) for k in range(3)]], names=["id", "ids", "starts", "ends"])
+            kinds = [pa.list_(x) for x in (pa.int32(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[k] for g in got], t) for k, t in enumerate(kinds)]], names=["id", "ids", "starts", "ends"])
 
     df = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return df.mapInArrow(run, "id long, ids array<int>, starts array<int>, ends array<int>")
+    return df.mapInArrow(run, "id long, ids array<int>, starts array<long>, ends array<long>")
 
 
 def decoded(encodings: DataFrame, model_path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -369,40 +388,48 @@ def decoded(encodings: DataFrame, model_path: str, id_col: str = "id", ids_col:
 
 
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded and its ids decoded again, in one pass."""
+    """(id, n_tokens, ids_sha256, decoded_sha256, spans_sha256, covered_bytes): each text encoded with its spans and decoded again, in one pass.
+
+    ``spans_sha256`` is the digest of all starts, then all ends, as 64-bit
+    little-endian numbers; ``covered_bytes`` what the spans hold of the text.
+    """
     sent = _blob(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(sent.value)
         for b in batches:
-            n, a, d = [], [], []
+            n, a, d, at, size = [], [], [], [], []
             for text in b.column(1):
-                ids, said = m.encode(text.as_py() or "")
+                ids, starts, ends = m.spans(text.as_py() or "")
                 n.append(len(ids))
-                a.append(hashlib.sha256(said.encode()).hexdigest())
+                a.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                 d.append(hashlib.sha256(m.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],
-                                             names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at.append(hashlib.sha256(starts.astype("<i8").tobytes() + ends.astype("<i8").tobytes()).hexdigest())
+                size.append(int((ends - starts).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in (a, d, at)], pa.array(size, pa.int64())],
+                                             names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "covered_bytes"])
 
     df = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return df.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, covered_bytes long")
 
 
 def tokenised(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """The documents without their text, with ids, n_tokens and the digest of the decoded ids."""
+    """The documents without their text, with n_tokens, ids, the pieces' original bytes (starts, ends) and the digest of the decoded ids."""
     sent = _blob(docs, model_path)
-    rest = [c for c in docs.columns if c != text_col]
+    added = StructType.fromDDL("n_tokens long, ids array<int>, starts array<long>, ends array<long>, decoded_sha256 string")
+    rest = [c for c in docs.columns if c != text_col and c.lower() not in added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(sent.value)
         for whole in batches:
             for b in (whole.slice(i, 512) for i in range(0, len(whole), 512)):
-                ids = [m.encode(t.as_py() or "")[0] for t in b.column(len(rest))]
-                back = [hashlib.sha256(m.decode(i).encode("utf-8")).hexdigest() for i in ids]
+                got = [m.spans(t.as_py() or "") for t in b.column(len(rest))]
+                back = [hashlib.sha256(m.decode(g[0]).encode("utf-8")).hexdigest() for g in got]
                 yield pa.RecordBatch.from_arrays(
-                    [*[b.column(k) for k in range(len(rest))], pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())],
-                    names=[*rest, "n_tokens", "ids", "decoded_sha256"])
+                    [*[b.column(k) for k in range(len(rest))], pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[0] for g in got], pa.list_(pa.int32())),
+                     *[pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (1, 2)], pa.array(back, pa.string())],
+                    names=[*rest, *added.names])
 
-    df = docs.select(*rest, text_col)
-    schema = StructType([*df.select(*rest).schema.fields, *StructType.fromDDL("n_tokens long, ids array<int>, decoded_sha256 string").fields])
-    return df.mapInArrow(run, schema)
+    df = docs.select(*[docs[f"`{c}`"] for c in rest], docs[text_col])
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])  # names with dots can't be passed to tasks
+    return plain.mapInArrow(run, StructType([*df.schema.fields[:-1], *added.fields]))

@@ -1,5 +1,6 @@
 """Encoding against the library, spans, and the compiled character map."""
 
+import hashlib
 import random
 import struct
 
@@ -36,7 +37,16 @@ def test_same_ids_text_and_covering_spans(model, library):
         got, starts, ends = model.spans(t)
         assert got == ids
         if ids:  # the spans are the text's bytes, in order, without gaps
-            assert starts[0] == 0 and ends[-1] == len(t.encode()) and starts[1:] == ends[:-1]
+            assert starts[0] == 0 and ends[-1] == len(t.encode()) and (starts[1:] == ends[:-1]).all()
+
+
+def test_spans_are_the_librarys(model, library):
+    for t in [*texts(), "日本 🙂🙂 é" * 50]:
+        ids, starts, ends = model.spans(t)
+        for i, a, b, p in zip(ids, starts, ends, library.encode_as_proto(t).pieces, strict=True):
+            assert i == p.id
+            if i not in model.raw:  # the library gives a character's bytes to the last of its byte pieces
+                assert (a, b) == (p.begin, p.end)
 
 
 def test_decoding_of_any_ids(model, library):
@@ -102,7 +112,19 @@ def test_tables(spark):
     assert digests(df.limit(0), path).count() == 0
     spans = {r["id"]: r for r in encoded(df, path).collect()}
     assert spans[3]["starts"][0] == 0 and spans[3]["ends"][-1] == 5
-    assert tokenised(df.drop("ids"), path).where("n_tokens = 0").count() == 2
+    assert out[3]["covered_bytes"] == 5 and out[1]["covered_bytes"] == 0
+    at = struct.pack(f"<{2 * len(spans[3]['ids'])}q", *spans[3]["starts"], *spans[3]["ends"])
+    assert out[3]["spans_sha256"] == hashlib.sha256(at).hexdigest()
+
+
+def test_clashing_columns_give_way(spark):
+    path = vocabulary("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, None, 5, "x", None), (None, "ab cd", None, "y", 1)], "doc_id long, text string, IDS int, `a.b` string, starts int")
+    got = tokenised(df, path)
+    assert got.columns == ["doc_id", "a.b", "n_tokens", "ids", "starts", "ends", "decoded_sha256"]
+    rows = {r["a.b"]: r for r in got.collect()}
+    assert rows["x"]["n_tokens"] == 0 and rows["x"]["ids"] == [] and rows["y"]["ends"][-1] == 5 and rows["y"]["doc_id"] is None
+    assert tokenised(df.limit(0), path).collect() == []
 
 
 def test_many_words_merge_as_one_does(model):
