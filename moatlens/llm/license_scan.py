@@ -12,6 +12,13 @@ aligned again while hits are left, so close repeats are each reported. Pieces
 below the coverage bound are joined with the next piece of the same template
 before they are judged: a notice may be interrupted by ``GAP`` foreign words.
 
+Licences differ by few words, so coverage alone doesn't tell them apart: a
+template of fewer than ``FULL_BELOW`` words must be there whole; each telling
+word of a template (a name in ``TELLING`` or a number) must be matched; and
+where one or a few words stand between matched ones, none of these may be a
+telling word the template lacks there ("Attribution-ShareAlike" isn't
+"Attribution"), unless it is named as a choice ("BSD or MIT").
+
 The index is sent to the tasks. It is bounded by ``MAX_POSTINGS``; more
 templates are scanned in several rounds, each with its own index.
 
@@ -42,6 +49,13 @@ MAX_POSTINGS = 2_000_000
 SPREAD = 2 * BAND
 #: Foreign words that may interrupt a notice, or as many as it has itself if that is more.
 GAP = 64
+#: Templates of fewer words are found whole only.
+FULL_BELOW = 20
+#: Words that may take a telling word's place between two matched words.
+BETWEEN = 3
+#: Names and variants of licences; numbers tell too.
+TELLING = frozenset("affero agpl apache apsl artistic boost bsd by cc cc0 cddl commercial derivatives eclipse epl gfdl gnu gpl isc lesser lgpl library mit mozilla mpl "
+                    "nc nd noderivatives noderivs noncommercial sa share sharealike unlicense zlib".split())
 _WORD = re.compile(r"[^\W_]+")
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(31)
 
@@ -69,6 +83,28 @@ TEMPLATES = (
      "Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0 notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
      "You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0 line", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0 notice", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+     "Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1 notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+     "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0 notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+     "Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0 notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+     "Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD line", "Released under the BSD License."),
+    ("CC-BY-4.0 short line", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0 short line", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0 line", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0 long line", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0 line", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC0-1.0 notice", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the "
+     "public domain worldwide. This software is distributed without any warranty."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+     "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSL-1.0 line", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0 notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+     "https://www.eclipse.org/legal/epl-2.0/"),
 )
 
 
@@ -163,6 +199,24 @@ def matches(text: str, index: Index, min_coverage: float = MIN_COVERAGE) -> list
     return out
 
 
+def _telling(word: str) -> bool:
+    return word in TELLING or word.isdecimal()
+
+
+def _told(pairs: list[tuple[int, int]], wanted: list[str], words: list[str]) -> bool:
+    """Whether an alignment holds the template's telling words and isn't another licence's text."""
+    have = {wanted[i] for i, _ in pairs}
+    if any(_telling(w) and w not in have for w in wanted):
+        return False
+    for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False):
+        between = words[j + 1:m]
+        if 0 < len(between) <= BETWEEN and not {"or", "and"} & set(between):
+            skipped = wanted[i + 1:k]
+            if any(_telling(w) and w not in skipped for w in between):
+                return False
+    return True
+
+
 def _occurrences(t: int, wanted: list[str], words: list[str], diagonal: np.ndarray, at: np.ndarray, found: list[tuple[str, int, int]], min_coverage: float) -> list[dict]:
     """Occurrences of one template; the words of one are taken out before the next is looked for."""
     out, partial, left = [], [], list(words)
@@ -170,11 +224,14 @@ def _occurrences(t: int, wanted: list[str], words: list[str], diagonal: np.ndarr
     d = np.unique(diagonal)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(d) > SPREAD) + 1, [len(d)]))
 
+    least = len(wanted) if len(wanted) < FULL_BELOW else min_coverage * len(wanted)
+
     def take(pairs: list[tuple[int, int]]) -> bool:
-        if not pairs or len(pairs) < min_coverage * len(wanted):
+        if not pairs or len(pairs) < least:
             return False
-        out.append(_report(t, pairs, len(wanted), found))
-        for _, j in pairs:
+        if _told(pairs, wanted, words):
+            out.append(_report(t, pairs, len(wanted), found))
+        for _, j in pairs:  # another licence's words are taken out too
             left[j], free[j] = "", False
         return True
 

@@ -4,8 +4,8 @@ A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded
 from its characters and word repetitions; gated attention weighs the passages
 and the weighted representation is scored. Only document labels are known, so
 encoder, attention and score are learned together, in numpy, from a bounded
-sample of labelled documents (``SAMPLE``, the least by hash of the id); the
-scores cover every passage of every document.
+sample of labelled documents (``SAMPLE``, the least by hash of the id), each
+with all its passages; the scores cover every passage of every document.
 
 Defined cases: a null or blank text is one empty passage; of several labels of
 one id the mean counts, 0.5 and more as 1; without labels, or with labels of
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 PASSAGE = 64
 SAMPLE = 6000
-#: Passages of one training document; scoring has no such bound.
-SAMPLE_PASSAGES = 512
 HIDDEN, GATE = 24, 12
 EPOCHS, RATE, DECAY = 60, 0.01, 1e-4
 FOLDS = 5
@@ -143,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [passages(t.as_py())[:SAMPLE_PASSAGES] for t in b.column(1)]
+            got = [passages(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g.tobytes() for g in got], pa.binary())], names=["id", "label", "bag"])
 
     got = rows.select("id", "text", "label").mapInArrow(run, "id long, label int, bag binary").orderBy("id", "bag").limit(2 * SAMPLE).toArrow()

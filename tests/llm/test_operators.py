@@ -332,6 +332,36 @@ def test_close_repeats_and_interrupted_notices():
         assert len(got) == 1 and got[0]["coverage"] == 1.0 and len(got[0]["spans"]) == 2
 
 
+def test_other_licences_are_not_reported():
+    names = [n for n, _ in license_scan.TEMPLATES]
+    index = license_scan.Index([(t, license_scan.tokens(x)) for t, (_, x) in enumerate(license_scan.TEMPLATES)])
+
+    def found(text):
+        return [names[m["template_id"]] for m in sorted(license_scan.matches(text, index), key=lambda m: m["start"])]
+
+    assert found("Released under the BSD License.") == ["BSD line"]
+    assert found("Released under the ZZZ License.") == []
+    assert found("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0 line"]
+    assert found("This work is licensed under the GNU Lesser General Public License, version 3.") == []
+    assert found("Licensed under CC BY-SA 4.0.") == ["CC-BY-SA-4.0 short line"]
+    assert found("Licensed under CC BY-NC-SA 4.0.") == []
+    assert found("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.") == ["CC-BY-SA-4.0 line"]
+    assert found("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.") == []
+    for name, text in license_scan.TEMPLATES:  # every template is found as itself, alone
+        assert [x for x in found(f"before it\n{text}\nafter it") if not (name == "Apache-2.0 notice" and x == "Apache-2.0 line")] == [name]
+    both = "Released under the BSD License.\nReleased under the MIT License.\nReleased under the BSD License."
+    assert found(both) == ["BSD line", "MIT line", "BSD line"]
+    assert found("Released under the BSD or MIT License.").count("MIT line") == 1
+    long = "filler words " * 60_000 + "Released under the MIT License. " + "more filler " * 60_000
+    assert found(long) == ["MIT line"]
+
+
+def test_repeated_rows_are_scanned_alike(spark):
+    text = "Released under the MIT License."
+    got = license_scan.scan(docs(spark, [(1, text), (1, text), (None, text), (2, None)], ["coverage"])).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None"] and {r["template"] for r in got} == {"MIT line"}
+
+
 def test_many_templates_take_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "MAX_POSTINGS", 12)
     texts = [(i, t) for i, (_, t) in enumerate(license_scan.TEMPLATES)]
@@ -470,3 +500,15 @@ def test_classifier_gradient():
     at = np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1]))
     score = quality_mil.forward(p, np.concatenate(bags), at)["score"]
     assert ((score > 0.5) == labels).mean() > 0.9
+
+
+def test_bags_of_long_texts_are_whole(spark):
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "house", "river"]
+    clean = [" ".join(rng.choice(words) for _ in range(36_000)) for _ in range(4)]
+    noise = " ".join("#%&!!" for _ in range(2_000))
+    texts = [(i, clean[i % 4][:-20 * i - 1] + (noise if i % 2 else "")) for i in range(40)]  # the noise begins after word 34,000
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, float(i % 2)) for i, _ in texts], "doc_id long, quality double")
+    score = {r["doc_id"]: r["score"] for r in quality_mil.scored(df, quality_mil.fit(df, labels)).collect()}
+    assert min(score[i] for i in score if i % 2) > max(score[i] for i in score if not i % 2)
