@@ -17,8 +17,8 @@ def category_scores(low: Column, low_len: Column | None = None) -> Column:
         c["name"].alias("name"), c["ord"].alias("ord"), T.sum_counts(low, c["kws"], low_len).alias("score")))
 
 
-def sample_lines(lines: Column, lines_low: Column | None = None) -> Column:
-    """Per category the first 5 review lines holding any of its keywords.
+def sample_lines(lines: Column, lines_low: Column | None = None, first: int | None = L.N_SAMPLE_LINES) -> Column:
+    """Per category the first review lines (None: all) holding any of its keywords.
 
     ``lines_low`` (the lowered lines, same order) lets the keyword tests skip
     re-lowering every line for every keyword.
@@ -26,10 +26,10 @@ def sample_lines(lines: Column, lines_low: Column | None = None) -> Column:
     lex = T.lexicon(L.COMPLAINT_CATEGORIES)
     low = F.transform(lines, F.lower) if lines_low is None else lines_low
     pairs = F.arrays_zip(lines.alias("line"), low.alias("low"))
+    cut = (lambda a: a) if first is None else (lambda a: F.slice(a, 1, first))
     per = F.transform(lex, lambda c: F.struct(
         c["name"].alias("name"),
-        F.transform(F.slice(F.filter(pairs, lambda p: T.any_sub(p["low"], c["kws"])), 1, L.N_SAMPLE_LINES),
-                    lambda p: p["line"]).alias("lines")))
+        F.transform(cut(F.filter(pairs, lambda p: T.any_sub(p["low"], c["kws"]))), lambda p: p["line"]).alias("lines")))
     return F.filter(per, lambda x: F.size(x["lines"]) > 0)
 
 

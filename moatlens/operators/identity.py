@@ -1,4 +1,4 @@
-"""Legal-entity lookup by approximate name and leadership roll-up."""
+"""Legal-entity lookup by contained or approximate name and leadership roll-up."""
 
 from __future__ import annotations
 
@@ -18,9 +18,44 @@ def _grams(c, k):
                                         lambda i: F.substring(c, i, k)))
 
 
-def legal_entity_lookup(queries: DataFrame, registry: DataFrame, q_col: str = "query") -> DataFrame:
+def _fewer(c, edits: int):
+    """All distinct strings that ``c`` becomes by taking out up to ``edits`` characters."""
+    out = F.array(c)
+    for _ in range(edits):
+        less = F.flatten(F.transform(out, lambda x: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))))
+        out = F.array_distinct(F.concat(out, less))
+    return out
+
+
+def nearest_names(queries: DataFrame, registry: DataFrame, q_col: str = "query", edits: int = 1) -> DataFrame:
+    """(_q, lei, distance): per lower-cased query the name within ``edits`` edits, the least by (distance, lei).
+
+    Two strings within k edits become equal by taking out at most k characters
+    on each side, so both sides are joined on hashes of all such shorter
+    strings and the edit distance is then computed exactly. No gram is common
+    to many names here: only near names meet. Equal names and equal queries
+    are one row first, and only names whose length some query is near are
+    spelled out. A name of n characters has about n^k shorter ones, so ``edits``
+    is meant to be 1 or 2. Null and empty queries and null names find nothing.
+    """
+    asked = queries.select(F.lower(F.col(q_col)).alias("_q")).where(F.length("_q") > 0).distinct()
+    names = registry.select(F.lower("legal_name").alias("_name"), "lei").where(F.col("_name").isNotNull()).groupBy("_name").agg(F.min("lei").alias("lei"))
+    sizes = asked.select(F.explode(F.sequence(F.length("_q") - edits, F.length("_q") + edits)).alias("_n")).distinct()
+    near = names.join(sizes, F.length("_name") == F.col("_n"), "left_semi")
+    keys = lambda c: F.explode(F.transform(_fewer(F.col(c), edits), lambda x: F.xxhash64(x))).alias("_key")
+    met = asked.select("_q", keys("_q")).join(near.select("_name", "lei", keys("_name")), "_key")
+    found = met.select("_q", "lei", F.levenshtein("_q", "_name").alias("distance")).where(F.col("distance") <= edits)
+    best = found.groupBy("_q").agg(F.min(F.struct("distance", "lei")).alias("_b"))
+    return best.select("_q", F.col("_b.lei").alias("lei"), F.col("_b.distance").alias("distance"))
+
+
+def legal_entity_lookup(queries: DataFrame, registry: DataFrame, q_col: str = "query", edits: int = 0) -> DataFrame:
     """First registry record (by ``lei``) whose legal name contains the query, case-insensitive.
 
+    With ``edits``, a query that no name contains takes the nearest name within
+    so many edits (``nearest_names``), and ``distance`` says how many (0: contained).
+
     A containment join cannot be an equi-join, and neither side is assumed
     small. Both sides are blocked on character grams, and the containment is
     then checked exactly:
@@ -50,6 +85,10 @@ def legal_entity_lookup(queries: DataFrame, registry: DataFrame, q_col: str = "q
 
     empty = asked.filter(F.length("_q") == 0).select("_q", reg.agg(F.min("lei")).scalar().alias("lei"))
     matched = short.unionByName(found).unionByName(empty)
+    if edits:
+        near = nearest_names(asked, registry, "_q", edits).select("_q", F.col("lei").alias("_near"), "distance")
+        matched = asked.join(matched, "_q", "left").join(near, "_q", "left").select(
+            "_q", F.coalesce("lei", "_near").alias("lei"), F.when(F.col("lei").isNotNull(), 0).otherwise(F.col("distance")).alias("distance"))
     out = queries.select(q_col, F.lower(F.col(q_col)).alias("_q")).join(matched, "_q", "left").drop("_q")
     return out.join(registry, "lei", "left")
 

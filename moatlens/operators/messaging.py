@@ -36,7 +36,8 @@ def ctas(body_lower: Column) -> Column:
 
 
 def proof_points(md: Column) -> Column:
-    return F.slice(F.concat(*[T.findall(md, p, 0, True) for p in L.PROOF_PATTERNS]), 1, L.N_PROOF_POINTS)
+    """All proof points in pattern order."""
+    return F.concat(*[T.findall(md, p, 0, True) for p in L.PROOF_PATTERNS])
 
 
 def uptime_claims(md: Column) -> Column:
@@ -63,16 +64,17 @@ def extract_messaging(df: DataFrame, text_col: str = "markdown") -> DataFrame:
     out = stage.select(
         "*",
         longest_first(F.col("_h1")).alias("main_headline"), F.size("_h1").alias("n_h1"),
-        F.slice("_h2", 1, L.N_SUBHEADLINES).alias("subheadlines"),
-        F.slice("_h3", 1, L.N_H3).alias("h3_messages"),
+        F.slice("_h2", 1, L.N_SUBHEADLINES).alias("subheadlines"), F.col("_h2").alias("subheadlines_all"),
+        F.slice("_h3", 1, L.N_H3).alias("h3_messages"), F.col("_h3").alias("h3_messages_all"),
         bucket_rank(low, hlow, L.SEGMENTS, n, hn).alias("target_segments"),
         bucket_rank(low, hlow, L.VALUE_PROPS, n, hn).alias("positioning_angle"),
         bucket_rank(low, hlow, L.TONES, n, hn).alias("emotional_tone"),
         ctas(low).alias("ctas_by_type"),
-        proof_points(md).alias("proof_points"),
+        proof_points(md).alias("proof_points_all"),
         uptime_claims(md).alias("uptime_claims"),
         buzzwords(low).alias("buzzwords"),
     )
-    out = out.withColumn("primary_cta", T.first(F.flatten(F.transform("ctas_by_type", lambda x: x["phrases"])))) \
+    out = out.withColumn("proof_points", F.slice("proof_points_all", 1, L.N_PROOF_POINTS)) \
+             .withColumn("primary_cta", T.first(F.flatten(F.transform("ctas_by_type", lambda x: x["phrases"])))) \
              .withColumn("buzzword_count", F.size("buzzwords"))
     return out.drop("_hl", "_h1", "_h2", "_h3", "_low", "_hlow", "_n", "_hn")

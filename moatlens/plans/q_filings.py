@@ -181,7 +181,9 @@ def _registry(spark, sf):
     n = tables.table(spark, sf, "nation")
     return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
         F.col("c_custkey").alias("lei"), F.col("c_name").alias("legal_name"), F.col("n_name").alias("jurisdiction"),
-        F.col("c_mktsegment").alias("status"), F.lit(None).cast("string").alias("city"))
+        F.col("c_mktsegment").alias("status"), F.when(F.col("c_custkey") % 4 != 0, F.initcap("n_name")).alias("city"),
+        F.when(F.col("c_custkey") % 3 == 0, F.array().cast("array<string>")).when(F.col("c_custkey") % 3 == 1, F.array(  # one in three lists no address, one has none
+            F.concat(F.col("c_custkey").cast("string"), F.lit(" "), F.lower("c_mktsegment"), F.lit(" street")), F.lit("2nd floor"))).alias("address_lines"))
 
 
 def _lookups(spark, sf):
@@ -197,7 +199,9 @@ with qs as (select distinct query from (
    union all select regexp_replace(substr(s_name, 10, 9), '^0+', '') as query from supplier)),
 m as (select qs.query, min(c.c_custkey) as lei from qs join customer c on contains(lower(c.c_name), lower(qs.query)) group by qs.query)
 select qs.query, c.c_name as official_legal_name, cast(m.lei as varchar) as lei_code, n.n_name as jurisdiction,
-  c.c_mktsegment as entity_status, case when m.lei is not null then 'N/A' end as legal_address, cast(null as varchar) as city
+  c.c_mktsegment as entity_status,
+  case when m.lei % 3 = 1 then concat(m.lei, ' ', lower(c.c_mktsegment), ' street') when m.lei is not null then 'N/A' end as legal_address,
+  case when m.lei % 4 <> 0 then concat(upper(n.n_name[1]), lower(n.n_name[2:])) end as city
 from qs left join m on m.query = qs.query left join customer c on c.c_custkey = m.lei left join nation n on n.n_nationkey = c.c_nationkey"""
 
 
@@ -207,6 +211,27 @@ def q_lookup(spark, sf):
     return identity.identity_record(found)
 
 
+def _misspelt(spark, sf):
+    """Names of customers as others spell them: a letter or a digit less, a wrong digit, and too far off."""
+    s = tables.table(spark, sf, "supplier")
+    n = F.substring("s_name", 10, 9)
+    return s.select(F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("Custmer#"), n)).when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("customer#"), F.substring(n, 2, 8)))
+                    .when(F.col("s_suppkey") % 4 == 2, F.concat(F.lit("Customer#9"), F.substring(n, 2, 8))).otherwise(F.concat(F.lit("Kustumer#"), n)).alias("query")).distinct()
+
+
+@query("legal_entity_approximate", """
+with qs as (select distinct case s_suppkey % 4 when 0 then 'Custmer#' || substr(s_name, 10, 9) when 1 then 'customer#' || substr(s_name, 11, 8)
+     when 2 then 'Customer#9' || substr(s_name, 11, 8) else 'Kustumer#' || substr(s_name, 10, 9) end as query from supplier),
+e as (select qs.query, min(c.c_custkey) as lei from qs join customer c on contains(lower(c.c_name), lower(qs.query)) group by qs.query),
+d as (select qs.query, c.c_custkey as lei, levenshtein(lower(qs.query), lower(c.c_name)) as distance from qs join customer c on levenshtein(lower(qs.query), lower(c.c_name)) <= 1),
+nr as (select query, lei, distance from d qualify row_number() over (partition by query order by distance, lei) = 1)
+select qs.query, c.c_name as official_legal_name, cast(c.c_custkey as varchar) as lei_code, cast(case when e.lei is not null then 0 else nr.distance end as integer) as distance
+from qs left join e using (query) left join nr using (query) left join customer c on c.c_custkey = coalesce(e.lei, nr.lei)""")
+def q_lookup_approximate(spark, sf):
+    found = identity.legal_entity_lookup(_misspelt(spark, sf), _registry(spark, sf), edits=1)
+    return found.select("query", F.col("legal_name").alias("official_legal_name"), F.col("lei").cast("string").alias("lei_code"), "distance")
+
+
 @query("leadership_rollup", """
 with b as (select o_custkey as company, o_orderkey as ord, o_orderpriority as ceo,
    case when o_orderstatus <> 'O' then o_orderstatus end as founder,

@@ -19,21 +19,36 @@ from moatlens.sources import tables
 
 _PUNCT = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in valence_data.TOKEN_EDGE_PUNCT) + "]"
 _VALENCE = "(values " + ", ".join(f"({q(w)}, {float(v)})" for w, v in valence_data.VALENCE) + ") as vl(word, val)"
+_BEND = "(values " + ", ".join(f"({q(w)}, {v})" for ws, v in ((valence_data.BOOSTERS, valence_data.BOOST), (valence_data.DAMPENERS, -valence_data.BOOST)) for w in ws) + ") as bl(word, boost)"
 
 
-def _compound_sql(src: str, key: str) -> str:
-    """Per-text compound polarity of ``src(key, text_id, text)`` in DuckDB."""
+def compound_sql(src: str, key: str) -> str:
+    """Per-text compound polarity of ``src(key, text_id, text)`` in DuckDB: tokens as rows, the words before by ``lag``."""
+    V = valence_data
+    bent = lambda v, d: f"n{d} * ({v} + sign({v}) * b{d} * {V.DISTANCE[d - 1]})"
     return f"""
-, tk as (select {key}, text_id, unnest(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'),
-     lambda t: regexp_replace(t, {q('^' + _PUNCT + '+|' + _PUNCT + '+$')}, '', 'g')), lambda t: t <> '')) as tok from {src}),
-ts as (select s.{key}, s.text_id, coalesce(sum(vl.val), 0.0) as s from {src} s
-   left join tk on tk.{key} = s.{key} and tk.text_id = s.text_id left join {_VALENCE} on vl.word = tk.tok
-   group by s.{key}, s.text_id),
+, wl as (select {key}, text_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\s+'),
+     lambda t: regexp_replace(t, {q('^' + _PUNCT + '+|' + _PUNCT + '+$')}, '', 'g')), lambda t: t <> '') as ws from {src}),
+tk as (select {key}, text_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from wl),
+tf as (select tk.*, vl.val, coalesce(bl.boost, 0.0) as boost, regexp_full_match(w, '[A-Z]{{2,}}') as up,
+     lower(w) in ({', '.join(q(w) for w in V.NEGATIONS)}) or ends_with(lower(w), 'n''t') as neg, lower(w) = 'but' as isbut
+   from tk left join {_VALENCE} on vl.word = lower(tk.w) left join {_BEND} on bl.word = lower(tk.w)),
+tx as (select {key}, text_id, bool_or(up) and bool_or(not up) as louder, min(case when isbut then i end) as bp from tf group by {key}, text_id),
+tn as (select tf.*, bp, case when louder and up then {V.CAPS} else 0.0 end as shout, case when val is null and neg then {V.NEGATE} else 1.0 end as n,
+     case when val is null and boost <> 0 then boost + case when louder and up then {V.CAPS} else 0.0 end else 0.0 end as b from tf join tx using ({key}, text_id)),
+tl as (select *, {', '.join(f"coalesce(lag({c}, {d}) over nb, {z}) as {c}{d}" for d in (1, 2, 3) for c, z in (('n', '1.0'), ('b', '0.0')))}
+   from tn window nb as (partition by {key}, text_id order by i)),
+t0 as (select *, cast(val + sign(val) * shout as double) as v0 from tl), t1 as (select *, {bent('v0', 1)} as v1 from t0),
+t2 as (select *, {bent('v1', 2)} as v2 from t1), t3 as (select *, {bent('v2', 3)} as v3 from t2),
+sm as (select {key}, text_id, sum(v3 * case when bp is null or i = bp then 1.0 when i < bp then {V.BEFORE_BUT} else {V.AFTER_BUT} end) as s from t3 group by {key}, text_id),
+am as (select s.{key}, s.text_id, coalesce(sm.s, 0.0) as s, least(length(text) - length(replace(text, '!', '')), {V.EXCLAMATIONS}) * {V.EXCLAMATION} as ex,
+     length(text) - length(replace(text, '?', '')) as qs from {src} s left join sm on sm.{key} = s.{key} and sm.text_id = s.text_id),
+ts as (select {key}, text_id, s + sign(s) * (coalesce(ex, 0) + case when qs > {V.QUESTIONS} then {V.MANY_QUESTIONS} when qs > 1 then qs * {V.QUESTION} else 0.0 end) as s from am),
 cp as (select {key}, text_id, s / sqrt(s * s + {L.VADER_ALPHA}) as c from ts)
 """
 
 
-@query("polarity_mean", "with src as (select conv_id, turn as text_id, text from conversations)" + _compound_sql("src", "conv_id") + """
+@query("polarity_mean", "with src as (select conv_id, turn as text_id, text from conversations)" + compound_sql("src", "conv_id") + """
 select conv_id, round(avg(c), 6) as compound_score, cast(count(*) as bigint) as sample_size from cp group by conv_id""")
 def q_polarity(spark, sf):
     c = tables.table(spark, sf, "conversations")

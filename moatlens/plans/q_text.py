@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from moatlens.functions import lexicons as L
 from moatlens.functions import text as T
-from moatlens.operators import complaints, messaging, signals
+from moatlens.operators import complaints, messaging, sentiment, signals
+from moatlens.operators.pages import review_lines
 from moatlens.plans import sqlkit as S
+from moatlens.plans.q_misc import compound_sql
 from moatlens.plans.registry import q, query
 from moatlens.sources import fixtures as X
 
@@ -37,10 +39,12 @@ mm as (select *, lower(array_to_string(h1 || h2 || h3, ' ')) as hlow from hh)
 select page_id,
   list_filter(h1, lambda x: length(x) = list_max(list_transform(h1, lambda y: length(y))))[1] as main_headline,
   array_to_string(list_slice(h2, 1, {L.N_SUBHEADLINES}), '|') as subheadlines,
-  array_to_string(list_slice(h3, 1, {L.N_H3}), '|') as h3_messages, cast(len(h1) as bigint) as n_h1 from mm""")
+  array_to_string(list_slice(h3, 1, {L.N_H3}), '|') as h3_messages, cast(len(h1) as bigint) as n_h1,
+  array_to_string(h2, '|') as subheadlines_all, array_to_string(h3, '|') as h3_messages_all from mm""")
 def q_headings(spark, sf):
     return _msg(spark, sf).select("page_id", "main_headline", T.join(F.col("subheadlines")).alias("subheadlines"),
-                                  T.join(F.col("h3_messages")).alias("h3_messages"), F.col("n_h1").cast("bigint").alias("n_h1"))
+                                  T.join(F.col("h3_messages")).alias("h3_messages"), F.col("n_h1").cast("bigint").alias("n_h1"),
+                                  *[T.join(F.col(c)).alias(c) for c in ("subheadlines_all", "h3_messages_all")])
 
 
 def _bucket(lex):
@@ -74,10 +78,10 @@ def q_ctas(spark, sf):
 
 
 @query("proof_points", _MSG + f"""
-select page_id, array_to_string(list_slice({' || '.join(S.findall('markdown', p, 0, True) for p in L.PROOF_PATTERNS)},
-  1, {L.N_PROOF_POINTS}), '|') as proof_points from mm""")
+, pp as (select page_id, {' || '.join(S.findall('markdown', p, 0, True) for p in L.PROOF_PATTERNS)} as p from mm)
+select page_id, array_to_string(list_slice(p, 1, {L.N_PROOF_POINTS}), '|') as proof_points, array_to_string(p, '|') as proof_points_all from pp""")
 def q_proof(spark, sf):
-    return _msg(spark, sf).select("page_id", T.join(F.col("proof_points")).alias("proof_points"))
+    return _msg(spark, sf).select("page_id", *[T.join(F.col(c)).alias(c) for c in ("proof_points", "proof_points_all")])
 
 
 @query("uptime_claims", _MSG + f"""
@@ -273,3 +277,14 @@ select page_id, array_to_string(list_filter([
   lambda x: x is not null), '|') as strategic_inferences from d""")
 def q_infer(spark, sf):
     return _sig(spark, sf).select("page_id", T.join(F.col("strategic_inferences")).alias("strategic_inferences"))
+
+
+@query("polarity_rules", _CMP + """
+, rv as (select company, page_id, unnest(lines) as text, unnest(range(1, len(lines) + 1)) as line_no from cc),
+src as (select company, concat(page_id, ':', line_no) as text_id, text from rv)""" + compound_sql("src", "company") + """
+select company, round(avg(c), 6) as compound_score, cast(count(*) as bigint) as sample_size, cast(count_if(c <> 0) as bigint) as lines_with_polarity
+from cp group by company""")
+def q_polarity_rules(spark, sf):
+    """Polarity of the review lines of every company."""
+    lines = X.pages(spark, sf, "fx_review_pages").select("company", T.explode_kept(review_lines(F.col("markdown"))).alias("text"))
+    return sentiment.polarity_mean(lines, "company", counted=True)

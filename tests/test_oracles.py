@@ -8,7 +8,6 @@ from tests.conftest import SF01
 
 # Columns that hold one value by their meaning or by the landed data.
 CONSTANT = {
-    "legal_entity_lookup": {"legal_address", "city"},  # the landed customers have neither
     "registry_merge": {"review_slug"}, "registry_upsert": {"review_slug"},
     "report_write": {"generated_at"},  # given
     "material_events": {"form_type"},  # one form has events
