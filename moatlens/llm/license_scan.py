@@ -12,9 +12,9 @@ aligned again while hits are left, so close repeats are each reported. Pieces
 below the coverage bound are joined with the next piece of the same template
 before they are judged: a notice may be interrupted by ``GAP`` foreign words.
 
-Licences differ by few words, so coverage alone doesn't tell them apart: a
-template of fewer than ``FULL_BELOW`` words must be there whole; each telling
-word of a template (a name in ``TELLING`` or a number) must be matched; and
+Licences differ by few words, so coverage alone doesn't tell them apart: each
+telling word of a template (a name in ``TELLING`` or a number) must be matched;
+a template of fewer than ``FULL_BELOW`` words without any must be there whole; and
 where one or a few words stand between matched ones, none of these may be a
 telling word the template lacks there ("Attribution-ShareAlike" isn't
 "Attribution"), unless it is named as a choice ("BSD or MIT").
@@ -49,7 +49,7 @@ MAX_POSTINGS = 2_000_000
 SPREAD = 2 * BAND
 #: Foreign words that may interrupt a notice, or as many as it has itself if that is more.
 GAP = 64
-#: Templates of fewer words are found whole only.
+#: Templates of fewer words, none of them telling, are found whole only.
 FULL_BELOW = 20
 #: Words that may take a telling word's place between two matched words.
 BETWEEN = 3
@@ -224,7 +224,7 @@ def _occurrences(t: int, wanted: list[str], words: list[str], diagonal: np.ndarr
     d = np.unique(diagonal)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(d) > SPREAD) + 1, [len(d)]))
 
-    least = len(wanted) if len(wanted) < FULL_BELOW else min_coverage * len(wanted)
+    least = len(wanted) if len(wanted) < FULL_BELOW and not any(map(_telling, wanted)) else min_coverage * len(wanted)
 
     def take(pairs: list[tuple[int, int]]) -> bool:
         if not pairs or len(pairs) < least:
