@@ -494,7 +494,7 @@ def test_classifier_odd_rows_and_labels(spark):
 
 def test_classifier_gradient():
     rng = np.random.default_rng(3)
-    bags = [rng.normal(size=(rng.integers(1, 5), quality_mil.FEATURES)).astype(np.float32) for _ in range(300)]
+    bags = [np.pad(rng.normal(size=(rng.integers(1, 5), quality_mil.FEATURES)), ((0, 0), (0, quality_mil.PASSAGE))).astype(np.float32) for _ in range(300)]
     labels = np.array([float(b[:, 0].max() > 0.5) for b in bags])  # one passage decides
     p = quality_mil.train(bags, labels)
     at = np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1]))
@@ -502,6 +502,26 @@ def test_classifier_gradient():
     assert ((score > 0.5) == labels).mean() > 0.9
 
 
+def test_classifier_learns_words():
+    rng = random.Random(5)
+    common, good, bad = ([f"{a}{i:03}" for i in range(200)] for a in "xyz")  # alike in every class of bytes
+    texts = [" ".join(rng.choices(common, k=180) + rng.choices(bad if i % 2 else good, k=8)) for i in range(600)]
+    bags = [quality_mil.passages(t) for t in texts]
+    for b in bags:
+        b[:, :quality_mil.FEATURES] = 0  # words alone
+    labels = np.array([i % 2 for i in range(600)], float)
+    p = quality_mil.train(bags[:400], labels[:400])
+    at = np.concatenate(([0], np.cumsum([len(b) for b in bags[400:]])[:-1]))
+    score = quality_mil.forward(p, np.concatenate(bags[400:]), at)["score"]
+    assert ((score > 0.5) == labels[400:]).mean() > 0.9
+
+
+def test_word_buckets_of_a_passage():
+    got = quality_mil.passages(" ".join(["Word"] * 64 + ["word", "other"]))[:, quality_mil.FEATURES:]
+    assert got.shape == (2, quality_mil.PASSAGE) and (got[0] == got[1, 0]).all() and (got[1, 2:] == 0).all()
+    assert got[1, 1] > 0 and (quality_mil.passages("")[:, quality_mil.FEATURES:] == 0).all()
+
+
 def test_bags_of_long_texts_are_whole(spark):
     rng = random.Random(8)
     words = ["alpha", "beta", "gamma", "delta", "house", "river"]
