@@ -394,6 +394,30 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert posting_lists.nearest(df.limit(0)).collect() == []
 
 
+def test_lists_grow_and_cells_are_fitted_apart(spark, monkeypatch):
+    assert [posting_lists.n_lists(n) for n in (0, 47, 480, 10**6, 10**8, 10**10)] == [1, 1, 10, 4096, 40_000, 400_000]
+    for name, value in (("LIST", 8), ("SAMPLE_PER_LIST", 4), ("FINE", 8), ("BLOCK", 16), ("QUERY_BLOCK", 4), ("SCORED", 3), ("SEEN", 1 << 12), ("LEAST", 200)):
+        monkeypatch.setattr(posting_lists, name, value)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 6))
+    x[:400] = x[0]  # a third of all rows is one vector
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = posting_lists.usable(df)
+    c = posting_lists.centroids(rows, 1200, float(np.sqrt((x * x).sum(1)).max()))
+    assert 100 < len(c) < 200 and (posting_lists.centroids(rows.repartition(7), 1200, float(np.sqrt((x * x).sum(1)).max())) == c).all()
+    assert (posting_lists.linked(spark, c) == posting_lists.neighbours(c, np.arange(len(c)))).all()
+    got = {}
+    for r in posting_lists.nearest(df).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 1200, 20)) and all(len(v) == 20 for v in got.values())
+    hits = 0
+    for q, found in got.items():
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        hits += sum(score >= np.sort(s)[-20] - 1e-9 for _, score in found)
+    assert hits >= 0.9 * 20 * len(got)
+
+
 def test_graph_search_finds_the_nearest():
     rng = np.random.default_rng(2)
     c = rng.normal(size=(500, 8)).astype(np.float32)
