@@ -146,10 +146,20 @@ def q_segments(spark, sf):
 
 
 @query("statement_unpivot", _FX + """
-select ticker, statement, line_no, label, cast(period as varchar) as period, value from fx_statement_lines""")
+, k as (select distinct ticker, statement, line_no, label from fx_statement_lines),
+yr as (select min(year(o_orderdate)) as a, max(year(o_orderdate)) as b from orders),
+p as (select cast(y as varchar) || '-' || d as period from (select unnest(range(a, b + 1)) as y from yr) cross join (values ('09-30'), ('12-31')) as t(d))
+select k.ticker, k.statement, k.line_no, k.label, p.period, l.value from k cross join p
+left join fx_statement_lines l on l.ticker = k.ticker and l.line_no = k.line_no and cast(l.period as varchar) = p.period""")
 def q_unpivot(spark, sf):
-    """Statements as they are filed: a line holds a cell per period of its own (a row per year at most) and other columns."""
+    """Wide statements: a line has a cell for every period of the orders' years, without a value where it has none, and other columns."""
     cell = F.struct(F.col("period").cast("string").alias("key"), F.col("value").cast("double").alias("value"))
     filed = _lines(spark, sf).groupBy("ticker", "statement", "line_no", "label").agg(F.collect_list(cell).alias("c"))
     other = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(1.0).alias("value")) for k in ("standard_concept", "2024", "depth", "2024/12/31")])
-    return st.unpivot_cells(filed.withColumn("cells", F.map_from_entries(F.concat("c", other))))
+    year = F.year("o_orderdate")
+    years = tables.table(spark, sf, "orders").select(F.min(year).alias("a"), F.max(year).alias("b"))
+    ends = F.flatten(F.transform(F.sequence("a", "b"), lambda y: F.array(*[F.concat(y.cast("string"), F.lit(f"-{d}")) for d in ("09-30", "12-31")])))
+    wide = filed.crossJoin(F.broadcast(years.select(ends.alias("ends"))))  # one row
+    own = F.map_from_entries(F.filter("c", lambda x: x["key"].isNotNull()))
+    cells = F.transform("ends", lambda p: F.struct(p.alias("key"), F.try_element_at(own, p).alias("value")))
+    return st.unpivot_cells(wide.withColumn("cells", F.map_from_entries(F.concat(cells, other))))

@@ -172,3 +172,14 @@ def test_positions_follow_the_order_over_partitions(spark):
 def test_whole_errors_on_request(spark):
     df = spark.createDataFrame([("x", False, "e" * 300 + "\nmore")], "markdown string, success boolean, error_message string")
     assert [len(pages.page_gate(df, error_chars=n).first().reject_reason) for n in (200, None, 5)] == [200, 300, 5]
+
+
+def test_a_wide_statement_has_a_cell_for_every_period(spark, tmp_path):
+    from moatlens.plans import QUERIES
+    spark.createDataFrame([(1, 1, 10.0, dt.datetime(2020, 5, 1)), (2, 2, 20.0, dt.datetime(2021, 5, 1))],
+                          "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1), (2, 2)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = QUERIES["statement_unpivot"](spark, str(tmp_path)).filter("line_no = 9").collect()
+    got = {(r.ticker, r.period): r.value for r in rows}
+    assert len(rows) == len(got) == 8  # two tickers, two years, two ends of a fiscal year
+    assert {k: v for k, v in got.items() if v is not None} == {("T1", "2020-12-31"): 1020.0, ("T2", "2021-12-31"): 1040.0}
