@@ -159,7 +159,7 @@ def q_unpivot(spark, sf):
     year = F.year("o_orderdate")
     years = tables.table(spark, sf, "orders").select(F.min(year).alias("a"), F.max(year).alias("b"))
     ends = F.flatten(F.transform(F.sequence("a", "b"), lambda y: F.array(*[F.concat(y.cast("string"), F.lit(f"-{d}")) for d in ("09-30", "12-31")])))
-    wide = filed.crossJoin(F.broadcast(years.select(ends.alias("ends"))))  # one row
+    wide = filed.withColumn("ends", years.select(ends).scalar())
     own = F.map_from_entries(F.filter("c", lambda x: x["key"].isNotNull()))
     cells = F.transform("ends", lambda p: F.struct(p.alias("key"), F.try_element_at(own, p).alias("value")))
     return st.unpivot_cells(wide.withColumn("cells", F.map_from_entries(F.concat(cells, other))))
