@@ -6,8 +6,10 @@ segments of the hash space at least m - d hold the same shingles on both
 sides. A sketch keeps the XOR of each segment's hashes; documents meet where a
 segment's XOR is equal (pigeonhole). A bit sketch, in which every shingle
 flips one bit, rejects pairs whose Hamming distance, a lower bound of the
-symmetric difference, exceeds what the sizes allow. What is left is verified
-on the whole sets.
+symmetric difference, exceeds what the sizes allow. That sketch has one length
+and is full for sets much larger than it; pairs that pass are then held against
+wide sketches, of two bits a shingle or more, and what is left is verified on
+the whole sets.
 
 An empty segment says nothing and is not joined. m leaves room for ``spare``
 empty ones; a set with more also joins on its first hashes in hash order (a
@@ -123,9 +125,26 @@ def sketch_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def wide_sketch(s: np.ndarray) -> np.ndarray:
+    """Bytes of a sketch with at least two bits a shingle, a power of two of them and BITS at least."""
+    bits = max(BITS, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of ``size`` bytes of the set that ``x`` is a longer sketch of."""
+    return np.bitwise_xor.reduce(x.reshape(-1, size))
+
+
 def bit_sketch(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((mix(s) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return folded(wide_sketch(s), BITS // 8).view(np.int64)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two wide sketches at the length of the shorter: at most the sets' symmetric difference."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def class_id(s: np.ndarray) -> int:
@@ -136,23 +155,25 @@ def class_id(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, pct: int = PCT) -> DataFrame:
-    """(doc_id, n, cid, bits, keys) per document; cid, bits and keys are null for the empty set."""
+    """(doc_id, n, cid, bits, wide, keys) per document; the last four are null for the empty set, wide also where it is no longer than bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(pct)
         for b in batches:
-            size, cid, bits, keys = [], [], [], []
+            size, cid, bits, wide, keys = [], [], [], [], []
             for text in b.column(1):
                 s = shingles(text.as_py(), n)
                 size.append(len(s))
                 cid.append(class_id(s) if len(s) else None)
-                bits.append(bit_sketch(s) if len(s) else None)
+                w = wide_sketch(s) if len(s) else None
+                bits.append(folded(w, BITS // 8).view(np.int64) if len(s) else None)
+                wide.append(w.tobytes() if 2 * len(s) > BITS else None)
                 keys.append(sketch_keys(s, bands).view(np.int64) if len(s) else None)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(bits, longs), pa.array(keys, longs)],
-                                             names=["doc_id", "n", "cid", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(bits, longs),
+                                              pa.array(wide, pa.binary()), pa.array(keys, longs)], names=["doc_id", "n", "cid", "bits", "wide", "keys"])
 
     df = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return df.mapInArrow(run, "doc_id long, n long, cid long, bits array<long>, keys array<long>")
+    return df.mapInArrow(run, "doc_id long, n long, cid long, bits array<long>, wide binary, keys array<long>")
 
 
 def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -188,6 +209,22 @@ def _possible(pct: int) -> Column:
     return (small * 100 >= large * pct) & (_far() * (100 + pct) <= (small + large) * (100 - pct))
 
 
+def _near(pairs: DataFrame, facts: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of classes whose wide sketches allow a link; bits have told already about sets without one."""
+    j = pairs.join(facts.select(F.col("cid").alias("a"), F.col("n").alias("u"), F.col("wide").alias("x")), "a")
+    j = j.join(facts.select(F.col("cid").alias("b"), F.col("n").alias("v"), F.col("wide").alias("y")), "b").select("a", "b", "u", "v", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for both, x, y in zip((batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist(), batch.column(4), batch.column(5), strict=True):
+                far = apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) if x.is_valid and y.is_valid else 0
+                keep.append(far * (100 + pct) <= both * (100 - pct))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return j.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int, pct: int) -> DataFrame:
     """Pairs (a, b) of classes whose sets link, by their whole sets."""
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
@@ -223,7 +260,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = rows.selectExpr("key", "cid", "min(struct(xxhash64(cid) as h, cid as cid)) over (partition by key) as lead",
                           "min(cid) over (partition by key) as lo", "max(cid) over (partition by key) as hi")
     met = written(met.where("lo <> hi").select("key", "cid", F.col("lead.cid").alias("lead")), "join-met")
-    facts = reps.select("cid", "n", "bits").join(met.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+    facts = reps.select("cid", "n", "bits", "wide").join(met.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
     facts = written(facts, "join-facts")
 
     def side(name: str) -> DataFrame:
@@ -239,7 +276,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if best is not None:
             p = p.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))).where(F.col("r") <= best)
         p = written(p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
-        return p, written(_verified(p, docs, classes, "doc_id", "text", n, pct).distinct(), "join-links")
+        near = written(_near(p, facts, pct), "join-near")
+        return p, written(_verified(near, docs, classes, "doc_id", "text", n, pct).distinct(), "join-links")
 
     def parted(links: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components, and the written (key, cid, comp) of those segments of ``rows`` where several of them meet."""

@@ -222,6 +222,34 @@ def test_sketch_bounds(spark):
                 assert len(np.intersect1d(ngram_join.sketch_keys(a, bands), ngram_join.sketch_keys(b, bands)))
 
 
+def test_wide_sketches_are_a_lower_bound(spark):
+    rng = np.random.default_rng(4)
+    for n, m in ((3, 4), (255, 257), (300, 290), (900, 1100), (5000, 4200)):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[:int(share * min(n, m))], rng.integers(0, 2**63, m - int(share * min(n, m))).astype(np.uint64)]))
+            x, y = ngram_join.wide_sketch(a), ngram_join.wide_sketch(b)
+            assert 8 * len(x) >= 2 * len(a) and ngram_join.apart(x, y) == ngram_join.apart(y, x) <= len(np.setxor1d(a, b))
+            assert (ngram_join.folded(x, ngram_join.BITS // 8).view(np.int64) == ngram_join.bit_sketch(a)).all()
+
+
+def test_join_verifies_only_long_texts_that_are_near(spark, monkeypatch):
+    rng = random.Random(5)
+    half = " ".join(f"h{rng.randrange(10**6)}" for _ in range(2000))
+    texts = [(i, f"{half} " + " ".join(f"p{rng.randrange(10**6)}" for _ in range(1400))) for i in range(12)]  # half their shingles are common
+    texts += [(20 + i, texts[i][1] + " one more word or two" * i) for i in range(3)]
+    verified, seen = ngram_join._verified, []
+
+    def counted(pairs, *rest):
+        seen.extend((r["a"], r["b"]) for r in pairs.collect())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs(spark, texts), n=5, pct=80).collect()}
+    assert got == components_by_force(texts, 5, 80) and len({c for _, c in got.values()}) == 12
+    assert len(seen) == 2  # a text and the one with more words; the equal one is its class
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(40).select((F.col("id") + 1).alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(100, 102), (102, 101), (7, 7)], "a long, b long"))
     got = {r["node"]: r["comp"] for r in components.components(edges).collect()}
