@@ -52,6 +52,8 @@ STARS = 3
 BEST = 1
 #: Bytes of a shingle's hash that verification compares: 2**-48 is the chance that two differ unseen.
 HASH_BYTES = 6
+#: Rows that a task turns into sketches or sets, or compares, at a time.
+ROWS = 256
 MASK = (1 << 64) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _32, _29, _31 = np.uint64(32), np.uint64(29), np.uint64(31)
@@ -64,6 +66,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _31)
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ROWS rows, so that a task holds the results of so many only."""
+    for b in batches:
+        for s in range(0, len(b), ROWS):
+            yield b.slice(s, ROWS)
+
+
 def shingles(text: str | None, n: int = N) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; the whole sequence if it has fewer words."""
     w = (text or "").encode("utf-8").lower().split()
@@ -158,7 +167,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """(doc_id, n, cid, bits, wide, keys) per document; the last four are null for the empty set, wide also where it is no longer than bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(pct)
-        for b in batches:
+        for b in few(batches):
             size, cid, bits, wide, keys = [], [], [], [], []
             for text in b.column(1):
                 s = shingles(text.as_py(), n)
@@ -179,7 +188,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """(cid, members): the upper HASH_BYTES of the hashes of every set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             got = [s for t in b.column(0) if len(s := shingles(t.as_py(), n))]
             yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in got], pa.int64()), pa.array([_packed(s) for s in got], pa.binary())],
                                              names=["cid", "members"])
@@ -215,7 +224,7 @@ def _near(pairs: DataFrame, facts: DataFrame, pct: int) -> DataFrame:
     j = j.join(facts.select(F.col("cid").alias("b"), F.col("n").alias("v"), F.col("wide").alias("y")), "b").select("a", "b", "u", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             keep = []
             for both, x, y in zip((batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist(), batch.column(4), batch.column(5), strict=True):
                 far = apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) if x.is_valid and y.is_valid else 0
@@ -234,7 +243,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, t
     j = j.join(s.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 u, v = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())

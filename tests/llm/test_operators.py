@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,15 @@ def test_wide_sketches_are_a_lower_bound(spark):
             assert (ngram_join.folded(x, ngram_join.BITS // 8).view(np.int64) == ngram_join.bit_sketch(a)).all()
 
 
+def test_join_takes_few_rows_at_a_time(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(ngram_join, "shingles", lambda text, n: taken.append(text) or np.arange(1, 4, dtype=np.uint64))
+    frame = type("Frame", (), {"__getitem__": lambda self, c: F.col(c), "select": lambda self, *c: self, "mapInArrow": lambda self, run, schema: run})()
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["t"] * 1000})
+    first = next(ngram_join.sketches(frame)(iter([batch])))
+    assert len(first) == len(taken) == ngram_join.ROWS < 1000
+
+
 def test_join_verifies_only_long_texts_that_are_near(spark, monkeypatch):
     rng = random.Random(5)
     half = " ".join(f"h{rng.randrange(10**6)}" for _ in range(2000))
